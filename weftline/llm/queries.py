@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import op1_sharding, op2_mixing, op3_store, op4_packing, op7_quality, op8_lines
+from weftline.llm import op1_sharding, op2_mixing, op3_store, op4_packing, op5_licenses, op6_nndescent, op7_quality, op8_lines, op9_partenum, op10_quotes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op4_histogram_pack(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     return op4_packing.pack_documents(_documents(spark, sf_dir), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_rare_token_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_licenses.license_documents(_documents(spark, sf_dir))
+
+
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_nndescent.dedup_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_quality.quality_documents(_documents(spark, sf_dir))
 
@@ -38,8 +46,27 @@ def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_lines.dedup_lines(_documents(spark, sf_dir))
 
 
+def op9_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_partenum.component_ids(_documents(spark, sf_dir))
+
+
+def op10_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_quotes.threads(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_hash_tree, op2_pivotal_mix, op3_content_store, op4_histogram_pack, op7_divergence_rules, op8_line_windows)
+    own = (
+        op1_hash_tree,
+        op2_pivotal_mix,
+        op3_content_store,
+        op4_histogram_pack,
+        op5_rare_token_licenses,
+        op6_nn_descent,
+        op7_divergence_rules,
+        op8_line_windows,
+        op9_partenum_join,
+        op10_quote_threads,
+    )
     return {f.__name__: f for f in own}
 
 
