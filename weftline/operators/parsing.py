@@ -345,9 +345,8 @@ def lexical_file(workspace: str, path: str, content: str, lang: str) -> _Out:
         holder = next((s for s in reversed(scopes) if s[2] in ("function", "method")), None)
         if holder:
             for name in _CALL.findall(code[hit[0].end() :] if hit else code):
-                name = name.rsplit(".", 1)[-1].rsplit("::", 1)[-1]
-                if name and name not in _NOT_CALLS:
-                    out.edge(holder[1], name, "CALLS")
+                if name not in _NOT_CALLS and (callee := name.rsplit(".", 1)[-1].rsplit("::", 1)[-1]):
+                    out.edge(holder[1], callee, "CALLS")
         elif scopes and scopes[-1][2] == "struct" and not hit and (f := re.match(r"^\s*(?:pub\s+)?(\w+)\s*:?\s+([^,;`]+)", code)) and code.strip() not in ("}",):
             made = out.node(f[1], "field", lang, n, n, code.strip(), limit=FIELD_LIMIT)
             out.edge(scopes[-1][1], f[1], "CONTAINS", made)
