@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +60,7 @@ def cuts(ids: np.ndarray) -> list[int]:
         h ^= h >> np.uint64(32)
         width = 1
         while width < WINDOW:
-            older = np.zeros_like(h)
-            older[width:] = h[:-width] << np.uint64(width)
-            h = h + older
+            h[width:] += h[:-width] << np.uint64(width)
             width *= 2
         hits = np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1
     ends, at = [], 0
@@ -108,14 +107,24 @@ class MerkleStream:
         return root
 
 
+@cache
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def pack_ids(ids: np.ndarray) -> bytes:
     """The file form of a chunk: one byte for the width, then the compressed numbers."""
     wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(ids.astype("<u4" if wide else "<u2").tobytes())
+    return bytes([wide]) + _compressor().compress(ids.astype("<u4" if wide else "<u2").tobytes())
 
 
 def unpack_ids(payload: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(payload[1:])
+    raw = _decompressor().decompress(payload[1:])
     return np.frombuffer(raw, "<u4" if payload[0] else "<u2").astype("<u4")
 
 
@@ -155,7 +164,7 @@ def crc_join(parts: list[tuple[int, int]]) -> int:
     """The CRC-32 of parts given as (checksum, bytes)."""
     out = 0
     for crc, n in parts:
-        out = _multiply(_zeros(n), out) ^ crc
+        out = (_multiply(_zeros(n), out) if out else 0) ^ crc
     return out
 
 
@@ -184,17 +193,6 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, spaced: bool, end: int
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "kind", "doc_id", "n_tokens", "body"])
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted chunks with one name, the first; all recipes."""
-    last = None
-    for batch in batches:
-        keys, kinds, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-        for key, kind in zip(keys, kinds, strict=True):
-            keep.append(kind == "recipe" or key != last)
-            last = key if kind == "chunk" else last
-        yield batch.filter(pa.array(keep))
-
-
 _RECIPES = "part int, ord long, doc_id long, local_start long, n_tokens long, chunks binary, root binary"
 
 
@@ -320,8 +318,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, spaced: bool = True,
     spark = docs.sparkSession
     width = shuffle_width(spark)
     blocks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _encode(b, tokenizer, spaced, end_id), _BLOCKS)
-    sorted_blocks = blocks.repartition(width, "key").sortWithinPartitions("key")
-    sorted_blocks.mapInArrow(_once, _BLOCKS).write.partitionBy("kind").option("compression", "none").parquet(f"{path}/blocks")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("kind"))
+    once = blocks.repartition(width, "key").withColumn("_n", nth).filter("_n = 1 or kind = 'recipe'").drop("_n")
+    once.write.partitionBy("kind").option("compression", "none").parquet(f"{path}/blocks")
     encoded = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").filter("kind = 'recipe'")
     ranged = encoded.select("doc_id", "n_tokens", F.col("body").alias("chunks")).repartitionByRange(width, "doc_id", "n_tokens", "chunks").sortWithinPartitions("doc_id", "n_tokens", "chunks")
     ranged.mapInArrow(_number, _RECIPES).write.parquet(f"{path}/recipes")

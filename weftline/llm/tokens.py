@@ -9,22 +9,62 @@ from __future__ import annotations
 
 import os
 import re
-from functools import cache
 from struct import Struct
 
 import numpy as np
 
 #: Pieces kept by one Python worker; the cache is emptied when it is full.
-CACHE = 600_000
+CACHE = 400_000
 #: A word of Latin-1 letters with marks behind it: both vocabularies split it there and nowhere else.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#$%&*()]*)")
-_BATCH = 4096
-#: A space or line end beside other white space: there the cut needs care.
-_RUNS = re.compile(r"[ \n]\s|\s[ \n]|\x01")
+#: White space other than spaces and line ends, and the cutting mark itself; there, and where spaces or line ends meet, the cut needs care.
+_RARE = re.compile("[\x01\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Before a lone space; around a lone line end.
 _LONE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters by which byte-level vocabularies write bytes that have no printable form."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_LETTERS = _byte_letters()
+_PACK = [Struct(f"<{n}I").pack for n in range(64)]
+
+
+class _Known(dict):
+    """The ids of pieces as bytes; an unknown piece is encoded when it is asked for."""
+
+    def __init__(self, tokenizer, spaced: bool):
+        super().__init__()
+        self.whole, self.model, self.spaced = tokenizer.encode, tokenizer.model.tokenize, spaced
+
+    def _ids(self, part: str) -> bytes:
+        """The ids of a part that the vocabulary does not split before its merges."""
+        if part.isascii():
+            letters = "\u0120" + part[1:] if part[:1] == " " else part  # the letter for a space
+        else:
+            letters = part.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in self.model(letters)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        """Plain words go to the model at once; the rest through the library's whole chain."""
+        if plain := _PLAIN.fullmatch(piece):
+            word, marks = plain.groups()
+            if self.spaced:
+                word = word.lower()
+            if marks:
+                got = self[word] + (self.get(marks) or self.setdefault(marks, self._ids(marks)))
+            else:
+                got = self._ids(word) if word == piece else self[word]
+        else:
+            got = np.array(self.whole(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        self[piece] = got
+        return got
+
+
 class Encoder:
     """Texts to ids.
 
@@ -39,61 +79,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced, self.cache, self.known = spaced, cache, {}
+        self.spaced, self.cache, self.known = spaced, cache, _Known(self.tokenizer, spaced)
 
     def pieces(self, text: str) -> list[str]:
         if self.spaced:
             return text.replace("\n", " ").split(" ")
-        if _RUNS.search(text):
+        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or _RARE.search(text):
             return _LONE.split(text)
         return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
-    def _one(self, part: str) -> bytes:
-        """The ids of a part that the vocabulary does not split before its merges."""
-        got = self.known.get(part)
-        if got is None:
-            ids = [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(_byte_letters()))]
-            got = self.known[part] = _packer(len(ids))(*ids)
-        return got
-
-    def _learn(self, fresh: set[str]) -> None:
-        """Plain words go to the model at once; the rest through the library's whole chain."""
-        rest = []
-        for piece in fresh:
-            if (plain := _PLAIN.fullmatch(piece)) is None:
-                rest.append(piece)
-                continue
-            word, marks = plain.groups()
-            if self.spaced:
-                word = word.lower()
-            self.known[piece] = self._one(word) + self._one(marks) if marks else self._one(word)
-        for at in range(0, len(rest), _BATCH):
-            part = rest[at : at + _BATCH]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(got.ids, "<u4").tobytes()
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, little-endian unsigned 32-bit."""
-        cut = [self.pieces(t) for t in texts]
-        fresh = set().union(*cut) - self.known.keys()
-        if fresh and len(fresh) + len(self.known) > self.cache:
-            self.known = {}
-            fresh = set().union(*cut)
-        self._learn(fresh)
-        ids = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(ids, c)), "<u4") for c in cut]
-
-
-@cache
-def _packer(n: int):
-    return Struct(f"<{n}I").pack
-
-
-@cache
-def _byte_letters() -> dict[int, int]:
-    """The letters by which byte-level vocabularies write bytes that have no printable form."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        out, ids = [], self.known.__getitem__
+        for text in texts:
+            out.append(np.frombuffer(b"".join(map(ids, self.pieces(text))), "<u4"))
+            if len(self.known) > self.cache:
+                self.known.clear()
+        return out
 
 
 _encoders: dict[tuple, Encoder] = {}
