@@ -97,7 +97,7 @@ def _meet(state: Column, new: Column) -> Column:
 def _fold(rows: DataFrame, kind: str) -> DataFrame:
     """One level of the tree: (source, bucket, key, doc, p) folded by blocks of at most FOLD rows."""
     # The larger first, so that what is left over tends to be small.
-    order = [F.col("doc.size").desc(), F.col("key"), F.col("doc.doc_id"), F.col("p")]
+    order = [F.col("doc.size").desc(), F.col("key"), F.col("doc")]
     block = Window.partitionBy("source", "bucket").orderBy(*order)
     cut = rows.withColumn("_n", F.row_number().over(block)).withColumn("_sub", F.floor((F.col("_n") - 1) / FOLD))
     item = F.struct("_n", F.struct("key", "doc", "p").alias("x"))
@@ -111,7 +111,7 @@ def _fold(rows: DataFrame, kind: str) -> DataFrame:
 def decide(sized: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns with ``source_size``, ``target`` and the number of ``copies`` of every row of ``sized``.
 
-    ``sized`` has source and size besides; rows of no words get no copy.
+    ``sized`` has doc_id, source and size besides; rows of no words get no copy.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("_docs"))
     plan = materialize(totals, "sources")
@@ -121,7 +121,7 @@ def decide(sized: DataFrame, keep: list[str]) -> DataFrame:
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     ready = sized.join(goal, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("_base", F.floor(rate).cast("long")).withColumn("p", rate - F.floor(rate))
     doc = F.struct(*dict.fromkeys([*keep, "source", "size", "source_size", "target", "_base"]))
-    key = F.xxhash64(*[F.col(c) for c in keep], "source", "size")
+    key = F.xxhash64("doc_id", "source", "size")
     rows = materialize(ready.select(doc.alias("doc"), "source", F.when(F.col("size") > 0, F.col("p")).otherwise(F.lit(0.0)).alias("p"), key.alias("key"), F.greatest(F.lit(1), F.ceil(F.col("_docs") / BLOCK)).alias("_blocks")), "mix")
     kind = rows.select(F.struct("key", "doc", "p").alias("x")).schema["x"].dataType.simpleString()
     settled = [rows.filter("p = 0").select("doc", F.lit(0.0).alias("p"))]
@@ -161,11 +161,11 @@ def mix(docs: DataFrame) -> DataFrame:
     Rows are matched with their decisions by doc_id and a number among the rows
     of one doc_id; copies of one row are equal rows of the result.
     """
-    mark = F.xxhash64("text", "source")
-    among = Window.partitionBy("doc_id").orderBy("_mark", F.col("source"))
-    numbered = docs.withColumn("_mark", mark).withColumn("_n", F.row_number().over(among))
-    sized = docs.select("doc_id", "source", mark.alias("_mark"), F.size(words(F.col("text"))).cast("long").alias("size"))
-    copies = decide(sized.withColumn("_n", F.row_number().over(among)).drop("_mark"), ["doc_id", "_n"])
-    taken = copies.filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("_n").alias("_m"), "copies")
-    kept = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_m")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    among = Window.partitionBy("doc_id").orderBy("__wf_mark", F.col("source"))
+    mark = F.xxhash64("text", "source").alias("__wf_mark")
+    numbered = docs.select("*", mark).withColumn("__wf_n", F.row_number().over(among))
+    sized = docs.select("doc_id", "source", mark, F.size(words(F.col("text"))).cast("long").alias("size"))
+    copies = decide(sized.withColumn("_n", F.row_number().over(among)).drop("__wf_mark"), ["doc_id", "_n"])
+    taken = copies.filter("copies > 0").select(F.col("doc_id").alias("__wf_id"), F.col("_n").alias("__wf_m"), F.col("copies").cast("int").alias("__wf_copies"))
+    kept = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("__wf_id")) & (F.col("__wf_n") == F.col("__wf_m")))
+    return kept.withColumn("__wf_copy", F.explode(F.sequence(F.lit(1), F.col("__wf_copies")))).select(*docs.columns)

@@ -171,7 +171,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
     The verdict follows from text and language alone, so rows are matched by them.
     """
-    mark = lambda name: F.xxhash64("doc_id", "lang", "text").alias(name)
-    verdicts = judge(docs.select("doc_id", "lang", "text", mark("_mark")), ["doc_id", "_mark"]).filter("kept").select(F.col("doc_id").alias("_id"), "_mark").distinct()
-    marked = docs.withColumn("_mark_", F.xxhash64("doc_id", "lang", "text"))
-    return marked.join(verdicts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark_") == F.col("_mark")), "left_semi").select(*docs.columns)
+    mark = F.xxhash64("doc_id", "lang", "text").alias("__wf_mark")
+    judged = judge(docs.select("doc_id", "lang", "text", mark), ["doc_id", "__wf_mark"])
+    good = judged.filter("kept").select(F.col("doc_id").alias("__wf_id"), F.col("__wf_mark").alias("__wf_good")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__wf_id")) & (F.col("__wf_mark") == F.col("__wf_good"))
+    return docs.select("*", mark).join(good, same, "left_semi").select(*docs.columns)

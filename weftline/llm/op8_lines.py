@@ -74,20 +74,20 @@ def _without(text: Column, places: Column) -> Column:
     return let(F.struct(filled(text).alias("found"), places.alias("places")), keep)
 
 
-def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages removed, and ``n_removed`` lines.
+def clean(docs: DataFrame, count_as: str | None = None) -> DataFrame:
+    """``docs`` with repeated passages removed; ``count_as`` names a column for the number of removed lines.
 
     ``n_chars`` follows the text where there is such a column.  A text that loses all
     its lines is empty; the row stays.  Null texts stay null.
     """
-    gone = covered_lines(docs)
-    marked = docs.withColumn("_m", F.xxhash64("text"))
-    joined = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left")
-    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("places")))
-    out = joined.withColumn("n_removed", F.coalesce(F.size("places"), F.lit(0)).cast("long")).withColumn("text", text)
+    gone = covered_lines(docs).select(F.col("_id").alias("__wf_id"), F.col("_mark").alias("__wf_gone"), F.col("places").alias("__wf_places"))
+    marked = docs.select("*", F.xxhash64("text").alias("__wf_mark"))
+    joined = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__wf_id")) & (F.col("__wf_mark") == F.col("__wf_gone")), "left")
+    places = F.col("__wf_places")
+    out = joined.withColumn("text", F.when(places.isNull(), F.col("text")).otherwise(_without(F.col("text"), places)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("places").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, "n_removed")
+        out = out.withColumn("n_chars", F.when(places.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns, *([F.coalesce(F.size(places), F.lit(0)).cast("long").alias(count_as)] if count_as else []))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     no rows.  Of ``docs`` only doc_id and text are read.
     """
     counted = docs.select("doc_id", "text", F.size(filled(F.col("text"))).cast("long").alias("n_lines"))
-    return clean(counted).select("doc_id", "n_lines", "n_removed", "text")
+    return clean(counted, "n_removed").select("doc_id", "n_lines", "n_removed", "text")
 
 
 ORACLE_SQL = r"""
