@@ -43,6 +43,10 @@ STEP, SLACK, SKETCH = 1.25, 0.15, 1024
 BUCKET, FLUSH, PIECE = 2_000_000, 2_000_000, 4_000_000
 #: Members compared with one set, and members of a cell, at a time.
 FAN, CELL = 256, 2048
+#: Rounds in which components join their nearest ones, before the rest is compared in full.
+ROUNDS = 3
+#: Members up to which equal groups are found and kept once.
+FEW = 16
 
 
 def _grid() -> np.ndarray:
@@ -292,11 +296,11 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(_verify_rows, "a long, b long").distinct(), "links")
 
 
-_CANDIDATES = "a long, b long"
+def _compare_cells(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
+    """(sig, a, b): pairs of a cell, of two components, that may link, of (sig, lower block, upper block, own block, node, component, n, sketch) rows by cell.
 
-
-def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a cell that may link, of (sig, lower block, upper block, own block, node, component, n, sketch) rows by cell."""
+    With ``nearest`` only the closest pair of each component, by the sketches.
+    """
     current, rows = None, []
 
     def cell():
@@ -304,16 +308,31 @@ def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         node, comp, n = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
         bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
         lower, upper = (np.flatnonzero(own == current[1]), np.flatnonzero(own == current[2]))
-        left, right = [], []
+        left, right, best = [], [], {}
         for i in lower:
             js = upper[upper > i] if current[1] == current[2] else upper
             js = js[(comp[js] != comp[i]) & (np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * PERCENT)]
             if len(js):
                 differ = np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64)
-                js = js[differ * (100 + PERCENT) <= (n[js] + n[i]) * (100 - PERCENT)]
+                close = differ * (100 + PERCENT) <= (n[js] + n[i]) * (100 - PERCENT)
+                js, differ = js[close], differ[close]
+            if not len(js):
+                continue
+            if not nearest:
                 left += [int(node[i])] * len(js)
                 right += node[js].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right), pa.int64()), pa.array(np.maximum(left, right), pa.int64())], ["a", "b"])
+                continue
+            far = differ / (n[js] + n[i])
+            k = int(far.argmin())
+            if far[k] < best.get(comp[i], (2,))[0]:
+                best[comp[i]] = (far[k], i, js[k])
+            for j, f in zip(js.tolist(), far.tolist(), strict=True):
+                if f < best.get(comp[j], (2,))[0]:
+                    best[comp[j]] = (f, i, j)
+        if nearest:
+            left, right = [int(node[i]) for _, i, _ in best.values()], [int(node[j]) for _, _, j in best.values()]
+        sigs = np.full(len(left), current[0], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(np.minimum(left, right), pa.int64()), pa.array(np.maximum(left, right), pa.int64())], ["sig", "a", "b"])
 
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(8)]
@@ -327,21 +346,32 @@ def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield cell()
 
 
-def _rest(shared: DataFrame, first: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs that share a signature in a group of several components, if their sketches allow a link."""
-    width = shuffle_width(shared.sparkSession)
-    members = shared.select("sig", "node").unionByName(shared.select("sig", F.col("rep").alias("node")).distinct()).distinct()
-    named = members.join(first.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The (sig, node, component, size) rows of the groups of (sig, node) that hold several components, written.
+
+    Sets that share a passage share many signatures; groups of FEW members or less
+    that are equal are kept once.
+    """
+    named = members.join(labels.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("node") == F.col("_n"), "left").select("sig", "node", F.coalesce("_c", "node").alias("component"))
     named = materialize(named, "members")
     several = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select(F.col("sig").alias("_s"), "size")
-    open_ = named.join(several, F.col("sig") == F.col("_s")).drop("_s")
+    held = named.join(several, F.col("sig") == F.col("_s")).drop("_s")
+    listed = held.filter(F.col("size") <= FEW).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("node", "component"))).alias("m"))
+    few = listed.select("m").distinct().select(F.xxhash64("m").alias("sig"), F.size("m").cast("long").alias("size"), F.explode("m").alias("x")).select("sig", "x.node", "x.component", "size")
+    out = materialize(held.filter(F.col("size") > FEW).select("sig", "node", "component", "size").unionByName(few), "open")
+    drop_scratch(named)
+    return out
+
+
+def _candidates(open_: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
+    """(sig, a, b): pairs of different components that share a signature and may link by their sketches; written."""
+    width = shuffle_width(open_.sparkSession)
     numbered = open_.withColumn("own", F.floor((F.row_number().over(Window.partitionBy("sig").orderBy("node")) - 1) / CELL).cast("int")).withColumn("blocks", F.ceil(F.col("size") / CELL).cast("int"))
     marked = numbered.join(nodes.select(F.col("node").alias("_n"), "n", "sketch"), F.col("node") == F.col("_n"))
     spread = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = spread.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "n", "sketch")
     ordered = cells.repartition(width, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "node")
-    pairs = ordered.mapInArrow(_compare_cells, _CANDIDATES).distinct()
-    return materialize(pairs, "rest")
+    return materialize(ordered.mapInArrow(lambda b: _compare_cells(b, nearest), "sig long, a long, b long"), "candidates")
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -364,10 +394,29 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     votes = shared.groupBy("node", "rep").count()
     best = votes.groupBy("node").agg(F.max(F.struct("count", "rep")).alias("m")).select(F.col("m.rep").alias("a"), F.col("node").alias("b"))
     links = _verify(best, texts)
-    first = materialize(components(links), "first")
-    rest = _rest(shared, first, nodes)
-    more = _verify(rest, texts)
-    labels = components(links.unionByName(more))
+    labels = materialize(components(links), "labels")
+    tried = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tried")
+    open_ = shared.select("sig", "node").unionByName(shared.select("sig", F.col("rep").alias("node")).distinct()).distinct()
+    turn = 0
+    while True:
+        open_ = _open_groups(open_.select("sig", "node"), labels)
+        # components join their nearest ones first; what is apart after that is compared in full
+        found = _candidates(open_, nodes, turn < ROUNDS)
+        # groups without a candidate have none later, as components only grow
+        open_ = open_.join(found.select("sig").distinct(), "sig", "left_semi")
+        pairs = materialize(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        full = turn >= ROUNDS
+        if not full and pairs.isEmpty():
+            full = True
+            pairs = materialize(_candidates(open_, nodes, False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        links = links.unionByName(_verify(pairs, texts))
+        labels = materialize(components(links), "labels")
+        if full:
+            break
+        tried = tried.unionByName(pairs)
+        turn += 1
     return held.drop("sketch"), labels
 
 
@@ -394,8 +443,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     row without doc_id where its component has no other.
     """
     found = component_ids(docs.select("doc_id", "text"))
-    keep = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("n_shingles").alias("_n"))
-    joined = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keep = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__wf_id")).distinct()
+    joined = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__wf_id")), "left_semi")
     among = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return joined.withColumn("_r", F.row_number().over(among)).filter((F.col("_r") == 1) | ~worded).drop("_r")
+    return joined.withColumn("__wf_r", F.row_number().over(among)).filter((F.col("__wf_r") == 1) | ~worded).select(*docs.columns)
