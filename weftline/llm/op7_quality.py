@@ -163,7 +163,7 @@ def quality_documents(docs: DataFrame) -> DataFrame:
     without common words; a null doc_id is kept.  Equal rows get equal verdicts.
     An empty table gives no rows.  Of ``docs`` only doc_id, text and lang are read.
     """
-    return judge(docs, ["doc_id"])
+    return judge(docs, ["doc_id"]).withColumns({c: F.round(c, 4) for c in ("class_distance", "word_distance")})
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

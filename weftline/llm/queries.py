@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import op1_sharding, op2_mixing, op3_store, op4_packing, op5_licenses, op6_nndescent, op7_quality, op8_lines, op9_partenum, op10_quotes
 
+from weftline.llm.oracles import ORACLES
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -71,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_windows": op8_lines.ORACLE_SQL}
+    return dict(ORACLES)
