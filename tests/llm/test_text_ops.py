@@ -147,3 +147,34 @@ def test_whole_conversations(spark):
     got = op10_quotes.threads(df).collect()
     want = Counter((r["conv_id"], r["turn"], r["role"], r["text"].strip(" \t\n\x0b\x0c\r")) for r in df.collect())
     assert Counter((r["conv_id"], r["turn"], r["role"], r["content"]) for r in got) == want
+
+
+def test_random_threads_against_sql(spark):
+    import random
+
+    from weftline.llm.oracles import QUOTES
+
+    rng, rows, words = random.Random(4), [], "alpha beta gamma delta eps zeta eta theta".split()
+    for c in range(30):
+        said = []
+        for t in range(rng.randint(1, 9)):
+            parts = []
+            for _ in range(rng.randint(1, 4)):
+                if said and rng.random() < 0.5:
+                    lines = rng.choice(said).split("\n")
+                    lines = lines if rng.random() < 0.6 else [rng.choice(lines)]
+                    deep = "> " if rng.random() < 0.25 else ""
+                    parts.append("\n".join(rng.choice(["> ", ">", " > "]) + deep + x.upper() for x in lines))
+                else:
+                    parts.append(" ".join(rng.choice(words) for _ in range(rng.randint(0, 5))) + rng.choice(["", f"\n\n{rng.choice(words)} x y z"]))
+            said.append("\n".join(x for x in "\n".join(parts).split("\n") if not x.strip().startswith(">")))
+            rows.append((c, t, rng.choice(["user", "assistant"]), "\n".join(parts)))
+    df = op10_quotes.threads(spark.createDataFrame(rows, TALK))
+    con = duckdb.connect()
+    con.execute("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    done = con.execute(QUOTES)
+    names = [x[0] for x in done.description]
+    want = Counter(tuple(dict(zip(names, r, strict=True))[c] for c in df.columns) for r in done.fetchall())
+    got = df.collect()
+    assert Counter(map(tuple, got)) == want and sum(r["parent_turn"] is not None for r in got) > 20

@@ -129,4 +129,45 @@ from d left join b using (doc_id) left join every using (doc_id) left join best
 
 LICENCES = _licences()
 
-ORACLES = {"op5_rare_token_licenses": LICENCES, "op6_nn_descent": VECTORS, "op7_divergence_rules": QUALITY, "op8_line_windows": LINES, "op9_partenum_join": JACCARD}
+
+QUOTES = r"""
+with recursive raw as (select conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) as x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from conversations),
+marked as (select *, regexp_extract(x, '^[ \t]*(?:>[ \t]?)+') as m from raw),
+lines as (
+  select conv_id, turn, role, i, length(m) - length(replace(m, '>', '')) as level, case when m = '' then x else substr(x, length(m) + 1) end as line,
+    trim(regexp_replace(lower(case when m = '' then x else substr(x, length(m) + 1) end), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as words
+  from marked
+),
+own as (
+  select conv_id, turn, role, max(level)::bigint as max_level, trim(coalesce(string_agg(line, chr(10) order by i) filter (level = 0), ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as content
+  from lines group by all
+),
+islands as (
+  select *, i - row_number() over (partition by conv_id, turn, level order by i) as g0,
+    i - row_number() over (partition by conv_id, turn, level, words = '' order by i) as g1 from lines
+),
+quoted as (
+  select conv_id, turn, 0 as rank, string_agg(words, ' ' order by i) filter (words <> '') as t from islands where level = 1 group by conv_id, turn, g0
+  union select conv_id, turn, 1, string_agg(words, ' ' order by i) from islands where level = 1 and words <> '' group by conv_id, turn, g1
+  union select conv_id, turn, 2, words from lines where level = 1 and len(string_split(words, ' ')) >= 3
+),
+asked as (select distinct * from quoted where t is not null and t <> ''),
+pieces as (
+  select conv_id, turn, content as p from own union all select conv_id, turn, unnest(regexp_split_to_array(content, '\n[\x20\x09-\x0D]*\n')) from own
+  union all select conv_id, turn, x from (select conv_id, turn, unnest(string_split(content, chr(10))) as x from own) where len(string_split(trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' ')) >= 3
+),
+spoken as (select conv_id, turn, trim(regexp_replace(lower(p), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as t from pieces),
+first as (select conv_id, t, min(turn) as said from spoken where t <> '' group by all),
+parents as (select a.conv_id, a.turn, arg_min(said, (rank, -said)) as parent from asked a join first f on f.conv_id is not distinct from a.conv_id and f.t = a.t where said < a.turn group by all),
+up(conv_id, turn, top, depth) as (
+  select conv_id, turn, parent, 1::bigint from parents
+  union all select u.conv_id, u.turn, p.parent, u.depth + 1 from up u join parents p on p.conv_id is not distinct from u.conv_id and p.turn = u.top
+),
+roots as (select conv_id, turn, arg_max(top, depth) as root, max(depth) as depth from up group by all)
+select o.conv_id, o.turn, o.role, coalesce(r.root, o.turn) as root_turn, coalesce(r.depth, 0) as depth, p.parent as parent_turn,
+  row_number() over (partition by o.conv_id order by coalesce(r.root, o.turn) nulls last, o.turn nulls last, o.role nulls first, o.content) - 1 as position,
+  (select count(distinct t) from asked a where a.conv_id is not distinct from o.conv_id and a.turn = o.turn and rank = 0) as n_quotes, o.max_level, o.content
+from own o left join parents p on p.conv_id is not distinct from o.conv_id and p.turn = o.turn left join roots r on r.conv_id is not distinct from o.conv_id and r.turn = o.turn
+"""
+
+ORACLES = {"op10_quote_threads": QUOTES, "op5_rare_token_licenses": LICENCES, "op6_nn_descent": VECTORS, "op7_divergence_rules": QUALITY, "op8_line_windows": LINES, "op9_partenum_join": JACCARD}
