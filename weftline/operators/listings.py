@@ -128,11 +128,16 @@ def cluster(nodes: DataFrame, edges: DataFrame, min_size: int = 1) -> tuple[Data
     return fresh, topology(fresh, edges)[0].where(F.col("node_count") >= min_size)
 
 
-def community_markdown(nodes: DataFrame) -> DataFrame:
-    """(community, markdown): a title, the count, and a line for each symbol, in the order of labels."""
-    line = F.struct("label", F.concat(F.lit("- "), F.col("label"), F.lit(" ("), F.col("kind"), F.lit(") "), F.col("file_path")).alias("l"))
-    groups = nodes.where(F.col("community").isNotNull()).groupBy("community").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(line)).alias("ls"))
-    return groups.select("community", F.concat(F.lit("# Galaxy "), F.col("community").cast("string"), F.lit("\n\n"), F.col("n").cast("string"), F.lit(" symbols\n\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("markdown"))
+def community_markdown(nodes: DataFrame, part: int = 1000) -> DataFrame:
+    """(community, part, markdown): a title, the count, and a line for each symbol in the order of labels, ``part`` lines a row."""
+    own = nodes.where(F.col("community").isNotNull())
+    place = F.row_number().over(Window.partitionBy("community").orderBy("label", "id")) - 1
+    text = F.concat(F.lit("- "), F.col("label"), F.lit(" ("), F.col("kind"), F.lit(") "), F.col("file_path"))
+    lines = own.select("community", "id", "label", place.alias("r"), text.alias("l")).withColumn("part", F.floor(F.col("r") / part))
+    parts = lines.groupBy("community", "part").agg(F.sort_array(F.collect_list(F.struct("r", "l"))).alias("ls"))
+    sizes = own.groupBy("community").agg(F.count("*").alias("n"))
+    head = F.concat(F.lit("# Galaxy "), F.col("community").cast("string"), F.lit("\n\n"), F.col("n").cast("string"), F.lit(" symbols\n\n"))
+    return parts.join(sizes, "community").select("community", "part", F.concat(head, F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("markdown"))
 
 
 def report(df: DataFrame, samples: str = "samples", n: int = 4) -> DataFrame:

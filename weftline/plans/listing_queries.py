@@ -129,7 +129,7 @@ def read_policy(spark, d):
     return docs.select("doc_id", listings.may_read(F.lit("a.md"), F.col("n_chars") / 10, since).alias("allowed"))
 
 
-@query(_G + ", g as (select community, count(*) as n, string_agg('- ' || label || ' (' || kind || ') ' || file_path, chr(10) order by label) as l from nodes group by community) select community, '# Galaxy ' || community || chr(10) || chr(10) || n || ' symbols' || chr(10) || chr(10) || l as markdown from g")
+@query(_G + ", g as (select community, count(*) as n, string_agg('- ' || label || ' (' || kind || ') ' || file_path, chr(10) order by label, id) as l from nodes group by community) select community, 0::bigint as part, '# Galaxy ' || community || chr(10) || chr(10) || n || ' symbols' || chr(10) || chr(10) || l as markdown from g")
 def community_markdown(spark, d):
     return listings.community_markdown(trade_nodes(spark, d))
 

@@ -89,6 +89,13 @@ def worktree_meta(pointers: DataFrame) -> DataFrame:
     )
 
 
+def parent_worktrees(gitdirs: DataFrame, existing: DataFrame) -> DataFrame:
+    """(worktree_name, root_path, branch) of a parent's worktree entries (path, gitdir, head) whose root still exists."""
+    root = F.regexp_replace(F.trim("gitdir"), r"/\.git/?$", "")
+    named = gitdirs.select(F.regexp_extract("path", r"/worktrees/([^/]+)/", 1).alias("worktree_name"), root.alias("root_path"), F.nullif(F.regexp_extract("head", r"ref:\s*refs/heads/(\S+)", 1), F.lit("")).alias("branch"))
+    return named.join(existing.select(F.col("path").alias("root_path")), "root_path", "left_semi")
+
+
 def resolve_root(candidates: DataFrame, samples: DataFrame, existing: DataFrame) -> DataFrame:
     """(workspace, root): the first candidate (workspace, root, preference) under which a sample file exists, else the first existing one."""
     files = existing.select(F.col("path").alias("_p")).distinct()

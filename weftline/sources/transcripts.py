@@ -40,6 +40,16 @@ def read_location(spark: SparkSession, path: str, provider: str, runtime_mode: s
     return out.withColumns({"provider": F.lit(provider), "runtime_mode": F.lit(runtime_mode), "priority": F.lit(priority)})
 
 
+def existing(spark: SparkSession, locations: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """The locations whose folder exists, each path once."""
+    jvm, out = spark.sparkContext._jvm, {}
+    for place in locations:
+        path = jvm.org.apache.hadoop.fs.Path(place[0])
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            out.setdefault(place[0], place)
+    return list(out.values())
+
+
 def read_all(spark: SparkSession, locations: list[tuple[str, str, str]], prefer_full: bool = False) -> DataFrame:
     """Steps of all (path, provider, runtime_mode) locations; a session found in several is taken from the first."""
     seen = list(dict.fromkeys(locations))
