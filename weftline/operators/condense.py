@@ -54,7 +54,9 @@ def condense(nodes: DataFrame, edges: DataFrame, symbol: str, hops: int = 1) ->
     touching = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").unionByName(edges.join(ids.withColumnRenamed("id", "target"), "target", "left_semi")).select("source", "type", "target").distinct()
     line = F.concat(F.lit("- "), F.col("source"), F.lit(" "), F.col("type"), F.lit(" "), F.col("target"), F.lit("\n"))
     head = "## Relations\n"
-    room = budget_prefix(touching.withColumn("line", line), ["source", "type", "target"], F.octet_length("line"), TOTAL_BUDGET - SYMBOL_BUDGET - len(head) - 64)
+    # a line has eight bytes at least, so no more than these can fit; a hub's edges are not gathered
+    first = touching.orderBy("source", "type", "target").limit(TOTAL_BUDGET // 8)
+    room = budget_prefix(first.withColumn("line", line), ["source", "type", "target"], F.octet_length("line"), TOTAL_BUDGET - SYMBOL_BUDGET - len(head) - 64)
     relations = room.agg(F.sort_array(F.collect_list(F.struct("source", "type", "target", "line"))).alias("r"), F.count("*").alias("shown"))
     total = touching.agg(F.count("*").alias("relations"))
     direct = edges.join(start.withColumnRenamed("id", "target"), "target").agg(F.sort_array(F.collect_list("source")).alias("callers")).crossJoin(edges.join(start.withColumnRenamed("id", "source"), "source").agg(F.sort_array(F.collect_list("target")).alias("callees")))

@@ -223,9 +223,18 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 15, seed
     return compact(labels)
 
 
+def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
+    """``df`` with numbers from 0 in the order of a column: counted within ranges, shifted by the ranges before."""
+    ranged = materialize(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    shift = ranged.groupBy("_p").count().select(F.col("_p").alias("_q"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_s"))
+    local = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    return ranged.withColumn("_r", local).join(shift, F.col("_p") == F.col("_q")).withColumn(out, F.col("_s") + F.col("_r")).drop("_p", "_q", "_s", "_r")
+
+
 def compact(labels: DataFrame) -> DataFrame:
     """(id, community): labels below 2^32 stay, new ones count on from the largest of those."""
-    kept = labels.where(F.col("label") < 1 << 32).agg(F.coalesce(F.max("label"), F.lit(-1)).alias("top"))
+    kept = labels.where(F.col("label") < 1 << 32).agg(F.coalesce(F.max("label") + 1, F.lit(0)).alias("next"))
     fresh = labels.where(F.col("label") >= 1 << 32).groupBy("label").agg(F.min("id").alias("first"))
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy("first"))).crossJoin(F.broadcast(kept)).select("label", (F.col("top") + F.col("n")).cast("int").alias("number"))
-    return labels.join(numbered, "label", "left").select("id", F.coalesce("number", F.col("label").cast("int")).alias("community"))
+    named = numbered(fresh, "first", "n").crossJoin(F.broadcast(kept)).select("label", (F.col("next") + F.col("n")).cast("int").alias("number"))
+    return labels.join(named, "label", "left").select("id", F.coalesce("number", F.col("label").cast("int")).alias("community"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.operators.condense import RELATIONS, SYMBOL_BUDGET, snippet, tokens
 from weftline.operators.graph import describe, neighbours
 from weftline.operators.vectors import top_k
 from weftline.session import materialize
-from pyspark.sql.window import Window
 
 
 def graph_context(nodes: DataFrame, edges: DataFrame, query: list[float], k: int = 5, workspace: str | None = None) -> DataFrame:
@@ -24,6 +24,8 @@ def graph_context(nodes: DataFrame, edges: DataFrame, query: list[float], k: int
     shown = nodes.join(near, "id").withColumn("seed", F.col("similarity").isNotNull())
     body = F.when(F.col("seed"), F.left("text", F.lit(300))).otherwise(snippet(F.col("text"), 300))
     entry = F.concat(F.lit("- "), F.col("label"), F.lit(" in "), F.col("file_path"), F.lit("\n"), body, F.lit("\n"))
+    # an entry has eight bytes at least, so no more than these can be shown; a hub's neighbours are not gathered
+    shown = shown.orderBy((~F.col("seed")).cast("int"), F.desc_nulls_last("similarity"), "id").limit(SYMBOL_BUDGET // 8 + 1)
     order = Window.orderBy((~F.col("seed")).cast("int"), F.desc_nulls_last("similarity"), "id")
     before = F.coalesce(F.sum(F.octet_length("entry")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = shown.select("id", "seed", "similarity", "community", entry.alias("entry")).withColumn("before", before).withColumn("place", F.row_number().over(order)).where(F.col("before") < SYMBOL_BUDGET)
