@@ -43,6 +43,8 @@ END_ID = 2
 HASH = 16
 #: Hashes of chunks that one task has sent already; older ones may be sent again.
 SENT = 200_000
+#: Pieces of text whose ids a worker keeps.
+CACHE = 800_000
 
 
 def _digest(data: bytes) -> bytes:
@@ -172,13 +174,13 @@ _BLOCKS = "key binary, kind string, doc_id long, n_tokens long, body binary"
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, spaced: bool, end: int) -> Iterator[pa.RecordBatch]:
-    enc, sent = encoder(path, spaced), {}
+    enc, sent, last = encoder(path, spaced, CACHE), {}, np.array([end], "<u4")
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        for a, b in in_slices(texts):
+        for a, b in in_slices(texts, 16_000_000):
             out = []
             for doc, got in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
-                whole, at, names = np.append(got, np.uint32(end)).astype("<u4"), 0, []
+                whole, at, names = np.append(got, last), 0, []
                 for stop in cuts(whole):
                     chunk, at = whole[at:stop], stop
                     name = _digest(chunk.tobytes())

@@ -90,22 +90,23 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, little-endian unsigned 32-bit."""
-        out, ids = [], self.known.__getitem__
+        done, ids = {}, self.known.__getitem__
         for text in texts:
-            out.append(np.frombuffer(b"".join(map(ids, self.pieces(text))), "<u4"))
-            if len(self.known) > self.cache:
-                self.known.clear()
-        return out
+            if text not in done:
+                done[text] = np.frombuffer(b"".join(map(ids, self.pieces(text))), "<u4")
+                if len(self.known) > self.cache:
+                    self.known.clear()
+        return [done[text] for text in texts]
 
 
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, cache: int = CACHE) -> Encoder:
     """One encoder for each Python worker and file."""
-    key = (path, spaced)
+    key = (path, spaced, cache)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, spaced)
+        _encoders[key] = Encoder(path, spaced, cache)
     return _encoders[key]
 
 
