@@ -13,6 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def get_spark(app: str = "weftline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that every operator here assumes: UTC, AQE, Arrow."""
     builder = SparkSession.builder.appName(app)
@@ -66,7 +69,13 @@ def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    # the table replaces the shuffles that made it, so their files go when it is written
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
