@@ -1,0 +1,17 @@
+"""Early release of shuffle files."""
+
+from __future__ import annotations
+
+import gc
+
+from pyspark.sql import SparkSession
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more.
+
+    The cleaner acts when the driver's JVM collects its garbage, which may be long
+    after a large shuffle has been written to its table.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

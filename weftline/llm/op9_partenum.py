@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.llm.cleaning import release
 from weftline.llm.graph import components
 from weftline.llm.shingles import PERCENT, fingerprints, linked, mix, shingle_sets
 from weftline.llm.tokens import in_slices
@@ -40,7 +41,9 @@ N2, K2 = 3, 1
 #: The step of the grid of bounds, the slack of parts, and the bits of a sketch.
 STEP, SLACK, SKETCH = 1.25, 0.15, 1024
 #: Signatures meant for one bucket, held by a task before it sends them, and read at once.
-BUCKET, FLUSH, PIECE = 2_000_000, 2_000_000, 4_000_000
+BUCKET, FLUSH, PIECE = 1_000_000, 1_000_000, 2_000_000
+#: Characters whose shingles are held at a time.
+SLICE = 1_000_000
 #: Members compared with one set, and members of a cell, at a time.
 FAN, CELL = 256, 2048
 #: Rounds in which components join their nearest ones, before the rest is compared in full.
@@ -141,7 +144,7 @@ _NODES = "doc_id long, node long, n long, sketch binary"
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = _texts(batch, 1)
-        for a, b in in_slices(texts):
+        for a, b in in_slices(texts, SLICE):
             found, sizes = shingle_sets(texts[a:b])
             marks = [r.tobytes() for r in sketches(found, sizes)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fingerprints(found, sizes).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())], ["doc_id", "node", "n", "sketch"])
@@ -185,7 +188,7 @@ def _sign(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
     sigs, nodes, held = [], [], 0
     for batch in batches:
         texts = _texts(batch, 0)
-        for a, b in in_slices(texts):
+        for a, b in in_slices(texts, SLICE):
             found, sizes = shingle_sets(texts[a:b])
             names = fingerprints(found, sizes)
             fresh = np.zeros(len(sizes), bool)
@@ -265,7 +268,7 @@ def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = _texts(batch, 4)
         keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-        for lo, hi in in_slices(texts):
+        for lo, hi in in_slices(texts, SLICE):
             found, sizes = shingle_sets(texts[lo:hi])
             names, ends = fingerprints(found, sizes).view(np.int64).tolist(), np.cumsum(sizes)
             left, right = [], []
@@ -293,7 +296,10 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     members = dealt.join(of, F.col("b") == F.col("_node")).select("a", "chunk", F.lit(1).alias("member"), F.col("b").alias("node"), "text")
     anchors = dealt.select("a", "chunk").distinct().join(of, F.col("a") == F.col("_node")).select("a", "chunk", F.lit(0).alias("member"), F.col("a").alias("node"), "text")
     rows = members.unionByName(anchors).repartition(width, "a", "chunk").sortWithinPartitions("a", "chunk", "member", "node")
-    return materialize(rows.mapInArrow(_verify_rows, "a long, b long").distinct(), "links")
+    links = materialize(rows.mapInArrow(_verify_rows, "a long, b long").distinct(), "links")
+    drop_scratch(dealt)
+    release(pairs.sparkSession)
+    return links
 
 
 def _compare_cells(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
@@ -385,23 +391,30 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     packed = rows.select("text").mapInArrow(lambda b: _sign(b, buckets), "bucket long, block binary")
     met = packed.repartition(width, "bucket").sortWithinPartitions("bucket")
     shared = materialize(met.mapInArrow(_meet, _SHARED), "shared")
+    release(spark)
 
     nodes = held.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     involved = shared.select("node").unionByName(shared.select(F.col("rep").alias("node"))).distinct()
     wanted = nodes.join(involved, "node", "left_semi").select(F.col("doc_id").alias("_id"), "node")
     texts = materialize(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text"), "texts")
+    release(spark)
 
     votes = shared.groupBy("node", "rep").count()
     best = votes.groupBy("node").agg(F.max(F.struct("count", "rep")).alias("m")).select(F.col("m.rep").alias("a"), F.col("node").alias("b"))
     links = _verify(best, texts)
     labels = materialize(components(links), "labels")
+    release(spark)
     tried = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tried")
     open_ = shared.select("sig", "node").unionByName(shared.select("sig", F.col("rep").alias("node")).distinct()).distinct()
     turn = 0
     while True:
         open_ = _open_groups(open_.select("sig", "node"), labels)
+        if not turn:
+            drop_scratch(shared)
+        release(spark)
         # components join their nearest ones first; what is apart after that is compared in full
         found = _candidates(open_, nodes, turn < ROUNDS)
+        release(spark)
         # groups without a candidate have none later, as components only grow
         open_ = open_.join(found.select("sig").distinct(), "sig", "left_semi")
         pairs = materialize(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -413,6 +426,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         links = links.unionByName(_verify(pairs, texts))
         labels = materialize(components(links), "labels")
+        release(spark)
         if full:
             break
         tried = tried.unionByName(pairs)
