@@ -153,3 +153,14 @@ def test_vectors(spark):
     odd = {r["vec_id"]: tuple(r)[1:] for r in got if r["vec_id"] is not None and r["vec_id"] >= 2000}
     assert odd[2000] == (0, 2000, True) and odd[2001] == (0, 2001, True) and odd[2004] == (1, 2004, True) and odd[2005] == (1, 2004, False)
     assert op6_nndescent.dedup_vectors(df.limit(0)).count() == 0
+
+
+def test_full_lists_link_outward(spark):
+    """Two groups of 12, cosine 0.96 within and 0.92 across: every list is full of links of its own group."""
+    data = []
+    for i in range(24):
+        v = [0.0] * 27
+        v[0], v[1 + i // 12], v[3 + i] = 0.92**0.5, 0.2, 0.2
+        data.append((i, v))
+    got = op6_nndescent.dedup_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [(i, 23, 0, i == 0) for i in range(24)]

@@ -4,9 +4,10 @@ Equal vectors are one node.  Neighbour lists start from the leaves of a forest
 of random hyperplanes, split evenly where a leaf is hot, and are refined by
 joining each node's neighbours with each other: who are close to the same node
 are likely close.  Links are pairs whose cosine, in double precision, reaches the
-threshold.  A list full of links is saturated; it is enlarged to the whole
-component that its links make: within a component every pair is compared, in
-cells of bounded size that return counts and no pairs.  The recall of links is
+threshold.  A list full of links is saturated: it may leave links out.  Nodes with
+such lists look for links outside the component that their links make, until there
+are none, and within a component every pair is compared, in cells of bounded size
+that return counts and no pairs.  The recall of links is
 audited on a fixed query set against all rows, and the descent goes on with more
 trees where it is too low.
 """
@@ -73,7 +74,7 @@ def _code(batches: Iterator[pa.RecordBatch], trees: list[int], depth: int) -> It
         raw = batch.column(2).to_pylist()
         for d in np.unique(dim):
             own = np.flatnonzero(dim == d)
-            x = np.frombuffer(b"".join(raw[i] for i in own), np.float64).reshape(len(own), -1).astype(np.float32)
+            x = np.frombuffer(b"".join(raw[i] for i in own), np.float32).reshape(len(own), -1)
             for tree in trees:
                 bits = (x @ _planes(tree, int(d))[:depth].T > 0).astype(np.int64)
                 leaf = bits @ (1 << np.arange(depth, dtype=np.int64))
@@ -103,21 +104,23 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int, most: int):
         yield current, list(zip(*rows, strict=True))
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nearest neighbours of each vector among those of its leaf, of (tree, dim, leaf, salt, node, vec) rows."""
+def _leaves(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.RecordBatch]:
+    """The nearest neighbours of each vector among those of its leaf in other groups, above ``floor``, of (tree, dim, leaf, salt, node, own, vec) rows."""
     left, right, cos, held = [], [], [], 0
     for _, columns in _groups(batches, 4, 4 * LEAF):
-        node, x = np.array(columns[4], np.int64), np.frombuffer(b"".join(columns[5]), np.float64).reshape(len(columns[4]), -1).astype(np.float32)
+        node, own, x = np.array(columns[4], np.int64), np.array(columns[5], np.int64), np.frombuffer(b"".join(columns[6]), np.float32).reshape(len(columns[4]), -1)
         if len(node) < 2:
             continue
         sim = x @ x.T
-        np.fill_diagonal(sim, -2)
+        sim[own[:, None] == own] = -2
         k = min(NEIGHBOURS, len(node) - 1)
         best = np.argpartition(-sim, k - 1, 1)[:, :k]
-        left.append(np.repeat(node, k))
-        right.append(node[best].ravel())
-        cos.append(np.take_along_axis(sim, best, 1).ravel())
-        held += len(node) * k
+        near = np.take_along_axis(sim, best, 1)
+        good = near > floor
+        left.append(np.repeat(node, good.sum(1)))
+        right.append(node[best][good])
+        cos.append(near[good])
+        held += int(good.sum())
         if held > 200_000:
             yield _rows(left, right, cos)
             left, right, cos, held = [], [], [], 0
@@ -153,27 +156,26 @@ def _best(pairs: DataFrame) -> DataFrame:
     return materialize(once.withColumn("_r", rank).filter(F.col("_r") <= NEIGHBOURS).drop("_r"), "lists")
 
 
-def _forest(nodes: DataFrame, trees: list[int], depth: int) -> DataFrame:
-    """Neighbours within the leaves of some trees."""
-    width = shuffle_width(nodes.sparkSession)
-    coded = materialize(nodes.select("node", "dim", "vec").mapInArrow(lambda b: _code(b, trees, depth), "tree int, dim int, leaf long, node long"), "leaves")
+def _forest(single: DataFrame, trees: list[int], depth: int, floor: float = -1.5) -> DataFrame:
+    """Neighbours above ``floor`` within the leaves of some trees, of (node, dim, own, vec) rows; rows of one ``own`` are no neighbours."""
+    width = shuffle_width(single.sparkSession)
+    coded = materialize(single.select("node", "dim", "vec").mapInArrow(lambda b: _code(b, trees, depth), "tree int, dim int, leaf long, node long"), "leaves")
     keys = ["tree", "dim", "leaf"]
     sizes = coded.groupBy(*keys).agg(F.ceil(F.count("*") / HOT_LEAF).alias("_salts"))
-    salted = coded.join(sizes, keys).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("_salts")))
-    with_vec = salted.select(*keys, "salt", F.col("node").alias("_n")).join(nodes.select("node", "vec"), F.col("_n") == F.col("node")).select(*keys, "salt", "node", "vec")
+    salted = coded.join(sizes, keys).withColumn("salt", F.pmod(F.xxhash64("tree", "node"), F.col("_salts")))
+    with_vec = salted.select(*keys, "salt", F.col("node").alias("_n")).join(single.select("node", "own", "vec"), F.col("_n") == F.col("node")).select(*keys, "salt", "node", "own", "vec")
     ordered = with_vec.repartition(width, *keys, "salt").sortWithinPartitions(*keys, "salt", "node")
-    return ordered.mapInArrow(_leaves, _PAIRS)
+    return ordered.mapInArrow(lambda b: _leaves(b, floor), _PAIRS)
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(v, np.float64).astype(np.float32).tobytes() for v in batch.column(1).to_pylist()], pa.binary())], ["node", "vec"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(0), pa.array([np.frombuffer(v, np.float64).astype(np.float32).tobytes() for v in batch.column(2).to_pylist()], pa.binary())], ["node", "dim", "own", "vec"])
 
 
-def _descend(lists: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+def _descend(lists: DataFrame, single: DataFrame, total: int) -> DataFrame:
     """Refine the lists by their neighbours' neighbours until they rest."""
-    width = shuffle_width(nodes.sparkSession)
-    single = materialize(nodes.select("node", "vec").mapInArrow(_single, "node long, vec binary"), "single")
+    width = shuffle_width(single.sparkSession)
     for _ in range(ROUNDS):
         worst = lists.groupBy("node").agg(F.min("cos").alias("worst"), F.count("*").alias("_k")).select("node", F.when(F.col("_k") < NEIGHBOURS, F.lit(-2.0)).otherwise(F.col("worst")).cast("float").alias("worst"))
         back = lists.select(F.col("nbr").alias("u"), F.col("node").alias("v"), "cos")
@@ -206,6 +208,35 @@ def _links(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return first.join(vec, F.col("b") == F.col("_n")).select("a", "b", "x", F.col("vec").alias("y")).mapInArrow(_cosines, "a long, b long")
 
 
+def _depth(rows: int) -> int:
+    """Planes of a tree that leave LEAF rows a leaf."""
+    return max(0, min(48, int(np.ceil(np.log2(max(1, rows / LEAF))))))
+
+
+def _outward(labels: DataFrame, lists: DataFrame, single: DataFrame, nodes: DataFrame, forest: int) -> DataFrame:
+    """``labels`` after the links that full lists leave out have joined their components.
+
+    A link is in neither end's list only where both are full of nearer links.  The
+    nodes of such lists look for links outside their own components, in new trees,
+    until a forest of them finds none.
+    """
+    full = lists.groupBy("node").agg(F.min("cos").alias("_worst"), F.count("*").alias("_k")).filter((F.col("_k") >= NEIGHBOURS) & (F.col("_worst") >= THRESHOLD - _SLACK)).select(F.col("node").alias("_f"))
+    dense = materialize(single.join(full, F.col("node") == F.col("_f")).select("node", "dim", "vec"), "dense")
+    rows = dense.count()
+    depth, first = _depth(rows), (forest + 1) * 100_000
+    while rows:
+        of = labels.select(F.col("node").alias("_o"), "component")
+        inside = materialize(dense.join(of, F.col("node") == F.col("_o"), "left").select("node", "dim", F.coalesce("component", "node").alias("own"), "vec"), "inside")
+        pairs = _forest(inside, list(range(first, first + TREES)), depth, THRESHOLD - _SLACK)
+        found = materialize(_links(pairs, nodes), "outward")
+        drop_scratch(inside)
+        if found.isEmpty():
+            break
+        labels = components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        first += TREES
+    return labels
+
+
 def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many rows each member of a cell links with, of (component, lower, upper, own, node, copies, vec) rows by cell."""
     for key, columns in _groups(batches, 3, 2 * CELL + 1):
@@ -276,13 +307,14 @@ def dedup_vectors(vectors: DataFrame) -> DataFrame:
     held = materialize(read, "vectors")
     nodes = materialize(held.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("vec").alias("vec")), "nodes")
     total = nodes.count()
-    depth = max(1, min(48, int(np.ceil(np.log2(max(2, total / LEAF))))))
+    single = materialize(nodes.select("node", "dim", "vec").mapInArrow(_single, "node long, dim int, own long, vec binary"), "single")
+    depth = max(1, _depth(total))
     lists, labels = None, None
     for forest in range(1 + FORESTS):
         trees = list(range(forest * TREES, (forest + 1) * TREES))
-        pairs = _forest(nodes, trees, depth)
-        lists = _descend(_best(pairs if lists is None else lists.unionByName(pairs)), nodes, total)
-        labels = components(_links(lists, nodes))
+        pairs = _forest(single, trees, depth)
+        lists = _descend(_best(pairs if lists is None else lists.unionByName(pairs)), single, total)
+        labels = _outward(components(_links(lists, nodes)), lists, single, nodes, forest)
         if audit(nodes, labels) >= RECALL:
             break
     links = materialize(_enlarge(labels, nodes), "links")
