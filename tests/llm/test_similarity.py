@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -164,3 +165,28 @@ def test_full_lists_link_outward(spark):
         data.append((i, v))
     got = op6_nndescent.dedup_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
     assert sorted(map(tuple, got)) == [(i, 23, 0, i == 0) for i in range(24)]
+
+
+def test_trees_follow_depth():
+    for total in (2_000, 10**5, 10**6, 10**7, 10**9):
+        depth = max(1, op6_nndescent._depth(total))
+        apart = 1 - (1 - np.arccos(op6_nndescent.THRESHOLD) / np.pi) ** depth
+        assert 1 - apart ** op6_nndescent._trees(depth) >= op6_nndescent.RECALL
+
+
+def test_audit_asks_until_it_sees_links(spark):
+    """One linked pair among 3,000 vectors, in no component: the audit has to see it."""
+    x = np.random.default_rng(8).standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[2999] = x[2998]
+    nodes = spark.createDataFrame([(i, 1, 64, v.tobytes()) for i, v in enumerate(x)], "node long, copies long, dim int, vec binary")
+    labels = lambda rows: spark.createDataFrame(rows, "node long, component long")
+    assert op6_nndescent.audit(nodes, labels([])) == 0.0
+    assert op6_nndescent.audit(nodes, labels([(2998, 2998), (2999, 2998)])) == 1.0
+
+
+def test_low_recall_is_not_accepted(spark, monkeypatch):
+    monkeypatch.setattr(op6_nndescent, "audit", lambda nodes, labels: 0.5)
+    df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(4)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall"):
+        op6_nndescent.dedup_vectors(df)

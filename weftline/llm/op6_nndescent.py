@@ -7,9 +7,10 @@ are likely close.  Links are pairs whose cosine, in double precision, reaches th
 threshold.  A list full of links is saturated: it may leave links out.  Nodes with
 such lists look for links outside the component that their links make, until there
 are none, and within a component every pair is compared, in cells of bounded size
-that return counts and no pairs.  The recall of links is
-audited on a fixed query set against all rows, and the descent goes on with more
-trees where it is too low.
+that return counts and no pairs.  Trees grow with their depth, so that a pair at the
+threshold shares a leaf as likely at any size.  The recall of links is audited on a
+query set that grows with the input, against all rows; the descent goes on with more
+trees where it is too low, and fails where it stays so.
 """
 
 from __future__ import annotations
@@ -26,14 +27,16 @@ from weftline.llm.graph import components
 from weftline.session import drop_scratch, materialize, shuffle_width
 
 THRESHOLD = 0.9
-#: Neighbours of a list, trees at first, vectors of a leaf, rounds of descent at most.
+#: Neighbours of a list, trees of a forest at least, vectors of a leaf, rounds of descent at most.
 NEIGHBOURS, TREES, LEAF, ROUNDS = 10, 8, 128, 3
 #: Share of changed list entries below which the descent ends.
 STILL = 0.02
 #: Rows of a leaf above which it is split by salt; members of a cell.
 HOT_LEAF, CELL = 1024, 512
-#: The audit: vectors asked, recall wanted, further forests at most.
+#: The audit: vectors asked at first, recall wanted, further forests at most.
 AUDIT, RECALL, FORESTS = 512, 0.95, 3
+#: The audit ends with so many vectors that have links, or a share of all vectors (of at least so many) asked; vectors a scan at most, and compared at once.
+LINKED, SHARE, ASKED, SCAN, SLICE = 256, 1 / 20, 4096, 4096, 256
 
 _SLACK = 1e-3  # single precision proposes, double precision decides
 
@@ -213,6 +216,12 @@ def _depth(rows: int) -> int:
     return max(0, min(48, int(np.ceil(np.log2(max(1, rows / LEAF))))))
 
 
+def _trees(depth: int) -> int:
+    """Trees in some leaf of which two vectors at the threshold meet, with a probability of RECALL."""
+    meet = (1 - np.arccos(THRESHOLD) / np.pi) ** depth
+    return TREES if meet == 1 else max(TREES, int(np.ceil(np.log(1 - RECALL) / np.log1p(-meet))))
+
+
 def _outward(labels: DataFrame, lists: DataFrame, single: DataFrame, nodes: DataFrame, forest: int) -> DataFrame:
     """``labels`` after the links that full lists leave out have joined their components.
 
@@ -224,16 +233,20 @@ def _outward(labels: DataFrame, lists: DataFrame, single: DataFrame, nodes: Data
     dense = materialize(single.join(full, F.col("node") == F.col("_f")).select("node", "dim", "vec"), "dense")
     rows = dense.count()
     depth, first = _depth(rows), (forest + 1) * 100_000
+    many = _trees(depth)
     while rows:
         of = labels.select(F.col("node").alias("_o"), "component")
         inside = materialize(dense.join(of, F.col("node") == F.col("_o"), "left").select("node", "dim", F.coalesce("component", "node").alias("own"), "vec"), "inside")
-        pairs = _forest(inside, list(range(first, first + TREES)), depth, THRESHOLD - _SLACK)
+        pairs = None
+        for at in range(first, first + many, TREES):  # so many trees at once as disk holds
+            some = materialize(_forest(inside, list(range(at, min(at + TREES, first + many))), depth, THRESHOLD - _SLACK), "pairs")
+            pairs = some if pairs is None else pairs.unionByName(some)
         found = materialize(_links(pairs, nodes), "outward")
         drop_scratch(inside)
         if found.isEmpty():
             break
         labels = components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        first += TREES
+        first += many
     return labels
 
 
@@ -265,34 +278,51 @@ def _enlarge(labels: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _asked(batches: Iterator[pa.RecordBatch], queries) -> Iterator[pa.RecordBatch]:
-    """(query, node) pairs that link, of all vectors against the query set."""
-    names, dims, raw = queries.value
+    """(query, links, met) of a query set against all vectors: its links, and those with both ends in one component."""
+    names, dims, homes, raw = queries.value
     for batch in batches:
-        node, dim, vec = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        node, dim, vec, home = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_numpy()
         for d in np.unique(dim):
             own, mine = np.flatnonzero(dim == d), np.flatnonzero(dims == d)
             if not len(mine):
                 continue
             x = np.frombuffer(b"".join(vec[i] for i in own), np.float64).reshape(len(own), -1)
             q = np.frombuffer(b"".join(raw[i] for i in mine), np.float64).reshape(len(mine), -1)
-            i, j = np.nonzero(x @ q.T >= THRESHOLD)
-            yield pa.RecordBatch.from_arrays([pa.array(names[mine][j]), pa.array(node[own][i])], ["query", "node"])
+            for at in range(0, len(mine), SLICE):
+                some = mine[at : at + SLICE]
+                hit = (x @ q[at : at + SLICE].T >= THRESHOLD) & (node[own][:, None] != names[some])
+                links, met = hit.sum(0), (hit & (home[own][:, None] == homes[some])).sum(0)
+                has = links > 0
+                yield pa.RecordBatch.from_arrays([pa.array(names[some][has]), pa.array(links[has], pa.int64()), pa.array(met[has], pa.int64())], ["query", "links", "met"])
 
 
 def audit(nodes: DataFrame, labels: DataFrame) -> float:
     """The share of the links of a query set, found by comparing it with all rows, whose ends are in one component.
 
-    The queries are the AUDIT nodes of the smallest hashes among all nodes.
+    Links are counted over whole components, so such a link is counted.  The set is
+    drawn by hashes and grows until LINKED of its vectors have links or SHARE of all
+    are asked.  Of the shares over links and over vectors with links the smaller
+    counts; 1 where none has a link.
     """
     spark = nodes.sparkSession
-    picked = nodes.orderBy(F.xxhash64(F.lit("audit"), "node"), "node").limit(AUDIT).select("node", "dim", "vec").collect()
-    names, dims = np.array([r["node"] for r in picked], np.int64), np.array([r["dim"] for r in picked], np.int64)
-    sent = spark.sparkContext.broadcast((names, dims, [bytes(r["vec"]) for r in picked]))  # AUDIT vectors at most
-    hits = nodes.select("node", "dim", "vec").mapInArrow(lambda b: _asked(b, sent), "query long, node long").filter("query != node")
-    of = lambda key: labels.select(F.col("node").alias(f"_{key}"), F.col("component").alias(f"c_{key}"))
-    named = hits.join(of("q"), F.col("query") == F.col("_q"), "left").join(of("n"), F.col("node") == F.col("_n"), "left")
-    row = named.agg(F.count("*"), F.count_if(F.col("c_q") == F.col("c_n"))).first()
-    return row[1] / row[0] if row[0] else 1.0
+    total = nodes.count()
+    of = labels.select(F.col("node").alias("_o"), "component")
+    placed = nodes.join(of, F.col("node") == F.col("_o"), "left").select("node", "dim", "vec", F.coalesce("component", "node").alias("home"))
+    buckets = max(1, round(total / AUDIT))
+    last = min(buckets, int(np.ceil(max(ASKED, SHARE * total) / AUDIT)))
+    drawn = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(buckets))
+    at, width, seen, links, met, shares = 0, 1, 0, 0, 0, 0.0
+    while at < last and seen < LINKED:
+        picked = placed.filter((drawn >= at) & (drawn < min(at + width, last))).collect()  # SCAN vectors, but for chance
+        names, dims, homes = (np.array([r[c] for r in picked], np.int64) for c in ("node", "dim", "home"))
+        sent = spark.sparkContext.broadcast((names, dims, homes, [bytes(r["vec"]) for r in picked]))
+        counted = placed.mapInArrow(lambda b, sent=sent: _asked(b, sent), "query long, links long, met long").groupBy("query").agg(F.sum("links").alias("links"), F.sum("met").alias("met"))
+        row = counted.agg(F.count("*"), F.sum("links"), F.sum("met"), F.sum(F.col("met") / F.col("links"))).first()
+        sent.unpersist()
+        if row[0]:
+            seen, links, met, shares = seen + row[0], links + row[1], met + row[2], shares + row[3]
+        at, width = at + width, min(2 * width, max(1, SCAN // AUDIT))
+    return min(met / links, shares / seen) if seen else 1.0
 
 
 def dedup_vectors(vectors: DataFrame) -> DataFrame:
@@ -309,14 +339,21 @@ def dedup_vectors(vectors: DataFrame) -> DataFrame:
     total = nodes.count()
     single = materialize(nodes.select("node", "dim", "vec").mapInArrow(_single, "node long, dim int, own long, vec binary"), "single")
     depth = max(1, _depth(total))
-    lists, labels = None, None
+    lists, labels, many = None, None, _trees(depth)
     for forest in range(1 + FORESTS):
-        trees = list(range(forest * TREES, (forest + 1) * TREES))
-        pairs = _forest(single, trees, depth)
-        lists = _descend(_best(pairs if lists is None else lists.unionByName(pairs)), single, total)
+        for at in range(forest * many, (forest + 1) * many, TREES):  # so many trees at once as disk holds
+            pairs = _forest(single, list(range(at, min(at + TREES, (forest + 1) * many))), depth)
+            better = _best(pairs if lists is None else lists.unionByName(pairs))
+            if lists is not None:
+                drop_scratch(lists)
+            lists = better
+        lists = _descend(lists, single, total)
         labels = _outward(components(_links(lists, nodes)), lists, single, nodes, forest)
-        if audit(nodes, labels) >= RECALL:
+        recall = audit(nodes, labels)
+        if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"recall of links {recall:.3f} after {1 + FORESTS} forests of {many} trees, {RECALL} wanted")
     links = materialize(_enlarge(labels, nodes), "links")
     named = held.select("vec_id", F.col("node").alias("_n"))
     info = nodes.select("node", "copies").join(links.withColumnRenamed("node", "_l"), F.col("node") == F.col("_l"), "left").join(labels.select(F.col("node").alias("_b"), "component"), F.col("node") == F.col("_b"), "left")
