@@ -1,5 +1,6 @@
 """Licences, quality rules, line dedup and quotation linking."""
 
+import random
 import re
 from collections import Counter
 
@@ -35,6 +36,22 @@ def test_every_notice_is_found(spark):
     assert all(label in got[i] for i, (label, _, _) in enumerate(op5_licenses.NOTICES))
 
 
+def test_every_notice_of_a_file_is_found(spark):
+    """Several notices in one file, behind each other: rare words of one take no votes from another."""
+    text = [t for _, _, t in op5_licenses.NOTICES]
+    whole = {label: t for label, _, t in op5_licenses.NOTICES}
+    rng, data = random.Random(9), []
+    for _ in range(40):
+        some = rng.sample(range(len(text)), rng.randint(2, 6))
+        data.append((len(data), "\n".join(text[i] for i in some), {op5_licenses.NOTICES[i][0] for i in some}))
+    data.append((len(data), "\n".join(text), set(whole)))
+    data.append((len(data), "Copyright 2020 X. All rights reserved.\n" + whole["bsd"], {"all-rights-reserved", "bsd"}))
+    data.append((len(data), "\n".join(whole[x] for x in ("apache-2.0", "mit", "mpl-2.0", "cc-by-nc")), {"apache-2.0", "mit", "mpl-2.0", "cc-by-nc"}))
+    docs = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string")
+    got = {r["doc_id"]: {x["label"] for x in r["found"]} for r in op5_licenses.scan(docs, ["doc_id"]).collect()}
+    assert all(want <= got[i] for i, _, want in data) and got[len(data) - 2] == data[-2][2]
+
+
 def quality_base(text):
     text = text or ""
     ws = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -1,11 +1,11 @@
 """License scans with a positional rare-token index.
 
-The index maps every licence word to its places in the notices below.  A file is
-reduced to the places of its licence words.  Its rarest ones, by document counts
-over the whole corpus, are looked up; each hit votes for a notice and the place
-where that notice would begin, and votes that agree are one alignment.  An
-alignment of two votes or more counts if the notice's key words stand at their
-places.  Beside that, the base phrases are found wherever their words stand in a
+A file is reduced to the places of its licence words.  The index maps the rarest
+key words of each notice below, by document counts over the whole corpus, to
+their places; each hit votes for a notice and the place where that notice would
+begin, and votes that agree are one alignment.  An alignment with the votes of all
+its notice's rarest words counts if the other key words stand at their places too,
+so every notice whose key phrase is there is found, whatever else is.  Beside that, the base phrases are found wherever their words stand in a
 row.  DataFrame expressions only; nothing but word counts is shuffled.
 """
 
@@ -48,7 +48,7 @@ NOTICES = [
 ]
 #: Function words are not in the index.
 PLAIN = {"a", "and", "any", "are", "as", "is", "in", "into", "it", "of", "or", "that", "the", "this", "to", "with"}
-#: Rarest distinct licence words of a file that are looked up, and the votes an alignment needs.
+#: The votes an alignment needs, one from each of so many rarest key words of its notice. ANCHORS is of the SQL alone, which looks up so many words a file.
 ANCHORS, VOTES = 8, 2
 
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -113,18 +113,16 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     seen = {r["w"]: r["count"] for r in counts.collect()}  # a row a word of the vocabulary at most
     total = held.count()
     idf = {w: math.log((total + 1) / (seen.get(w, 0) + 1)) for w in VOCABULARY}
-    rank = {w: i for i, w in enumerate(sorted(VOCABULARY, key=lambda w: (-idf[w], w)))}
+    rarest = [(t, p, w) for t, (_, _, key) in enumerate(TEMPLATES) for p, w in sorted(key, key=lambda k: (-idf[k[1]], k))[:VOTES]]
 
-    ranks = F.create_map(*[F.lit(x) for w in VOCABULARY for x in (w, rank[w])])
-    postings = F.expr("map(" + ",".join(f"'{w}',array(" + ",".join(f"named_struct('t',{t},'p',{p})" for t, (_, terms, _) in enumerate(TEMPLATES) for p, x in terms if x == w) + ")" for w in VOCABULARY if any(x == w for _, terms, _ in TEMPLATES for _, x in terms)) + ")")
+    anchors = sorted({w for _, _, w in rarest})
+    postings = F.expr("map(" + ",".join(f"'{w}',array(" + ",".join(f"named_struct('t',{t},'p',{p})" for t, p, x in rarest if x == w) + ")" for w in anchors) + ")")
     labels = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
     bodies = F.expr("array(" + ",".join(_struct_array(terms) for _, terms, _ in TEMPLATES) + ")")
     keys = F.expr("array(" + ",".join(_struct_array(key) for _, _, key in TEMPLATES) + ")")
 
     col = F.col("hits")
-    distinct = F.array_distinct(F.transform(col, lambda h: h["w"]))
-    anchors = F.transform(F.slice(F.array_sort(F.transform(distinct, lambda w: F.struct(ranks[w].alias("r"), w.alias("w")))), 1, ANCHORS), lambda x: x["w"])
-    cast_votes = let(anchors, lambda a: F.array_sort(F.flatten(F.transform(F.filter(col, lambda h: F.array_contains(a, h["w"])), lambda h: F.transform(F.coalesce(postings[h["w"]], F.expr("cast(array() as array<struct<t:int,p:int>>)")), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("o")))))))
+    cast_votes = F.array_sort(F.flatten(F.transform(F.filter(col, lambda h: h["w"].isin(anchors)), lambda h: F.transform(postings[h["w"]], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("o"))))))
     # equal votes are neighbours: a vote that ends a run of two or more is an alignment
     runs = let(cast_votes, lambda v: F.filter(F.transform(v, lambda x, i: F.when((x == F.get(v, i - 1)) & ~(x.eqNullSafe(F.get(v, i + 1))), x)), lambda x: x.isNotNull()))
     at = lambda a, k: F.struct((a["o"] + k["p"]).alias("i"), k["w"].alias("w"))
