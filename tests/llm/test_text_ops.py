@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 from weftline.llm import op5_licenses, op7_quality, op8_lines, op10_quotes
 
@@ -128,6 +129,20 @@ def test_lines_against_sql(spark):
     assert Counter(tuple(r) for r in op8_lines.dedup_lines(spark.read.parquet(path)).collect()) == want
 
 
+def test_passages_on_one_or_two_lines(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    one, two = words("a", 51), words("b", 30) + "\n" + words("c", 30)
+    data = [
+        (1, f"x\n{one}\ny\nz"), (2, f"p\nq\n  {one}\nr"), (3, f"s\n{two}\nt"), (4, f"u\nv\n{two}"), (5, one), (6, two), (7, "k\nshort"), (8, "k\nshort"), (9, "k\nshort\nmore"),
+        (10, words("d", 50) + "\n1\n2"), (11, words("d", 50) + "\n3\n4"), (12, f"e\n{words('f', 60)}\ng\n{words('f', 60)}"), (13, None), (14, "same"), (15, "same"), (16, "same\nother"),
+    ]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in op8_lines.clean(docs, passages=True).collect()}
+    changed = {2: "p\nq\nr", 4: "u\nv", 5: "", 6: "", 8: "", 12: f"e\n{words('f', 60)}\ng", 15: ""}
+    assert got == dict(data) | changed
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, "").collect()} == got
+
+
 TALK = "conv_id long, turn long, role string, text string"
 
 

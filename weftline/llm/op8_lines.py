@@ -6,6 +6,10 @@ occurrence covers its three lines, and the lines covered by any are removed.  A
 later occurrence that overlaps the first one in its own document covers only the
 lines behind it.  Texts of fewer than three such lines have no window and stay.
 
+With ``passages``, what stands on one or two lines counts too: a line, or two
+consecutive ones, of more than LONG words, and the whole of a text of fewer than
+three lines.
+
 Only (hash, document, place) rows are shuffled for the counts, with partial
 minima before the shuffle, and windows that occur once never reach the join.
 DataFrame expressions only.
@@ -16,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.columns import SPACE_CHARS, let
+from weftline.llm.columns import SPACE_CHARS, SPACE_RUN, let
 from weftline.session import materialize
 
 SPAN = 3
+#: Words above which one or two lines are a passage.
+LONG = 50
 
 
 def _bare(line: Column) -> Column:
@@ -44,7 +50,28 @@ def window_hashes(text: Column) -> Column:
     return let(filled(text), hashes)
 
 
-def covered_lines(docs: DataFrame) -> DataFrame:
+def passage_hashes(text: Column) -> Column:
+    """A pair of 64-bit hashes, place and number of lines of each passage of fewer lines than a window."""
+
+    def hashes(found: Column) -> Column:
+        lines = F.size(found)
+
+        def spans(n: int) -> Column:
+            own = lambda i: [F.get(found, i + k)["line"] for k in range(n)]
+            words = lambda i: sum((F.size(F.split(x, SPACE_RUN)) for x in own(i)), F.lit(0))
+            size = lambda i: sum((F.length(x) for x in own(i)), F.lit(0))
+            long = lambda i: (size(i) > 2 * LONG - n) & (words(i) > LONG)  # noqa: E731  words have a letter and, in a line, a blank between
+            # a whole text has hashes of its own where its words are no passage
+            one = lambda i, seed, at: F.struct(F.xxhash64(F.lit(seed), *own(i)).alias("h"), F.xxhash64(F.lit(seed + 1), *own(i)).alias("g"), at.alias("at"), F.lit(n).alias("n"))
+            each = F.transform(F.sequence(F.lit(0), lines - n), lambda i: F.when(long(i), one(i, 3, i)).when(lines == n, one(i, 5, i)))
+            return F.when(lines < n, F.array().cast("array<struct<h:bigint,g:bigint,at:int,n:int>>")).otherwise(F.filter(each, lambda x: x.isNotNull()))
+
+        return F.concat(*[spans(n) for n in range(1, SPAN)])
+
+    return let(filled(text), hashes)
+
+
+def covered_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
     """(_id, _mark, places): the filled lines to remove of every document that has any, by their number.
 
     A document is known by doc_id and the hash of its text; rows that agree in both
@@ -52,14 +79,18 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_mark"), window_hashes(F.col("text")).alias("_w"))
     spread = keyed.filter(F.size("_w") > 0).select("_id", "_mark", F.posexplode("_w").alias("at", "w"))
-    windows = materialize(spread.select("w.h", "w.g", "_id", "_mark", "at"), "windows")
+    rows = spread.select("w.h", "w.g", "_id", "_mark", "at", F.lit(SPAN).alias("n"))
+    if passages:
+        short = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_mark"), F.explode(passage_hashes(F.col("text"))).alias("w"))
+        rows = rows.unionByName(short.select("w.h", "w.g", "_id", "_mark", "w.at", "w.n"))
+    windows = materialize(rows, "windows")
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_mark").alias("mark"), F.col("at").alias("at"))
     firsts = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = firsts.filter(F.col("first") != F.col("last")).select("h", "g", "first")
     later = windows.join(repeated, ["h", "g"]).filter(place != F.col("first"))
     same = F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_mark") == F.col("first.mark"))
-    start = F.when(same, F.greatest(F.col("at"), F.col("first.at") + SPAN)).otherwise(F.col("at"))
-    lines = later.select("_id", "_mark", F.explode(F.filter(F.array(*[F.col("at") + i for i in range(SPAN)]), lambda x: x >= start)).alias("line"))
+    start = F.when(same, F.greatest(F.col("at"), F.col("first.at") + F.col("n"))).otherwise(F.col("at"))
+    lines = later.select("_id", "_mark", F.explode(F.filter(F.sequence("at", F.col("at") + F.col("n") - 1), lambda x: x >= start)).alias("line"))
     return lines.groupBy("_id", "_mark").agg(F.array_sort(F.collect_set("line")).alias("places"))
 
 
@@ -74,13 +105,13 @@ def _without(text: Column, places: Column) -> Column:
     return let(F.struct(filled(text).alias("found"), places.alias("places")), keep)
 
 
-def clean(docs: DataFrame, count_as: str | None = None) -> DataFrame:
+def clean(docs: DataFrame, count_as: str | None = None, passages: bool = False) -> DataFrame:
     """``docs`` with repeated passages removed; ``count_as`` names a column for the number of removed lines.
 
     ``n_chars`` follows the text where there is such a column.  A text that loses all
     its lines is empty; the row stays.  Null texts stay null.
     """
-    gone = covered_lines(docs).select(F.col("_id").alias("__wf_id"), F.col("_mark").alias("__wf_gone"), F.col("places").alias("__wf_places"))
+    gone = covered_lines(docs, passages).select(F.col("_id").alias("__wf_id"), F.col("_mark").alias("__wf_gone"), F.col("places").alias("__wf_places"))
     marked = docs.select("*", F.xxhash64("text").alias("__wf_mark"))
     joined = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__wf_id")) & (F.col("__wf_mark") == F.col("__wf_gone")), "left")
     places = F.col("__wf_places")
@@ -90,7 +121,7 @@ def clean(docs: DataFrame, count_as: str | None = None) -> DataFrame:
     return out.select(*docs.columns, *([F.coalesce(F.size(places), F.lit(0)).cast("long").alias(count_as)] if count_as else []))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
     """doc_id, n_lines (with a word, before), n_removed and the text that is left, for every row of ``docs``.
 
     Nulls: a null text has no lines and stays null; a null doc_id counts as the last
@@ -98,7 +129,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     no rows.  Of ``docs`` only doc_id and text are read.
     """
     counted = docs.select("doc_id", "text", F.size(filled(F.col("text"))).cast("long").alias("n_lines"))
-    return clean(counted, "n_removed").select("doc_id", "n_lines", "n_removed", "text")
+    return clean(counted, "n_removed", passages).select("doc_id", "n_lines", "n_removed", "text")
 
 
 ORACLE_SQL = r"""

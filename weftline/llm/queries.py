@@ -48,6 +48,10 @@ def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_lines.dedup_lines(_documents(spark, sf_dir))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_lines.dedup_lines(_documents(spark, sf_dir), passages=True)
+
+
 def op9_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_partenum.component_ids(_documents(spark, sf_dir))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_nn_descent,
         op7_divergence_rules,
         op8_line_windows,
+        op8_passages,
         op9_partenum_join,
         op10_quote_threads,
     )
