@@ -57,6 +57,13 @@ def json_properties(spark, d):
     return parsing.json(f)[0].where("kind = 'property'").select("id", "label", "kind")
 
 
+@query("""select 'ws:' || event_id || '.json:k' as id, 'k' as label, 'property' as kind from events where json_extract_string(props, '$.k') is not null""")
+def json_properties_all(spark, d):
+    """json_properties over every event."""
+    f = table(spark, d, "events").select(F.lit("ws").alias("workspace"), F.concat(F.col("event_id").cast("string"), F.lit(".json")).alias("file_path"), F.col("props").alias("content"))
+    return parsing.json(f)[0].where("kind = 'property'").select("id", "label", "kind")
+
+
 @query("""select doc_id, length(text) > 50 and not contains(text, 'a/b') as admitted from (select doc_id, text from documents) """)
 def file_admission(spark, d):
     from weftline.sources.files import admissible
