@@ -16,3 +16,13 @@ def run(spark, name, sf=SF):
 def test_json_of_every_event(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").where(F.get_json_object("props", "$.k").isNotNull())
     assert run(spark, "json_properties_all").count() == events.count() > 2000
+
+
+def test_headings_of_every_line(spark):
+    lines = run(spark, "heading_sections_all").agg(F.max("line"), F.count_if(F.col("line") > 20)).first()
+    assert lines[0] > 20 and lines[1] > 900
+
+
+def test_prompts_of_whole_texts(spark):
+    rows = run(spark, "user_prompts_all").join(spark.read.parquet(f"{SF}/conversations.parquet"), ["conv_id", "turn"])
+    assert rows.where(F.length("text") > 50).count() == rows.where(F.length("prompt") > 50).count() > 4000

@@ -55,6 +55,13 @@ def user_prompts(spark, d):
     return c.select("conv_id", "turn", T.user_prompt(tagged).alias("prompt"))
 
 
+@query(r"""select conv_id, turn, case when turn % 2 = 0 or length(x) <= 2000 then x else left(x, 2000) || '...' end as prompt from (select conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') as x from conversations)""")
+def user_prompts_all(spark, d):
+    """user_prompts over whole texts."""
+    tagged = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<USER_REQUEST>\n"), F.col("text"), F.lit("\n</USER_REQUEST> more"))).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.user_prompt(tagged).alias("prompt"))
+
+
 @query("select item_id, regexp_replace(text, '(the)', '<mark>\\1</mark>', 'gi') as marked from benchmark")
 def highlight(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.highlight(F.col("text"), "the").alias("marked"))

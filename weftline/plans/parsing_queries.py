@@ -43,6 +43,17 @@ def heading_sections(spark, d):
     return heads.select(F.regexp_extract("file_path", r"(\d+)\.txt", 1).cast("long").alias("doc_id"), "line", "level", "label")
 
 
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as n from documents)
+select doc_id, n::int as line, case when n % 5 = 0 then 2 else 1 end as level, trim(regexp_replace(trim(x), '^[*_`]+|[*_`]+$', '', 'g')) as label from l where (n = 1 or n % 5 = 0) and trim(x) <> '' and not starts_with(trim(x), '#') and not starts_with(trim(x), '```') and trim(regexp_replace(trim(x), '^[*_`]+|[*_`]+$', '', 'g')) <> ''""")
+def heading_sections_all(spark, d):
+    """heading_sections over all lines of every document."""
+    f = files(spark, d)
+    lines = F.split("content", "\n")
+    marked = F.transform(lines, lambda x, i: F.when((F.trim(x) == "") | F.startswith(F.trim(x), F.lit("#")), F.lit("")).when((i + 1) % 5 == 0, F.concat(F.lit("## "), x)).when(i == 0, F.concat(F.lit("# "), x)).otherwise(F.lit("")))
+    heads = parsing.headings(f.withColumn("content", F.array_join(marked, "\n")))
+    return heads.select(F.regexp_extract("file_path", r"(\d+)\.txt", 1).cast("long").alias("doc_id"), "line", "level", "label")
+
+
 @query("""with f as (select p_partkey as k, 'CREATE TABLE IF NOT EXISTS t' || p_partkey || ' (a int);' || chr(10) || 'create view v' || p_partkey || ' as select 1' as x from part)
 select 'ws:' || k || '.sql:t' || k as id, 't' || k as label, 'table' as kind, 1 as line_start from f union all select 'ws:' || k || '.sql:v' || k, 'v' || k, 'view', 2 from f""")
 def sql_objects(spark, d):
