@@ -26,3 +26,20 @@ def test_headings_of_every_line(spark):
 def test_prompts_of_whole_texts(spark):
     rows = run(spark, "user_prompts_all").join(spark.read.parquet(f"{SF}/conversations.parquet"), ["conv_id", "turn"])
     assert rows.where(F.length("text") > 50).count() == rows.where(F.length("prompt") > 50).count() > 4000
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    whole = sorted(map(tuple, run(spark, "vector_batch_knn_all").collect()))
+    asked = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").count()
+    assert len({r[0] for r in whole}) == asked == len(whole) // 5
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 60)
+    assert sorted(map(tuple, run(spark, "vector_batch_knn_all").collect())) == whole
+
+
+@pytest.mark.parametrize("module, name, args", [("graph", "label_propagation", "communities_lpa"), ("exact_lpa", "communities", "communities_exact")])
+def test_communities_see_every_edge(spark, monkeypatch, module, name, args):
+    seen = []
+    monkeypatch.setattr(getattr(graph_queries, module), name, lambda nodes, edges, **_: seen.append(edges) or nodes)
+    run(spark, args, "/root/testdata/sf0.001")
+    rows = {r["type"]: r["count"] for r in seen[0].groupBy("type").count().collect()}
+    assert set(rows) == {"CALLS", "IMPLEMENTS", "IMPORTS"} and sum(rows.values()) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.session import materialize
+
 #: Texts that an embedder gets at once.
 BATCH = 32
 #: Queries that are broadcast at once.
@@ -57,7 +61,7 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", c
     if len(rows) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries; ask in batches")
     if not rows:
-        return vectors.select(F.col(key).alias("query"), F.col(key).alias("neighbour"), F.lit(0.0).alias("similarity")).limit(0)
+        return vectors.select(F.col(key).alias("query"), F.col(key).alias("neighbour"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
     names = [r[0] for r in rows]
     matrix = np.array([r[1] for r in rows], np.float64)
     scale = np.linalg.norm(matrix, axis=1)
@@ -86,6 +90,16 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", c
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def block_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", column: str = "embedding") -> DataFrame:
+    """batch_knn of any number of queries, in blocks dealt by hash, half of MAX_QUERIES each on average."""
+    blocks = max(1, math.ceil(queries.count() / max(1, MAX_QUERIES // 2)))
+    if blocks == 1:
+        return batch_knn(vectors, queries, k, key, column)
+    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    parts = [materialize(batch_knn(vectors, queries.where(block == b), k, key, column), "neighbours") for b in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def hashing_embedding(text: str, dim: int) -> list[float]:
     """A deterministic offline embedding: signed counts of hashed words, of unit length."""
     out = np.zeros(dim, np.float64)

@@ -150,15 +150,12 @@ def branch_diff(spark, d):
 
 @query(None)
 def communities_lpa(spark, d):
-    nodes, edges = trade_nodes(spark, d), trade_edges(spark, d)
-    heavy = edges.where("type = 'IMPLEMENTS'").groupBy("source", "target", "type").count().where("count >= 2").select("source", "target", "type")
-    return graph.label_propagation(nodes, heavy)
+    return graph.label_propagation(trade_nodes(spark, d), trade_edges(spark, d))
 
 
 @query(None)
 def communities_exact(spark, d):
-    heavy = trade_edges(spark, d).where("type = 'IMPLEMENTS'").distinct()
-    return exact_lpa.communities(trade_nodes(spark, d), heavy)
+    return exact_lpa.communities(trade_nodes(spark, d), trade_edges(spark, d))
 
 
 @query(None)
@@ -196,6 +193,14 @@ def vector_batch_knn(spark, d):
     return vectors.batch_knn(e, e.where("vec_id < 20"), 5, key="vec_id").withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"""with s as (select q.vec_id as query, e.vec_id as neighbour, {_COS} as c from embeddings q join embeddings e on e.vec_id <> q.vec_id where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query order by c desc, neighbour) as rank from s) select query, neighbour, rank, round(c, 6) as similarity from r where rank <= 5""")
+def vector_batch_knn_all(spark, d):
+    """vector_batch_knn for every vec_id that 20 divides."""
+    e = table(spark, d, "embeddings")
+    return vectors.block_knn(e, e.where("vec_id % 20 = 0"), 5, key="vec_id").withColumn("similarity", F.round("similarity", 6))
+
+
 @query("""select vec_id, case when label = 0 then 0.0 else round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) end as norm, 64 as dim from embeddings""")
 def zero_vector_guard(spark, d):
     e = table(spark, d, "embeddings").withColumn("embedding", F.when(F.col("label") != 0, F.col("embedding")))
