@@ -43,3 +43,22 @@ def test_communities_see_every_edge(spark, monkeypatch, module, name, args):
     run(spark, args, "/root/testdata/sf0.001")
     rows = {r["type"]: r["count"] for r in seen[0].groupBy("type").count().collect()}
     assert set(rows) == {"CALLS", "IMPLEMENTS", "IMPORTS"} and sum(rows.values()) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+def test_sequences_of_repeated_and_null_ids(spark):
+    import public_tokenizers
+    from weftline.llm import op4_packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [None, "", "one", "another text of this id", "and a third, longer text of this very id", "x y z", "x y z"]
+    docs = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    enc = op4_packing.encoder(path, False)
+    want = sorted([*map(int, ids), op4_packing.END_ID] for ids in enc.encode([t or "" for t in texts]))
+    got, part = [], []
+    for row in op4_packing.sequences(docs, path).collect():
+        for x in row["ids"]:
+            part.append(x)
+            if x == op4_packing.END_ID:
+                got.append(part)
+                part = []
+    assert sorted(got) == want and not part

@@ -136,10 +136,14 @@ def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def sequences(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(sequence_id, ids): the packed token sequences themselves."""
-    placed = place(cut_documents(docs, tokenizer))
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").dropDuplicates(["_id"])
-    rows = placed.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("sequence_id", "offset", "start", "length", "text")
+    """(sequence_id, ids): the packed token sequences themselves.
+
+    Pieces find their texts by the texts' hashes, so doc_id may be null or repeated.
+    """
+    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    placed = place(cut_documents(keyed, tokenizer))
+    texts = keyed.select(F.col("doc_id").alias("_id"), "text").dropDuplicates(["_id"])
+    rows = placed.join(texts, F.col("doc_id") == F.col("_id")).select("sequence_id", "offset", "start", "length", "text")
     parts = rows.mapInArrow(lambda b: _slices(b, tokenizer), "sequence_id long, offset long, ids array<long>")
     joined = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("_p"))
     return joined.select("sequence_id", F.flatten("_p.ids").alias("ids"))
