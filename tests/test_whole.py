@@ -1,5 +1,7 @@
 """Registered queries over whole tables and whole texts."""
 
+import os
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -62,3 +64,27 @@ def test_sequences_of_repeated_and_null_ids(spark):
                 got.append(part)
                 part = []
     assert sorted(got) == want and not part
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    from weftline.session import materialize, scratch_scope
+
+    with scratch_scope(spark) as made:
+        kept = materialize(materialize(spark.range(5), "gone").select("id"), "kept")
+        gone = made[0]
+        assert len(made) == 2
+        made.pop()
+    assert kept.count() == 5 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    assert not os.path.exists(gone.removeprefix("file:"))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
+    from types import SimpleNamespace as N
+
+    from weftline import session
+
+    none = N(isDefined=lambda: False)
+    jsc = N(sc=lambda: N(getCheckpointDir=lambda: none))
+    cluster = N(conf=N(get=lambda *a: None), sparkContext=N(_jsc=jsc, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_root(cluster)

@@ -8,12 +8,15 @@ tests.  Nothing is written to a machine-local folder on a cluster.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writing, _scopes = threading.Lock(), {}, threading.local()
 
 
 def get_spark(app: str = "weftline", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,7 +35,10 @@ def get_spark(app: str = "weftline", master: str | None = None, **conf: str) ->
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one is set only where none is."""
+    """The checkpoint folder of the session; a temporary one is set only where none is, in local mode.
+
+    A cluster without one is an error: executors don't see the driver's folders.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
@@ -40,6 +46,8 @@ def shared_root(spark: SparkSession) -> str:
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="weftline-")
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -56,9 +64,43 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_root(spark)}/weftline/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
     place, fs = _hadoop_path(spark, path)
     fs.deleteOnExit(place)
+    for made in getattr(_scopes, "open", []):
+        made.append(path)
     return path
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove, at the end, the scratch tables made within; those that the caller takes out of the list stay."""
+    made, opened = [], getattr(_scopes, "open", [])
+    _scopes.open = [*opened, made]
+    try:
+        yield made
+    finally:
+        _scopes.open = opened
+        for path in made:
+            place, fs = _hadoop_path(spark, path)
+            fs.delete(place, True)
+
+
+@contextmanager
+def _shuffles_go_with_their_write(spark: SparkSession) -> Iterator[None]:
+    """The session's setting is on while any write of it is under way, however many threads write, and then as before."""
+    with _lock:
+        count, before = _writing.get(id(spark), (0, spark.conf.get(_CLEANUP, "false")))
+        _writing[id(spark)] = (count + 1, before)
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            count, before = _writing.pop(id(spark))
+            if count > 1:
+                _writing[id(spark)] = (count - 1, before)
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
@@ -69,13 +111,8 @@ def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    # the table replaces the shuffles that made it, so their files go when it is written
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _shuffles_go_with_their_write(spark):  # the table replaces the shuffles that made it
         writer.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
