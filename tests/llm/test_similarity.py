@@ -67,12 +67,65 @@ def test_chains_and_close_pairs(spark):
     assert sorted(map(tuple, got)) == sorted(jaccard_components(data))
 
 
-def test_one_of_each(spark, odd, odd_rows):
+def one_of_each(data):
+    """Brute force: the rows without words, and of each component the text of its smallest id (and text hash)."""
+    import xxhash
+
+    rank = lambda r: (r[0] is None, r[0] or 0, xxhash.xxh64_intdigest(r[1].encode(), seed=42) ^ (1 << 63))
+    sets = [shingle_set(t) for _, t in data]
+    root = union(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    best = {}
+    for row, s, r in zip(data, sets, root, strict=True):
+        if s:
+            best[r] = min(best.get(r, row), row, key=rank)
+    return Counter(best.values()) + Counter(row for row, s in zip(data, sets, strict=True) if not s)
+
+
+def test_one_of_each(spark, odd, odd_rows, empty):
     kept = op9_partenum.one_of_each(odd)
     assert kept.columns == odd.columns
-    ids = Counter(r["doc_id"] for r in kept.collect())
-    found = {(a, c) for a, n, c in jaccard_components([r[:2] for r in odd_rows])}
-    assert {a for a in ids if a is not None} == {a for a, c in found if a == c and a is not None} and ids[3] == 0 and ids[1] == 1
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == one_of_each([r[:2] for r in odd_rows])
+    assert op9_partenum.one_of_each(empty).count() == 0
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    """Unlike texts that share an id all stay; copies go, whatever ids they have."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "ABCDEF"}
+    near = {k: text[k] + " z" for k in text}
+    data = [(3, text["C"]), (5, text["C"]), (5, text["A"]), (5, text["B"]), (7, text["A"]), (9, near["B"]), (None, text["D"]), (None, text["D"]), (None, text["E"]), (None, near["E"]), (4, near["E"]), (None, text["F"]), (1, ""), (1, ""), (None, None)]
+    for parts in (1, 4):
+        got = op9_partenum.one_of_each(spark.createDataFrame(data, "doc_id long, text string").repartition(parts)).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in got) == one_of_each(data)
+    got = op9_partenum.component_ids(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter(jaccard_components(data))
+
+
+def test_many_rows_without_id_are_linear(spark):
+    """10,000 rows without id, of 100 texts and their near copies: texts are fetched once a set."""
+    from weftline import session
+
+    base = [" ".join(f"d{d}w{i}" for i in range(30)) for d in range(100)]
+    data = [(None, base[i % 100] + (" x" if i % 2 else "")) for i in range(10_000)]
+    sizes, write = {}, session.materialize
+
+    def counted(df, tag, *more):
+        out = write(df, tag, *more)
+        sizes[tag] = max(sizes.get(tag, 0), out.count())
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(op9_partenum, "materialize", counted)
+        kept = op9_partenum.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(kept) == 100 and max(sizes.values()) <= 10_000
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    """A text hashed in pieces has the shingles of the whole."""
+    text = " ".join(f"w{i % 61}\t{'y' * (i % 9)}" for i in range(400)) + " " + "q" * 300 + "\nend"
+    whole = shingles.shingle_sets([text, "a b", "", text + " more"])
+    monkeypatch.setattr(shingles, "PIECE", 64)
+    cut = shingles.shingle_sets([text, "a b", "", text + " more"])
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True)) and whole[1][0] == len(shingle_set(text))
 
 
 @settings(max_examples=40, deadline=None)

@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftline.llm.cleaning import release
 from weftline.llm.graph import components
@@ -44,8 +43,8 @@ STEP, SLACK, SKETCH = 1.25, 0.15, 1024
 BUCKET, FLUSH, PIECE = 1_000_000, 1_000_000, 2_000_000
 #: Characters whose shingles are held at a time.
 SLICE = 1_000_000
-#: Members compared with one set, and members of a cell, at a time.
-FAN, CELL = 256, 2048
+#: Members compared with one set, members of a cell, and pairs of a cell sent, at a time.
+FAN, CELL, PAIRS = 256, 2048, 200_000
 #: Rounds in which components join their nearest ones, before the rest is compared in full.
 ROUNDS = 3
 #: Members up to which equal groups are found and kept once.
@@ -138,16 +137,17 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-_NODES = "doc_id long, node long, n long, sketch binary"
+_NODES = "doc_id long, mark long, node long, n long, sketch binary"
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = _texts(batch, 1)
+        texts = _texts(batch, 2)
         for a, b in in_slices(texts, SLICE):
             found, sizes = shingle_sets(texts[a:b])
             marks = [r.tobytes() for r in sketches(found, sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fingerprints(found, sizes).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())], ["doc_id", "node", "n", "sketch"])
+            own = [batch.column(i).slice(a, b - a) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(fingerprints(found, sizes).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())], ["doc_id", "mark", "node", "n", "sketch"])
 
 
 _TAIL = np.dtype("<u8")
@@ -309,12 +309,16 @@ def _compare_cells(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator
     """
     current, rows = None, []
 
+    def batch_of(left: list, right: list) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), current[0], np.int64)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["sig", "a", "b"])
+
     def cell():
         own = np.array([r[0] for r in rows])
         node, comp, n = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
         bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
         lower, upper = (np.flatnonzero(own == current[1]), np.flatnonzero(own == current[2]))
-        left, right, best = [], [], {}
+        left, right, held, best = [], [], 0, {}
         for i in lower:
             js = upper[upper > i] if current[1] == current[2] else upper
             js = js[(comp[js] != comp[i]) & (np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * PERCENT)]
@@ -325,8 +329,12 @@ def _compare_cells(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator
             if not len(js):
                 continue
             if not nearest:
-                left += [int(node[i])] * len(js)
-                right += node[js].tolist()
+                left.append(np.full(len(js), node[i]))
+                right.append(node[js])
+                held += len(js)
+                if held > PAIRS:
+                    yield batch_of(left, right)
+                    left, right, held = [], [], 0
                 continue
             far = differ / (n[js] + n[i])
             k = int(far.argmin())
@@ -335,21 +343,20 @@ def _compare_cells(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator
             for j, f in zip(js.tolist(), far.tolist(), strict=True):
                 if f < best.get(comp[j], (2,))[0]:
                     best[comp[j]] = (f, i, j)
-        if nearest:
-            left, right = [int(node[i]) for _, i, _ in best.values()], [int(node[j]) for _, _, j in best.values()]
-        sigs = np.full(len(left), current[0], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(np.minimum(left, right), pa.int64()), pa.array(np.maximum(left, right), pa.int64())], ["sig", "a", "b"])
+        if best:
+            left, right = [node[[i for _, i, _ in best.values()]]], [node[[j for _, _, j in best.values()]]]
+        yield batch_of(left, right)
 
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(8)]
         for sig, lo, hi, own, node, comp, n, sketch in zip(*columns, strict=True):
             if (sig, lo, hi) != current:
                 if rows:
-                    yield cell()
+                    yield from cell()
                 current, rows = (sig, lo, hi), []
             rows.append((own, node, comp, n, sketch))
     if rows:
-        yield cell()
+        yield from cell()
 
 
 def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -372,7 +379,8 @@ def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _candidates(open_: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
     """(sig, a, b): pairs of different components that share a signature and may link by their sketches; written."""
     width = shuffle_width(open_.sparkSession)
-    numbered = open_.withColumn("own", F.floor((F.row_number().over(Window.partitionBy("sig").orderBy("node")) - 1) / CELL).cast("int")).withColumn("blocks", F.ceil(F.col("size") / CELL).cast("int"))
+    # members are dealt over the blocks of their group by hash, so no group is gathered to be numbered
+    numbered = open_.withColumn("blocks", F.ceil(F.col("size") / CELL).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", "sig"), F.col("blocks")).cast("int"))
     marked = numbered.join(nodes.select(F.col("node").alias("_n"), "n", "sketch"), F.col("node") == F.col("_n"))
     spread = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = spread.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "n", "sketch")
@@ -381,10 +389,10 @@ def _candidates(open_: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, labels): doc_id, node and n of every row; node and component of each linked node."""
+    """(documents, labels): doc_id, mark (the text's hash), node and n of every row; node and component of each linked node."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     held = materialize(rows.mapInArrow(_nodes, _NODES), "nodes")
     total = held.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * 0.9) // BUCKET + 1)
@@ -393,10 +401,16 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = materialize(met.mapInArrow(_meet, _SHARED), "shared")
     release(spark)
 
-    nodes = held.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    # one row stands for a set: of its smallest text hash, and of those rows of its smallest doc_id
+    row = F.struct("mark", F.col("doc_id").isNull().alias("none"), "doc_id")
+    nodes = held.groupBy("node").agg(F.min(row).alias("row"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     involved = shared.select("node").unionByName(shared.select(F.col("rep").alias("node"))).distinct()
-    wanted = nodes.join(involved, "node", "left_semi").select(F.col("doc_id").alias("_id"), "node")
-    texts = materialize(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text"), "texts")
+    wanted = nodes.join(involved, "node", "left_semi").select(F.col("row.doc_id").alias("_id"), F.col("row.mark").alias("_mark"), "node")
+    texts = materialize(rows.join(wanted, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text"), "texts")
+    several = texts.groupBy("node").count().filter("count > 1").select(F.col("node").alias("_n"))
+    if not several.isEmpty():  # rows that agree in id and text: one of them is enough
+        once = texts.join(several, F.col("node") == F.col("_n"), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        texts = materialize(texts.join(several, F.col("node") == F.col("_n"), "left_anti").unionByName(once), "texts")
     release(spark)
 
     votes = shared.groupBy("node", "rep").count()
@@ -434,6 +448,13 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return held.drop("sketch"), labels
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, n and component of every row, written."""
+    held, labels = join(docs)
+    named = held.join(labels.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left")
+    return materialize(named.select("doc_id", "mark", "n", F.coalesce("component", "node").alias("component")), "named")
+
+
 def component_ids(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``.
 
@@ -442,23 +463,32 @@ def component_ids(docs: DataFrame) -> DataFrame:
     Repeated rows have equal sets and are linked.  An empty table gives no rows.
     Of ``docs`` only doc_id and text are read.
     """
-    held, labels = join(docs)
-    named = held.join(labels.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"))
-    named = materialize(named, "named")
+    named = _named(docs)
     smallest = named.filter("n > 0").groupBy(F.col("component").alias("_c")).agg(F.min("doc_id").alias("_least"))
     out = named.join(smallest, (F.col("component") == F.col("_c")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` of which no row with a smaller doc_id is in the same component.
-
-    Of rows that share this doc_id one stays.  Rows without words are all kept, a
-    row without doc_id where its component has no other.
+    """One row of ``docs`` for each component, and all rows without words.
+
+    A component's row is that of its smallest doc_id (null last), of several rows
+    with this id that of the smallest text hash, and of rows that agree in both one;
+    so no text goes without a similar one that stays, whatever ids repeat.  Nulls: a
+    null text has no words and stays; a null doc_id stays where its component has no
+    other.  An empty table gives no rows.  All columns are kept, of any name; of rows
+    that agree in doc_id and text one's other columns stay.
     """
-    found = component_ids(docs.select("doc_id", "text"))
-    keep = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__wf_id")).distinct()
-    joined = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__wf_id")), "left_semi")
-    among = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    named = _named(docs.select("doc_id", "text"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    best = named.filter("n > 0").groupBy("component").agg(F.min(row).alias("row")).select(F.col("row.doc_id").alias("__wf_id"), F.col("row.mark").alias("__wf_best"))
+    copies = named.filter("n > 0").groupBy(F.col("doc_id").alias("__wf_i"), F.col("mark").alias("__wf_m")).count().filter("count > 1").select("__wf_i", "__wf_m", F.lit(True).alias("__wf_more"))
+    keep = materialize(best.join(copies, F.col("__wf_id").eqNullSafe(F.col("__wf_i")) & (F.col("__wf_best") == F.col("__wf_m")), "left").select("__wf_id", "__wf_best", "__wf_more"), "keep")
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return joined.withColumn("__wf_r", F.row_number().over(among)).filter((F.col("__wf_r") == 1) | ~worded).select(*docs.columns)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__wf_id")) & (F.col("__wf_mark") == F.col("__wf_best"))
+    kept = docs.withColumn("__wf_mark", F.xxhash64("text")).join(keep, same, "left").filter(F.col("__wf_best").isNotNull() | ~worded)
+    if keep.filter("__wf_more").isEmpty():
+        return kept.select(*docs.columns)
+    own = materialize(kept.select("__wf_id", "__wf_mark", (F.col("__wf_more").isNotNull() & worded).alias("__wf_more"), F.struct(*docs.columns).alias("__wf_row")), "kept")
+    repeated = own.filter("__wf_more").groupBy("__wf_id", "__wf_mark").agg(F.first("__wf_row").alias("__wf_row"))
+    return own.filter("not __wf_more").select("__wf_row.*").unionByName(repeated.select("__wf_row.*"))

@@ -33,12 +33,26 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return held[:n]
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word, A-Z in lower case, and the number of words of each text.
-
-    A word's hash is a polynomial in its bytes, from prefix sums over all bytes.
-    """
-    parts = [t.encode("utf-8", "surrogatepass").lower() for t in texts]  # bytes.lower() touches A-Z alone
+#: Bytes hashed at once; a longer text is cut at white space, and only a longer word is held as a whole.
+PIECE = 1 << 20
+_SPACES = b" \t\n\x0b\x0c\r"
+
+
+def _cut(text: bytes):
+    """Pieces of a text of about PIECE bytes, cut at white space."""
+    at = 0
+    while len(text) - at > PIECE:
+        end = max(text.rfind(bytes([c]), at, at + PIECE) for c in _SPACES)
+        if end <= at:
+            ends = [e for c in _SPACES if (e := text.find(bytes([c]), at + PIECE)) >= 0]
+            end = min(ends, default=len(text))
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def _hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word, a polynomial in its bytes from prefix sums over all bytes, and the number of words of each part."""
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     white = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.diff(np.concatenate([[True], white]).astype(np.int8))
@@ -50,6 +64,33 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.concatenate([[0], np.searchsorted(starts, limits)]))
 
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word, A-Z in lower case, and the number of words of each text.
+
+    Texts are hashed in pieces of bounded size, so what is held beside the words'
+    hashes does not grow with a text.
+    """
+    counts, found = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint64)]
+    parts, owners, held = [], [], 0
+
+    def flush():
+        hashes, n = _hashes(parts)
+        found.append(hashes)
+        np.add.at(counts, owners, n)
+
+    for i, text in enumerate(texts):
+        for part in _cut(text.encode("utf-8", "surrogatepass").lower()):  # bytes.lower() touches A-Z alone
+            if held + len(part) > PIECE and parts:
+                flush()
+                parts, owners, held = [], [], 0
+            parts.append(part)
+            owners.append(i)
+            held += len(part)
+    if parts:
+        flush()
+    return np.concatenate(found), counts
+
+
 def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingles of every text, one after the other, and their numbers.
 
