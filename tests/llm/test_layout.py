@@ -20,7 +20,6 @@ WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
 
 def library(path, end):
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
     return lambda text: np.array([*tk.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -99,14 +98,25 @@ def test_mix(spark, odd, odd_rows, small, empty):
     assert op2_mixing.mix_documents(empty).count() == 0
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.text(alphabet="ab .,\n\t'é1日\x01 |#", max_size=40), max_size=6))
+FRAGMENTS = st.one_of(st.text(alphabet="ab .,\n\t'é1日\x01 |#<>", max_size=12), st.sampled_from(["<|endoftext|>", "<|startoftext|>", " <|endoftext|>", "<|endoftext|> ", "\n", "  "]))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(FRAGMENTS, max_size=6).map("".join), max_size=6))
 def test_cached_encoding_is_the_library(texts):
     for path, spaced in ((WORD, True), (BYTE, False)):
         enc, lib = Encoder(path, spaced, cache=5), library(path, 0)
         assert [x.tolist() for x in enc.encode(texts)] == [lib(t)[:-1].tolist() for t in texts]
 
 
+def test_special_strings_as_text():
+    tk = Tokenizer.from_file(BYTE)
+    tk.encode_special_tokens = True
+    text = "a <|endoftext|> b<|endoftext|>"
+    assert Encoder(BYTE, False, ordinary=True).encode([text])[0].tolist() == tk.encode(text, add_special_tokens=False).ids
+    assert Encoder(BYTE, False).encode([text])[0].tolist() == library(BYTE, 0)(text)[:-1].tolist() and 50256 in Encoder(BYTE, False).encode([text])[0]
+
+
 def test_store(spark, odd, odd_rows, empty):
     lib = library(WORD, 2)
     data = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, len(lib(r[1]))))
@@ -127,12 +137,57 @@ def test_store_round_trip_and_damage(spark, odd, odd_rows):
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in store.reconstruct().collect()) == Counter((a, tuple(lib(t).tolist())) for a, t, *_ in odd_rows)
     assert store.chunks().groupBy("hash").count().where("count > 1").count() == 0
     store.check_manifests()
-    bad = store.recipes().withColumn("n_tokens", F.col("n_tokens") + 1)
-    bad.write.parquet(f"{store.path}/bad")
-    broken = op3_store.Store(spark, store.path)
-    broken.recipes = lambda: spark.read.parquet(f"{store.path}/bad")
-    with pytest.raises(ValueError):
-        broken.check_manifests()
+
+
+def _damaged(spark, store, folder, change):
+    """A store of which the files of one folder are written again, changed."""
+    import shutil
+
+    path = store.path.removeprefix("file:").replace("//", "/")
+    copy = path + "-damaged"
+    shutil.rmtree(copy, ignore_errors=True)
+    shutil.copytree(path, copy)
+    shutil.rmtree(f"{copy}/{folder}")
+    change(spark.read.parquet(f"file://{path}/{folder}")).write.parquet(f"file://{copy}/{folder}")
+    return op3_store.Store(spark, "file://" + copy)
+
+
+def test_damage_is_seen(spark, odd):
+    """Chunk lists, counts and roots that were changed after encoding, lost or repeated rows, and changed chunks."""
+    store = op3_store.write_store(odd, scratch_path(spark, "store"), WORD)
+    other = store.chunks().select("hash").first()[0]
+    own = F.col("doc_id") == 7
+    swapped = F.concat(F.expr("substring(chunks, 17, 16)"), F.expr("substring(chunks, 1, 16)"), F.expr("substring(chunks, 33)"))
+    assert store.recipes().where(own).where(swapped != F.col("chunks")).count() == 1
+    for change in (
+        lambda df: df.withColumn("chunks", F.when(own, swapped).otherwise(F.col("chunks"))),
+        lambda df: df.withColumn("chunks", F.when(own, F.lit(bytes(other))).otherwise(F.col("chunks"))),
+        lambda df: df.withColumn("n_tokens", F.col("n_tokens") + F.when(own, 1).otherwise(0)),
+        lambda df: df.withColumn("root", F.when(own, F.lit(b"0" * 16)).otherwise(F.col("root"))),
+        lambda df: df.where(~F.coalesce(own, F.lit(False))),
+        lambda df: df.unionByName(df.where(own)),
+        lambda df: df.where("ord is not null"),
+    ):
+        with pytest.raises(ValueError, match="differ"):
+            _damaged(spark, store, "recipes", change).check_manifests()
+    raw = op3_store.pack_ids(np.array([1, 2, 3], "<u4"))
+    bad = _damaged(spark, store, "blocks/kind=chunk", lambda df: df.withColumn("body", F.when(F.col("key") == F.lit(bytes(other)), F.lit(raw)).otherwise(F.col("body"))))
+    bad.check_manifests()
+    with pytest.raises(Exception, match="does not hold what its name says"):
+        bad.documents().collect()
+    lost = _damaged(spark, store, "blocks/kind=chunk", lambda df: df.where(F.col("key") != F.lit(bytes(other))))
+    with pytest.raises(Exception, match="chunks are missing"):
+        lost.documents().collect()
+
+
+def test_many_equal_rows_are_dealt(spark):
+    """Equal rows don't share a key of the shuffle and are split over recipe files."""
+    df = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text")).repartition(3)
+    store = op3_store.write_store(df, scratch_path(spark, "store"), WORD)
+    store.check_manifests()
+    got = store.documents().collect()
+    assert len(got) == 2000 and sorted(r["start"] for r in got) == [i * got[0]["n_tokens"] for i in range(2000)]
+    assert store.manifests().count() > 1 and store.chunks().count() == 1
 
 
 def test_checksums_and_cuts():
@@ -199,3 +254,21 @@ def test_sequences(spark, small):
     ids = sorted(x for r in few.collect() for x in lib(r["text"]).tolist())
     got = op4_packing.sequences(few, BYTE).collect()
     assert sorted(x for r in got for x in r["ids"]) == ids and all(len(r["ids"]) <= 2048 for r in got)
+
+
+def test_sequences_of_repeated_ids(spark, odd, odd_rows):
+    """Unlike texts under one id, null ids and equal rows: each piece has its own text's ids."""
+    lib = library(BYTE, 0)
+    got = op4_packing.sequences(odd, BYTE).collect()
+    assert sorted(x for r in got for x in r["ids"]) == sorted(x for _, t, *_ in odd_rows for x in lib(t).tolist())
+    # texts of one piece each stand whole, up to their end ids
+    short = [lib(t).tolist() for _, t, *_ in odd_rows if len(lib(t)) <= 2048]
+    packed = Counter()
+    for r in op4_packing.sequences(odd.where("doc_id is null or doc_id <> 7"), BYTE).collect():
+        ids = list(r["ids"])
+        while ids:
+            end = ids.index(0) + 1
+            packed[tuple(ids[:end])] += 1
+            ids = ids[end:]
+    assert packed == Counter(map(tuple, short)) and all(0 not in t[:-1] for t in packed)
+    assert op4_packing.sequences(odd.limit(0), BYTE).count() == 0

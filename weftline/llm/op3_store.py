@@ -3,20 +3,25 @@
 Each document's ids are cut into chunks where a rolling hash over the last ids
 meets a pattern, so equal passages give equal chunks wherever they stand.  A
 chunk is stored once, under its hash; a document is a recipe, the list of its
-chunks; recipes lie in ascending doc_id order and every recipe file has a
-manifest row with the Merkle root over its documents' roots.
+chunks; recipes lie in ascending doc_id order.
+
+A document's Merkle root is made from its chunks as they are encoded, and travels
+with its recipe; the manifest of a recipe file is the root over those, made while
+the file is written.  Reading makes both anew from the chunk lists that it finds and
+compares, so a recipe that was changed, lost, added or moved between encoding and
+reading is seen.  A chunk is compared with its name.
 
 Layout below the store's path (Parquet, written by Spark's writers):
 
-- ``blocks/kind=chunk``: hash binary(16), payload: the ids as unsigned 16-bit (32-bit
-  where one is larger; ``wide``) little-endian numbers, zstd-compressed
+- ``blocks/kind=chunk``: key: the hash, binary(16); body: the ids as unsigned 16-bit (32-bit
+  where one is larger; the first byte says which) little-endian numbers, zstd-compressed
 - ``blocks/kind=recipe``: recipes as encoded, in no order; ``recipes`` replaces them
-- ``recipes``: part, ord, doc_id, local_start, n_tokens, chunks (hashes joined), root
-- ``manifests``: part, n_docs, n_tokens, root
+- ``recipes``: part, ord, doc_id, local_start, n_tokens, chunks (hashes joined), root; the
+  last row of a file, without ord, is its manifest: part, n_docs, n_tokens, root
 
-The payloads cross the network once.  Reading back checks each chunk against its
-name once; a document's checksum follows from its chunks' checksums by the algebra
-of CRC-32, so no payload moves again.  ``reconstruct`` returns the ids themselves.
+The payloads cross the network once.  A document's checksum follows from its chunks'
+checksums by the algebra of CRC-32, so no payload moves again.  ``reconstruct``
+returns the ids themselves.
 """
 
 from __future__ import annotations
@@ -170,11 +175,24 @@ def crc_join(parts: list[tuple[int, int]]) -> int:
     return out
 
 
-_BLOCKS = "key binary, kind string, doc_id long, n_tokens long, body binary"
+def _root(chunks: bytes) -> bytes:
+    """The root of a document from the joined names of its chunks."""
+    return merkle([chunks[i : i + HASH] for i in range(0, len(chunks), HASH)])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_BLOCKS = "key binary, kind string, doc_id long, n_tokens long, body binary, root binary"
+_BLOCK_ROWS = pa.schema([("key", pa.binary()), ("kind", pa.string()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("body", pa.binary()), ("root", pa.binary())])
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, spaced: bool, end: int) -> Iterator[pa.RecordBatch]:
-    enc, sent, last = encoder(path, spaced, CACHE), {}, np.array([end], "<u4")
+def _encode(batches: Iterator[pa.RecordBatch], path: str, spaced: bool, end: int, ordinary: bool) -> Iterator[pa.RecordBatch]:
+    """Chunks under their hashes, and recipes under keys of their own, so that none meet in one task because they are equal."""
+    enc, sent, last = encoder(path, spaced, CACHE, ordinary), {}, np.array([end], "<u4")
+    part, count = TaskContext.get().partitionId(), 0
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
         for a, b in in_slices(texts, 16_000_000):
@@ -189,49 +207,56 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, spaced: bool, end: int
                         if len(sent) >= SENT:
                             sent.clear()
                         sent[name] = None
-                        out.append((name, "chunk", None, len(chunk), pack_ids(chunk)))
-                recipe = b"".join(names)
-                out.append((_digest(recipe + str(doc).encode()), "recipe", doc, len(whole), recipe))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "kind", "doc_id", "n_tokens", "body"])
+                        out.append((name, "chunk", None, len(chunk), pack_ids(chunk), None))
+                out.append((part.to_bytes(4, "big") + count.to_bytes(8, "big"), "recipe", doc, len(whole), b"".join(names), merkle(names)))
+                count += 1
+            yield _batch(out, _BLOCK_ROWS)
 
 
-_RECIPES = "part int, ord long, doc_id long, local_start long, n_tokens long, chunks binary, root binary"
+_RECIPES = "part int, ord long, doc_id long, local_start long, n_tokens long, chunks binary, root binary, n_docs long"
+_RECIPE_ROWS = pa.schema([("part", pa.int32()), ("ord", pa.int64()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("chunks", pa.binary()), ("root", pa.binary()), ("n_docs", pa.int64())])
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, ordinal, start = TaskContext.get().partitionId(), 0, 0
+    """Sorted recipes with their places, and their manifest behind them; roots are those made while encoding."""
+    part, ordinal, start, tree = TaskContext.get().partitionId(), 0, 0, MerkleStream()
     for batch in batches:
-        n = batch.num_rows
-        sizes, bodies = batch.column(1).to_numpy(), batch.column(2).to_pylist()
-        starts = start + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if n else np.zeros(0)
-        roots = [merkle([b[i : i + HASH] for i in range(0, len(b), HASH)]) for b in bodies]
-        yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(ordinal, ordinal + n), pa.int64()), batch.column(0), pa.array(starts, pa.int64()), batch.column(1), batch.column(2), pa.array(roots, pa.binary())], ["part", "ord", "doc_id", "local_start", "n_tokens", "chunks", "root"])
-        ordinal, start = ordinal + n, start + int(sizes.sum())
+        rows = []
+        for doc, n, chunks, root in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            tree.add(root)
+            rows.append((part, ordinal, doc, start, n, chunks, root, None))
+            ordinal, start = ordinal + 1, start + n
+        yield _batch(rows, _RECIPE_ROWS)
+    if ordinal:
+        yield _batch([(part, None, None, None, start, None, tree.root(), ordinal)], _RECIPE_ROWS)
 
 
-_MANIFESTS = "part int, n_docs long, n_tokens long, root binary"
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts, by (part, ord, manifest last), whose recipes as read don't give the roots and counts made before."""
+    part, state = None, None
 
+    def done():  # without its manifest a part is wrong too
+        return [(part,)] if part is not None and state != "ended" else []
 
-def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each run of recipes of one part, which come in their order; roots are made from the chunk lists anew."""
-    rows, part, docs, tokens, tree = [], None, 0, 0, MerkleStream()
+    rows = []
     for batch in batches:
-        for p, n, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for p, ordinal, start, n, chunks, root, docs in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
             if p != part:
-                if part is not None:
-                    rows.append((part, docs, tokens, tree.root()))
-                part, docs, tokens, tree = p, 0, 0, MerkleStream()
-            tree.add(merkle([body[i : i + HASH] for i in range(0, len(body), HASH)]))
-            docs, tokens = docs + 1, tokens + n
-    if part is not None:
-        rows.append((part, docs, tokens, tree.root()))
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "n_docs", "n_tokens", "root"])
-
-
-def _manifests_of(recipes: DataFrame) -> DataFrame:
-    ordered = recipes.select("part", "n_tokens", "chunks", "ord").repartition(shuffle_width(recipes.sparkSession), "part").sortWithinPartitions("part", "ord")
-    return ordered.select("part", "n_tokens", "chunks").mapInArrow(_manifest, _MANIFESTS)
+                rows += done()
+                part, state = p, (0, 0, MerkleStream())
+            if isinstance(state, str):  # behind the manifest, or already wrong
+                state = "wrong"
+                continue
+            count, tokens, tree = state
+            if ordinal is None:
+                state = "ended" if (docs, n, root) == (count, tokens, tree.root()) else "wrong"
+            elif (ordinal, start) != (count, tokens) or _root(chunks) != root:
+                state = "wrong"
+            else:
+                tree.add(root)
+                state = (count + 1, tokens + n, tree)
+    rows += done()
+    yield _batch(rows, pa.schema([("part", pa.int32())]))
 
 
 class Store:
@@ -243,22 +268,22 @@ class Store:
     def chunks(self) -> DataFrame:
         return self.spark.read.schema(_BLOCKS).parquet(f"{self.path}/blocks").filter("kind = 'chunk'").select(F.col("key").alias("hash"), F.col("body").alias("payload"))
 
-    def recipes(self) -> DataFrame:
+    def index(self) -> DataFrame:
         return self.spark.read.schema(_RECIPES).parquet(f"{self.path}/recipes")
 
+    def recipes(self) -> DataFrame:
+        return self.index().filter("ord is not null").drop("n_docs")
+
     def manifests(self) -> DataFrame:
-        return self.spark.read.schema(_MANIFESTS).parquet(f"{self.path}/manifests")
+        return self.index().filter("ord is null").select("part", "n_docs", "n_tokens", "root")
 
     def check_manifests(self) -> None:
-        """Raise where the recipes as read don't give the manifests' roots and counts."""
-        names = ["n_docs", "n_tokens", "root"]
-        seen = _manifests_of(self.recipes()).select(F.col("part").alias("_p"), *[F.col(c).alias(f"_{c}") for c in names])
-        both = self.manifests().join(seen, F.col("part") == F.col("_p"), "full_outer")
-        same = F.col("part").eqNullSafe(F.col("_p"))
-        for c in names:
-            same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-        if not both.filter(~same).isEmpty():
-            raise ValueError(f"{self.path}: recipes and manifests differ")
+        """Raise where the recipes as read don't give the roots and counts made while they were encoded and written."""
+        rows = self.index().select("part", "ord", "local_start", "n_tokens", "chunks", "root", "n_docs")
+        ordered = rows.repartition(shuffle_width(self.spark), "part").sortWithinPartitions("part", F.col("ord").asc_nulls_last())
+        wrong = [r["part"] for r in ordered.mapInArrow(_compare, "part int").limit(10).collect()]
+        if wrong:
+            raise ValueError(f"{self.path}: recipes and manifests differ in parts {wrong}")
 
     def _starts(self) -> DataFrame:
         """The ids before each part: one row a recipe file."""
@@ -311,24 +336,24 @@ def _join_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, spaced: bool = True, end_id: int = END_ID) -> Store:
+def write_store(docs: DataFrame, path: str, tokenizer: str, spaced: bool = True, end_id: int = END_ID, ordinary: bool = False) -> Store:
     """Encode (doc_id, text) of ``docs`` and write them as a store; null texts are empty.
 
     Documents stand in ascending doc_id order, a null id first; rows of one id by
-    length and chunks.  Other columns are not read.
+    length and chunks; equal rows in any order, dealt over several files where they
+    are many.  ``ordinary``: strings of special tokens are text as any other.  Other
+    columns are not read.  An empty table gives an empty store.
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    blocks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _encode(b, tokenizer, spaced, end_id), _BLOCKS)
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("kind"))
-    once = blocks.repartition(width, "key").withColumn("_n", nth).filter("_n = 1 or kind = 'recipe'").drop("_n")
-    once.write.partitionBy("kind").option("compression", "none").parquet(f"{path}/blocks")
+    blocks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _encode(b, tokenizer, spaced, end_id, ordinary), _BLOCKS)
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("kind"))  # a chunk's rows are one a task, but for SENT
+    blocks.repartition(width, "key").withColumn("_n", nth).filter("_n = 1").drop("_n").write.partitionBy("kind").option("compression", "none").parquet(f"{path}/blocks")
     encoded = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").filter("kind = 'recipe'")
-    ranged = encoded.select("doc_id", "n_tokens", F.col("body").alias("chunks")).repartitionByRange(width, "doc_id", "n_tokens", "chunks").sortWithinPartitions("doc_id", "n_tokens", "chunks")
+    order = ["doc_id", "n_tokens", "chunks", "key"]
+    ranged = encoded.select("doc_id", "n_tokens", F.col("body").alias("chunks"), "root", "key").repartitionByRange(width, *order).sortWithinPartitions(*order)
     ranged.mapInArrow(_number, _RECIPES).write.parquet(f"{path}/recipes")
-    store = Store(spark, path)
-    _manifests_of(store.recipes()).write.parquet(f"{path}/manifests")
-    return store
+    return Store(spark, path)
 
 
 def store_documents(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -70,15 +70,16 @@ class Encoder:
 
     ``spaced``: the tokenizer drops white space between words (pieces lose it);
     otherwise a piece keeps its leading space, as byte-level vocabularies ask.
-    Strings of special tokens in a text are ordinary text.
+    Strings of special tokens in a text give these tokens' ids, as the library has it
+    by default; with ``ordinary`` they are text as any other.
     """
 
-    def __init__(self, path: str, spaced: bool, cache: int = CACHE):
+    def __init__(self, path: str, spaced: bool, cache: int = CACHE, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = ordinary
         self.spaced, self.cache, self.known = spaced, cache, _Known(self.tokenizer, spaced)
 
     def pieces(self, text: str) -> list[str]:
@@ -102,11 +103,11 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, spaced: bool, cache: int = CACHE) -> Encoder:
+def encoder(path: str, spaced: bool, cache: int = CACHE, ordinary: bool = False) -> Encoder:
     """One encoder for each Python worker and file."""
-    key = (path, spaced, cache)
+    key = (path, spaced, cache, ordinary)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, spaced, cache)
+        _encoders[key] = Encoder(*key)
     return _encoders[key]
 
 
