@@ -52,6 +52,16 @@ def test_every_notice_of_a_file_is_found(spark):
     got = {r["doc_id"]: {x["label"] for x in r["found"]} for r in op5_licenses.scan(docs, ["doc_id"]).collect()}
     assert all(want <= got[i] for i, _, want in data) and got[len(data) - 2] == data[-2][2]
 
+    from weftline.llm.oracles import LICENCES
+
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [r[:2] for r in data])
+    done = con.execute(LICENCES)
+    names = [x[0] for x in done.description]
+    rows = op5_licenses.license_documents(docs).select(*names).collect()
+    assert sorted((*r[:-1], round(r[-1], 9)) for r in map(tuple, rows)) == sorted((*r[:-1], round(r[-1], 9)) for r in done.fetchall())
+
 
 def quality_base(text):
     text = text or ""

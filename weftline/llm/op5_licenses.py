@@ -5,8 +5,9 @@ key words of each notice below, by document counts over the whole corpus, to
 their places; each hit votes for a notice and the place where that notice would
 begin, and votes that agree are one alignment.  An alignment with the votes of all
 its notice's rarest words counts if the other key words stand at their places too,
-so every notice whose key phrase is there is found, whatever else is.  Beside that, the base phrases are found wherever their words stand in a
-row.  DataFrame expressions only; nothing but word counts is shuffled.
+so every notice whose key phrase is there is found, whatever else is.  Beside that,
+the base phrases are found wherever their words stand in a row.  DataFrame
+expressions only; nothing but word counts is shuffled.
 """
 
 from __future__ import annotations
@@ -48,8 +49,8 @@ NOTICES = [
 ]
 #: Function words are not in the index.
 PLAIN = {"a", "and", "any", "are", "as", "is", "in", "into", "it", "of", "or", "that", "the", "this", "to", "with"}
-#: The votes an alignment needs, one from each of so many rarest key words of its notice. ANCHORS is of the SQL alone, which looks up so many words a file.
-ANCHORS, VOTES = 8, 2
+#: The votes an alignment needs, one from each of so many rarest key words of its notice.
+VOTES = 2
 
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -113,7 +114,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     seen = {r["w"]: r["count"] for r in counts.collect()}  # a row a word of the vocabulary at most
     total = held.count()
     idf = {w: math.log((total + 1) / (seen.get(w, 0) + 1)) for w in VOCABULARY}
-    rarest = [(t, p, w) for t, (_, _, key) in enumerate(TEMPLATES) for p, w in sorted(key, key=lambda k: (-idf[k[1]], k))[:VOTES]]
+    rarest = [(t, p, w) for t, (_, _, key) in enumerate(TEMPLATES) for p, w in sorted(key, key=lambda k: (-idf[k[1]], k))[:VOTES]]  # of equal ones the first in the notice
 
     anchors = sorted({w for _, _, w in rarest})
     postings = F.expr("map(" + ",".join(f"'{w}',array(" + ",".join(f"named_struct('t',{t},'p',{p})" for t, p, x in rarest if x == w) + ")" for w in anchors) + ")")

@@ -112,8 +112,8 @@ with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(t
 terms(t, p, w) as (values {terms}), keys(t, p, w) as (values {keys}), names(t, label) as (values {names}), phrases(label, k, w, n) as (values {phrases}),
 hits as (select * from (select doc_id, unnest(range(0, len(l))) as i, unnest(l) as w from d) where w in {tuple(lic.VOCABULARY)}),
 seen as (select w, count(distinct doc_id) as c from hits group by w),
-anchors as (select * from (select doc_id, w, row_number() over (partition by doc_id order by c, w) as r from (select distinct doc_id, w from hits) join seen using (w)) where r <= {lic.ANCHORS}),
-votes as (select h.doc_id, t.t, h.i - t.p as o, count(*) as n from hits h join anchors a on a.doc_id = h.doc_id and a.w = h.w join terms t on t.w = h.w group by all having count(*) >= {lic.VOTES}),
+rarest as (select t, p, w from (select t, p, k.w, row_number() over (partition by t order by coalesce(c, 0), p, k.w) as r from keys k left join seen on seen.w = k.w) where r <= {lic.VOTES}),
+votes as (select h.doc_id, r.t, h.i - r.p as o, count(*) as n from hits h join rarest r on r.w = h.w group by all having count(*) = {lic.VOTES}),
 keyed as (select v.doc_id, v.t, v.o, count(distinct k.p) as n from votes v join keys k on k.t = v.t join hits h on h.doc_id = v.doc_id and h.i = v.o + k.p and h.w = k.w group by all),
 good as (select doc_id, t, o from keyed where n = (select count(*) from keys k where k.t = keyed.t)),
 shares as (select g.doc_id, g.t, g.o, count(h.w) / count(*) as share from good g join terms t on t.t = g.t left join hits h on h.doc_id = g.doc_id and h.i = g.o + t.p and h.w = t.w group by g.doc_id, g.t, g.o),
