@@ -7,11 +7,13 @@ pivotal method: of two documents a random transfer of words makes at least one
 probability 0 or 1, keeps each document's expectation, and keeps the sum of
 words of the pair.  Blocks of documents are folded so, each leaves at most one
 fractional document, and those meet again in the next level of a tree whose
-fan-in is bounded.  In the end one document a source is rounded, so a source's
-words differ from its target by at most half of one document.
+fan-in is bounded.  In the end one document a source is left and drawn by its own
+probability, so every document keeps its expectation, and a source's words differ
+from its target by less than that one document.
 
-All of it is DataFrame expressions.  Draws hash the ids of a pair, so reruns
-agree on any cluster.
+All of it is DataFrame expressions.  Draws hash what names a pair: id, source, size
+and text hash, and a number among rows that agree in all four.  Such rows can be
+exchanged, so reruns agree on any cluster, however rows are dealt.
 """
 
 from __future__ import annotations
@@ -108,10 +110,29 @@ def _fold(rows: DataFrame, kind: str) -> DataFrame:
     return lists.select("source", "bucket", F.aggregate(items, start, step).alias("_out")).select("source", "bucket", "_out.carry", "_out.done")
 
 
+def _distinct_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` (written, with ``key`` and ``_part``) with keys of their own for rows of one key.
+
+    Such rows are numbered within (key, part of the table), shifted by the counts of
+    the parts before, so however many there are none are gathered.
+    """
+    twice = materialize(rows.groupBy("key").count().filter("count > 1").select(F.col("key").alias("_k")), "keys")
+    if twice.isEmpty():
+        return rows.drop("_part")
+    hit = rows.join(twice, F.col("key") == F.col("_k"), "left_semi")
+    before = Window.partitionBy("_k").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    shift = hit.groupBy(F.col("key").alias("_k"), F.col("_part").alias("_q")).count().select("_k", "_q", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
+    nth = F.row_number().over(Window.partitionBy("key", "_part").orderBy(F.lit(0)))
+    numbered = hit.withColumn("_nth", nth).join(shift, (F.col("key") == F.col("_k")) & (F.col("_part") == F.col("_q")))
+    own = numbered.withColumn("key", F.xxhash64("key", F.col("_shift") + F.col("_nth")))
+    return rows.join(twice, F.col("key") == F.col("_k"), "left_anti").drop("_part").unionByName(own.select(*[c for c in rows.columns if c != "_part"]))
+
+
 def decide(sized: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns with ``source_size``, ``target`` and the number of ``copies`` of every row of ``sized``.
 
-    ``sized`` has doc_id, source and size besides; rows of no words get no copy.
+    ``sized`` is a written table with doc_id, source, size and ``mark``, the text's hash;
+    rows of no words get no copy.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("_docs"))
     plan = materialize(totals, "sources")
@@ -121,26 +142,27 @@ def decide(sized: DataFrame, keep: list[str]) -> DataFrame:
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     ready = sized.join(goal, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("_base", F.floor(rate).cast("long")).withColumn("p", rate - F.floor(rate))
     doc = F.struct(*dict.fromkeys([*keep, "source", "size", "source_size", "target", "_base"]))
-    key = F.xxhash64("doc_id", "source", "size")
-    rows = materialize(ready.select(doc.alias("doc"), "source", F.when(F.col("size") > 0, F.col("p")).otherwise(F.lit(0.0)).alias("p"), key.alias("key"), F.greatest(F.lit(1), F.ceil(F.col("_docs") / BLOCK)).alias("_blocks")), "mix")
+    key = F.xxhash64("doc_id", "source", "size", "mark")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("_docs") / BLOCK))
+    rows = materialize(ready.select(doc.alias("doc"), "source", F.when(F.col("size") > 0, F.col("p")).otherwise(F.lit(0.0)).alias("p"), key.alias("key"), blocks.alias("_blocks"), F.spark_partition_id().alias("_part")), "mix")
     kind = rows.select(F.struct("key", "doc", "p").alias("x")).schema["x"].dataType.simpleString()
     settled = [rows.filter("p = 0").select("doc", F.lit(0.0).alias("p"))]
-    level = rows.filter("p > 0").select("source", F.pmod(F.xxhash64("key", F.lit("block")), F.col("_blocks")).alias("bucket"), "key", "doc", "p")
+    level = _distinct_keys(rows.filter("p > 0")).select("source", F.pmod(F.xxhash64("key", F.lit("block")), F.col("_blocks")).alias("bucket"), "key", "doc", "p")
     while True:
         folded = materialize(_fold(level, kind), "pivot")
         settled.append(folded.select(F.inline("done")).select("doc", "p"))
         carried = folded.filter("carry is not null").select("source", F.floor(F.col("bucket") / FAN_IN).alias("bucket"), "carry.*")
         most = carried.groupBy("source").count().agg(F.max("count")).first()[0] or 0
         if most <= 1:
-            settled.append(carried.select("doc", F.round("p").alias("p")))
+            settled.append(carried.select("doc", F.when(unit(F.xxhash64(F.lit("last"), "key")) < F.col("p"), 1.0).otherwise(0.0).alias("p")))
             break
         level = carried.select("source", "bucket", "key", "doc", "p")
     every = reduce(DataFrame.unionByName, settled)
     return every.select("doc.*", (F.col("doc._base") + F.col("p").cast("long")).alias("copies")).drop("_base")
 
 
-def _sized(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select("doc_id", "source", *more, F.size(words(F.col("text"))).cast("long").alias("size"))
+def _size() -> Column:
+    return F.size(words(F.col("text"))).cast("long")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -151,21 +173,23 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     are settled each on its own.  Sources without words have target 0.  An empty
     table gives no rows.  Of ``docs`` only doc_id, source and text are read.
     """
-    done = decide(_sized(docs), ["doc_id"])
+    sized = materialize(docs.select("doc_id", "source", _size().alias("size"), F.xxhash64("text").alias("mark")), "sized")
+    done = decide(sized, ["doc_id"])
     return done.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (0, 1 or 2 times).
 
-    Rows are matched with their decisions by doc_id and a number among the rows
-    of one doc_id; copies of one row are equal rows of the result.
+    The rows are written once with a number of their own, by which decisions find
+    them.  Nulls: a null text has no words and its row is not taken; the null source
+    is the last; a null doc_id is kept.  Repeated rows are settled each on its own;
+    copies of one row are equal rows of the result.  All columns are kept, of any
+    name.  An empty table gives no rows.
     """
-    among = Window.partitionBy("doc_id").orderBy("__wf_mark", F.col("source"))
-    mark = F.xxhash64("text", "source").alias("__wf_mark")
-    numbered = docs.select("*", mark).withColumn("__wf_n", F.row_number().over(among))
-    sized = docs.select("doc_id", "source", mark, F.size(words(F.col("text"))).cast("long").alias("size"))
-    copies = decide(sized.withColumn("_n", F.row_number().over(among)).drop("__wf_mark"), ["doc_id", "_n"])
-    taken = copies.filter("copies > 0").select(F.col("doc_id").alias("__wf_id"), F.col("_n").alias("__wf_m"), F.col("copies").cast("int").alias("__wf_copies"))
-    kept = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("__wf_id")) & (F.col("__wf_n") == F.col("__wf_m")))
-    return kept.withColumn("__wf_copy", F.explode(F.sequence(F.lit(1), F.col("__wf_copies")))).select(*docs.columns)
+    row = F.struct(*docs.columns).alias("__wf_row")
+    held = materialize(docs.select(row, "doc_id", "source", _size().alias("size"), F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("_row")), "numbered")
+    copies = decide(held.drop("__wf_row"), ["_row"])
+    taken = copies.filter("copies > 0").select(F.col("_row").alias("__wf_n"), F.col("copies").cast("int").alias("__wf_copies"))
+    kept = held.select("__wf_row", "_row").join(taken, F.col("_row") == F.col("__wf_n"))
+    return kept.withColumn("__wf_copy", F.explode(F.sequence(F.lit(1), F.col("__wf_copies")))).select("__wf_row.*")
