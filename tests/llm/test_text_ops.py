@@ -220,3 +220,54 @@ def test_random_threads_against_sql(spark):
     want = Counter(tuple(dict(zip(names, r, strict=True))[c] for c in df.columns) for r in done.fetchall())
     got = df.collect()
     assert Counter(map(tuple, got)) == want and sum(r["parent_turn"] is not None for r in got) > 20
+
+
+def preorder(parent):
+    """Turns of one conversation, replies behind what they answer, depth first."""
+    out, kids = [], {}
+    for t in sorted(parent):
+        kids.setdefault(parent[t], []).append(t)
+    stack = sorted(kids.get(None, []), reverse=True)
+    while stack:
+        t = stack.pop()
+        out.append(t)
+        stack += sorted(kids.get(t, []), reverse=True)
+    return out
+
+
+def test_replies_stand_behind_what_they_answer(spark):
+    """Random trees, a long chain, and one root with many replies, depth first."""
+    rng, rows, trees = random.Random(5), [], {}
+    for c in range(6):
+        n = (40, 40, 40, 70, 300, 1)[c]
+        pick = {3: lambda t: t - 1, 4: lambda t: 0 if rng.random() < 0.9 else rng.randrange(t)}.get(c, lambda t: None if rng.random() < 0.15 else rng.randrange(t))
+        trees[c] = {t: pick(t) if t else None for t in range(n)}
+        for t, p in trees[c].items():
+            rows.append((c if c else None, t, "u", (f"> says number {p} of {c}\n" if p is not None else "") + f"says number {t} of {c}"))
+    rows += [(1, None, "u", "no turn")] * 3
+    for parts in (1, 4):
+        got = op10_quotes.threads(spark.createDataFrame(rows, TALK).repartition(parts)).collect()
+        for c, tree in trees.items():
+            own = sorted((r for r in got if r["conv_id"] == (c if c else None)), key=lambda r: r["position"])
+            assert [r["position"] for r in own] == list(range(len(own))) and {r["turn"]: r["parent_turn"] for r in own if r["turn"] is not None} == tree
+            assert [r["turn"] for r in own if r["turn"] is not None] == preorder(tree)
+    assert [r["turn"] for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["position"])][-3:] == [None] * 3
+
+
+def test_many_quoting_lines_are_linear(spark):
+    """A message of 100,000 quoting lines, all different."""
+    import time
+
+    said = "\n".join(f"> line number {i} is quoted here" for i in range(100_000))
+    began = time.time()
+    got = op10_quotes.threads(spark.createDataFrame([(1, 0, "u", "line number 7 is quoted here"), (1, 1, "a", said)], TALK)).collect()
+    assert {r["turn"]: r["parent_turn"] for r in got} == {0: None, 1: 0} and time.time() - began < 60
+
+
+def test_runs(spark):
+    rows = [(0, "a"), (1, "b"), (1, "c"), (1, ""), (1, "d"), (2, "e"), (1, "f"), (0, "g"), (1, "h")]
+    df = spark.createDataFrame([([{"level": a, "line": b} for a, b in rows],), ([{"level": 1, "line": ""}],)], "x array<struct<level:int,line:string>>")
+    got = df.select(op10_quotes._runs(F.col("x"), lambda x: F.lit(False)).alias("whole"), op10_quotes._runs(F.col("x"), lambda x: x["line"] == "").alias("cut")).collect()
+    assert [tuple(r) for r in got[0]["whole"]] == [(0, "a"), (1, "b\nc\n\nd"), (2, "e"), (1, "f"), (0, "g"), (1, "h")]
+    assert [tuple(r) for r in got[0]["cut"]] == [(0, "a"), (1, "b\nc"), (1, "d"), (2, "e"), (1, "f"), (0, "g"), (1, "h")]
+    assert [tuple(r) for r in got[1]["whole"]] == [(1, "")] and got[1]["cut"] == []

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.columns import SPACE_CHARS, SPACE_RUN, ascii_lower, let, words
+from weftline.llm.columns import SPACE_CHARS, ascii_lower, let, words
 from weftline.session import materialize
 
 #: Base rules.
@@ -60,27 +60,29 @@ def repeated_words(word_list: Column) -> Column:
     return F.when(n < 4, F.lit(0)).otherwise(count).cast("long")
 
 
-def class_counts(text: Column) -> Column:
-    """Characters of a text by class: small letters, white space, capitals, digits, marks, others."""
-    rest = F.regexp_replace(text, r"[\p{Ll}\x20\x09-\x0D]+", "")
+def class_counts(text: Column, inked: Column, rest: Column) -> Column:
+    """Characters of a text by class: small letters, white space, capitals, digits, marks, others.
+
+    ``inked`` counts what is no white space, ``rest`` is the text without small letters and white space.
+    """
     return let(
-        F.struct(text.alias("t"), rest.alias("r")),
-        lambda v: let(
-            F.struct(
-                F.length(v["t"]).alias("all"),
-                F.length(v["r"]).alias("rest"),
-                F.length(F.regexp_replace(v["t"], SPACE_RUN, "")).alias("inked"),
-                (F.length(v["r"]) - F.length(F.regexp_replace(v["r"], r"\p{Lu}+", ""))).alias("upper"),
-                (F.length(v["r"]) - F.length(F.regexp_replace(v["r"], r"\p{Nd}+", ""))).alias("digit"),
-                (F.length(v["r"]) - F.length(F.regexp_replace(v["r"], r"[.,;:!?'\"()\-]+", ""))).alias("mark"),
-            ),
-            lambda c: F.transform(F.array(c["inked"] - c["rest"], c["all"] - c["inked"], c["upper"], c["digit"], c["mark"], c["rest"] - c["upper"] - c["digit"] - c["mark"]), lambda x: x.cast("double")),
+        F.struct(
+            F.length(text).alias("all"),
+            inked.alias("inked"),
+            F.length(rest).alias("rest"),
+            F.length(F.regexp_replace(rest, r"\P{Lu}+", "")).alias("upper"),
+            F.length(F.regexp_replace(rest, r"\P{Nd}+", "")).alias("digit"),
+            F.length(F.regexp_replace(rest, r"[^.,;:!?'\"()\-]+", "")).alias("mark"),
         ),
+        lambda c: F.transform(F.array(c["inked"] - c["rest"], c["all"] - c["inked"], c["upper"], c["digit"], c["mark"], c["rest"] - c["upper"] - c["digit"] - c["mark"]), lambda x: x.cast("double")),
     )
 
 
-def common_counts(word_list: Column, lang: Column) -> Column:
-    """How often each common word of the language occurs, then all other words; null without a list."""
+def common_counts(word_list: Column, text: Column, lang: Column) -> Column:
+    """How often each common word of the language occurs, then all other words; null without a list.
+
+    The text is put in lower case as a whole before it is split, not word by word.
+    """
     every = sorted({w for ws in COMMON.values() for w in ws})
 
     def of(own: list[str]):
@@ -89,10 +91,11 @@ def common_counts(word_list: Column, lang: Column) -> Column:
         with_rest = lambda n: F.concat(n, F.array(F.size(word_list) - F.aggregate(n, F.lit(0.0), lambda a, x: a + x)))
         return lambda got: let(tally(got), with_rest)
 
-    out = F.lit(None).cast("array<double>")
+    found = F.filter(words(ascii_lower(text)), lambda w: w.isin(every))
+    cases = F.when(F.lit(False), F.lit(None).cast("array<double>"))
     for name, own in COMMON.items():
-        out = F.when(lang == name, let(F.filter(F.transform(word_list, ascii_lower), lambda w: w.isin(every)), of(own))).otherwise(out)
-    return out
+        cases = cases.when(lang == name, let(found, of(own)))
+    return cases
 
 
 def normal(counts: Column) -> Column:
@@ -110,18 +113,19 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns with the base counts and the two histograms; no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select(*keep, text.alias("_text"), F.col("lang").alias("_lang"))
-    split = read.withColumn("_words", words(F.col("_text")))
+    split = read.withColumns({"_words": words(F.col("_text")), "_rest": F.regexp_replace("_text", r"[\p{Ll}\x20\x09-\x0D]+", "")})
+    counted = split.withColumn("_inked", F.length(F.array_join("_words", "")))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
-    return split.select(
+    return counted.select(
         *keep,
         "_lang",
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        F.col("_inked").cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("_rest", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
-        normal(class_counts(F.col("_text"))).alias("_classes"),
-        normal(common_counts(F.col("_words"), F.col("_lang"))).alias("_common"),
+        normal(class_counts(F.col("_text"), F.col("_inked"), F.col("_rest"))).alias("_classes"),
+        normal(common_counts(F.col("_words"), F.col("_text"), F.col("_lang"))).alias("_common"),
     )
 
 
@@ -169,10 +173,10 @@ def quality_documents(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, as they were.
 
-    The verdict follows from text and language alone, so rows are matched by them.
+    The rows are written beside their features, so no text is shuffled.  Nulls: a
+    null text has no words and its row goes; a null language or doc_id is no reason
+    to go.  Equal rows go or stay together.  All columns are kept, of any name.  An
+    empty table gives no rows.
     """
-    mark = F.xxhash64("doc_id", "lang", "text").alias("__wf_mark")
-    judged = judge(docs.select("doc_id", "lang", "text", mark), ["doc_id", "__wf_mark"])
-    good = judged.filter("kept").select(F.col("doc_id").alias("__wf_id"), F.col("__wf_mark").alias("__wf_good")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__wf_id")) & (F.col("__wf_mark") == F.col("__wf_good"))
-    return docs.select("*", mark).join(good, same, "left_semi").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("__wf_row"), "text", "lang")
+    return judge(rows, ["__wf_row"]).filter("kept").select("__wf_row.*")

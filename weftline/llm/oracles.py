@@ -163,11 +163,16 @@ up(conv_id, turn, top, depth) as (
   select conv_id, turn, parent, 1::bigint from parents
   union all select u.conv_id, u.turn, p.parent, u.depth + 1 from up u join parents p on p.conv_id is not distinct from u.conv_id and p.turn = u.top
 ),
-roots as (select conv_id, turn, arg_max(top, depth) as root, max(depth) as depth from up group by all)
+roots as (select conv_id, turn, arg_max(top, depth) as root, max(depth) as depth from up group by all),
+paths(conv_id, turn, path) as (
+  select distinct o.conv_id, o.turn, [o.turn] from own o where not exists (select 1 from parents p where p.conv_id is not distinct from o.conv_id and p.turn = o.turn)
+  union all select c.conv_id, c.turn, list_append(p.path, c.turn) from paths p join parents c on c.conv_id is not distinct from p.conv_id and c.parent = p.turn
+)
 select o.conv_id, o.turn, o.role, coalesce(r.root, o.turn) as root_turn, coalesce(r.depth, 0) as depth, p.parent as parent_turn,
-  row_number() over (partition by o.conv_id order by coalesce(r.root, o.turn) nulls last, o.turn nulls last, o.role nulls first, o.content) - 1 as position,
+  row_number() over (partition by o.conv_id order by coalesce(r.root, o.turn) nulls last, w.path, o.turn nulls last, o.role nulls first, o.content) - 1 as position,
   (select count(distinct t) from asked a where a.conv_id is not distinct from o.conv_id and a.turn = o.turn and rank = 0) as n_quotes, o.max_level, o.content
-from own o left join parents p on p.conv_id is not distinct from o.conv_id and p.turn = o.turn left join roots r on r.conv_id is not distinct from o.conv_id and r.turn = o.turn
+from own o join paths w on w.conv_id is not distinct from o.conv_id and w.turn is not distinct from o.turn
+left join parents p on p.conv_id is not distinct from o.conv_id and p.turn = o.turn left join roots r on r.conv_id is not distinct from o.conv_id and r.turn = o.turn
 """
 
 ORACLES = {"op10_quote_threads": QUOTES, "op5_rare_token_licenses": LICENCES, "op6_nn_descent": VECTORS, "op7_divergence_rules": QUALITY, "op8_line_windows": LINES, "op9_partenum_join": JACCARD}
