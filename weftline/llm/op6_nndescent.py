@@ -6,11 +6,13 @@ joining each node's neighbours with each other: who are close to the same node
 are likely close.  Links are pairs whose cosine, in double precision, reaches the
 threshold.  A list full of links is saturated: it may leave links out.  Nodes with
 such lists look for links outside the component that their links make, until there
-are none, and within a component every pair is compared, in cells of bounded size
-that return counts and no pairs.  Trees grow with their depth, so that a pair at the
-threshold shares a leaf as likely at any size.  The recall of links is audited on a
-query set that grows with the input, against all rows; the descent goes on with more
-trees where it is too low, and fails where it stays so.
+are none, and are compared with the whole of their component, in cells of bounded
+size that return counts and no pairs; so are all nodes of components that fit one
+cell.  Between other nodes the links of their lists count.  Trees grow with their
+depth, so that a pair at the threshold shares a leaf as likely at any size.  The
+recall of the counted links is audited on a query set that grows with the input,
+against all rows; the descent goes on with more trees where it is too low, and fails
+where it stays so.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ THRESHOLD = 0.9
 NEIGHBOURS, TREES, LEAF, ROUNDS = 10, 8, 128, 3
 #: Share of changed list entries below which the descent ends.
 STILL = 0.02
-#: Rows of a leaf above which it is split by salt; members of a cell.
-HOT_LEAF, CELL = 1024, 512
+#: Rows of a leaf above which it is split by salt; numbers of each side of a cell, and vectors at least.
+HOT_LEAF, CELL_NUMBERS, CELL = 1024, 1 << 20, 512
 #: The audit: vectors asked at first, recall wanted, further forests at most.
 AUDIT, RECALL, FORESTS = 512, 0.95, 3
 #: The audit ends with so many vectors that have links, or a share of all vectors (of at least so many) asked; vectors a scan at most, and compared at once.
@@ -222,14 +224,19 @@ def _trees(depth: int) -> int:
     return TREES if meet == 1 else max(TREES, int(np.ceil(np.log(1 - RECALL) / np.log1p(-meet))))
 
 
-def _outward(labels: DataFrame, lists: DataFrame, single: DataFrame, nodes: DataFrame, forest: int) -> DataFrame:
+def _saturated(lists: DataFrame) -> DataFrame:
+    """(_f): the nodes whose lists are full of links."""
+    full = lists.groupBy("node").agg(F.min("cos").alias("_worst"), F.count("*").alias("_k"))
+    return full.filter((F.col("_k") >= NEIGHBOURS) & (F.col("_worst") >= THRESHOLD - _SLACK)).select(F.col("node").alias("_f"))
+
+
+def _outward(labels: DataFrame, full: DataFrame, single: DataFrame, nodes: DataFrame, forest: int) -> DataFrame:
     """``labels`` after the links that full lists leave out have joined their components.
 
     A link is in neither end's list only where both are full of nearer links.  The
     nodes of such lists look for links outside their own components, in new trees,
     until a forest of them finds none.
     """
-    full = lists.groupBy("node").agg(F.min("cos").alias("_worst"), F.count("*").alias("_k")).filter((F.col("_k") >= NEIGHBOURS) & (F.col("_worst") >= THRESHOLD - _SLACK)).select(F.col("node").alias("_f"))
     dense = materialize(single.join(full, F.col("node") == F.col("_f")).select("node", "dim", "vec"), "dense")
     rows = dense.count()
     depth, first = _depth(rows), (forest + 1) * 100_000
@@ -251,37 +258,52 @@ def _outward(labels: DataFrame, lists: DataFrame, single: DataFrame, nodes: Data
 
 
 def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many rows each member of a cell links with, of (component, lower, upper, own, node, copies, vec) rows by cell."""
-    for key, columns in _groups(batches, 3, 2 * CELL + 1):
-        own, node, copies = np.array(columns[3]), np.array(columns[4], np.int64), np.array(columns[5], np.int64)
-        x = np.frombuffer(b"".join(columns[6]), np.float64).reshape(len(node), -1)
-        low, high = own == key[1], own == key[2]
-        sim = x[low] @ x[high].T >= THRESHOLD
-        if key[1] == key[2]:
-            np.fill_diagonal(sim, False)
-            out = [(node[low], sim @ copies[high])]
-        else:
-            out = [(node[low], sim @ copies[high]), (node[high], copies[low] @ sim)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a for a, _ in out])), pa.array(np.concatenate([b for _, b in out]).astype(np.int64))], ["node", "links"])
-
-
-def _enlarge(labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, links): rows that link with each node, over whole components."""
+    """How many rows the asked members of a cell link with, and its other members with the asked, of (component, asked block, block, asks, full, node, copies, vec) rows by cell."""
+    for _, columns in _groups(batches, 3, 1 << 62):
+        asks, full, node, copies = (np.array(columns[i], np.int64) for i in (3, 4, 5, 6))
+        x = np.frombuffer(b"".join(columns[7]), np.float64).reshape(len(node), -1)
+        left, right = np.flatnonzero(asks == 1), np.flatnonzero(asks == 0)
+        back, rest = np.zeros(len(right), np.int64), full[right] == 0
+        for at in range(0, len(left), SLICE):
+            some = left[at : at + SLICE]
+            sim = (x[some] @ x[right].T >= THRESHOLD) & (node[some][:, None] != node[right])
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(sim @ copies[right])], ["node", "links"])
+            back += copies[some] @ sim
+        yield pa.RecordBatch.from_arrays([pa.array(node[right][rest]), pa.array(back[rest])], ["node", "links"])
+
+
+def _enlarge(labels: DataFrame, nodes: DataFrame, full: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, links): rows that link with each node.
+
+    Saturated nodes, and all nodes of components of one cell, are compared with their
+    whole components; the vectors sent grow with a component times its saturated
+    nodes over the size of a cell.  Members are dealt over blocks by hash.
+    """
     width = shuffle_width(nodes.sparkSession)
-    numbered = labels.withColumn("own", F.floor((F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1) / CELL).cast("int"))
-    sizes = labels.groupBy(F.col("component").alias("_c")).agg(F.ceil(F.count("*") / CELL).cast("int").alias("_blocks"))
-    spread = numbered.join(sizes, F.col("component") == F.col("_c")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    cells = spread.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("node").alias("_n"))
-    rows = cells.join(nodes.select("node", "copies", "vec"), F.col("_n") == F.col("node")).select("component", "lo", "hi", "own", "node", "copies", "vec")
-    counted = rows.repartition(width, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "own", "node").mapInArrow(_count_cells, "node long, links long")
-    return counted.groupBy("node").agg(F.sum("links").alias("links"))
+    marked = labels.join(full, F.col("node") == F.col("_f"), "left").join(nodes.select(F.col("node").alias("_n"), "dim"), F.col("node") == F.col("_n")).select("node", "component", "dim", F.col("_f").isNotNull().alias("full"))
+    marked = materialize(marked, "marked")
+    cell = F.greatest(F.lit(CELL), F.floor(F.lit(CELL_NUMBERS) / F.max("dim")))
+    sizes = marked.groupBy(F.col("component").alias("_c")).agg(F.ceil(F.count("*") / cell).cast("int").alias("_blocks"), F.ceil(F.count_if("full") / cell).cast("int").alias("_asked"))
+    dealt = marked.join(sizes, F.col("component") == F.col("_c")).withColumn("full", F.col("full") | (F.col("_blocks") == 1)).withColumn("_asked", F.greatest("_asked", (F.col("_blocks") == 1).cast("int")))
+    own = lambda n: F.pmod(F.xxhash64("node", "component"), n).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asks = dealt.filter("full").select("component", own(F.col("_asked")).alias("lo"), numbers(F.col("_blocks")).alias("hi"), F.lit(1).alias("asks"), F.lit(1).alias("full"), F.col("node").alias("_n"))
+    told = dealt.filter("_asked > 0").select("component", numbers(F.col("_asked")).alias("lo"), own(F.col("_blocks")).alias("hi"), F.lit(0).alias("asks"), F.col("full").cast("int").alias("full"), F.col("node").alias("_n"))
+    rows = asks.unionByName(told).join(nodes.select("node", "copies", "vec"), F.col("_n") == F.col("node")).select("component", "lo", "hi", "asks", "full", "node", "copies", "vec")
+    counted = rows.repartition(width, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "asks", "node").mapInArrow(_count_cells, "node long, links long")
+    # links between nodes of which none is compared
+    rest = dealt.filter("not full").select(F.col("node").alias("_r"))
+    both = links.join(rest, F.col("a") == F.col("_r"), "left_semi").join(rest, F.col("b") == F.col("_r"), "left_semi")
+    ends = both.select(F.col("a").alias("node"), F.col("b").alias("_b")).unionByName(both.select(F.col("b").alias("node"), F.col("a").alias("_b")))
+    listed = ends.join(nodes.select(F.col("node").alias("_n"), "copies"), F.col("_b") == F.col("_n")).select("node", F.col("copies").alias("links"))
+    return counted.unionByName(listed).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def _asked(batches: Iterator[pa.RecordBatch], queries) -> Iterator[pa.RecordBatch]:
-    """(query, links, met) of a query set against all vectors: its links, and those with both ends in one component."""
-    names, dims, homes, raw = queries.value
+    """(query, links): how many rows of other nodes each vector of a query set links with, over all."""
+    names, dims, raw = queries.value
     for batch in batches:
-        node, dim, vec, home = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_numpy()
+        node, dim, vec, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_numpy()
         for d in np.unique(dim):
             own, mine = np.flatnonzero(dim == d), np.flatnonzero(dims == d)
             if not len(mine):
@@ -290,37 +312,36 @@ def _asked(batches: Iterator[pa.RecordBatch], queries) -> Iterator[pa.RecordBatc
             q = np.frombuffer(b"".join(raw[i] for i in mine), np.float64).reshape(len(mine), -1)
             for at in range(0, len(mine), SLICE):
                 some = mine[at : at + SLICE]
-                hit = (x @ q[at : at + SLICE].T >= THRESHOLD) & (node[own][:, None] != names[some])
-                links, met = hit.sum(0), (hit & (home[own][:, None] == homes[some])).sum(0)
+                links = copies[own] @ ((x @ q[at : at + SLICE].T >= THRESHOLD) & (node[own][:, None] != names[some]))
                 has = links > 0
-                yield pa.RecordBatch.from_arrays([pa.array(names[some][has]), pa.array(links[has], pa.int64()), pa.array(met[has], pa.int64())], ["query", "links", "met"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[some][has]), pa.array(links[has], pa.int64())], ["query", "links"])
 
 
-def audit(nodes: DataFrame, labels: DataFrame) -> float:
-    """The share of the links of a query set, found by comparing it with all rows, whose ends are in one component.
+def audit(nodes: DataFrame, counted: DataFrame) -> float:
+    """The share of the links of a query set, found by comparing it with all rows, that are in ``counted`` (node, links).
 
-    Links are counted over whole components, so such a link is counted.  The set is
+    What is counted has been compared, so it is never more than there is.  The set is
     drawn by hashes and grows until LINKED of its vectors have links or SHARE of all
     are asked.  Of the shares over links and over vectors with links the smaller
     counts; 1 where none has a link.
     """
     spark = nodes.sparkSession
     total = nodes.count()
-    of = labels.select(F.col("node").alias("_o"), "component")
-    placed = nodes.join(of, F.col("node") == F.col("_o"), "left").select("node", "dim", "vec", F.coalesce("component", "node").alias("home"))
+    of = counted.select(F.col("node").alias("_o"), F.col("links").alias("known"))
+    placed = nodes.join(of, F.col("node") == F.col("_o"), "left").select("node", "dim", "vec", "copies", F.coalesce("known", F.lit(0)).alias("known"))
     buckets = max(1, round(total / AUDIT))
     last = min(buckets, int(np.ceil(max(ASKED, SHARE * total) / AUDIT)))
     drawn = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(buckets))
     at, width, seen, links, met, shares = 0, 1, 0, 0, 0, 0.0
     while at < last and seen < LINKED:
         picked = placed.filter((drawn >= at) & (drawn < min(at + width, last))).collect()  # SCAN vectors, but for chance
-        names, dims, homes = (np.array([r[c] for r in picked], np.int64) for c in ("node", "dim", "home"))
-        sent = spark.sparkContext.broadcast((names, dims, homes, [bytes(r["vec"]) for r in picked]))
-        counted = placed.mapInArrow(lambda b, sent=sent: _asked(b, sent), "query long, links long, met long").groupBy("query").agg(F.sum("links").alias("links"), F.sum("met").alias("met"))
-        row = counted.agg(F.count("*"), F.sum("links"), F.sum("met"), F.sum(F.col("met") / F.col("links"))).first()
+        names, dims = (np.array([r[c] for r in picked], np.int64) for c in ("node", "dim"))
+        known = {r["node"]: r["known"] for r in picked}
+        sent = spark.sparkContext.broadcast((names, dims, [bytes(r["vec"]) for r in picked]))
+        found = nodes.select("node", "dim", "vec", "copies").mapInArrow(lambda b, sent=sent: _asked(b, sent), "query long, links long").groupBy("query").agg(F.sum("links").alias("links"))
+        for r in found.collect():  # a row a vector asked at most
+            seen, links, met, shares = seen + 1, links + r["links"], met + known[r["query"]], shares + known[r["query"]] / r["links"]
         sent.unpersist()
-        if row[0]:
-            seen, links, met, shares = seen + row[0], links + row[1], met + row[2], shares + row[3]
         at, width = at + width, min(2 * width, max(1, SCAN // AUDIT))
     return min(met / links, shares / seen) if seen else 1.0
 
@@ -331,7 +352,8 @@ def dedup_vectors(vectors: DataFrame) -> DataFrame:
     A vector that is null, zero, or holds a null or a number that isn't finite links
     with nothing; so do vectors of unequal length.  Equal vectors are linked.  Rows
     that share a vec_id are vectors each; a null vec_id names a component only if it
-    has no other.  An empty table gives no rows.  Other columns are not read.
+    has no other.  An empty table gives no rows.  Other columns are not read.  Raises
+    where the audited recall stays below RECALL after the last forest.
     """
     read = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_read, _NODES)
     held = materialize(read, "vectors")
@@ -348,13 +370,14 @@ def dedup_vectors(vectors: DataFrame) -> DataFrame:
                 drop_scratch(lists)
             lists = better
         lists = _descend(lists, single, total)
-        labels = _outward(components(_links(lists, nodes)), lists, single, nodes, forest)
-        recall = audit(nodes, labels)
+        pairs, full = materialize(_links(lists, nodes), "links"), materialize(_saturated(lists), "saturated")
+        labels = _outward(components(pairs), full, single, nodes, forest)
+        links = materialize(_enlarge(labels, nodes, full, pairs), "counted")
+        recall = audit(nodes, links)
         if recall >= RECALL:
             break
     else:
         raise RuntimeError(f"recall of links {recall:.3f} after {1 + FORESTS} forests of {many} trees, {RECALL} wanted")
-    links = materialize(_enlarge(labels, nodes), "links")
     named = held.select("vec_id", F.col("node").alias("_n"))
     info = nodes.select("node", "copies").join(links.withColumnRenamed("node", "_l"), F.col("node") == F.col("_l"), "left").join(labels.select(F.col("node").alias("_b"), "component"), F.col("node") == F.col("_b"), "left")
     info = info.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
