@@ -88,3 +88,12 @@ def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
     cluster = N(conf=N(get=lambda *a: None), sparkContext=N(_jsc=jsc, master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="checkpoint"):
         session.shared_root(cluster)
+
+
+def test_small_inputs_are_dealt_over_all_cores(spark, monkeypatch):
+    from weftline import session
+
+    df = spark.read.parquet(f"{SF}/nation.parquet")
+    assert session.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "SMALL", 1)
+    assert session.spread(df) is df

@@ -125,5 +125,20 @@ def drop_scratch(df: DataFrame) -> None:
             fs.delete(place, True)
 
 
+#: Bytes a core up to which an input is dealt anew before costly work on its rows.
+SMALL = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where it is small by the planner's estimate, else as it is.
+
+    A small table is often one file of one row group, which one task reads, however
+    many cores there are; a large one has tasks enough and isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
