@@ -136,7 +136,7 @@ def spread(df: DataFrame) -> DataFrame:
     many cores there are; a large one has tasks enough and isn't moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < SMALL * cores else df
 
 
