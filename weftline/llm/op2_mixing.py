@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm.columns import let, unit, words
-from weftline.session import materialize
+from weftline.session import materialize, spread
 
 #: Weights of the sources by rank, repeating.
 CYCLE = (3, 1, 2)
@@ -173,7 +173,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     are settled each on its own.  Sources without words have target 0.  An empty
     table gives no rows.  Of ``docs`` only doc_id, source and text are read.
     """
-    sized = materialize(docs.select("doc_id", "source", _size().alias("size"), F.xxhash64("text").alias("mark")), "sized")
+    sized = materialize(spread(docs.select("doc_id", "source", "text")).select("doc_id", "source", _size().alias("size"), F.xxhash64("text").alias("mark")), "sized")
     done = decide(sized, ["doc_id"])
     return done.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm.tokens import encoder, in_slices
-from weftline.session import scratch_path, shuffle_width
+from weftline.session import scratch_path, shuffle_width, spread
 
 #: Ids under one rolling hash, the mean chunk, and the bounds of a chunk.
 WINDOW, MEAN, LEAST, MOST = 32, 1024, 128, 4096
@@ -346,7 +346,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, spaced: bool = True,
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    blocks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _encode(b, tokenizer, spaced, end_id, ordinary), _BLOCKS)
+    blocks = spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(lambda b: _encode(b, tokenizer, spaced, end_id, ordinary), _BLOCKS)
     nth = F.row_number().over(Window.partitionBy("key").orderBy("kind"))  # a chunk's rows are one a task, but for SENT
     blocks.repartition(width, "key").withColumn("_n", nth).filter("_n = 1").drop("_n").write.partitionBy("kind").option("compression", "none").parquet(f"{path}/blocks")
     encoded = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").filter("kind = 'recipe'")

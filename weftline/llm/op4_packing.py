@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm.tokens import encoder, in_slices
-from weftline.session import materialize
+from weftline.session import materialize, spread
 
 CAPACITY, END_ID = 2048, 0
 #: A plan of more segments is joined by shuffling it.
@@ -121,7 +121,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, spaced: bool = False, capacit
     A document longer than ``capacity`` ids is cut into pieces of ``capacity``, of which
     the first may be shorter.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _pieces(b, tokenizer, spaced, END_ID, capacity), _PIECES)
+    rows = spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(lambda b: _pieces(b, tokenizer, spaced, END_ID, capacity), _PIECES)
     return materialize(rows, "pieces")
 
 

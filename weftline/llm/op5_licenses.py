@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.columns import ascii_lower, let
-from weftline.session import materialize
+from weftline.session import materialize, spread
 
 #: The base phrases and their labels.
 PHRASES = {
@@ -108,7 +108,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     """
     ws = file_words(F.col("text"))
     hits = let(ws, lambda x: F.struct(F.size(x).alias("n"), F.filter(F.transform(x, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: h["w"].isin(VOCABULARY)).alias("hits")))
-    held = materialize(docs.select(*keep, hits.alias("_f")).select(*keep, F.col("_f.n").cast("long").alias("n_words"), F.col("_f.hits").alias("hits")), "licences")
+    held = materialize(spread(docs.select(*dict.fromkeys([*keep, "text"]))).select(*keep, hits.alias("_f")).select(*keep, F.col("_f.n").cast("long").alias("n_words"), F.col("_f.hits").alias("hits")), "licences")
 
     counts = held.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").count()
     seen = {r["w"]: r["count"] for r in counts.collect()}  # a row a word of the vocabulary at most

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.columns import SPACE_CHARS, ascii_lower, let, words
-from weftline.session import materialize
+from weftline.session import materialize, spread
 
 #: Base rules.
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -149,7 +149,7 @@ def _measure(held: DataFrame, known: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, the base counts, the distances and the verdict of every row."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    held = materialize(features(docs, keep).withColumn("base_failed", failed), "features")
+    held = materialize(features(spread(docs), keep).withColumn("base_failed", failed), "features")
     sound = held.filter(~F.col("base_failed") & (F.col("word_chars") >= MIN_CHARS))
     known = materialize(_references(sound), "references")
     for radius in RADII:  # junk bends the means; the next ones are of the documents near the last
