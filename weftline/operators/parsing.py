@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import extension
 from weftline.schemas import EXTRACTED_EDGES, PARSED_NODES
+from weftline.session import materialize, spread
 
 # Extensions by language, and the sizes of what is kept.
 LANGUAGES = {
@@ -235,12 +237,19 @@ def _calls(tree: ast.AST) -> Iterator[str]:
 
 
 def python_file(workspace: str, path: str, content: str) -> _Out:
-    """Functions, methods, classes with bases, constants, imports and calls of a Python file; nothing where it does not parse."""
-    out = _Out(workspace, path)
+    """Functions, methods, classes with bases, constants, imports and calls of a Python file.
+
+    Nothing where it does not parse, or is nested too deeply to be walked; such a
+    file is chunked as any text.
+    """
     try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError):
-        return out
+        return _python_tree(_Out(workspace, path), ast.parse(content), content)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return _Out(workspace, path)
+
+
+def _python_tree(out: _Out, tree: ast.AST, content: str) -> _Out:
+    workspace, path = out.ws, out.path
     lines = content.splitlines()
     text = lambda n: "\n".join(lines[n.lineno - 1 : n.end_lineno])
 
@@ -276,84 +285,197 @@ def python_file(workspace: str, path: str, content: str) -> _Out:
     return out
 
 
-# Lexical patterns of declarations: (pattern with the name as group 1, kind).
+# Lexical patterns of declarations: (pattern with the name as group 1, kind); white space may span lines.
+_PUB = r"(?:pub(?:\([^)]*\))?\s+)?"
 _DECLARATIONS = {
-    "rust": [(r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(\w+)", "function"), (r"(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)", "struct"), (r"(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)", "enum"), (r"(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)", "trait"), (r"macro_rules!\s+(\w+)", "macro"), (r"(?:pub(?:\([^)]*\))?\s+)?type\s+(\w+)", "type"), (r"(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?(\w+)\s*:", "constant")],
-    "go": [(r"func\s+(?:\([^)]*\)\s*)?(\w+)\s*[\[(]", "function"), (r"type\s+(\w+)\s+struct\b", "struct"), (r"type\s+(\w+)\s+interface\b", "interface"), (r"type\s+(\w+)\s+\w", "type"), (r"const\s+(\w+)\b", "constant")],
-    "javascript": [(r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", "function"), (r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>", "function"), (r"(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", "class"), (r"(?:export\s+)?interface\s+(\w+)", "interface"), (r"(?:export\s+)?type\s+(\w+)\s*[=<]", "type"), (r"(?:export\s+)?(?:const\s+)?enum\s+(\w+)", "enum")],
+    "rust": [(_PUB + r"(?:(?:async|unsafe|const|extern)\s+)*fn\s+(\w+)", "function"), (_PUB + r"struct\s+(\w+)", "struct"), (_PUB + r"enum\s+(\w+)", "enum"), (_PUB + r"(?:unsafe\s+)?trait\s+(\w+)", "trait"), (r"macro_rules!\s+(\w+)", "macro"), (_PUB + r"type\s+(\w+)", "type"), (_PUB + r"(?:const|static)\s+(?:mut\s+)?(\w+)\s*:", "constant")],
+    "go": [(r"func\s+(?:\([^)]*\)\s*)?(\w+)\s*[\[(]", "function"), (r"type\s+(\w+)(?:\[[^\]]*\])?\s+struct\b", "struct"), (r"type\s+(\w+)(?:\[[^\]]*\])?\s+interface\b", "interface"), (r"type\s+(\w+)\s+\w", "type"), (r"const\s+(\w+)\b", "constant")],
+    "javascript": [(r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", "function"), (r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:<[^>]*>\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=;{]+)?=>", "function"), (r"(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", "class"), (r"(?:export\s+)?interface\s+(\w+)", "interface"), (r"(?:export\s+)?type\s+(\w+)\s*[=<]", "type"), (r"(?:export\s+)?(?:const\s+)?enum\s+(\w+)", "enum"), (r"(?:(?:public|private|protected|static|async|get|set|override)\s+)*(\w+)\s*(?:<[^>]*>)?\([^)]*\)\s*(?::[^{;=]+)?(?=\{)", "member")],
 }
-_IMPORT = {"rust": r"(?:pub\s+)?use\s+(.+)", "go": r"import\s+(.+)|^\s*(?:\w+\s+)?(\"[^\"]+\")\s*$", "javascript": r"import\s+(.+)"}
-_CALL, _NOT_CALLS = re.compile(r"([A-Za-z_][\w.:]*)!?\s*\("), {"if", "for", "while", "match", "switch", "return", "fn", "func", "function", "catch", "loop", "in", "and", "or", "not", "await", "new"}
+#: Comments and strings, in which nothing is read.
+_SILENT = {
+    "rust": r'//[^\n]*|/\*.*?\*/|b?r(#*)".*?"\1|b?"(?:\\.|[^"\\])*"|b?\'(?:\\[^\n\']+|[^\\\'\n])\'',
+    "go": r'//[^\n]*|/\*.*?\*/|`[^`]*`|"(?:\\.|[^"\\\n])*"|\'(?:\\[^\n\']+|[^\\\'\n])\'',
+    "javascript": r'//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'',
+}
+_IMPORT = {"rust": r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+)", "go": r"^import\s+(?:\w+\s+|\.\s+)?(\"[^\"\n]+\")", "javascript": r"^[ \t]*import\s+((?:[^;'\"]*?from\s+)?['\"][^'\"\n]+['\"])"}
+_MARK = re.compile(r"[()\[\]{};]|\n\s*")
+_CALL = re.compile(r"([A-Za-z_][\w.:]*)!?\s*\(")
+_NOT_CALLS = {"if", "for", "while", "match", "switch", "return", "fn", "func", "function", "catch", "loop", "in", "and", "or", "not", "await", "new", "constructor", "else", "do", "with", "typeof"}
 
 
 def _symbols(lang: str, line: str) -> list[str]:
-    """The names that an import line brings in."""
-    line = line.strip().rstrip(";")
+    """The names that an import brings in."""
+    line = " ".join(line.split()).rstrip(";")
     clean = lambda xs: list(dict.fromkeys(y for x in xs if (y := re.sub(r"^\W+|\W+$", "", x))))
-    inside = re.search(r"\{([^}]*)\}", line)
+    inside = re.search(r"\{(.*)\}", line)
     if lang == "rust":
-        return clean(inside[1].split(",") if inside else [line.rsplit("::", 1)[-1].split(" ")[0]])
+        return clean(re.split(r"[,{}]", inside[1]) if inside else [line.rsplit("::", 1)[-1].split(" ")[0]])
     if lang == "go":
         return clean([line.strip('"').rsplit("/", 1)[-1]])
     own = [p.split(" as ")[0] for p in inside[1].split(",")] if inside else []
     return clean([*own, line.rsplit("from ", 1)[-1].strip("'\" ").rsplit("/", 1)[-1]])
 
 
+class _Code:
+    """A source text with its comments and strings blanked, the ends of its blocks, and its lines."""
+
+    def __init__(self, content: str, lang: str):
+        self.lang, self.text, self.lines = lang, content, content.splitlines()
+        self.code = re.compile(_SILENT[lang], re.S).sub(lambda m: re.sub(r"[^\n]", " ", m[0]), content)
+        self.breaks = [m.start() for m in re.finditer("\n", content)]
+        self.closes, open_ = {}, []
+        for m in re.finditer(r"[{}]", self.code):
+            if m[0] == "{":
+                open_.append(m.start())
+            elif open_:
+                self.closes[open_.pop()] = m.start()
+
+    def line(self, at: int) -> int:
+        return bisect_left(self.breaks, at) + 1
+
+    def body(self, at: int, start: int) -> tuple[int | None, int]:
+        """(place of the block's brace, or None; place of the end) of a declaration whose name ends at ``at``.
+
+        Brackets are skipped as a whole; a line's end closes a declaration without a
+        block where the language has no need of a semicolon.
+        """
+        depth = self.code.count("(", start, at) - self.code.count(")", start, at) + self.code.count("[", start, at) - self.code.count("]", start, at)
+        for m in _MARK.finditer(self.code, at):
+            place, mark = m.start(), m[0][0]
+            if mark in "([":
+                depth += 1
+            elif mark in ")]":
+                depth -= 1
+            elif depth <= 0:
+                if mark == "{":
+                    return place, self.closes.get(place, len(self.code))
+                if mark == ";":
+                    return None, place
+                if mark == "}":
+                    return None, place - 1
+                if mark == "\n" and self.lang != "rust" and self.code[m.end() : m.end() + 1] != "{":
+                    return None, place
+        return None, len(self.code)
+
+    def span(self, first: int, last: int) -> str:
+        return "\n".join(self.lines[first - 1 : last])
+
+
+def _bare_types(header: str) -> str:
+    """A header without its generics, however deep."""
+    while (out := re.sub(r"<[^<>]*>", "", header)) != header:
+        header = out
+    return header
+
+
 def lexical_file(workspace: str, path: str, content: str, lang: str) -> _Out:
-    """Declarations, imports and calls by line patterns and brace depth; an approximation of a syntax tree."""
-    out, lines = _Out(workspace, path), content.splitlines()
-    rules = [(re.compile(r"^\s*" + p), kind) for p, kind in _DECLARATIONS["javascript" if lang in ("javascript", "typescript") else lang]]
-    importing = re.compile(r"^\s*(?:" + _IMPORT["javascript" if lang == "typescript" else lang] + ")")
-    scopes: list[tuple[int, str, str]] = []  # depth, id, kind
-    depth, block = 0, False
-    for n, line in enumerate(lines, 1):
-        code = re.sub(r"//.*$", "", line)
-        while scopes and depth <= scopes[-1][0] and code.strip() not in ("{", ""):
+    """Declarations, imports and calls by patterns over a text without comments and strings, and by matched brackets.
+
+    An approximation of a syntax tree: signatures, generics and blocks may span lines.
+    """
+    kindred = "javascript" if lang == "typescript" else lang
+    out, src = _Out(workspace, path), _Code(content, kindred)
+    found = {}
+    for pattern, kind in _DECLARATIONS[kindred]:
+        for m in re.finditer(r"^[ \t]*" + pattern, src.code, re.M):
+            found.setdefault(m.start(), (m, kind))
+    if kindred == "rust":
+        for m in re.finditer(r"^[ \t]*(?:unsafe\s+)?impl\b", src.code, re.M):
+            found[m.start()] = (m, "impl")
+    scopes: list[tuple[int, int, str, str]] = []  # start, end, id, kind of the open blocks
+    holders, heads = [], []  # blocks that may hold calls; the places of declarations
+    for start in sorted(found):
+        m, kind = found[start]
+        while scopes and scopes[-1][1] < start:
             scopes.pop()
-        impl = re.match(r"^\s*impl(?:<[^>]*>)?\s+(?:([\w:]+)(?:<[^>]*>)?\s+for\s+)?(\w+)", code) if lang == "rust" else None
-        block = block and not code.strip().startswith(")") or bool(re.match(r"^import\s*\($", code.strip()))
-        hit = next(((m, kind) for p, kind in rules if (m := p.match(code))), None)
-        if impl:
-            if impl[1]:
-                out.edge(f"{workspace}:{path}:{impl[2]}", impl[1].rsplit("::", 1)[-1], "IMPLEMENTS")
-            scopes.append((depth, f"{workspace}:{path}:{impl[2]}", "impl"))
-        elif hit:
-            (m, kind), end, level = hit, n, 0
-            for k in range(n - 1, min(n + 400, len(lines))):
-                level += lines[k].count("{") - lines[k].count("}")
-                end = k + 1
-                if level <= 0 and ("}" in lines[k] or ";" in lines[k] or "{" not in "".join(lines[n - 1 : k + 1]) and k > n):
-                    break
-            if kind == "function" and scopes and scopes[-1][2] in ("impl", "class", "trait", "interface"):
-                kind = "method"
-            receiver = re.match(r"^\s*func\s+\(\s*\w*\s*\*?(\w+)", code) if lang == "go" else None
-            made = out.node(m[1], "method" if receiver else kind, lang, n, end, "\n".join(lines[n - 1 : end]))
-            parent = f"{workspace}:{path}:{receiver[1]}" if receiver else scopes[-1][1] if scopes else None
-            if parent:
-                out.edge(parent, m[1], "CONTAINS" if parent.endswith(m[1]) else "DECLARES", made)
-            if kind == "class":
-                for word, edge in (("extends", "EXTENDS"), ("implements", "IMPLEMENTS")):
-                    if found := re.search(rf"\b{word}\s+([\w.,\s]+)", code):
-                        for base in re.split(r",\s*", re.split(r"\b(?:extends|implements)\b|\{", found[1])[0].strip()):
-                            if base.strip():
-                                out.edge(made, base.strip().rsplit(".", 1)[-1], edge)
-            scopes.append((depth, made, kind))
-        elif (m := importing.match(code)) and (block or not code.startswith((" ", "\t"))) and code.strip() not in ("import (",):
-            made = out.node("import", "import", lang, n, n, code.strip(), f"{workspace}:{path}:import:{n}")
-            for name in _symbols("javascript" if lang == "typescript" else lang, next(x for x in m.groups() if x)):
-                out.edge(made, name, "IMPORTS")
-        holder = next((s for s in reversed(scopes) if s[2] in ("function", "method")), None)
-        if holder:
-            for name in _CALL.findall(code[hit[0].end() :] if hit else code):
-                if name not in _NOT_CALLS and (callee := name.rsplit(".", 1)[-1].rsplit("::", 1)[-1]):
-                    out.edge(holder[1], callee, "CALLS")
-        elif scopes and scopes[-1][2] == "struct" and not hit and (f := re.match(r"^\s*(?:pub\s+)?(\w+)\s*:?\s+([^,;`]+)", code)) and code.strip() not in ("}",):
-            made = out.node(f[1], "field", lang, n, n, code.strip(), limit=FIELD_LIMIT)
-            out.edge(scopes[-1][1], f[1], "CONTAINS", made)
+        outer = scopes[-1] if scopes else None
+        if kind == "member" and (m[1] in _NOT_CALLS - {"constructor"} or not outer or outer[3] != "class"):
+            continue
+        brace, end = src.body(m.end(), start)
+        if kind == "impl":
+            header = _bare_types(re.sub(r"\bwhere\b.*", "", src.code[m.end() : brace or end], flags=re.S))
+            if names := re.match(r"\s*!?\s*(?:([\w:]+)\s+for\s+)?&?\s*(?:mut\s+|dyn\s+)?([\w:]+)", header):
+                own = f"{workspace}:{path}:{names[2].rsplit('::', 1)[-1]}"
+                if names[1]:
+                    out.edge(own, names[1].rsplit("::", 1)[-1], "IMPLEMENTS")
+                scopes.append((start, end, own, kind))
+            continue
+        first, last = src.line(m.start(1)), src.line(max(end - 1, start) if brace is None else end)
+        receiver = re.match(r"\s*func\s+\(\s*\w*\s*\*?(\w+)", m[0]) if kindred == "go" else None
+        inside = kind == "function" and outer is not None and outer[3] in ("impl", "class", "trait", "interface")
+        kind = "method" if kind == "member" or receiver or inside else kind
+        made = out.node(m[1], kind, lang, first, last, src.span(first, last))
+        heads.append((m.start(), m.end()))
+        parent = f"{workspace}:{path}:{receiver[1]}" if receiver else outer[2] if outer else None
+        if parent:
+            out.edge(parent, m[1], "CONTAINS" if parent.endswith(m[1]) else "DECLARES", made)
+        if kind == "class":
+            header = _bare_types(src.code[m.end() : brace or end])
+            for word, edge in (("extends", "EXTENDS"), ("implements", "IMPLEMENTS")):
+                if bases := re.search(rf"\b{word}\s+([\w.,\s]+?)(?=\bextends\b|\bimplements\b|$)", header):
+                    for base in bases[1].split(","):
+                        if base.strip():
+                            out.edge(made, base.strip().rsplit(".", 1)[-1], edge)
+        if kind == "struct" and brace is not None:
+            _fields(out, src, lang, made, brace, end)
+        if brace is not None:
+            scopes.append((start, end, made, kind))
+        if kind in ("function", "method"):
+            holders.append((m.end(), end, made))
+    _imports(out, src, kindred, lang, workspace, path)
+    _called(out, src.code, holders, heads)
+    return out
+
+
+def _fields(out: _Out, src: _Code, lang: str, owner: str, brace: int, end: int) -> None:
+    """The members of a struct, one a line of its own block."""
+    at = src.line(brace)
+    for offset, line in enumerate(src.code[brace + 1 : end].split("\n")):
+        if "{" in line or "}" in line:
+            continue
+        if f := re.match(r"\s*" + _PUB + r"(\w+)\s*:?\s+([^,;]+)", line):
+            made = out.node(f[1], "field", lang, at + offset, at + offset, src.lines[at + offset - 1].strip(), limit=FIELD_LIMIT)
+            out.edge(owner, f[1], "CONTAINS", made)
             if (kinds := re.findall(r"\w+", f[2])) and len(kinds[-1]) < 50:
                 out.edge(made, kinds[-1], "REFERENCES")
-        depth += code.count("{") - code.count("}")
-    return out
+
+
+def _imports(out: _Out, src: _Code, kindred: str, lang: str, workspace: str, path: str) -> None:
+    """A node for each import, with the names it brings in; paths stand in strings, so the text itself is read where code begins."""
+    listed = []
+    for m in re.finditer(_IMPORT[kindred], src.text, re.M):
+        word = m.start() + len(m[0]) - len(m[0].lstrip())
+        if src.code[word : word + 3].strip():
+            listed.append((m.start(), m.end(), m[1]))
+    if kindred == "go":
+        for block in re.finditer(r"^import\s*\(([^)]*)\)", src.code, re.M):
+            for m in re.finditer(r'"[^"\n]+"', src.text[block.start(1) : block.end(1)]):
+                listed.append((block.start(1) + m.start(), block.start(1) + m.end(), m[0]))
+    for start, end, what in sorted(listed):
+        first, last = src.line(start), src.line(end - 1)
+        made = out.node("import", "import", lang, first, last, src.span(first, last).strip(), f"{workspace}:{path}:import:{first}")
+        for name in _symbols(kindred, what):
+            out.edge(made, name, "IMPORTS")
+
+
+def _called(out: _Out, code: str, holders: list[tuple[int, int, str]], heads: list[tuple[int, int]]) -> None:
+    """Calls, each of the innermost function around it; the names of declarations are none."""
+    holders, open_, at = sorted(holders), [], 0
+    declared = {end for _, end in heads}
+    starts = [a for a, _ in heads]
+    for m in _CALL.finditer(code):
+        while at < len(holders) and holders[at][0] <= m.start():
+            open_.append(holders[at])
+            at += 1
+        while open_ and open_[-1][1] < m.start():
+            open_.pop()
+        k = bisect_right(starts, m.start()) - 1
+        if not open_ or m.end() in declared or k >= 0 and m.start() < heads[k][1]:
+            continue
+        name = m[1].rsplit(".", 1)[-1].rsplit("::", 1)[-1]
+        if m[1] not in _NOT_CALLS and name:
+            out.edge(open_[-1][2], name, "CALLS")
 
 
 def parse_code(workspace: str, path: str, content: str, lang: str) -> _Out:
@@ -386,7 +508,8 @@ def _code_rows(files: DataFrame) -> DataFrame:
 def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and unresolved edges of all files; those that give nothing are chunked."""
     known = files.withColumn("_lang", language(F.col("file_path")))
-    code = _code_rows(known.where(F.col("_lang").isin(*_CODE)))
+    # written, as nodes, edges and the files without any come from it
+    code = materialize(_code_rows(spread(known.where(F.col("_lang").isin(*_CODE)))), "code")
     nodes, edges = [code.where("n is not null").select("n.*")], [code.where("e is not null").select("e.*")]
     for name, run in (("yaml", yaml), ("json", json), ("shell", shell), ("sql", sql), ("toml", toml)):
         n, e = run(known.where(F.col("_lang") == name))

@@ -97,14 +97,21 @@ _STATE = "kind string, old_path string"
 
 
 def stateful(events: DataFrame) -> DataFrame:
-    """The present kind of every path of a stream of split events, in update mode: custom state, kept between batches."""
+    """The present kind of every path of a stream of events, in update mode: custom state, kept between batches.
+
+    A path that came to nothing, or was deleted, is reported once and forgotten, so
+    the state holds the paths with a pending change and not all that ever were.
+    """
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         kind, old = state.get if state.exists else ("", None)
         rows = pd.concat(list(batches)).sort_values("seq")
         for what, before in zip(rows["what"], rows["old_path"], strict=True):
             kind, old = _after(kind, what), before if what == "renamed" else old
-        state.update((kind, old if kind == "Renamed" else None))
+        if kind in ("", "Deleted"):
+            state.remove()
+        else:
+            state.update((kind, old if kind == "Renamed" else None))
         yield pd.DataFrame({"workspace": [key[0]], "file_path": [key[1]], "kind": [kind], "old_path": [old if kind == "Renamed" else None]})
 
     acts = split_renames(events.where(admitted(F.col("kind"), F.col("path")))).withColumnRenamed("path", "file_path")
