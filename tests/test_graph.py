@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weftline.operators import condense, exact_lpa, graph, rag, store, vectors
+from weftline.operators import condense, sequential_lpa, graph, rag, store, vectors
 
 NODE = "id string, workspace string, label string, kind string, file_path string, language string, community int, text string"
 
@@ -37,7 +37,7 @@ def test_condense_stays_in_budget(spark):
 
 
 def test_communities(spark):
-    for run in (lambda n, e: graph.label_propagation(n, e), exact_lpa.communities):
+    for run in (lambda n, e: graph.label_propagation(n, e), sequential_lpa.communities):
         triangle = run(*graph_of(spark, "abc", [("a", "b"), ("b", "c"), ("a", "c")])).collect()
         assert groups(triangle) == [["a", "b", "c"]] and min(r["community"] for r in triangle) == 0
         assert groups(run(*graph_of(spark, "abxy", [("a", "b"), ("x", "y")])).collect()) == [["a", "b"], ["x", "y"]]
@@ -46,7 +46,7 @@ def test_communities(spark):
 
 def test_seeds_keep_their_number(spark):
     nodes, edges = graph_of(spark, "abxy", [("a", "b"), ("x", "y")], {"a": 7, "b": 7})
-    for rows in (exact_lpa.communities(nodes, edges, seeded=True).collect(), graph.label_propagation(nodes, edges, seeds=nodes.select("id", "community")).collect()):
+    for rows in (sequential_lpa.communities(nodes, edges, seeded=True).collect(), graph.label_propagation(nodes, edges, seeds=nodes.select("id", "community")).collect()):
         by = {r["id"]: r["community"] for r in rows}
         assert by["a"] == by["b"] == 7 and by["x"] == by["y"] != 7
 
@@ -57,12 +57,24 @@ def test_coupling_without_edges(spark):
     assert [(r["instability"], r["role"]) for r in rows] == [(0.5, "Domain Service")] * 2
 
 
-def test_generator_repeats():
-    a, b = exact_lpa.Xorshift64(5), exact_lpa.Xorshift64(5)
-    assert [a.next() for _ in range(5)] == [b.next() for _ in range(5)]
-    items = list(range(9))
-    exact_lpa.Xorshift64(3).shuffle(items)
-    assert sorted(items) == list(range(9)) != items
+def test_sequential_mode_rests(spark):
+    """The result is one where no node wants to move, whatever rows the edges come in; parallel edges add up."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b, w = rng.integers(0, 30, 80), rng.integers(0, 30, 80), rng.integers(1, 4, 80).astype(float)
+    a, b, w = a[a != b], b[a != b], w[a != b]
+    label = sequential_lpa.propagate(a, b, w, np.arange(30) + 100, 50)
+    mixed = rng.permutation(len(a))
+    assert (label == sequential_lpa.propagate(a[mixed], b[mixed], w[mixed], np.arange(30) + 100, 50)).all()
+    votes = np.zeros((30, 200))
+    np.add.at(votes, (a, label[b]), w)
+    np.add.at(votes, (b, label[a]), w)
+    for v in np.flatnonzero(votes.sum(1)):
+        assert votes[v, label[v]] == votes[v].max()
+    assert sequential_lpa.compact(np.array([7, sequential_lpa.FRESH + 5, 7, sequential_lpa.FRESH + 2])).tolist() == [7, 8, 7, 9]
+    nodes, edges = graph_of(spark, "abcd", [("a", "b"), ("a", "b"), ("c", "b"), ("c", "d"), ("a", "zz")])
+    assert sequential_lpa.communities(nodes, edges).count() == 4
 
 
 def test_boundary(spark):

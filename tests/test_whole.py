@@ -17,28 +17,28 @@ def run(spark, name, sf=SF):
 
 def test_json_of_every_event(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").where(F.get_json_object("props", "$.k").isNotNull())
-    assert run(spark, "json_properties_all").count() == events.count() > 2000
+    assert run(spark, "json_properties").count() == events.count() > 2000
 
 
 def test_headings_of_every_line(spark):
-    lines = run(spark, "heading_sections_all").agg(F.max("line"), F.count_if(F.col("line") > 20)).first()
+    lines = run(spark, "heading_sections").agg(F.max("line"), F.count_if(F.col("line") > 20)).first()
     assert lines[0] > 20 and lines[1] > 900
 
 
 def test_prompts_of_whole_texts(spark):
-    rows = run(spark, "user_prompts_all").join(spark.read.parquet(f"{SF}/conversations.parquet"), ["conv_id", "turn"])
+    rows = run(spark, "user_prompts").join(spark.read.parquet(f"{SF}/conversations.parquet"), ["conv_id", "turn"])
     assert rows.where(F.length("text") > 50).count() == rows.where(F.length("prompt") > 50).count() > 4000
 
 
 def test_neighbours_in_blocks(spark, monkeypatch):
-    whole = sorted(map(tuple, run(spark, "vector_batch_knn_all").collect()))
+    whole = sorted(map(tuple, run(spark, "vector_batch_knn").collect()))
     asked = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").count()
     assert len({r[0] for r in whole}) == asked == len(whole) // 5
     monkeypatch.setattr(vectors, "MAX_QUERIES", 60)
-    assert sorted(map(tuple, run(spark, "vector_batch_knn_all").collect())) == whole
+    assert sorted(map(tuple, run(spark, "vector_batch_knn").collect())) == whole
 
 
-@pytest.mark.parametrize("module, name, args", [("graph", "label_propagation", "communities_lpa"), ("exact_lpa", "communities", "communities_exact")])
+@pytest.mark.parametrize("module, name, args", [("graph", "label_propagation", "communities_lpa"), ("sequential_lpa", "communities", "communities_sequential")])
 def test_communities_see_every_edge(spark, monkeypatch, module, name, args):
     seen = []
     monkeypatch.setattr(getattr(graph_queries, module), name, lambda nodes, edges, **_: seen.append(edges) or nodes)
@@ -47,25 +47,6 @@ def test_communities_see_every_edge(spark, monkeypatch, module, name, args):
     assert set(rows) == {"CALLS", "IMPLEMENTS", "IMPORTS"} and sum(rows.values()) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
 
 
-def test_sequences_of_repeated_and_null_ids(spark):
-    import public_tokenizers
-    from weftline.llm import op4_packing
-
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    texts = [None, "", "one", "another text of this id", "and a third, longer text of this very id", "x y z", "x y z"]
-    docs = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    enc = op4_packing.encoder(path, False)
-    want = sorted([*map(int, ids), op4_packing.END_ID] for ids in enc.encode([t or "" for t in texts]))
-    got, part = [], []
-    for row in op4_packing.sequences(docs, path).collect():
-        for x in row["ids"]:
-            part.append(x)
-            if x == op4_packing.END_ID:
-                got.append(part)
-                part = []
-    assert sorted(got) == want and not part
-
-
 def test_scratch_tables_go_with_their_scope(spark):
     from weftline.session import materialize, scratch_scope
 

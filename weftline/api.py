@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators import condense, exact_lpa, graph, listings, parsing, rag, sessions, store, telemetry, vectors
+from weftline.operators import condense, graph, listings, parsing, rag, sequential_lpa, sessions, store, telemetry, vectors
 from weftline.session import materialize
 from weftline.sources import files, transcripts
 
@@ -81,10 +81,10 @@ class CodeGraph:
     def relate(self, wanted: DataFrame, dim: int = 384) -> "CodeGraph":
         return CodeGraph(*store.add_relationships(self.nodes, self.edges, wanted, dim), self.meta, self.calls)
 
-    def cluster(self, exact: bool = False) -> "CodeGraph":
-        """With new communities: the exact mode for graphs that fit an executor each, else the scalable one."""
-        if exact:
-            found = exact_lpa.communities(self.nodes, self.edges, seeded=True).select("id", "community")
+    def cluster(self, sequential: bool = False) -> "CodeGraph":
+        """With new communities: node by node where each workspace fits an executor, else by the scalable mode."""
+        if sequential:
+            found = sequential_lpa.communities(self.nodes, self.edges, seeded=True).select("id", "community")
         else:
             found = graph.label_propagation(self.nodes, self.edges, seeds=self.nodes.select("id", "community"))
         fresh = self.nodes.drop("community").join(found, "id").select(*self.nodes.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import condense, exact_lpa, graph, rag, store, vectors
+from weftline.operators import condense, graph, rag, sequential_lpa, store, vectors
 from weftline.plans.registry import query
 from weftline.plans.views import GRAPH_SQL, table, trade_edges, trade_nodes
 
@@ -154,8 +154,8 @@ def communities_lpa(spark, d):
 
 
 @query(None)
-def communities_exact(spark, d):
-    return exact_lpa.communities(trade_nodes(spark, d), trade_edges(spark, d))
+def communities_sequential(spark, d):
+    return sequential_lpa.communities(trade_nodes(spark, d), trade_edges(spark, d))
 
 
 @query(None)
@@ -186,17 +186,10 @@ def vector_topk_filtered(spark, d):
     return vectors.top_k(e, e.where("vec_id = 1").select("embedding").first()[0], 15, key="vec_id", where=F.col("label") == 3).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""with s as (select q.vec_id as query, e.vec_id as neighbour, {_COS} as c from embeddings q join embeddings e on e.vec_id <> q.vec_id where q.vec_id < 20),
-r as (select *, row_number() over (partition by query order by c desc, neighbour) as rank from s) select query, neighbour, rank, round(c, 6) as similarity from r where rank <= 5""")
-def vector_batch_knn(spark, d):
-    e = table(spark, d, "embeddings")
-    return vectors.batch_knn(e, e.where("vec_id < 20"), 5, key="vec_id").withColumn("similarity", F.round("similarity", 6))
-
-
 @query(f"""with s as (select q.vec_id as query, e.vec_id as neighbour, {_COS} as c from embeddings q join embeddings e on e.vec_id <> q.vec_id where q.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query order by c desc, neighbour) as rank from s) select query, neighbour, rank, round(c, 6) as similarity from r where rank <= 5""")
-def vector_batch_knn_all(spark, d):
-    """vector_batch_knn for every vec_id that 20 divides."""
+def vector_batch_knn(spark, d):
+    """The queries are all vectors whose vec_id 20 divides, asked in blocks against all."""
     e = table(spark, d, "embeddings")
     return vectors.block_knn(e, e.where("vec_id % 20 = 0"), 5, key="vec_id").withColumn("similarity", F.round("similarity", 6))
 

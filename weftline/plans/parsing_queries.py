@@ -33,20 +33,10 @@ def link_edges_distinct(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(parsing.hrefs(F.col("html")))).alias("link"))
 
 
-@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as n from documents)
-select doc_id, n::int as line, case when n % 5 = 0 then 2 else 1 end as level, trim(regexp_replace(trim(x), '^[*_`]+|[*_`]+$', '', 'g')) as label from l where n <= 20 and (n = 1 or n % 5 = 0) and trim(x) <> '' and not starts_with(trim(x), '#') and not starts_with(trim(x), '```') and trim(regexp_replace(trim(x), '^[*_`]+|[*_`]+$', '', 'g')) <> ''""")
-def heading_sections(spark, d):
-    f = files(spark, d)
-    lines = F.split("content", "\n")
-    marked = F.transform(lines, lambda x, i: F.when((F.trim(x) == "") | F.startswith(F.trim(x), F.lit("#")), F.lit("")).when((i + 1) % 5 == 0, F.concat(F.lit("## "), x)).when(i == 0, F.concat(F.lit("# "), x)).otherwise(F.lit("")))
-    heads = parsing.headings(f.withColumn("content", F.array_join(F.slice(marked, 1, 20), "\n")))
-    return heads.select(F.regexp_extract("file_path", r"(\d+)\.txt", 1).cast("long").alias("doc_id"), "line", "level", "label")
-
-
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as n from documents)
 select doc_id, n::int as line, case when n % 5 = 0 then 2 else 1 end as level, trim(regexp_replace(trim(x), '^[*_`]+|[*_`]+$', '', 'g')) as label from l where (n = 1 or n % 5 = 0) and trim(x) <> '' and not starts_with(trim(x), '#') and not starts_with(trim(x), '```') and trim(regexp_replace(trim(x), '^[*_`]+|[*_`]+$', '', 'g')) <> ''""")
-def heading_sections_all(spark, d):
-    """heading_sections over all lines of every document."""
+def heading_sections(spark, d):
+    """All lines of every document; the first and every fifth become headings."""
     f = files(spark, d)
     lines = F.split("content", "\n")
     marked = F.transform(lines, lambda x, i: F.when((F.trim(x) == "") | F.startswith(F.trim(x), F.lit("#")), F.lit("")).when((i + 1) % 5 == 0, F.concat(F.lit("## "), x)).when(i == 0, F.concat(F.lit("# "), x)).otherwise(F.lit("")))
@@ -62,15 +52,8 @@ def sql_objects(spark, d):
     return parsing.sql(f)[0].where("kind <> 'sql'").select("id", "label", "kind", "line_start")
 
 
-@query("""select 'ws:' || event_id || '.json:k' as id, 'k' as label, 'property' as kind from events where event_id < 2000 and json_extract_string(props, '$.k') is not null""")
-def json_properties(spark, d):
-    f = table(spark, d, "events").where("event_id < 2000").select(F.lit("ws").alias("workspace"), F.concat(F.col("event_id").cast("string"), F.lit(".json")).alias("file_path"), F.col("props").alias("content"))
-    return parsing.json(f)[0].where("kind = 'property'").select("id", "label", "kind")
-
-
 @query("""select 'ws:' || event_id || '.json:k' as id, 'k' as label, 'property' as kind from events where json_extract_string(props, '$.k') is not null""")
-def json_properties_all(spark, d):
-    """json_properties over every event."""
+def json_properties(spark, d):
     f = table(spark, d, "events").select(F.lit("ws").alias("workspace"), F.concat(F.col("event_id").cast("string"), F.lit(".json")).alias("file_path"), F.col("props").alias("content"))
     return parsing.json(f)[0].where("kind = 'property'").select("id", "label", "kind")
 
