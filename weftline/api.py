@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators import condense, graph, listings, parsing, rag, sequential_lpa, sessions, store, telemetry, vectors
+from weftline.operators import condense, graph, indexing, listings, rag, sequential_lpa, sessions, store, telemetry, vectors
 from weftline.session import materialize
 from weftline.sources import files, transcripts
 
@@ -34,12 +34,8 @@ class CodeGraph:
         if known is not None:
             tree = files.stale(tree, known)
         tree = materialize(tree, "tree")
-        nodes, extracted = parsing.parse(tree.select("workspace", "file_path", "content"))
-        nodes = materialize(nodes, "parsed")
-        hashed = nodes.join(tree.select("workspace", "file_path", "file_hash"), ["workspace", "file_path"], "left")
-        rich = hashed.withColumn("_rich", vectors.enriched_text(F.col("language"), F.col("kind"), F.col("label"), F.col("file_path"), F.col("text")))
-        embedded = vectors.embed(rich, "_rich", "embedding", dim, embedder).drop("_rich").withColumn("community", F.lit(None).cast("int"))
-        return CodeGraph(materialize(embedded, "nodes"), materialize(graph.resolve_edges(nodes, extracted), "edges"))
+        nodes, extracted = indexing.index(tree, dim, embedder)
+        return CodeGraph(nodes, materialize(graph.resolve_edges(nodes, extracted), "edges"))
 
     def _own(self, workspace: str | None) -> DataFrame:
         return self.nodes if workspace is None else self.nodes.where(F.col("workspace") == workspace)

@@ -15,7 +15,7 @@ BLOCKED_WORKSPACES = (
     "src", "tools", "specs", "sdlc", "docs", "scripts", "rules", "analytics", "tests", "examples", "internal", "pkg",
     "node_modules", "dist", "build", "target", "config", "builtin", "skills", "plugins", "hooks", "book", "guides",
     "architecture", "scratch", "logs", "brain", "users", "home", "tmp", "var", "private", "knowledge", "interviews",
-    "default", "workspace", "runner", "work", "bin", "cmd", "lib", "library", "applications", "system", "volumes",
+    "cloudstorage", "onedrive-personal", "g-drive", "default", "workspace", "runner", "work", "bin", "cmd", "lib", "library", "applications", "system", "volumes",
 )
 # Step types that a reader is shown.
 DISPLAYABLE = (

@@ -10,7 +10,7 @@ from weftline.operators.graph import k_hop
 
 #: Bytes for the symbols, bytes for all, relations listed at most.
 SYMBOL_BUDGET, TOTAL_BUDGET, RELATIONS = 3800, 6000, 25
-NODE_CAP, SNIPPET = 60, 140
+NODE_CAP, SNIPPET, LISTED = 60, 140, 200
 
 
 def tokens(text: Column) -> Column:
@@ -37,8 +37,14 @@ def roots(nodes: DataFrame, symbol: str) -> DataFrame:
     return nodes.where((F.lower("label") == symbol.lower()) | (F.col("id") == symbol)).select("id")
 
 
+def _listed(ends: DataFrame, name: str) -> DataFrame:
+    """One row: the first LISTED of ``x`` in order, and how many there are; a hub's are not gathered."""
+    first = ends.orderBy("x").limit(LISTED).agg(F.sort_array(F.collect_list("x")).alias(name))
+    return first.crossJoin(ends.agg(F.count("*").alias(f"n_{name}")))  # one row each
+
+
 def condense(nodes: DataFrame, edges: DataFrame, symbol: str, hops: int = 1) -> DataFrame:
-    """One row: the Markdown around a symbol, its token estimate, direct callers and callees, and whether it was cut.
+    """One row: the Markdown around a symbol, its token estimate, direct callers and callees (the first LISTED and their number), and whether it was cut.
 
     At most NODE_CAP nodes by (depth, id); the text has at most TOTAL_BUDGET bytes.
     """
@@ -59,9 +65,9 @@ def condense(nodes: DataFrame, edges: DataFrame, symbol: str, hops: int = 1) ->
     room = budget_prefix(first.withColumn("line", line), ["source", "type", "target"], F.octet_length("line"), TOTAL_BUDGET - SYMBOL_BUDGET - len(head) - 64)
     relations = room.agg(F.sort_array(F.collect_list(F.struct("source", "type", "target", "line"))).alias("r"), F.count("*").alias("shown"))
     total = touching.agg(F.count("*").alias("relations"))
-    direct = edges.join(start.withColumnRenamed("id", "target"), "target").agg(F.sort_array(F.collect_list("source")).alias("callers")).crossJoin(edges.join(start.withColumnRenamed("id", "source"), "source").agg(F.sort_array(F.collect_list("target")).alias("callees")))
+    direct = _listed(edges.join(start.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("x")), "callers").crossJoin(_listed(edges.join(start.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("x")), "callees"))
     row = symbols.crossJoin(relations).crossJoin(total).crossJoin(direct)  # one row each
     body = F.concat(F.lit(heading), F.array_join(F.transform("s", lambda x: x["entry"]), ""), F.lit(head), F.array_join(F.transform("r", lambda x: x["line"]), ""))
     cut = F.col("shown") < F.col("relations")
     text = F.when(cut, F.concat(body, F.lit("(more relations were cut)\n"))).otherwise(body)
-    return row.select(F.lit(symbol).alias("symbol"), text.alias("markdown"), tokens(text).alias("tokens"), "callers", "callees", cut.alias("truncated"), (F.col("relations") - F.col("shown")).alias("edges_skipped"))
+    return row.select(F.lit(symbol).alias("symbol"), text.alias("markdown"), tokens(text).alias("tokens"), "callers", "n_callers", "callees", "n_callees", cut.alias("truncated"), (F.col("relations") - F.col("shown")).alias("edges_skipped"))

@@ -6,6 +6,8 @@ driver.  Caps that belong to an operator carry a total order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,8 @@ from pyspark.sql.window import Window
 from weftline.functions import text as T
 from weftline.session import drop_scratch, materialize
 
+#: Nodes of a neighbourhood that is shown.
+HOOD = 40
 #: Weights of edge types for clustering; any other type weighs 1.
 EDGE_WEIGHTS = {"IMPLEMENTS": 3.0, "CALLS": 2.0, "TYPE_REF": 1.5}
 
@@ -69,11 +73,34 @@ def resolve_edges(nodes: DataFrame, extracted: DataFrame) -> DataFrame:
     return out.where(F.col("target").isNotNull())
 
 
-def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(id): the seeds and every node one edge away, each once; two equi-joins instead of an OR."""
+def neighbours(edges: DataFrame, seeds: DataFrame, cap: int | None = None) -> DataFrame:
+    """(id): the seeds and every node one edge away, each once; two equi-joins instead of an OR.
+
+    With ``cap`` (HOOD in a neighbourhood that is shown) so many: sources first, then
+    targets, then seeds without an edge, each by id.
+    """
     ends = edges.join(seeds.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id"))
     starts = edges.join(seeds.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id"))
-    return ends.unionByName(starts).unionByName(seeds.select("id")).distinct()
+    if cap is None:
+        return ends.unionByName(starts).unionByName(seeds.select("id")).distinct()
+    # a seed is the source of its outgoing edges and the target of its incoming ones
+    own = seeds.select("id").distinct()
+    out_of = own.join(edges.select(F.col("source").alias("id")), "id", "left_semi")
+    into = own.join(edges.select(F.col("target").alias("id")), "id", "left_semi")
+    tiers = [(starts, 0), (out_of, 0), (ends, 1), (into, 1), (own, 2)]
+    every = reduce(DataFrame.unionByName, [df.select("id", F.lit(n).alias("tier")) for df, n in tiers])
+    return every.groupBy("id").agg(F.min("tier").alias("tier")).orderBy("tier", "id").limit(cap).select("id")
+
+
+def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, cap: int = HOOD) -> tuple[DataFrame, DataFrame]:
+    """The nodes one hop around the seeds, ``cap`` at most, and the edges that touch a seed; the whole graph where none is known."""
+    near = materialize(nodes.join(neighbours(edges, seeds, cap), "id", "left_semi"), "near")
+    if near.isEmpty():
+        return nodes, edges
+    ids = seeds.select("id").distinct()
+    out_of = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").select(*edges.columns)
+    into = edges.join(ids.withColumnRenamed("id", "target"), "target", "left_semi").join(ids.withColumnRenamed("id", "source"), "source", "left_anti")
+    return near, out_of.unionByName(into.select(*edges.columns))
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, cap: int | None = None) -> DataFrame:
@@ -158,7 +185,15 @@ def boundary(nodes: DataFrame, edges: DataFrame, symbol: str, workspace: str | N
     crossing = F.col("cross_callers") > 0
     status = F.when(crossing, "BOUNDARY_CROSSING").when(F.col("internal_callers") > 0, "INTERNAL_ONLY").otherwise("ISOLATED")
     risk = F.when(crossing & ((F.col("cross_callers") >= 3) | (F.col("foreign") > 1)), "HIGH").when(crossing, "MEDIUM").otherwise("LOW")
-    return row.withColumn("status", status).withColumn("risk", risk)
+    return row.withColumn("status", status).withColumn("risk", risk).withColumn("advice", _advice())
+
+
+def _advice() -> Column:
+    """What to mind when a symbol of a boundary row is changed."""
+    crossing = F.format_string("%d callers in %d other communities depend on %s: change them together with it; its %d own callers move with it.", "cross_callers", "foreign", "symbol", "internal_callers")
+    inside = F.format_string("All %d callers of %s are in its own community: a change stays there.", "internal_callers", "symbol")
+    alone = F.format_string("%s has no callers in the graph: an entry point, or not in use.", "symbol")
+    return F.when(F.col("status") == "BOUNDARY_CROSSING", crossing).when(F.col("status") == "INTERNAL_ONLY", inside).otherwise(alone)
 
 
 def induced(nodes: DataFrame, edges: DataFrame, community: int) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,8 @@ from weftline.functions import text as T
 
 WRITE_TOOLS = ("write_to_file", "replace_file_content", "multi_replace_file_content")
 COMMAND_TOOL = "run_command"
+#: Rows of a list of known projects.
+MAX_KNOWN = 10_000
 
 
 def rollup(steps: DataFrame) -> DataFrame:
@@ -44,10 +46,12 @@ def tool_counts(steps: DataFrame) -> DataFrame:
 def project_scores(steps: DataFrame, known: DataFrame) -> DataFrame:
     """(session_id, project, score) from prompt mentions (10), metadata workspaces (15), known paths (20), parent folders (25) and derived names (15).
 
-    ``known`` (name, path) is a small dimension; substring tests against it have no key
-    and are one broadcast nested-loop join.
+    ``known`` (name, path) is a small dimension, of MAX_KNOWN rows at most, which is
+    checked; substring tests against it have no key and are one broadcast nested-loop join.
     """
-    dimension = F.broadcast(known.select("name", "path"))  # a list of repositories, kept by hand
+    if known.limit(MAX_KNOWN + 1).count() > MAX_KNOWN:
+        raise ValueError(f"more than {MAX_KNOWN} known projects")
+    dimension = F.broadcast(known.select("name", "path"))
     prompts = steps.where((F.col("type") == "USER_INPUT") & (F.col("source") == "USER_EXPLICIT"))
     mention = prompts.join(dimension, F.contains(F.lower("content"), F.lower("name"))).select("session_id", F.col("name").alias("project"), F.lit(10).alias("score"))
     stated = prompts.select("session_id", T.project_name(T.workspace_of(F.col("content"))).alias("project"), F.lit(15).alias("score")).where("project != 'Default'")
@@ -109,9 +113,8 @@ def search(steps: DataFrame, query: str, kind: str = "", limit: int = 100) -> Da
     found = steps.where(T.message_filter(kind, F.col("type"), F.col("content"), n_tools)).withColumn("body", body)
     hits = found.where((F.trim("body") != "") & (F.instr(F.lower("body"), query.lower()) > 0))
     top = hits.orderBy(F.desc_nulls_last("created_at"), "session_id", "step_index").limit(limit)
-    out = top.select("session_id", "step_index", "type", "created_at", T.search_preview(F.col("body"), query).alias("preview"))
-    total = out.agg(F.count("*").alias("total_count"))
-    return out.crossJoin(F.broadcast(total))  # one row
+    counted = F.count("*").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # over the limit's rows
+    return top.select("session_id", "step_index", "type", "created_at", T.search_preview(F.col("body"), query).alias("preview"), counted.alias("total_count"))
 
 
 def detail(steps: DataFrame, session_id: str) -> DataFrame:
@@ -212,5 +215,16 @@ def latest_distinct(steps: DataFrame, tools: tuple[str, ...] = WRITE_TOOLS, keys
     return calls.select("session_id", "step_index", value.alias("value")).where("value is not null").groupBy("session_id", "value").agg(F.max("step_index").alias("last_step")).orderBy("session_id", F.desc("last_step"), "value")
 
 
-def continuation(project: Column, prompt: Column) -> Column:
-    return F.format_string("Continue the work on %s: %s", project, prompt)
+def continuation(last_prompt: Column, modified: Column) -> Column:
+    """What a resumed session is told: its last prompt, cut to 100 characters and quoted, and how many files were changed."""
+    cut = F.when(F.length(last_prompt) > 100, F.concat(F.left(last_prompt, F.lit(100)), F.lit("..."))).otherwise(last_prompt)
+    quoted = cut
+    for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t")):
+        quoted = F.replace(quoted, F.lit(raw), F.lit(shown))
+    told = F.format_string('Last prompt was: "%s". %d files modified.', quoted, modified)
+    return F.when(last_prompt.isNull(), F.lit("Ready to resume work on active workspace.")).otherwise(told)
+
+
+def project_totals(sessions: DataFrame, project: str) -> DataFrame:
+    """One row: the sums over the sessions of one project."""
+    return totals(sessions.where(F.col("project_name") == project))

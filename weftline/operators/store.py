@@ -84,6 +84,15 @@ def write_partitions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace").parquet(path)
 
 
+def append(df: DataFrame, path: str) -> bool:
+    """Add rows to a written table; whether it went well, as telemetry must not stop what it reports on."""
+    try:
+        df.write.mode("append").parquet(path)
+    except Exception:
+        return False
+    return True
+
+
 def nest_worktrees(spaces: DataFrame) -> DataFrame:
     """Top-level workspaces with their worktrees: (name, is_worktree, parent_workspace) rows nested by parent; orphans stay on top."""
     names = spaces.select(F.col("name").alias("parent_workspace")).distinct()

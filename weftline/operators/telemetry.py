@@ -63,6 +63,31 @@ def canonical_workspace(value: Column, known: tuple[tuple[str, str], ...] = (),
     return F.when((bare == "") | (low.isin(*blocked) if blocked else F.lit(False)), F.lit(None)).otherwise(F.coalesce(named, folder))
 
 
+def command_workspace(command: Column, known: tuple[tuple[str, str], ...] = (), blocked: tuple[str, ...] = ()) -> Column:
+    """The workspace that a command names: ``PROJECT=``, else ``workspace=``, else the first of its words that is a known name."""
+    given = lambda pattern: canonical_workspace(F.nullif(F.regexp_extract(command, pattern, 1), F.lit("")), known, blocked)
+    words = F.transform(F.split(command, r"\s+"), lambda w: F.regexp_replace(w, r"^['\",\\/;]+|['\",\\/;]+$", ""))
+    names = F.array(*[F.lit(part) for part, _ in known]) if known else F.array().cast("array<string>")
+    ours = F.filter(words, lambda w: (w != "") & ~F.startswith(w, F.lit("-")) & ~F.contains(w, F.lit(":")) & F.array_contains(names, F.lower(w)))
+    return F.coalesce(given(r"PROJECT=['\"]?([^\s'\"]+)"), given(r"workspace=([^&\"'\s}]+)"), canonical_workspace(F.get(ours, F.lit(0)), known, blocked))
+
+
+def workspace_votes(steps: DataFrame, gates: tuple[str, ...], known: tuple[tuple[str, str], ...] = (), blocked: tuple[str, ...] = (), tool: str = "run_command") -> DataFrame:
+    """(session_id, workspace, weight): 2 for a graph command that names one, 2 for ``PROJECT=``, 1 for a command's folder, 1 for a tool's path."""
+    calls = steps.select("session_id", F.explode("tool_calls").alias("c"))
+    arg = lambda *names: F.regexp_replace(F.coalesce(*[F.get_json_object("c.args", f"$.{n}") for n in names]), "^['\"]+|['\"]+$", "")
+    is_command, line = F.col("c.name") == tool, F.get_json_object("c.args", "$.CommandLine")
+    own = lambda value: canonical_workspace(value, known, blocked)
+    one = lambda when, ws, weight: F.struct(F.when(when, ws).alias("workspace"), F.lit(weight).alias("weight"))
+    found = F.array(
+        one(is_command & classify(line, gates).isNotNull(), command_workspace(line, known, blocked), 2),
+        one(is_command, own(F.nullif(F.regexp_extract(line, r"PROJECT=(\S+)", 1), F.lit(""))), 2),
+        one(is_command, own(arg("Cwd")), 1),
+        one(F.lit(True), own(arg("AbsolutePath", "TargetFile", "SearchPath", "DirectoryPath")), 1),
+    )
+    return calls.select("session_id", F.inline(found)).where("workspace is not null")
+
+
 def vote(votes: DataFrame, key: str, choice: str, weight: str, default: str) -> DataFrame:
     """(key, choice): the highest summed weight, the first name of equal ones; ``default`` where no weight is above 0."""
     sums = votes.groupBy(key, choice).agg(F.sum(weight).alias("w"))
@@ -100,13 +125,16 @@ def language_of(path: Column) -> Column:
 
 
 def attribute_paths(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """The workspace whose root is or holds each path, without regard to case; the longest root wins.
+    """The workspace whose root is or holds each path, without regard to case; else the one with the path's last name.
 
-    Every ancestor of a path is looked up by an equi-join, so no pair of path and root
+    Of several roots a parent's wins over a worktree's (``is_worktree``, where there is such a
+    column), then the longest, so that the choice is the same in any order.  Every ancestor of a path is looked up by an equi-join, so no pair of path and root
     is tested that does not match.
     """
     low = paths.withColumn("_low", F.lower("path")).withColumn("_parts", F.split("_low", "/"))
     ups = low.withColumn("_n", F.explode(F.sequence(F.lit(1), F.size("_parts")))).withColumn("_root", F.array_join(F.slice("_parts", 1, F.col("_n")), "/"))
-    places = roots.select(F.lower(F.regexp_replace("root_path", r"/+$", "")).alias("_root"), "workspace")
-    hits = ups.join(places, "_root").groupBy("path").agg(F.max_by("workspace", F.struct("_n", "workspace")).alias("workspace"))
-    return paths.join(hits, "path", "left")
+    tree = F.coalesce(F.col("is_worktree").cast("boolean"), F.lit(False)) if "is_worktree" in roots.columns else F.lit(False)
+    places = roots.select(F.lower(F.regexp_replace("root_path", r"/+$", "")).alias("_root"), "workspace", tree.alias("_tree"))
+    hits = ups.join(places, "_root").groupBy("path").agg(F.max_by("workspace", F.struct(~F.col("_tree"), "_n", "workspace")).alias("_by_root"))
+    named = low.select("path", F.element_at(F.filter("_parts", lambda x: x != ""), -1).alias("_name")).join(roots.groupBy(F.lower("workspace").alias("_name")).agg(F.min("workspace").alias("_by_name")), "_name").groupBy("path").agg(F.min("_by_name").alias("_by_name"))
+    return paths.join(hits, "path", "left").join(named, "path", "left").withColumn("workspace", F.coalesce("_by_root", "_by_name")).drop("_by_root", "_by_name")

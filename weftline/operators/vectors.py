@@ -55,13 +55,19 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", c
     """(query, neighbour, similarity): the k nearest other rows of every query row.
 
     The queries are a stated set, checked to be small, and are broadcast as one
-    matrix; each task keeps k a query before anything is shuffled.
+    matrix; each task keeps k a query before anything is shuffled.  Queries without a
+    whole vector have no neighbours, nor are rows without one any.
     """
+    whole = lambda v: v is not None and len(v) > 0 and all(x is not None for x in v)
     rows = queries.select(key, column).limit(MAX_QUERIES + 1).collect()
     if len(rows) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries; ask in batches")
-    if not rows:
+    if not any(whole(r[1]) for r in rows):
         return vectors.select(F.col(key).alias("query"), F.col(key).alias("neighbour"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
+    dims = {len(r[1]) for r in rows if whole(r[1])}
+    if len(dims) != 1:
+        raise ValueError(f"queries of {sorted(dims)} components; ask for one length at a time")
+    dim, rows = dims.pop(), [r for r in rows if whole(r[1])]
     names = [r[0] for r in rows]
     matrix = np.array([r[1] for r in rows], np.float64)
     scale = np.linalg.norm(matrix, axis=1)
@@ -85,7 +91,9 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", c
             yield pd.concat(out)
 
     kind = vectors.schema[key].dataType.simpleString()
-    near = vectors.select(key, column).mapInPandas(nearest, f"query {kind}, neighbour {kind}, similarity double")
+    # a row without a vector, of another length, or with a null in it is no neighbour
+    same = of_dimension(vectors.select(key, column), column, dim).where(~F.exists(column, lambda x: x.isNull()))
+    near = same.mapInPandas(nearest, f"query {kind}, neighbour {kind}, similarity double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +36,34 @@ def admissible(path: Column, size: Column, content: Column) -> Column:
     return (size <= MAX_BYTES) & ~name.isin(*SKIPPED_FILES) & ~extension(path).isin(*BINARY_EXTENSIONS) & (F.position(F.lit(b"\x00"), F.substring(content, 1, PEEK)) == 0) & F.is_valid_utf8(content.cast("string"))
 
 
+def listed(spark: SparkSession, root: str) -> list[str]:
+    """The files below ``root`` that may be admitted, by name and size; hidden and noise folders are not entered.
+
+    One tree's folders are listed on the driver, which holds its paths.
+    """
+    context = spark.sparkContext
+    top = context._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(context._jsc.hadoopConfiguration())
+    found, open_ = [], [top]
+    while open_:
+        for entry in fs.listStatus(open_.pop()):
+            name = entry.getPath().getName()
+            if entry.isDirectory():
+                if not name.startswith(".") and name not in NOISE_DIRS:
+                    open_.append(entry.getPath())
+            elif entry.getLen() <= MAX_BYTES and name not in SKIPPED_FILES and name.rsplit(".", 1)[-1].lower() not in BINARY_EXTENSIONS:
+                found.append(entry.getPath().toString())
+    return found
+
+
 def read_tree(spark: SparkSession, root: str, workspace: str) -> DataFrame:
     """workspace, file_path (below the root), content, byte_size and file_hash of every admitted file.
 
-    Size and folder filters come before the content is looked at.
+    What the listing leaves out is not opened.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    reader = spark.read.format("binaryFile")
+    paths = listed(spark, root)
+    raw = reader.load(paths) if paths else reader.option("recursiveFileLookup", True).option("pathGlobFilter", "/none/").load(root)
     base = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/"))
     full = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/*", "")
     rel = F.substring(full, F.length(base) + 2, F.length(full))
@@ -59,8 +83,19 @@ def missing(known: DataFrame, files: DataFrame) -> DataFrame:
     return known.join(files.select("workspace", "file_path"), ["workspace", "file_path"], "left_anti")
 
 
-def browse(entries: DataFrame, folder: str) -> DataFrame:
-    """Sub-folders of ``folder`` in a listing (path, is_dir), those with code markers first."""
+def below(path: str, roots: list[str]) -> bool:
+    """Whether a path, its dots resolved, is one of the roots or lies in one."""
+    clean = posixpath.normpath(path)
+    return any(clean == r or clean.startswith(r.rstrip("/") + "/") for r in map(posixpath.normpath, roots))
+
+
+def browse(entries: DataFrame, folder: str, roots: list[str] | None = None) -> DataFrame:
+    """Sub-folders of ``folder`` in a listing (path, is_dir), those with code markers first.
+
+    With ``roots`` only folders in them may be asked for.
+    """
+    if roots is not None and not below(folder, roots):
+        raise PermissionError(f"{folder} is in none of the folders that may be browsed")
     prefix = folder.rstrip("/") + "/"
     rest = F.substring(F.col("path"), len(prefix) + 1, 1 << 30)
     below = entries.where(F.startswith("path", F.lit(prefix))).withColumn("rest", rest)

@@ -57,6 +57,38 @@ def read_steps(spark, path: str, schema: str, files_per_trigger: int | None = No
     return reader.json(path)
 
 
+def new_lines(files: DataFrame, offsets: DataFrame) -> DataFrame:
+    """(session_id, lines, offset): the whole lines of each text (session_id, content) behind the byte where it was read last, and the byte behind them.
+
+    What a poll of growing files needs: a line without its end waits for the next one,
+    and a text shorter than its offset was cut and is read from its beginning.
+    """
+    at = F.coalesce("_at", F.lit(0))
+    data = F.encode("content", "utf-8")
+    start = F.when(at > F.octet_length("content"), F.lit(0)).otherwise(at)
+    rest = F.decode(F.substring(data, start + 1, F.octet_length("content")), "utf-8")
+    whole = F.regexp_extract(rest, r"(?s)^(.*)\n", 0)
+    joined = files.join(offsets.select("session_id", F.col("offset").alias("_at")), "session_id", "left")
+    cut = joined.select("session_id", start.cast("long").alias("_s"), whole.alias("_w")).where("_w <> ''")
+    return cut.select("session_id", F.filter(F.split("_w", "\n"), lambda x: x != "").alias("lines"), (F.col("_s") + F.octet_length("_w")).alias("offset"))
+
+
+def push(deltas: DataFrame, sink: Callable[[list], None], checkpoint: str, most: int = 1024, trigger: dict | None = None) -> StreamingQuery:
+    """Hand the rows of a stream to ``sink`` on the driver, ``most`` at a time and never a whole batch at once, in the order of each partition."""
+
+    def send(batch: DataFrame, _: int) -> None:
+        rows = []
+        for row in batch.toLocalIterator():
+            rows.append(row)
+            if len(rows) >= most:
+                sink(rows)
+                rows = []
+        if rows:
+            sink(rows)
+
+    return start_sync(deltas, send, checkpoint, trigger)
+
+
 def progress(jobs: DataFrame) -> DataFrame:
     """The last phase of every ingestion job (job, phase, done, total, at), newest start first."""
     order = Window.partitionBy("job").orderBy(F.desc("at"))
