@@ -368,11 +368,14 @@ def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
     named = members.join(labels.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("node") == F.col("_n"), "left").select("sig", "node", F.coalesce("_c", "node").alias("component"))
     named = materialize(named, "members")
     several = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select(F.col("sig").alias("_s"), "size")
-    held = named.join(several, F.col("sig") == F.col("_s")).drop("_s")
+    # both are written, so that a large group is not dealt to one task for the sake of the small ones' lists
+    several = materialize(several, "several")
+    held = materialize(named.join(several, F.col("sig") == F.col("_s")).drop("_s"), "held")
     listed = held.filter(F.col("size") <= FEW).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("node", "component"))).alias("m"))
     few = listed.select("m").distinct().select(F.xxhash64("m").alias("sig"), F.size("m").cast("long").alias("size"), F.explode("m").alias("x")).select("sig", "x.node", "x.component", "size")
     out = materialize(held.filter(F.col("size") > FEW).select("sig", "node", "component", "size").unionByName(few), "open")
-    drop_scratch(named)
+    for table in (named, several, held):
+        drop_scratch(table)
     return out
 
 
@@ -430,7 +433,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = _candidates(open_, nodes, turn < ROUNDS)
         release(spark)
         # groups without a candidate have none later, as components only grow
-        open_ = open_.join(found.select("sig").distinct(), "sig", "left_semi")
+        open_ = open_.join(materialize(found.select("sig").distinct(), "hit"), "sig", "left_semi")
         pairs = materialize(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         full = turn >= ROUNDS
         if not full and pairs.isEmpty():
