@@ -98,11 +98,11 @@ def browse(entries: DataFrame, folder: str, roots: list[str] | None = None) -> D
         raise PermissionError(f"{folder} is in none of the folders that may be browsed")
     prefix = folder.rstrip("/") + "/"
     rest = F.substring(F.col("path"), len(prefix) + 1, 1 << 30)
-    below = entries.where(F.startswith("path", F.lit(prefix))).withColumn("rest", rest)
+    inside = entries.where(F.startswith("path", F.lit(prefix))).withColumn("rest", rest)
     name = F.get(F.split("rest", "/"), F.lit(0))
     markers = {"rust": "Cargo.toml", "go": "go.mod", "javascript": "package.json", "python": "pyproject.toml"}
     found = F.array_compact(F.array(*[F.when(F.col("rest") == F.concat(name, F.lit("/" + m)), F.lit(lang)) for lang, m in markers.items()]))
-    dirs = below.where(F.col("is_dir") | F.contains("rest", F.lit("/"))).withColumn("name", name).withColumn("lang", F.get(found, F.lit(0)))
+    dirs = inside.where(F.col("is_dir") | F.contains("rest", F.lit("/"))).withColumn("name", name).withColumn("lang", F.get(found, F.lit(0)))
     shown = dirs.where(~F.startswith("name", F.lit(".")) | (F.col("name") == ".github")).where(~F.col("name").isin("node_modules", "target", "dist", "build"))
     listed = shown.groupBy("name").agg(F.sort_array(F.collect_set("lang")).alias("languages"))
     return listed.withColumn("is_codebase", F.size("languages") > 0).orderBy(F.desc("is_codebase"), F.lower("name"))
@@ -126,7 +126,7 @@ def worktree_meta(pointers: DataFrame) -> DataFrame:
 
 def parent_worktrees(gitdirs: DataFrame, existing: DataFrame) -> DataFrame:
     """(worktree_name, root_path, branch) of a parent's worktree entries (path, gitdir, head) whose root still exists."""
-    root = F.regexp_replace(F.trim("gitdir"), r"/\.git/?$", "")
+    root = F.regexp_replace("gitdir", r"(/\.git/?)?\s*$", "")
     named = gitdirs.select(F.regexp_extract("path", r"/worktrees/([^/]+)/", 1).alias("worktree_name"), root.alias("root_path"), F.nullif(F.regexp_extract("head", r"ref:\s*refs/heads/(\S+)", 1), F.lit("")).alias("branch"))
     return named.join(existing.select(F.col("path").alias("root_path")), "root_path", "left_semi")
 
