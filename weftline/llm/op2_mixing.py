@@ -158,7 +158,8 @@ def decide(sized: DataFrame, keep: list[str]) -> DataFrame:
             break
         level = carried.select("source", "bucket", "key", "doc", "p")
     every = reduce(DataFrame.unionByName, settled)
-    return every.select("doc.*", (F.col("doc._base") + F.col("p").cast("long")).alias("copies")).drop("_base")
+    copies = F.when(F.col("doc.size") > 0, F.col("doc._base") + F.col("p").cast("long")).otherwise(F.lit(0).cast("long"))
+    return every.select("doc.*", copies.alias("copies")).drop("_base")
 
 
 def _size() -> Column:
