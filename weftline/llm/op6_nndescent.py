@@ -382,6 +382,7 @@ def dedup_vectors(vectors: DataFrame) -> DataFrame:
     info = nodes.select("node", "copies").join(links.withColumnRenamed("node", "_l"), F.col("node") == F.col("_l"), "left").join(labels.select(F.col("node").alias("_b"), "component"), F.col("node") == F.col("_b"), "left")
     info = info.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
     rows = materialize(named.join(info, F.col("_n") == F.col("node"), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component"), "named")
-    least = rows.filter("component is not null").groupBy(F.col("component").alias("_c")).agg(F.min("vec_id").alias("_least"))
+    # written, so that a large component's rows can be joined in several tasks
+    least = materialize(rows.filter("component is not null").groupBy(F.col("component").alias("_c")).agg(F.min("vec_id").alias("_least")), "least")
     out = rows.join(least, F.col("component") == F.col("_c"), "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("_least")))
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
