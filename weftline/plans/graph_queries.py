@@ -53,6 +53,16 @@ def one_hop(spark, d):
     return graph.neighbours(trade_edges(spark, d), seed)
 
 
+@query(_G + """, seed(id) as (values ('s:1'), ('c:1')), touch as (select * from edges where source in (select id from seed) or target in (select id from seed)),
+tiers as (select source as id, 0 as tier from touch union all select target, 1 from touch union all select id, 2 from seed),
+near as (select id, min(tier) as tier from tiers group by id order by tier, id limit 40)
+select id, (select count(*) from touch) as touching from near where id in (select id from nodes)""")
+def capped_neighbourhood(spark, d):
+    seeds = spark.createDataFrame([("s:1",), ("c:1",)], "id string")
+    near, touching = graph.neighbourhood(trade_nodes(spark, d), trade_edges(spark, d), seeds)
+    return near.select("id").crossJoin(touching.agg(F.count("*").alias("touching")))  # one row
+
+
 @query(_G + """, u as (select distinct source as a, target as b from edges union select distinct target, source from edges),
 hop(id, depth) as (select 'c:1', 0 union select u.b, hop.depth + 1 from hop join u on u.a = hop.id where hop.depth < 2)
 select id, min(depth) as depth from hop group by id""")
@@ -158,12 +168,34 @@ def communities_sequential(spark, d):
     return sequential_lpa.communities(trade_nodes(spark, d), trade_edges(spark, d))
 
 
-@query(None)
+@query(_G + """, de as (select distinct source, target, type from edges),
+hood as (select 's:1' as id, 0 as depth union all select distinct source, 1 from de where target = 's:1'),
+near as (select id, depth from hood order by depth, id limit 60),
+en as (select near.id, depth, '- ' || label || ' [' || kind || '] ' || file_path || chr(10) || label || ' ' || file_path || chr(10) as entry from near join nodes on nodes.id = near.id),
+us as (select *, sum(strlen(entry)) over (order by depth, id rows unbounded preceding) as used from en),
+sy as (select string_agg(entry, '' order by depth, id) as t from us where used <= 3794),
+touching as (select * from de where source in (select id from near) or target in (select id from near)),
+ln as (select source, type, target, '- ' || source || ' ' || type || ' ' || target || chr(10) as line from touching order by source, type, target limit 750),
+lu as (select *, sum(strlen(line)) over (order by source, type, target rows unbounded preceding) as used from ln),
+re as (select string_agg(line, '' order by source, type, target) as t, count(*) as shown from lu where used <= 2123),
+to_ as (select count(*) as n from touching), ca as (select source, row_number() over (order by source) as r from de where target = 's:1'),
+md as (select '# s:1' || chr(10) || sy.t || '## Relations' || chr(10) || re.t || case when shown < n then '(more relations were cut)' || chr(10) else '' end as markdown, shown, n from sy, re, to_)
+select 's:1' as symbol, markdown, (strlen(markdown) // 4)::bigint as tokens, (select string_agg(source, ',' order by source) from ca where r <= 200) as callers, (select count(*) from ca) as n_callers, 0 as n_callees, shown < n as truncated, n - shown as edges_skipped from md""")
 def condensed_context(spark, d):
-    return condense.condense(trade_nodes(spark, d), trade_edges(spark, d).distinct(), "s:1")
-
-
-@query(None)
+    row = condense.condense(trade_nodes(spark, d), trade_edges(spark, d).distinct(), "s:1")
+    return row.withColumn("callers", F.array_join("callers", ",")).drop("callees")
+
+
+@query("""with c as (select e.vec_id, e.label, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as s from embeddings e, (select embedding from embeddings where vec_id = 0) q),
+sd as (select vec_id, label, s from c order by s desc, vec_id::varchar limit 5),
+sh as (select c.vec_id, c.label, sd.s, sd.vec_id is not null as seed from c left join sd on sd.vec_id = c.vec_id where c.vec_id in (select vec_id from sd) or c.vec_id - 1 in (select vec_id from sd) or c.vec_id + 1 in (select vec_id from sd)),
+df as (select string_agg('- v' || vec_id || ' in g/' || label || chr(10) || 'text' || chr(10), '' order by not seed, s desc nulls last, vec_id::varchar) as t, count(*) filter (seed) as seeds, count(*) as symbols from sh),
+ed as (select a.vec_id::varchar as source, b.vec_id::varchar as target from sh a join sh b on b.vec_id = a.vec_id + 1 order by source, target limit 25),
+rl as (select string_agg(source || ' CALLS ' || target, chr(10) order by source || ' CALLS ' || target) as t, count(*) as n from ed),
+gr as (select 'g (' || min('v' || vec_id) || ')' as name from embeddings where label in (select label from sd) group by label),
+cm as (select string_agg(name, chr(10) order by name) as t, count(*) as n from gr),
+tx as (select '## Definitions' || chr(10) || df.t || chr(10) || '## Relations' || chr(10) || coalesce(rl.t, '') || chr(10) || '## Communities' || chr(10) || cm.t as context, seeds, symbols, rl.n as n_relations, cm.n as n_communities from df, rl, cm)
+select context, (strlen(context) // 4)::bigint as tokens, seeds, symbols, n_relations, n_communities from tx""")
 def graph_rag_context(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.lit("ws").alias("workspace"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("label"), F.concat(F.lit("g/"), F.col("label").cast("string")).alias("file_path"), F.lit("text").alias("text"), F.lit("vec").alias("language"), F.col("label").alias("community"), "embedding")
     edges = v.select(F.col("id").alias("source"), (F.col("id").cast("long") + 1).cast("string").alias("target"), F.lit("CALLS").alias("type"))

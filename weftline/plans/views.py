@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from weftline.operators.store import write_partitions
+from weftline.session import scratch_path
 
 #: The same readings in SQL, as common table expressions.
 GRAPH_SQL = """
@@ -37,7 +43,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_tables: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A table of the graph, written by workspace when it is asked for first, as an ingestion leaves it, and read from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _tables:
+        df, path = build(spark, sf_dir), scratch_path(spark, name)
+        write_partitions(df, path)
+        _tables[key] = (path, df.schema)
+    path, schema = _tables[key]
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
 def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "trade_nodes", make_nodes)
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "trade_edges", lambda s, d: make_edges(s, d).withColumn("workspace", F.lit("trade"))).drop("workspace")
+
+
+def make_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers as nodes; their nation is file and community."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
@@ -49,7 +77,7 @@ def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side("customer", "c:", "c").unionByName(side("supplier", "s:", "s"))
 
 
-def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def make_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A typed edge from customer to supplier for each line item."""
     line, orders = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     kind = F.when(F.col("l_returnflag") == "A", "CALLS").when(F.col("l_returnflag") == "R", "IMPLEMENTS").otherwise("IMPORTS")
