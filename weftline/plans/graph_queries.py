@@ -118,7 +118,9 @@ def edge_resolution_ranked(spark, d):
 c as (select f.id, s.community = f.community as inside, s.community as theirs from edges e join f on f.id = e.target join nodes s on s.id = e.source),
 x as (select f.id as target, f.label as symbol, f.community, (select count(*) from c where inside) as internal_callers, (select count(*) from c where not inside) as cross_callers, (select count(distinct theirs) from c where not inside) as foreign_galaxies from f)
 select *, case when cross_callers > 0 then 'BOUNDARY_CROSSING' when internal_callers > 0 then 'INTERNAL_ONLY' else 'ISOLATED' end as status,
-  case when cross_callers > 0 and (cross_callers >= 3 or foreign_galaxies > 1) then 'HIGH' when cross_callers > 0 then 'MEDIUM' else 'LOW' end as risk from x""")
+  case when cross_callers > 0 and (cross_callers >= 3 or foreign_galaxies > 1) then 'HIGH' when cross_callers > 0 then 'MEDIUM' else 'LOW' end as risk,
+  case when cross_callers > 0 then cross_callers || ' callers in ' || foreign_galaxies || ' other communities depend on ' || symbol || ': change them together with it; its ' || internal_callers || ' own callers move with it.'
+    when internal_callers > 0 then 'All ' || internal_callers || ' callers of ' || symbol || ' are in its own community: a change stays there.' else symbol || ' has no callers in the graph: an entry point, or not in use.' end as advice from x""")
 def boundary_contract(spark, d):
     name = table(spark, d, "supplier").agg(F.min("s_name")).first()[0]
     return graph.boundary(trade_nodes(spark, d), trade_edges(spark, d), name).withColumnRenamed("foreign", "foreign_galaxies")
