@@ -33,8 +33,10 @@ THRESHOLD = 0.9
 NEIGHBOURS, TREES, LEAF, ROUNDS = 10, 8, 128, 3
 #: Share of changed list entries below which the descent ends.
 STILL = 0.02
-#: Rows of a leaf above which it is split by salt; numbers of each side of a cell, and vectors at least.
+#: Rows of a leaf above which it is split by salt; numbers of each side of a cell at most, and vectors at least.
 HOT_LEAF, CELL_NUMBERS, CELL = 1024, 1 << 20, 512
+#: Blocks over which a component is dealt, as far as they hold so many vectors and less than a cell's most.
+BLOCKS, FEW = 8, 128
 #: The audit: vectors asked at first, recall wanted, further forests at most.
 AUDIT, RECALL, FORESTS = 512, 0.95, 3
 #: The audit ends with so many vectors that have links, or a share of all vectors (of at least so many) asked; vectors a scan at most, and compared at once.
@@ -275,16 +277,20 @@ def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _enlarge(labels: DataFrame, nodes: DataFrame, full: DataFrame, links: DataFrame) -> DataFrame:
     """(node, links): rows that link with each node.
 
-    Saturated nodes, and all nodes of components of one cell, are compared with their
-    whole components; the vectors sent grow with a component times its saturated
-    nodes over the size of a cell.  Members are dealt over blocks by hash.
+    Saturated nodes, and all nodes of components that a cell can hold, are compared
+    with their whole components; the vectors sent grow with a component times its
+    saturated nodes over the size of a cell.  Members are dealt over blocks by hash,
+    a smaller component over BLOCKS.
     """
     width = shuffle_width(nodes.sparkSession)
     marked = labels.join(full, F.col("node") == F.col("_f"), "left").join(nodes.select(F.col("node").alias("_n"), "dim"), F.col("node") == F.col("_n")).select("node", "component", "dim", F.col("_f").isNotNull().alias("full"))
     marked = materialize(marked, "marked")
-    cell = F.greatest(F.lit(CELL), F.floor(F.lit(CELL_NUMBERS) / F.max("dim")))
-    sizes = marked.groupBy(F.col("component").alias("_c")).agg(F.ceil(F.count("*") / cell).cast("int").alias("_blocks"), F.ceil(F.count_if("full") / cell).cast("int").alias("_asked"))
-    dealt = marked.join(sizes, F.col("component") == F.col("_c")).withColumn("full", F.col("full") | (F.col("_blocks") == 1)).withColumn("_asked", F.greatest("_asked", (F.col("_blocks") == 1).cast("int")))
+    counts = marked.groupBy(F.col("component").alias("_c")).agg(F.count("*").alias("_n"), F.count_if("full").alias("_full"), F.max("dim").alias("_dim"))
+    most = F.greatest(F.lit(CELL), F.floor(F.lit(CELL_NUMBERS) / F.col("_dim")))
+    cell, whole = F.least(most, F.greatest(F.lit(FEW), F.ceil(F.col("_n") / BLOCKS))), F.col("_n") <= most
+    blocks = lambda n: F.ceil(n / cell).cast("int")
+    sizes = materialize(counts.select("_c", whole.alias("_whole"), blocks(F.col("_n")).alias("_blocks"), blocks(F.when(whole, F.col("_n")).otherwise(F.col("_full"))).alias("_asked")), "sizes")
+    dealt = marked.join(sizes, F.col("component") == F.col("_c")).withColumn("full", F.col("full") | F.col("_whole"))
     own = lambda n: F.pmod(F.xxhash64("node", "component"), n).cast("int")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     asks = dealt.filter("full").select("component", own(F.col("_asked")).alias("lo"), numbers(F.col("_blocks")).alias("hi"), F.lit(1).alias("asks"), F.lit(1).alias("full"), F.col("node").alias("_n"))

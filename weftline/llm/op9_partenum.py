@@ -29,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.cleaning import release
 from weftline.llm.graph import components
 from weftline.llm.shingles import PERCENT, fingerprints, linked, mix, shingle_sets
 from weftline.llm.tokens import in_slices
@@ -298,7 +297,6 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = members.unionByName(anchors).repartition(width, "a", "chunk").sortWithinPartitions("a", "chunk", "member", "node")
     links = materialize(rows.mapInArrow(_verify_rows, "a long, b long").distinct(), "links")
     drop_scratch(dealt)
-    release(pairs.sparkSession)
     return links
 
 
@@ -402,7 +400,6 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     packed = rows.select("text").mapInArrow(lambda b: _sign(b, buckets), "bucket long, block binary")
     met = packed.repartition(width, "bucket").sortWithinPartitions("bucket")
     shared = materialize(met.mapInArrow(_meet, _SHARED), "shared")
-    release(spark)
 
     # one row stands for a set: of its smallest text hash, and of those rows of its smallest doc_id
     row = F.struct("mark", F.col("doc_id").isNull().alias("none"), "doc_id")
@@ -414,13 +411,11 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not several.isEmpty():  # rows that agree in id and text: one of them is enough
         once = texts.join(several, F.col("node") == F.col("_n"), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
         texts = materialize(texts.join(several, F.col("node") == F.col("_n"), "left_anti").unionByName(once), "texts")
-    release(spark)
 
     votes = shared.groupBy("node", "rep").count()
     best = votes.groupBy("node").agg(F.max(F.struct("count", "rep")).alias("m")).select(F.col("m.rep").alias("a"), F.col("node").alias("b"))
     links = _verify(best, texts)
     labels = materialize(components(links), "labels")
-    release(spark)
     tried = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tried")
     open_ = shared.select("sig", "node").unionByName(shared.select("sig", F.col("rep").alias("node")).distinct()).distinct()
     turn = 0
@@ -428,10 +423,8 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         open_ = _open_groups(open_.select("sig", "node"), labels)
         if not turn:
             drop_scratch(shared)
-        release(spark)
         # components join their nearest ones first; what is apart after that is compared in full
         found = _candidates(open_, nodes, turn < ROUNDS)
-        release(spark)
         # groups without a candidate have none later, as components only grow
         open_ = open_.join(materialize(found.select("sig").distinct(), "hit"), "sig", "left_semi")
         pairs = materialize(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -443,7 +436,6 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         links = links.unionByName(_verify(pairs, texts))
         labels = materialize(components(links), "labels")
-        release(spark)
         if full:
             break
         tried = tried.unionByName(pairs)
@@ -467,7 +459,8 @@ def component_ids(docs: DataFrame) -> DataFrame:
     Of ``docs`` only doc_id and text are read.
     """
     named = _named(docs)
-    smallest = named.filter("n > 0").groupBy(F.col("component").alias("_c")).agg(F.min("doc_id").alias("_least"))
+    # written, so that a large component's rows can be joined in several tasks
+    smallest = materialize(named.filter("n > 0").groupBy(F.col("component").alias("_c")).agg(F.min("doc_id").alias("_least")), "smallest")
     out = named.join(smallest, (F.col("component") == F.col("_c")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
 
