@@ -3,6 +3,7 @@
 from weftline.llm import op5_licenses as lic
 from weftline.llm import op7_quality as q
 from weftline.llm.op8_lines import ORACLE_SQL as LINES
+from weftline.llm.op13_interaction import ORACLE_SQL as AUDIT
 
 #: The smallest id reachable over (a, b) links in both directions.
 _REACH = """
@@ -175,4 +176,4 @@ from own o join paths w on w.conv_id is not distinct from o.conv_id and w.turn i
 left join parents p on p.conv_id is not distinct from o.conv_id and p.turn = o.turn left join roots r on r.conv_id is not distinct from o.conv_id and r.turn = o.turn
 """
 
-ORACLES = {"op10_quote_threads": QUOTES, "op5_rare_token_licenses": LICENCES, "op6_nn_descent": VECTORS, "op7_divergence_rules": QUALITY, "op8_line_windows": LINES, "op9_partenum_join": JACCARD}
+ORACLES = {"op10_quote_threads": QUOTES, "op13_first_failures": AUDIT, "op5_rare_token_licenses": LICENCES, "op6_nn_descent": VECTORS, "op7_divergence_rules": QUALITY, "op8_line_windows": LINES, "op9_partenum_join": JACCARD}
