@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import op1_sharding, op2_mixing, op3_store, op4_packing, op5_licenses, op6_nndescent, op7_quality, op8_lines, op9_partenum, op10_quotes, op11_runs, op13_interaction
+from weftline.llm import op1_sharding, op2_mixing, op3_store, op4_packing, op5_licenses, op6_nndescent, op7_quality, op8_lines, op9_partenum, op10_quotes, op11_runs, op12_suffixes, op13_interaction
 
 from weftline.llm.oracles import ORACLES
 
@@ -64,6 +64,10 @@ def op11_block_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_runs.run_documents(_documents(spark, sf_dir))
 
 
+def op12_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_suffixes.suffix_documents(_documents(spark, sf_dir))
+
+
 def op13_first_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_interaction.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_partenum_join,
         op10_quote_threads,
         op11_block_runs,
+        op12_two_stage_suffixes,
         op13_first_failures,
     )
     return {f.__name__: f for f in own}
