@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import spread
+from weftline.session import materialize, spread
 
 #: The filters, each bit of a mask in this order.
 FILTERS = "ABCDE"
@@ -106,7 +106,7 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows may repeat their first three columns; they are not added up across texts.
     """
     key = ["digest", "mask", "part", "label"]
-    by_id = _labelled(marked(docs), labels).groupBy(*key, "doc_id").agg(F.count("*").alias("n"))
+    by_id = _labelled(materialize(marked(docs), "marks"), labels).groupBy(*key, "doc_id").agg(F.count("*").alias("n"))
     by_text = by_id.groupBy(*key).agg(F.sum("n").alias("n"), F.min("doc_id").alias("low"), F.min_by("n", "doc_id").alias("n_low"))
     least = F.min("low").over(Window.partitionBy("digest"))  # a row for each part and label of a text
     passing = F.when(F.col("least").isNull(), F.col("n")).when(F.col("low") == F.col("least"), F.col("n_low")).otherwise(F.lit(0))
