@@ -31,3 +31,19 @@ def unit(bits: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.when(text.rlike("[A-Z]"), F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(text)
+
+
+def placed(items: Column, value: Callable[[Column], Column], place: Callable[[Column], Column], kind: str) -> Column:
+    """An array with the value of each item at the item's place, and nulls between; items come by place, from 0, each place once.
+
+    Reading it at a place takes a step, where looking through the items takes one for each of them.
+    """
+
+    def stretches(own: Column) -> Column:
+        def stretch(x: Column, i: Column) -> Column:
+            before = F.coalesce(place(F.get(own, i - 1)), F.lit(-1))
+            return F.concat(F.array_repeat(F.lit(None).cast(kind), place(x) - before - 1), F.array(value(x)))
+
+        return F.flatten(F.transform(own, stretch))
+
+    return let(items, stretches)

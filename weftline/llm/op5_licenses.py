@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.columns import ascii_lower, let
+from weftline.llm.columns import ascii_lower, let, placed
 from weftline.session import materialize, spread
 
 #: The base phrases and their labels.
@@ -126,10 +126,16 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     cast_votes = F.array_sort(F.flatten(F.transform(F.filter(col, lambda h: h["w"].isin(anchors)), lambda h: F.transform(postings[h["w"]], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("o"))))))
     # equal votes are neighbours: a vote that ends a run of two or more is an alignment
     runs = let(cast_votes, lambda v: F.filter(F.transform(v, lambda x, i: F.when((x == F.get(v, i - 1)) & ~(x.eqNullSafe(F.get(v, i + 1))), x)), lambda x: x.isNotNull()))
-    at = lambda a, k: F.struct((a["o"] + k["p"]).alias("i"), k["w"].alias("w"))
-    good = F.filter(runs, lambda a: F.forall(keys[a["t"]], lambda k: F.array_contains(col, at(a, k))))
-    found = F.transform(good, lambda a: F.struct(labels[a["t"]].alias("label"), a["o"].alias("place"), (F.size(F.filter(bodies[a["t"]], lambda k: F.array_contains(col, at(a, k)))) / F.size(bodies[a["t"]])).alias("share")))
-    return held.select(*keep, "n_words", _base(col).alias("base"), F.when(F.size(col) < VOTES, F.expr("cast(array() as array<struct<label:string,place:int,share:double>>)")).otherwise(found).alias("found"))
+    kind = "array<struct<label:string,place:int,share:double>>"
+
+    def aligned(words: Column) -> Column:
+        there = lambda a: lambda k: F.coalesce(F.get(words, a["o"] + k["p"]) == k["w"], F.lit(False))
+        good = F.filter(runs, lambda a: F.forall(keys[a["t"]], there(a)))
+        return F.transform(good, lambda a: F.struct(labels[a["t"]].alias("label"), a["o"].alias("place"), (F.size(F.filter(bodies[a["t"]], there(a))) / F.size(bodies[a["t"]])).alias("share")))
+
+    by_place = placed(col, lambda h: h["w"], lambda h: h["i"], "string")
+    found = F.when(F.size(col) < VOTES, F.array().cast(kind)).when(F.size(runs) == 0, F.array().cast(kind)).otherwise(let(by_place, aligned))
+    return held.select(*keep, "n_words", _base(col).alias("base"), found.alias("found"))
 
 
 def _base(hits: Column) -> Column:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.columns import SPACE_CHARS, SPACE_RUN, let
+from weftline.llm.columns import SPACE_CHARS, SPACE_RUN, let, placed
 from weftline.session import materialize
 
 SPAN = 3
@@ -99,8 +99,7 @@ def _without(text: Column, places: Column) -> Column:
 
     def keep(both: Column) -> Column:
         gone = F.transform(both["places"], lambda p: F.get(both["found"], p)["at"])
-        lines = F.split(text, "\n")
-        return let(gone, lambda g: F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(g, i)), "\n"))
+        return let(placed(gone, lambda p: F.lit(True), lambda p: p, "boolean"), lambda m: F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.get(m, i), F.lit(False))), "\n"))
 
     return let(F.struct(filled(text).alias("found"), places.alias("places")), keep)
 
