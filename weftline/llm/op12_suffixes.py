@@ -31,6 +31,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +45,8 @@ SPAN, ANCHOR = 50, 24
 PACK, HOT = 4 << 20, 1024
 #: Buckets for each shuffle partition.
 BUCKETS = 8
-#: Bytes hashed at once; fits into the low bits that hold a place.
-_CHUNK, _PLACE = 1 << 20, np.uint64(21)
+#: Bytes hashed at once, so that the arrays stay in cache; fits into the low bits that hold a place.
+_CHUNK, _PLACE = 1 << 16, np.uint64(17)
 #: A null doc_id counts as this, the largest.
 LAST = np.iinfo(np.int64).max
 
@@ -141,13 +142,22 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
 # ---- packs, anchors, segments
 
 
+def _squeezed(data: bytes) -> bytes:
+    """Text as it is stored and sent: a third of its size."""
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _whole(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _pack(size: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def out() -> pa.RecordBatch:
             sizes = np.fromiter(map(len, texts), np.int64, len(texts)).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.binary()), pa.array([b"".join(texts)], pa.binary())], ["pack", "ids", "sizes", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.binary()), pa.array([_squeezed(b"".join(texts))], pa.binary())], ["pack", "ids", "sizes", "data"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
@@ -194,7 +204,7 @@ def _anchor_hashes(data: np.ndarray) -> np.ndarray:
 
 def segments(data: np.ndarray, sizes: np.ndarray) -> _Segments:
     """The segments of a pack, by place."""
-    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     found = [_Segments(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
     wide = SPAN - ANCHOR + 1
     for at in range(0, len(data) - SPAN + 1, _CHUNK):
@@ -207,23 +217,22 @@ def segments(data: np.ndarray, sizes: np.ndarray) -> _Segments:
             step = min(size, wide - size)
             least, size = np.minimum(least[:-step], least[step:]), size + step
         anchor = (least & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64)[:n]
-        starts = np.arange(at, at + n)
-        doc = np.searchsorted(ends, starts, side="right")
-        inside = starts + SPAN <= ends[doc]
-        starts, anchor, doc = starts[inside], anchor[inside], doc[inside]
+        doc = owner[at : at + n]
+        inside = np.flatnonzero(doc == owner[at + SPAN - 1 : at + SPAN - 1 + n])
+        starts, anchor, doc = at + inside, anchor[inside], doc[inside]
         if not len(starts):
             continue
         new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
         head = np.flatnonzero(new)
         tail = np.concatenate([head[1:] - 1, [len(starts) - 1]])
-        found.append(_Segments(hashes[anchor[head]], starts[head], starts[tail], doc[head]))
+        found.append(_Segments(hashes[anchor[head]], starts[head], starts[tail], doc[head].astype(np.int64)))
     return _Segments(*[np.concatenate(x) for x in zip(*found, strict=True)])
 
 
-def _read(pack: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _read(pack: dict) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Bytes, sizes and ordering keys of the documents of a pack."""
     keys = np.array([LAST if i is None else i for i in pack["ids"]], np.int64)
-    return np.frombuffer(pack["data"], np.uint8), np.frombuffer(pack["sizes"], np.int64), keys
+    return _whole(pack["data"]), np.frombuffer(pack["sizes"], np.int64), keys
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -253,7 +262,7 @@ def _sign(buckets: int) -> Callable:
         for batch in batches:
             for pack in batch.to_pylist():
                 data, sizes, keys = _read(pack)
-                found = segments(data, sizes)
+                found = segments(np.frombuffer(data, np.uint8), sizes)
                 order = np.argsort(found.anchor)
                 hashes, of = found.anchor[order], keys[found.doc[order]]
                 heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
@@ -312,54 +321,56 @@ class _Cut(NamedTuple):
     bucket: np.ndarray
 
 
-def _cut(pack: dict, buckets: int) -> _Cut:
+def _among(values: np.ndarray, parts: list[bytes] | None) -> np.ndarray:
+    held = np.sort(np.frombuffer(b"".join(parts or []), np.uint64))
+    return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values if len(held) else np.zeros(len(values), bool)
+
+
+def _cut(pack: dict, data: bytes, sizes: np.ndarray, buckets: int) -> _Cut:
     """The segments of a pack whose anchors are shared; equal ones have one text, numbered as they come."""
-    data, sizes, _ = _read(pack)
-    plain, hot = (np.unique(np.frombuffer(b"".join(pack[c] or []), np.uint64)) for c in ("plain", "hot"))
-    found = segments(data, sizes)
-    whole, apart = np.isin(found.anchor, plain), np.isin(found.anchor, hot)
-    count = np.where(apart, found.last - found.first + 1, 1)[whole | apart]
-    kept = [x[whole | apart] for x in found]
-    each = np.repeat(apart[whole | apart], count)
+    found = segments(np.frombuffer(data, np.uint8), sizes)
+    apart = _among(found.anchor, pack["hot"])
+    kept = apart | _among(found.anchor, pack["plain"])
+    count = np.where(apart, found.last - found.first + 1, 1)[kept]
+    each = np.repeat(apart[kept], count)
     step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    anchor, first, last, doc = (np.repeat(x, count) for x in kept)
+    anchor, first, last, doc = (np.repeat(x[kept], count) for x in found)
     first = np.where(each, first + step, first)
     end = np.where(each, first, last) + SPAN
-    raw, number = pack["data"], {}
-    text = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(first.tolist(), end.tolist(), strict=True)), np.int64, len(first))
+    number: dict[bytes, int] = {}
+    text = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(first.tolist(), end.tolist(), strict=True)), np.int64, len(first))
     texts = list(number)
     place = np.zeros(len(texts), np.int64)
     place[text] = _bucket(anchor, buckets)
-    for i in np.unique(text[each]).tolist():
+    fresh = np.zeros(len(texts), bool)
+    fresh[text[each]] = True
+    for i in np.flatnonzero(fresh).tolist():
         place[i] = xxhash.xxh3_64_intdigest(texts[i]) % buckets
     return _Cut(first, doc, text, texts, place)
 
 
-_ASKED = "bucket long, pack long, number binary, least binary, most binary, sizes binary, texts binary"
+#: Rows of a bucket ask for its texts; a row without one keeps, for a pack, where its segments are.
+_ASKED = "bucket long, pack long, number binary, least binary, most binary, sizes binary, texts binary, place binary, doc binary, text binary"
 
 
 def _ask(buckets: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack in batch.to_pylist():
-                cut, keys = _cut(pack, buckets), _read(pack)[2]
+                data, sizes, keys = _read(pack)
+                cut = _cut(pack, data, sizes, buckets)
                 least, most = np.full(len(cut.texts), LAST), np.full(len(cut.texts), np.iinfo(np.int64).min)
                 np.minimum.at(least, cut.text, keys[cut.doc])
                 np.maximum.at(most, cut.text, keys[cut.doc])
-                parts = list(_by_bucket(cut.bucket))
-                own = [[cut.texts[i] for i in rows.tolist()] for _, rows in parts]
-                binary = lambda f: ([f(k, rows) for k, (_, rows) in enumerate(parts)], pa.binary())
-                yield _table(
-                    {
-                        "bucket": ([b for b, _ in parts], pa.int64()),
-                        "pack": ([pack["pack"]] * len(parts), pa.int64()),
-                        "number": binary(lambda k, rows: rows.astype(np.int32).tobytes()),
-                        "least": binary(lambda k, rows: least[rows].tobytes()),
-                        "most": binary(lambda k, rows: most[rows].tobytes()),
-                        "sizes": binary(lambda k, rows: np.fromiter(map(len, own[k]), np.int32, len(rows)).tobytes()),
-                        "texts": binary(lambda k, rows: b"".join(own[k])),
-                    }
-                )
+                asked = []
+                for bucket, rows in _by_bucket(cut.bucket):
+                    own = [cut.texts[i] for i in rows.tolist()]
+                    lengths = np.fromiter(map(len, own), np.int32, len(own))
+                    asked.append((bucket, pack["pack"], rows.astype(np.int32).tobytes(), least[rows].tobytes(), most[rows].tobytes(), lengths.tobytes(), _squeezed(b"".join(own)), None, None, None))
+                where = [_squeezed(x.astype(np.int32).tobytes()) for x in (cut.first, cut.doc, cut.text)]
+                asked.append((None, pack["pack"], *[None] * 5, *where))
+                names = [x.split()[0] for x in _ASKED.split(", ")]
+                yield _table({name: (list(column), pa.binary() if i > 1 else pa.int64()) for i, (name, column) in enumerate(zip(names, zip(*asked, strict=True), strict=True))})
 
     return run
 
@@ -371,9 +382,10 @@ def equal_windows(texts: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     order = suffix_array(data)
     prefixes = common_prefixes(data, order)
-    of = np.searchsorted(ends, order, side="right")
+    of = owner[order]
     window = order + SPAN <= ends[of]
     key = np.where(window, least[of], LAST)
     heads = np.flatnonzero(np.concatenate([[True], prefixes < SPAN]))
@@ -382,7 +394,7 @@ def equal_windows(texts: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np
     is_window = np.zeros(len(order), bool)
     is_window[order] = window
     places = np.flatnonzero(is_window)
-    of, smallest = np.searchsorted(ends, places, side="right"), smallest[places]
+    of, smallest = owner[places], smallest[places]
     new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (smallest[1:] != smallest[:-1])]))
     tail = np.concatenate([new[1:] - 1, [len(places) - 1]])
     start = (ends - sizes)[of[new]]
@@ -396,7 +408,7 @@ def _answer(rows: pa.Table) -> pa.Table:
     """For each pack and text the windows of which a smaller document may have one."""
     number: dict[bytes, int] = {}
     of, packs = [], rows["pack"].to_pylist()
-    for sizes, texts in zip(rows["sizes"].to_pylist(), rows["texts"].to_pylist(), strict=True):
+    for sizes, texts in zip(rows["sizes"].to_pylist(), map(_whole, rows["texts"].to_pylist()), strict=True):
         ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
         of.append(np.fromiter((number.setdefault(texts[a:b], len(number)) for a, b in zip([0, *ends], ends, strict=False)), np.int64, len(ends)))
     asked = {c: [np.frombuffer(x, t) for x in rows[c].to_pylist()] for c, t in (("number", np.int32), ("least", np.int64), ("most", np.int64))}
@@ -423,28 +435,24 @@ def _answer(rows: pa.Table) -> pa.Table:
 _LEFT = "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
 
-def _finish(buckets: int) -> Callable:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pack in batch.to_pylist():
-                data, sizes, keys = _read(pack)
-                change = np.zeros(len(data) + 1, np.int32)
-                if pack["number"]:
-                    cut = _cut(pack, buckets)
-                    number, first, last = (np.frombuffer(b"".join(pack[c]), np.int32) for c in ("number", "first", "last"))
-                    least, order = np.frombuffer(b"".join(pack["least"]), np.int64), np.argsort(number, kind="stable")
-                    begin = np.searchsorted(number[order], np.arange(len(cut.texts) + 1))
-                    count = begin[cut.text + 1] - begin[cut.text]
-                    at = order[np.repeat(begin[cut.text] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
-                    own = np.repeat(np.arange(len(cut.text)), count)
-                    gone = least[at] < keys[cut.doc[own]]
-                    at, own = at[gone], own[gone]
-                    np.add.at(change, cut.first[own] + first[at], 1)
-                    np.add.at(change, cut.first[own] + last[at] + SPAN, -1)
-                removed = np.cumsum(change[:-1]) > 0
-                yield _left(pack["ids"], data, sizes, removed)
-
-    return run
+def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for pack in batch.to_pylist():
+            data, sizes, keys = _read(pack)
+            change = np.zeros(len(data) + 1, np.int32)
+            if pack["number"]:
+                start, doc, text = (np.frombuffer(_whole(pack[c]), np.int32) for c in ("place", "doc", "text"))
+                number, first, last = (np.frombuffer(b"".join(pack[c]), np.int32) for c in ("number", "first", "last"))
+                least, order = np.frombuffer(b"".join(pack["least"]), np.int64), np.argsort(number, kind="stable")
+                begin = np.searchsorted(number[order], np.arange(int(text.max()) + 2))
+                count = begin[text + 1] - begin[text]
+                at = order[np.repeat(begin[text] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+                own = np.repeat(np.arange(len(text)), count)
+                gone = least[at] < keys[doc[own]]
+                at, own = at[gone], own[gone]
+                np.add.at(change, start[own] + first[at], 1)
+                np.add.at(change, start[own] + last[at] + SPAN, -1)
+            yield _left(pack["ids"], np.frombuffer(data, np.uint8), sizes, np.cumsum(change[:-1]) > 0)
 
 
 def _left(ids: list[int | None], data: np.ndarray, sizes: np.ndarray, removed: np.ndarray) -> pa.RecordBatch:
@@ -471,13 +479,15 @@ def deduplicate(docs: DataFrame, pack: int = PACK, hot: int = HOT) -> DataFrame:
     buckets = shuffle_width(docs.sparkSession) * BUCKETS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
     packs = materialize(spread(rows).mapInArrow(_pack(pack), "pack long, ids array<long>, sizes binary, data binary"), "packs")
-    shared = materialize(packs.mapInArrow(_sign(buckets), _SIGNED).groupBy("bucket").applyInArrow(_shared(hot), _SHARED), "anchors")
+    shared = materialize(packs.select("pack", "ids", "sizes", "data").mapInArrow(_sign(buckets), _SIGNED).groupBy("bucket").applyInArrow(_shared(hot), _SHARED), "anchors")
     anchors = shared.groupBy("pack").agg(F.collect_list("plain").alias("plain"), F.collect_list("hot").alias("hot"))
-    asked = packs.join(anchors, "pack").mapInArrow(_ask(buckets), _ASKED)
-    answered = materialize(asked.groupBy("bucket").applyInArrow(_answer, _ANSWERED), "windows")
+    asked = materialize(packs.join(anchors, "pack").mapInArrow(_ask(buckets), _ASKED), "segments")
+    drop_scratch(shared)
+    columns = [c.split()[0] for c in _ASKED.split(", ")]
+    answered = materialize(asked.filter("bucket is not null").select(*columns[:7]).groupBy("bucket").applyInArrow(_answer, _ANSWERED), "windows")
     answers = answered.groupBy("pack").agg(*[F.collect_list(c).alias(c) for c in ("number", "first", "last", "least")])
-    whole = packs.join(anchors.join(answers, "pack"), "pack", "left")
-    return whole.mapInArrow(_finish(buckets), _LEFT)
+    places = asked.filter("bucket is null").select("pack", *columns[7:])
+    return packs.join(answers.join(places, "pack"), "pack", "left").mapInArrow(_finish, _LEFT)
 
 
 def suffix_documents(docs: DataFrame, pack: int = PACK, hot: int = HOT) -> DataFrame:
