@@ -38,7 +38,7 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, run(spark, "vector_batch_knn").collect())) == whole
 
 
-@pytest.mark.parametrize("module, name, args", [("graph", "label_propagation", "communities_lpa"), ("sequential_lpa", "communities", "communities_sequential")])
+@pytest.mark.parametrize("module, name, args", [("graph", "label_propagation", "communities_lpa"), ("coloured_lpa", "communities", "communities_sequential")])
 def test_communities_see_every_edge(spark, monkeypatch, module, name, args):
     seen = []
     monkeypatch.setattr(getattr(graph_queries, module), name, lambda nodes, edges, **_: seen.append(edges) or nodes)

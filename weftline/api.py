@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators import condense, graph, indexing, listings, rag, sequential_lpa, sessions, store, telemetry, vectors
+from weftline.operators import coloured_lpa, condense, graph, indexing, listings, rag, sessions, store, telemetry, vectors
 from weftline.session import materialize
 from weftline.sources import files, transcripts
 
@@ -78,9 +78,9 @@ class CodeGraph:
         return CodeGraph(*store.add_relationships(self.nodes, self.edges, wanted, dim), self.meta, self.calls)
 
     def cluster(self, sequential: bool = False) -> "CodeGraph":
-        """With new communities: node by node where each workspace fits an executor, else by the scalable mode."""
+        """With new communities: colour by colour, so that nodes see what their neighbours have become, or in rounds."""
         if sequential:
-            found = sequential_lpa.communities(self.nodes, self.edges, seeded=True).select("id", "community")
+            found = coloured_lpa.communities(self.nodes, self.edges, seeded=True).select("id", "community")
         else:
             found = graph.label_propagation(self.nodes, self.edges, seeds=self.nodes.select("id", "community"))
         fresh = self.nodes.drop("community").join(found, "id").select(*self.nodes.columns)

@@ -6,6 +6,7 @@ driver.  Caps that belong to an operator carry a total order.
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions import text as T
-from weftline.session import drop_scratch, materialize
+from weftline.session import drop_scratch, materialize, shuffle_width
 
+logger = logging.getLogger(__name__)
+
+#: Nodes from which on a clustering that has nearly come to rest goes on with its active nodes alone.
+FRONTIER = 1 << 20
 #: Nodes of a neighbourhood that is shown.
 HOOD = 40
 #: Weights of edge types for clustering; any other type weighs 1.
@@ -230,34 +235,110 @@ def vote_community(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return sums.groupBy(F.col("me").alias("id")).agg(F.max(F.struct("w", "community")).alias("m")).select("id", "m.community")
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 15, seeds: DataFrame | None = None) -> DataFrame:
+def adjacency(edges: DataFrame, buckets: int) -> DataFrame:
+    """(id, nbr, w, bucket): every edge from both ends, parallel ones added up, written by the bucket of ``id``."""
+    w = edge_weight(F.col("type")).alias("w")
+    both = edges.select(F.col("source").alias("id"), F.col("target").alias("nbr"), w).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("nbr"), w)).where("id != nbr")
+    summed = both.groupBy("id", "nbr").agg(F.sum("w").alias("w")).withColumn("bucket", bucket_of("id", buckets))
+    return materialize(summed.repartition(buckets, "bucket"), "adjacency", ("bucket",))
+
+
+def bucket_of(column: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+
+
+def _within(table: DataFrame, ids: DataFrame, buckets: int) -> DataFrame:
+    """The rows of a table written by bucket whose ``id`` is among ``ids``; other buckets are not read."""
+    held = [r[0] for r in ids.select(bucket_of("id", buckets)).distinct().collect()]  # ``buckets`` numbers at most
+    return table.where(F.col("bucket").isin(held)).join(ids, "id", "left_semi")
+
+
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 15, seeds: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
     """(id, community): weighted label propagation for graphs of any size.
 
     Labels begin at the seed or at a number of their own; the neighbours' summed
     weights choose a label, the larger of equal ones.  So that two nodes don't swap
     labels for ever, a node moves only in rounds that its hash picks.  It ends when
-    none wants to move.  Communities get compact numbers, seeds keep theirs.
+    none wants to move, or after 4 * ``rounds`` with a warning.  Communities get compact
+    numbers, seeds keep theirs.
+
+    ``changed`` (id) names the nodes whose neighbourhood is not that of the seeds'
+    clustering: then, and when few of many nodes are left, only an active set votes.
     """
+    buckets = max(16, shuffle_width(nodes.sparkSession))
     ids = nodes.select("id").distinct()
     own = ids.join(seeds.select("id", F.col("community").cast("long").alias("label")), "id", "left") if seeds is not None else ids.withColumn("label", F.lit(None).cast("long"))
     labels = materialize(own.select("id", F.coalesce("label", F.abs(F.xxhash64("id")) + F.lit(1 << 32)).alias("label")), "labels")
-    w = edge_weight(F.col("type")).alias("w")
-    both = edges.select(F.col("source").alias("id"), F.col("target").alias("nbr"), w).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("nbr"), w)).where("id != nbr")
-    both = materialize(both.groupBy("id", "nbr").agg(F.sum("w").alias("w")), "adjacency")
+    both = adjacency(edges, buckets)
+    if changed is not None and seeds is not None:
+        active = changed.select("id").unionByName(own.where("label is null").select("id")).distinct()
+        return compact(_frontier(labels, both, materialize(active, "active"), 0, 4 * rounds, buckets))
+    total, wanting = labels.count(), 0
     for turn in range(4 * rounds):
         votes = both.join(labels.select(F.col("id").alias("nbr"), "label"), "nbr").groupBy("id", "label").agg(F.sum("w").alias("w"))
         best = votes.groupBy("id").agg(F.max(F.struct("w", "label")).alias("m")).select("id", F.col("m.label").alias("wish"))
-        turns = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
-        moved = labels.join(best, "id", "left").select("id", F.when(F.col("wish").isNotNull() & turns, F.col("wish")).otherwise(F.col("label")).alias("label"), (F.coalesce("wish", "label") != F.col("label")).alias("wants"))
+        wants = F.coalesce("wish", "label") != F.col("label")
+        moved = labels.join(best, "id", "left").select("id", F.when(wants & _turn(turn), F.col("wish")).otherwise(F.col("label")).alias("label"), wants.alias("wants"), (wants & _turn(turn)).alias("moved"))
         moved = materialize(moved, "labels")
-        rest = moved.where("wants").isEmpty()
+        wanting = moved.where("wants").count()
         drop_scratch(labels)
-        labels = moved.drop("wants")
-        if rest:
-            break
+        labels = moved.select("id", "label")
+        if not wanting:
+            return compact(labels)
+        if total >= FRONTIER and wanting * 8 < total:
+            near = _within(both, moved.where("moved").select("id"), buckets).select(F.col("nbr").alias("id"))
+            active = near.unionByName(moved.where("wants and not moved").select("id")).distinct()
+            return compact(_frontier(labels, both, materialize(active, "active"), turn + 1, 4 * rounds, buckets))
+    logger.warning("label propagation ended after %d rounds, %d nodes want to move", 4 * rounds, wanting)
     return compact(labels)
 
 
+def _turn(turn: int) -> Column:
+    """Whether a node may move in a round."""
+    return F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
+
+
+def _frontier(labels: DataFrame, both: DataFrame, active: DataFrame, first: int, last: int, buckets: int) -> DataFrame:
+    """The labels after the rounds from ``first`` on, in which only active nodes vote: any other would vote as before.
+
+    Active are the neighbours of those that moved, and those that want to and may not
+    yet.  Only the buckets that hold them are read of the edges, only their
+    neighbours' buckets of the labels; what moves is kept beside the labels.
+    """
+    base = materialize(labels.withColumn("bucket", bucket_of("id", buckets)).repartition(buckets, "bucket"), "labels", ("bucket",))
+    moves: DataFrame | None = None
+
+    def current(wanted: DataFrame) -> DataFrame:
+        found = _within(base, wanted, buckets).select("id", "label")
+        return found if moves is None else found.join(moves.select("id", F.col("label").alias("_l")), "id", "left").select("id", F.coalesce("_l", "label").alias("label"))
+
+    for turn in range(first, last):
+        links = materialize(_within(both, active, buckets).select("id", "nbr", "w"), "links")
+        near = current(links.select(F.col("nbr").alias("id")).unionByName(active).distinct())
+        votes = links.join(near.select(F.col("id").alias("nbr"), "label"), "nbr").groupBy("id", "label").agg(F.sum("w").alias("w"))
+        best = votes.groupBy("id").agg(F.max(F.struct("w", "label")).alias("m")).select("id", F.col("m.label").alias("wish"))
+        ballot = materialize(near.join(best, "id").where("wish != label").select("id", "wish", _turn(turn).alias("moves")), "ballot")
+        drop_scratch(links)
+        drop_scratch(active)
+        wanting = ballot.count()
+        logger.info("round %d: %d nodes want to move", turn, wanting)
+        if not wanting:
+            break
+        moved = ballot.where("moves").select("id", F.col("wish").alias("label"))
+        before = moves
+        moves = materialize(moved if before is None else before.join(moved.select("id"), "id", "left_anti").unionByName(moved), "moves")
+        if before is not None:
+            drop_scratch(before)
+        reached = _within(both, moved.select("id"), buckets).select(F.col("nbr").alias("id"))
+        active = materialize(reached.unionByName(ballot.where("not moves").select("id")).distinct(), "active")
+        drop_scratch(ballot)
+    else:
+        logger.warning("label propagation ended after %d rounds, %d nodes want to move", last, wanting)
+    if moves is None:
+        return base.select("id", "label")
+    return base.join(moves.select("id", F.col("label").alias("_l")), "id", "left").select("id", F.coalesce("_l", "label").alias("label"))
+
+
 def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
     """``df`` with numbers from 0 in the order of a column: counted within ranges, shifted by the ranges before."""
     ranged = materialize(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "ranged")

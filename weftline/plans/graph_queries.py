@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import condense, graph, rag, sequential_lpa, store, vectors
+from weftline.operators import coloured_lpa, condense, graph, rag, store, vectors
 from weftline.plans.registry import query
 from weftline.plans.views import GRAPH_SQL, table, trade_edges, trade_nodes
 
@@ -167,7 +167,8 @@ def communities_lpa(spark, d):
 
 @query(None)
 def communities_sequential(spark, d):
-    return sequential_lpa.communities(trade_nodes(spark, d), trade_edges(spark, d))
+    """Nodes see what their neighbours have just become, colour by colour."""
+    return coloured_lpa.communities(trade_nodes(spark, d), trade_edges(spark, d))
 
 
 @query(_G + """, de as (select distinct source, target, type from edges),

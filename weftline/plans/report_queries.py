@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.api import CodeGraph
 from weftline.functions import text as T
-from weftline.operators import graph, listings, sequential_lpa, sessions, store, telemetry
+from weftline.operators import coloured_lpa, graph, listings, sessions, store, telemetry
 from weftline.plans.registry import query
 from weftline.plans.session_queries import _SESSIONS_SQL, _sessions
 from weftline.plans.views import GRAPH_SQL, STEPS_SQL, calls, event_steps, steps, table, trade_edges, trade_nodes
@@ -372,20 +372,34 @@ def communities_of_stars(spark, d):
 
 @query(_STARS)
 def communities_of_stars_sequential(spark, d):
-    return _named(sequential_lpa.communities(*_stars(spark, d)))
+    return _named(coloured_lpa.communities(*_stars(spark, d)))
 
 
-@query("select p_brand as brand, 1 as communities, dense_rank() over (order by p_brand)::int + 99 as community from (select distinct p_brand from part)")
-def seeded_communities(spark, d):
+_SEEDED = "select p_brand as brand, 1 as communities, dense_rank() over (order by p_brand)::int + 99 as community from (select distinct p_brand from part)"
+
+
+def _seeded(spark, d, only_changed: bool):
     """Every node of a star but its newest has the star's number already; the number stays and the newest takes it over."""
     nodes, edges = _stars(spark, d)
     brands = graph.numbered(nodes.select("brand").distinct(), "brand", "n")
     newest = nodes.groupBy("brand").agg(F.max("id").alias("_new"))
     seeds = nodes.join(brands, "brand").join(newest, "brand").select("id", F.when(F.col("id") != F.col("_new"), (F.col("n") + 100).cast("int")).alias("community"))
-    found = graph.label_propagation(nodes, edges, seeds=seeds).join(nodes.select("id", "brand"), "id")
+    changed = newest.select(F.col("_new").alias("id")) if only_changed else None
+    found = graph.label_propagation(nodes, edges, seeds=seeds, changed=changed).join(nodes.select("id", "brand"), "id")
     return found.groupBy("brand").agg(F.count_distinct("community").cast("int").alias("communities"), F.min("community").alias("community"))
 
 
+@query(_SEEDED)
+def seeded_communities(spark, d):
+    return _seeded(spark, d, False)
+
+
+@query(_SEEDED)
+def recluster_changed(spark, d):
+    """The same where only the newest nodes, and what they reach, vote."""
+    return _seeded(spark, d, True)
+
+
 @query(_STARS.replace("p_partkey::varchar as id, ", "").replace("select (select", "select distinct (select").replace("::varchar as first", "::varchar as first, (select count(*) from part q where q.p_brand = p.p_brand) as node_count") + " where (select count(*) from part q where q.p_brand = p.p_brand) >= 3")
 def cluster_job(spark, d):
     """Stars clustered anew, and the metrics of the communities of three members or more."""

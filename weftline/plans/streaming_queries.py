@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.plans.registry import query
 from weftline.plans.views import table
 from weftline.session import scratch_path
+from weftline.sources import live, transcripts
 from weftline.streaming import events as ev
-from weftline.streaming import sync
+from weftline.streaming import sync, timers
 
 
 def _file_events(spark, d):
@@ -79,3 +82,84 @@ def windowed_stream(spark, d):
     run = agg.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select("workspace", F.col("w.start").alias("begin_at"), "n", F.round("total", 6).alias("total"))
+
+
+#: Event-time milliseconds behind the last event after which every watch has done what it had to.
+AFTER_MS = 120_000
+
+
+def quick_events(events):
+    """Events as file events of three workspaces, a hundred times as fast: within the spans that a watch knows."""
+    kind = F.when(F.col("event_type") == "purchase", "create").when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "signup", "rename_both").when(F.col("event_type") == "tick", "tick").otherwise("modify")
+    path = F.concat(F.lit("src/f"), (F.col("event_id") % 5).cast("string"), F.lit(".rs"))
+    at = F.timestamp_millis((F.unix_millis(F.col("ts").cast("timestamp")) / 100).cast("long"))
+    return events.select((F.col("user_id") % 3).cast("string").alias("workspace"), F.col("event_id").alias("seq"), at.alias("ts"), kind.alias("kind"), path.alias("path"), F.concat(path, F.lit("x")).alias("new_path"))
+
+
+@query(None)
+def watch_timeline(spark, d):
+    """When changes are flushed and communities made anew: the timers of every workspace in event time, over a file stream."""
+    source = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(_in_parts(spark, d))
+    own = quick_events(source)
+    name = f"weftline_{uuid.uuid4().hex[:8]}"
+    with timers.stateful(spark):
+        run = timers.actions(own, event_time=True, every_sweep=False, lateness="0 seconds").writeStream.format("memory").queryName(name).option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.table(name)
+
+
+def _in_parts(spark, d, parts=4):
+    """The events by time in files that a stream reads one after the other, and behind them a tick for each workspace."""
+    e = table(spark, d, "events")
+    rank = F.ntile(parts).over(Window.orderBy("day"))
+    days = e.groupBy(F.to_date("ts").alias("day")).count().select("day", rank.alias("part"))  # a row a day
+    path = scratch_path(spark, "events")
+    for part in range(1, parts + 1):  # written one after the other, so that their times are in order
+        own = e.withColumn("day", F.to_date("ts")).join(days.where(F.col("part") == part), "day", "left_semi").drop("day")
+        own.coalesce(1).write.mode("append").parquet(path)
+    later = e.agg(F.max("ts")).first()[0] + datetime.timedelta(milliseconds=AFTER_MS * 100)
+    ticks = e.groupBy((F.col("user_id") % 3).alias("user_id")).agg(F.lit(later).alias("ts"))
+    ticks.select(*[(F.lit("tick") if c == "event_type" else F.col(c) if c in ("user_id", "ts") else F.lit(None)).cast(e.schema[c].dataType).alias(c) for c in e.columns]).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+_TURNS = "select c.*, n from conversations c join (select conv_id, count(*) as n from conversations group by conv_id) using (conv_id)"
+
+
+@query(f"""select conv_id::varchar as session_id, turn as step_index, role, text as content from ({_TURNS}) where n <> 2 and (n % 2 = 0 or turn >= n // 2)""")
+def live_transcripts(spark, d):
+    """What stands after two polls of transcripts that grow meanwhile (an even number of turns), are cut to their second half (odd) or deleted (two).
+
+    Files are written by tasks, each whole at once, so a task that runs twice changes nothing.
+    """
+    root, log = scratch_path(spark, "logs"), scratch_path(spark, "log")
+    checkpoint = scratch_path(spark, "stream")
+    folder = live.opened(root)[1]
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.col("turn").alias("step_index"), F.col("role").alias("source"), F.lit("USER_INPUT").alias("type"), F.col("text").alias("content"))).alias("line"))
+
+    def written(second: bool):
+        def run(key, pdf):
+            import os
+
+            lines = [x + "\n" for x in pdf.sort_values("turn")["line"]]
+            place, n = f"{folder}/{key[0]}/transcript.jsonl", len(lines)
+            os.makedirs(os.path.dirname(place), exist_ok=True)
+            if second and n == 2:
+                if os.path.exists(place):
+                    os.remove(place)
+            else:
+                text = "".join(lines[n // 2 :] if n % 2 else lines) if second else "".join(lines[: n // 2]) + lines[n // 2][:7]
+                with open(place + ".new", "w", encoding="utf-8") as f:
+                    f.write(text)
+                os.replace(place + ".new", place)
+            return pdf[["conv_id"]].head(1)
+
+        c.groupBy("conv_id").applyInPandas(run, "conv_id long").write.format("noop").mode("overwrite").save()
+        keep = lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(log)
+        live.tail_lines(spark, root, ".jsonl").writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    written(False)
+    written(True)
+    lines = live.present(spark.read.parquet(log)).withColumn("session_id", F.element_at(F.split("file", "/"), -2))
+    steps = transcripts.parse_lines(lines, ["session_id"])
+    return steps.select("session_id", F.col("step_index").cast("long").alias("step_index"), F.col("source").alias("role"), "content")

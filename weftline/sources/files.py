@@ -61,16 +61,40 @@ def read_tree(spark: SparkSession, root: str, workspace: str) -> DataFrame:
 
     What the listing leaves out is not opened.
     """
-    reader = spark.read.format("binaryFile")
-    paths = listed(spark, root)
+    return _read(spark, root, workspace, listed(spark, root))
+
+
+def read_files(spark: SparkSession, root: str, workspace: str, paths: list[str]) -> DataFrame:
+    """The same of some files below the root; those that are not there any more are left out."""
+    return _read(spark, root, workspace, [p for p in paths if _exists(spark, p)])
+
+
+def _read(spark: SparkSession, root: str, workspace: str, paths: list[str]) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", True)
     raw = reader.load(paths) if paths else reader.option("recursiveFileLookup", True).option("pathGlobFilter", "/none/").load(root)
-    base = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/"))
-    full = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/*", "")
-    rel = F.substring(full, F.length(base) + 2, F.length(full))
+    rel = _below(F.col("path"), root)
     kept = raw.withColumn("file_path", rel).where((F.col("length") <= MAX_BYTES) & clean_folders(F.col("file_path"))).where(admissible(F.col("file_path"), F.col("length"), F.col("content")))
     return kept.select(F.lit(workspace).alias("workspace"), "file_path", F.col("content").cast("string").alias("content"), F.col("length").alias("byte_size"), F.sha2(F.col("content"), 256).alias("file_hash"))
 
 
+def read_listing(spark: SparkSession, root: str, workspace: str) -> DataFrame:
+    """(workspace, file_path) of the files that may be admitted; none is opened."""
+    paths = spark.createDataFrame([(p,) for p in listed(spark, root)], "path string")
+    return paths.select(F.lit(workspace).alias("workspace"), _below(F.col("path"), root).alias("file_path"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def _below(path: Column, root: str) -> Column:
+    """A path without its scheme and the root before it."""
+    base = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/"))
+    full = F.regexp_replace(path, r"^[a-z0-9]+:/*", "")
+    return F.substring(full, F.length(base) + 2, F.length(full))
+
+
 def stale(files: DataFrame, known: DataFrame) -> DataFrame:
     """The files that are new or whose hash changed, by (workspace, file_path, file_hash)."""
     keys = ["workspace", "file_path"]

@@ -96,3 +96,16 @@ def known_projects(listing: DataFrame, parents: list[str], skip: tuple[str, ...]
 def with_line_numbers(steps: DataFrame) -> DataFrame:
     """``line_no`` from 0 in each session by step index."""
     return steps.withColumn("line_no", F.row_number().over(Window.partitionBy("session_id").orderBy("step_index")) - 1)
+
+
+def follow(spark: SparkSession, path: str, prefer_full: bool = False, **options: str | int) -> DataFrame:
+    """A stream of the steps of the sessions below ``path``, as their files gain lines; of a session's two files one kind is read.
+
+    Beside them the session's id, the file and the byte where the line begins.  A file
+    that was replaced is read again; ``sync.latest`` keeps one row a step.
+    """
+    from weftline.sources.live import tail_lines
+
+    name = FULL if prefer_full else SHORT
+    lines = tail_lines(spark, path, f"/{name}", **options).where("event = 'line'")
+    return parse_lines(lines.withColumn("session_id", F.element_at(F.split("file", "/"), -2)), ["session_id", "file", "at"])
