@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.llm.memory import tidy
 from weftline.llm.tokens import encoder, in_slices
 from weftline.session import materialize, spread
 
@@ -121,7 +122,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, spaced: bool = False, capacit
     A document longer than ``capacity`` ids is cut into pieces of ``capacity``, of which
     the first may be shorter.
     """
-    rows = spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(lambda b: _pieces(b, tokenizer, spaced, END_ID, capacity), _PIECES)
+    rows = spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(tidy(lambda b: _pieces(b, tokenizer, spaced, END_ID, capacity)), _PIECES)
     return materialize(rows, "pieces")
 
 
@@ -144,7 +145,7 @@ def sequences(docs: DataFrame, tokenizer: str) -> DataFrame:
     placed = place(cut_documents(keyed, tokenizer))
     texts = keyed.select(F.col("doc_id").alias("_id"), "text").dropDuplicates(["_id"])
     rows = placed.join(texts, F.col("doc_id") == F.col("_id")).select("sequence_id", "offset", "start", "length", "text")
-    parts = rows.mapInArrow(lambda b: _slices(b, tokenizer), "sequence_id long, offset long, ids array<long>")
+    parts = rows.mapInArrow(tidy(lambda b: _slices(b, tokenizer)), "sequence_id long, offset long, ids array<long>")
     joined = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("_p"))
     return joined.select("sequence_id", F.flatten("_p.ids").alias("ids"))
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.graph import components
+from weftline.llm.memory import tidy
 from weftline.llm.shingles import PERCENT, fingerprints, linked, mix, shingle_sets
 from weftline.llm.tokens import in_slices
 from weftline.session import drop_scratch, materialize, shuffle_width
@@ -295,7 +296,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     members = dealt.join(of, F.col("b") == F.col("_node")).select("a", "chunk", F.lit(1).alias("member"), F.col("b").alias("node"), "text")
     anchors = dealt.select("a", "chunk").distinct().join(of, F.col("a") == F.col("_node")).select("a", "chunk", F.lit(0).alias("member"), F.col("a").alias("node"), "text")
     rows = members.unionByName(anchors).repartition(width, "a", "chunk").sortWithinPartitions("a", "chunk", "member", "node")
-    links = materialize(rows.mapInArrow(_verify_rows, "a long, b long").distinct(), "links")
+    links = materialize(rows.mapInArrow(tidy(_verify_rows), "a long, b long").distinct(), "links")
     drop_scratch(dealt)
     return links
 
@@ -386,7 +387,7 @@ def _candidates(open_: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
     spread = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = spread.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "n", "sketch")
     ordered = cells.repartition(width, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "node")
-    return materialize(ordered.mapInArrow(lambda b: _compare_cells(b, nearest), "sig long, a long, b long"), "candidates")
+    return materialize(ordered.mapInArrow(tidy(lambda b: _compare_cells(b, nearest)), "sig long, a long, b long"), "candidates")
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -394,12 +395,12 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     width = shuffle_width(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    held = materialize(rows.mapInArrow(_nodes, _NODES), "nodes")
+    held = materialize(rows.mapInArrow(tidy(_nodes), _NODES), "nodes")
     total = held.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * 0.9) // BUCKET + 1)
-    packed = rows.select("text").mapInArrow(lambda b: _sign(b, buckets), "bucket long, block binary")
+    packed = rows.select("text").mapInArrow(tidy(lambda b: _sign(b, buckets)), "bucket long, block binary")
     met = packed.repartition(width, "bucket").sortWithinPartitions("bucket")
-    shared = materialize(met.mapInArrow(_meet, _SHARED), "shared")
+    shared = materialize(met.mapInArrow(tidy(_meet), _SHARED), "shared")
 
     # one row stands for a set: of its smallest text hash, and of those rows of its smallest doc_id
     row = F.struct("mark", F.col("doc_id").isNull().alias("none"), "doc_id")
