@@ -28,7 +28,8 @@ def scanned(df):
     return files, read, rows
 
 
-def exchanged(df):
-    """The text of the plan that ran."""
+def final_plan(df):
+    """The text of the plan that ran, as it was in the end."""
     df.collect()
-    return df._jdf.queryExecution().executedPlan().toString()
+    plan = df._jdf.queryExecution().executedPlan()
+    return (plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan).toString()

@@ -103,15 +103,20 @@ def list_sessions(sessions: DataFrame, workspace: str = "", runtime: str = "", b
     return out.orderBy(key.desc() if down else key.asc(), "session_id")
 
 
-def search(steps: DataFrame, query: str, kind: str = "", limit: int = 100) -> DataFrame:
-    """The newest ``limit`` steps whose text holds the query; prompts are searched without their tags.
+def searched_text() -> Column:
+    """What a search looks through: prompts without their tags, other texts as they are."""
+    return F.when((F.col("type") == "USER_INPUT") & (F.col("source") == "USER_EXPLICIT"), T.user_prompt(F.col("content"))).otherwise(F.col("content"))
 
-    ``total_count`` counts the rows after the limit.
-    """
-    body = F.when((F.col("type") == "USER_INPUT") & (F.col("source") == "USER_EXPLICIT"), T.user_prompt(F.col("content"))).otherwise(F.col("content"))
+
+def search(steps: DataFrame, query: str, kind: str = "", limit: int = 100) -> DataFrame:
+    """The newest ``limit`` steps whose text holds the query; ``indexes.search`` finds them without reading all."""
     n_tools = F.coalesce(F.size("tool_calls"), F.lit(0)) if "tool_calls" in steps.columns else F.lit(0)
-    found = steps.where(T.message_filter(kind, F.col("type"), F.col("content"), n_tools)).withColumn("body", body)
-    hits = found.where((F.trim("body") != "") & (F.instr(F.lower("body"), query.lower()) > 0))
+    found = steps.where(T.message_filter(kind, F.col("type"), F.col("content"), n_tools)).withColumn("body", searched_text())
+    return newest(found.where((F.trim("body") != "") & (F.instr(F.lower("body"), query.lower()) > 0)), query, limit)
+
+
+def newest(hits: DataFrame, query: str, limit: int) -> DataFrame:
+    """The newest of the steps that hold a query, with previews; ``total_count`` counts the rows after the limit."""
     top = hits.orderBy(F.desc_nulls_last("created_at"), "session_id", "step_index").limit(limit)
     counted = F.count("*").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # over the limit's rows
     return top.select("session_id", "step_index", "type", "created_at", T.search_preview(F.col("body"), query).alias("preview"), counted.alias("total_count"))

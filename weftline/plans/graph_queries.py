@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import coloured_lpa, condense, graph, rag, store, vectors
 from weftline.plans.registry import query
-from weftline.plans.views import GRAPH_SQL, table, trade_edges, trade_nodes
+from weftline.plans.views import GRAPH_SQL, part_symbols, table, trade_adjacency, trade_edges, trade_nodes, trade_symbols
 
 _G = "with recursive " + GRAPH_SQL
 
@@ -50,7 +50,7 @@ def induced_subgraph(spark, d):
 @query(_G + """, seed as (select 's:1' as id), h1 as (select target as id from edges where source = 's:1' union select source from edges where target = 's:1' union select id from seed) select id from h1""")
 def one_hop(spark, d):
     seed = spark.range(1).select(F.lit("s:1").alias("id"))
-    return graph.neighbours(trade_edges(spark, d), seed)
+    return trade_adjacency(spark, d).neighbours(seed)
 
 
 @query(_G + """, seed(id) as (values ('s:1'), ('c:1')), touch as (select * from edges where source in (select id from seed) or target in (select id from seed)),
@@ -68,7 +68,7 @@ hop(id, depth) as (select 'c:1', 0 union select u.b, hop.depth + 1 from hop join
 select id, min(depth) as depth from hop group by id""")
 def two_hop(spark, d):
     seed = spark.range(1).select(F.lit("c:1").alias("id"))
-    return graph.k_hop(trade_edges(spark, d), seed, 2)
+    return trade_adjacency(spark, d).k_hop(seed, 2)
 
 
 @query(_G + """, u as (select distinct source as a, target as b from edges union select distinct target, source from edges),
@@ -81,8 +81,7 @@ def k_hop_capped(spark, d):
 @query("""with t as (select p_partkey as id, p_name as label from part where p_name like '%a%' and contains(p_name, 'a')),
 top as (select id, label, label = 'a' as exact from t order by exact desc, label, id limit 20) select id, label from top""")
 def symbol_lookup(spark, d):
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.lit("part").alias("kind"))
-    return graph.find_symbols(part, "a").select("id", "label")
+    return part_symbols(spark, d).find("a").select("id", "label")
 
 
 @query("""with n as (select p_partkey as id, p_brand || '::' || p_type as label from part), m as (select min(p_type) as t from part)
@@ -97,7 +96,8 @@ def suffix_match(spark, d):
 select e.source, n.label as caller, e.target, e.type, count(*) as n from edges e join t on t.id = e.target join nodes n on n.id = e.source group by all""")
 def references(spark, d):
     name = table(spark, d, "supplier").agg(F.min("s_name")).first()[0]
-    return graph.references(trade_nodes(spark, d), trade_edges(spark, d), name).groupBy("source", "caller", "target", "type").agg(F.count("*").alias("n"))
+    matches = trade_symbols(spark, d).suffix(name)
+    return trade_adjacency(spark, d).references(matches, trade_nodes(spark, d)).groupBy("source", "caller", "target", "type").agg(F.count("*").alias("n"))
 
 
 @query("""with nodes as (select 'ws:' || p_brand || ':' || p_partkey as id, p_brand as file_path, p_type as label from part),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.operators import condense, sessions, telemetry
 from weftline.plans.registry import query
-from weftline.plans.views import EVENTS_SQL, STEPS_SQL, calls, event_steps, files, steps, table
+from weftline.plans.views import EVENTS_SQL, STEPS_SQL, calls, event_steps, files, step_search, steps, table
 from weftline.sources import files as source_files
 
 _S, _E = "with " + STEPS_SQL, "with " + EVENTS_SQL
@@ -59,8 +59,9 @@ def lifetime_overlap(spark, d):
 top as (select * from hits order by session_id, step_index limit 100)
 select session_id, step_index, case when greatest(0, p - 101) > 0 then '...' else '' end || substr(content, greatest(0, p - 101) + 1, least(greatest(0, p - 101) + 200, length(content)) - greatest(0, p - 101)) || case when least(greatest(0, p - 101) + 200, length(content)) < length(content) then '...' else '' end as preview, (select count(*) from top) as total_count from top""")
 def transcript_search(spark, d):
-    s = steps(spark, d).where("type <> 'USER_INPUT'").withColumn("created_at", F.lit(None).cast("timestamp"))
-    return sessions.search(s, "ation").select("session_id", "step_index", "preview", "total_count")
+    """By the index; a scan gives the same, which tests hold it against."""
+    hits = step_search(spark, d).matching("ation").where("type <> 'USER_INPUT'")
+    return sessions.newest(hits, "ation", 100).select("session_id", "step_index", "preview", "total_count")
 
 
 @query("""select doc_id, case when instr(lower(text), 'ring') = 0 then case when length(text) > 80 then left(text, 80) || '...' else text end

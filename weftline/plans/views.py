@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from weftline.indexes.adjacency import Adjacency
+from weftline.indexes.search import SearchIndex
+from weftline.indexes.symbols import SymbolIndex
 from weftline.operators.store import write_partitions
 from weftline.session import scratch_path
 
@@ -43,20 +46,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_tables: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_tables: dict[tuple, tuple[str, StructType | None]] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of what stands in a folder, and in the tables that are folders."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for entry in fs.listStatus(place):
+        inner = fs.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in inner]
+    return tuple(sorted(found))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], StructType | None]) -> tuple[str, StructType | None]:
+    """A folder that ``build`` has filled, and its schema: once for an application and for the input's files as they are.
+
+    It is filled again where these have other names, sizes or times, or where it is gone.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir))
+    if key not in _tables or not _exists(spark, _tables[key][0]):
+        path = scratch_path(spark, name)
+        _tables[key] = (path, build(path))
+    return _tables[key]
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """A table of the graph, written by workspace when it is asked for first, as an ingestion leaves it, and read from then on."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _tables:
-        df, path = build(spark, sf_dir), scratch_path(spark, name)
+
+    def write(path: str) -> StructType:
+        df = build(spark, sf_dir)
         write_partitions(df, path)
-        _tables[key] = (path, df.schema)
-    path, schema = _tables[key]
+        return df.schema
+
+    path, schema = kept(spark, sf_dir, name, write)
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
+def trade_adjacency(spark: SparkSession, sf_dir: str) -> Adjacency:
+    """The trade edges by either end."""
+    path, _ = kept(spark, sf_dir, "trade_adjacency", lambda p: Adjacency(spark, p, 16).build(trade_edges(spark, sf_dir)) and None)
+    return Adjacency(spark, path, 16)
+
+
+def trade_symbols(spark: SparkSession, sf_dir: str) -> SymbolIndex:
+    path, _ = kept(spark, sf_dir, "trade_symbols", lambda p: SymbolIndex(spark, p).build(trade_nodes(spark, sf_dir)) and None)
+    return SymbolIndex(spark, path)
+
+
+def part_symbols(spark: SparkSession, sf_dir: str) -> SymbolIndex:
+    """Parts as symbols of one workspace."""
+    nodes = lambda: table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("part").alias("workspace"), F.col("p_name").alias("label"), F.lit("part").alias("kind"), F.col("p_brand").alias("file_path"))
+    path, _ = kept(spark, sf_dir, "part_symbols", lambda p: SymbolIndex(spark, p).build(nodes()) and None)
+    return SymbolIndex(spark, path)
+
+
+def step_search(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The conversations' steps, searchable."""
+    path, _ = kept(spark, sf_dir, "step_search", lambda p: SearchIndex(spark, p).append(steps(spark, sf_dir)) and None)
+    return SearchIndex(spark, path)
+
+
 def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "trade_nodes", make_nodes)
 
