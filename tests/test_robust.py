@@ -38,13 +38,6 @@ def test_scripts_of_all_forms():
     assert ("w", "w:a.ts:A:1", "Base", None, "EXTENDS", "EXTRACTED") in out.edges and ("w", "w:a.ts:load:3", "go", None, "CALLS", "EXTRACTED") in out.edges
 
 
-def test_a_list_of_known_projects_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(sessions, "MAX_KNOWN", 2)
-    steps = spark.createDataFrame([], "session_id string, step_index int, type string, source string, content string, tool_calls array<struct<name:string,args:string>>")
-    with pytest.raises(ValueError, match="known projects"):
-        sessions.project_scores(steps, spark.range(3).select(F.col("id").cast("string").alias("name"), F.lit("/x").alias("path")))
-
-
 def test_a_hub_is_not_gathered(spark, monkeypatch):
     monkeypatch.setattr(condense, "LISTED", 3)
     nodes = spark.range(10).select(F.col("id").cast("string").alias("id"), F.lit("f").alias("label"), F.lit("k").alias("kind"), F.lit("p").alias("file_path"), F.lit("t").alias("text"))

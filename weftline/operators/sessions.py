@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions import text as T
+from weftline.operators.substrings import holding
 
 WRITE_TOOLS = ("write_to_file", "replace_file_content", "multi_replace_file_content")
 COMMAND_TOOL = "run_command"
-#: Rows of a list of known projects.
-MAX_KNOWN = 10_000
 
 
 def rollup(steps: DataFrame) -> DataFrame:
@@ -46,22 +45,27 @@ def tool_counts(steps: DataFrame) -> DataFrame:
 def project_scores(steps: DataFrame, known: DataFrame) -> DataFrame:
     """(session_id, project, score) from prompt mentions (10), metadata workspaces (15), known paths (20), parent folders (25) and derived names (15).
 
-    ``known`` (name, path) is a small dimension, of MAX_KNOWN rows at most, which is
-    checked; substring tests against it have no key and are one broadcast nested-loop join.
+    ``known`` (name, path) may have any number of rows: what holds which name or path is
+    found by keys.
     """
-    if known.limit(MAX_KNOWN + 1).count() > MAX_KNOWN:
-        raise ValueError(f"more than {MAX_KNOWN} known projects")
-    dimension = F.broadcast(known.select("name", "path"))
+    known = known.select("name", "path").withColumn("_row", F.monotonically_increasing_id())
+    named = known.select("name", F.lower("name").alias("_name"), F.concat(F.lit("/"), "name", F.lit("/")).alias("_folder"), "path", "_row")
     prompts = steps.where((F.col("type") == "USER_INPUT") & (F.col("source") == "USER_EXPLICIT"))
-    mention = prompts.join(dimension, F.contains(F.lower("content"), F.lower("name"))).select("session_id", F.col("name").alias("project"), F.lit(10).alias("score"))
+    lower = prompts.select("session_id", F.lower("content").alias("text"))
+    told = holding(lower, named.select(F.col("_name").alias("needle")))
+    mention = lower.join(told, "text").join(named, F.col("needle") == F.col("_name")).select("session_id", F.col("name").alias("project"), F.lit(10).alias("score"))
     stated = prompts.select("session_id", T.project_name(T.workspace_of(F.col("content"))).alias("project"), F.lit(15).alias("score")).where("project != 'Default'")
     args = ("Cwd", "DirectoryPath", "SearchPath", "TargetFile", "AbsolutePath", "TargetDirectory")
     calls = steps.where("type = 'PLANNER_RESPONSE'").select("session_id", F.explode("tool_calls").alias("c"))
-    paths = calls.select("session_id", F.explode(F.array(*[F.regexp_replace(F.get_json_object("c.args", f"$.{a}"), "^[\"']+|[\"']+$", "") for a in args])).alias("p"), F.monotonically_increasing_id().alias("_id")).where("p rlike '^[/~]'")
-    inside = F.contains("p", F.concat(F.lit("/"), F.col("name"), F.lit("/"))) | F.endswith("p", F.concat(F.lit("/"), F.col("name"))) | F.contains("p", F.col("path"))
-    tested = paths.join(dimension, inside, "left")
-    hit = tested.where("name is not null").select("session_id", F.col("name").alias("project"), F.lit(20).alias("score"))
-    other = tested.where("name is null").select("session_id", T.project_name(F.col("p")).alias("project"), F.when(F.col("p").rlike("/(" + "|".join(T.PROJECT_PARENTS) + ")/"), 25).otherwise(15).alias("score")).where("project != 'Default'")
+    paths = calls.select("session_id", F.explode(F.array(*[F.regexp_replace(F.get_json_object("c.args", f"$.{a}"), "^[\"']+|[\"']+$", "") for a in args])).alias("p")).where("p rlike '^[/~]'")
+    # a folder's name is in a path, or at its end, where the path with a slash behind it holds the name between slashes
+    closed = holding(paths.select(F.concat("p", F.lit("/")).alias("text")), named.select(F.col("_folder").alias("needle")))
+    by_name = closed.join(named, F.col("needle") == F.col("_folder")).select(F.expr("left(text, length(text) - 1)").alias("_p"), "_row", "name")
+    by_path = holding(paths.select(F.col("p").alias("text")), named.select(F.col("path").alias("needle"))).join(named, F.col("needle") == F.col("path")).select(F.col("text").alias("_p"), "_row", "name")
+    inside = by_name.unionByName(by_path).distinct()
+    hit = paths.join(inside, F.col("p") == F.col("_p")).select("session_id", F.col("name").alias("project"), F.lit(20).alias("score"))
+    none = paths.join(inside.select("_p"), F.col("p") == F.col("_p"), "left_anti")
+    other = none.select("session_id", T.project_name(F.col("p")).alias("project"), F.when(F.col("p").rlike("/(" + "|".join(T.PROJECT_PARENTS) + ")/"), 25).otherwise(15).alias("score")).where("project != 'Default'")
     votes = mention.unionByName(stated).unionByName(hit).unionByName(other)
     return votes.where(T.valid_workspace(F.col("project"))).groupBy("session_id", "project").agg(F.sum("score").alias("score"))
 

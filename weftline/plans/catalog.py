@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import code_queries, extra_queries, graph_queries, listing_queries, parsing_queries, registry, report_queries, session_queries, streaming_queries  # noqa: F401 - they register
+from weftline.plans import change_queries, code_queries, extra_queries, graph_queries, listing_queries, parsing_queries, registry, report_queries, session_queries, streaming_queries  # noqa: F401 - they register
 
 
 def queries() -> dict[str, registry.Query]:

@@ -214,10 +214,10 @@ def apply_changeset(spark, d):
 
 @query("""with f as (select source as workspace, max(doc_id) as m from documents group by source)
 select 'gone' as what, source as workspace, doc_id || '.txt' as file_path, null::bigint as changes from documents where doc_id % 5 = 0
-union all select 'due', (user_id % 4)::varchar, null, count(*) from events where event_id % 2 = 0 group by user_id % 4 having max(ts) <= timestamp '2024-01-30 12:00:00' - interval 3500 millisecond""")
+union all select 'due', (user_id % 4)::varchar, null, count(*) from events group by user_id % 4 having max(ts) <= timestamp '2024-01-30 12:00:00' - interval 3500 millisecond""")
 def periodic_sweep(spark, d):
     known = files(spark, d).select("workspace", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), "doc_id")
-    events = table(spark, d, "events").where("event_id % 2 = 0").select((F.col("user_id") % 4).cast("string").alias("workspace"), "ts")
+    events = table(spark, d, "events").select((F.col("user_id") % 4).cast("string").alias("workspace"), "ts")
     gone, due = indexing.sweep(known, known.where("doc_id % 5 <> 0"), events, F.lit("2024-01-30 12:00:00").cast("timestamp"))
     nothing = lambda kind: F.lit(None).cast(kind)
     return gone.select(F.lit("gone").alias("what"), "workspace", "file_path", nothing("long").alias("changes")).unionByName(due.select(F.lit("due").alias("what"), "workspace", nothing("string").alias("file_path"), "changes"))
