@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import extension
+from weftline.operators.lexing import blanked, without_type_arguments
 from weftline.schemas import EXTRACTED_EDGES, PARSED_NODES
 from weftline.session import materialize, spread
 
@@ -292,12 +293,6 @@ _DECLARATIONS = {
     "go": [(r"func\s+(?:\([^)]*\)\s*)?(\w+)\s*[\[(]", "function"), (r"type\s+(\w+)(?:\[[^\]]*\])?\s+struct\b", "struct"), (r"type\s+(\w+)(?:\[[^\]]*\])?\s+interface\b", "interface"), (r"type\s+(\w+)\s+\w", "type"), (r"const\s+(\w+)\b", "constant")],
     "javascript": [(r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", "function"), (r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:<[^>]*>\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=;{]+)?=>", "function"), (r"(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", "class"), (r"(?:export\s+)?interface\s+(\w+)", "interface"), (r"(?:export\s+)?type\s+(\w+)\s*[=<]", "type"), (r"(?:export\s+)?(?:const\s+)?enum\s+(\w+)", "enum"), (r"(?:(?:public|private|protected|static|async|get|set|override)\s+)*(\w+)\s*(?:<[^>]*>)?\([^)]*\)\s*(?::[^{;=]+)?(?=\{)", "member")],
 }
-#: Comments and strings, in which nothing is read.
-_SILENT = {
-    "rust": r'//[^\n]*|/\*.*?\*/|b?r(#*)".*?"\1|b?"(?:\\.|[^"\\])*"|b?\'(?:\\[^\n\']+|[^\\\'\n])\'',
-    "go": r'//[^\n]*|/\*.*?\*/|`[^`]*`|"(?:\\.|[^"\\\n])*"|\'(?:\\[^\n\']+|[^\\\'\n])\'',
-    "javascript": r'//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'',
-}
 _IMPORT = {"rust": r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+)", "go": r"^import\s+(?:\w+\s+|\.\s+)?(\"[^\"\n]+\")", "javascript": r"^[ \t]*import\s+((?:[^;'\"]*?from\s+)?['\"][^'\"\n]+['\"])"}
 _MARK = re.compile(r"[()\[\]{};]|\n\s*")
 _CALL = re.compile(r"([A-Za-z_][\w.:]*)!?\s*\(")
@@ -322,7 +317,7 @@ class _Code:
 
     def __init__(self, content: str, lang: str):
         self.lang, self.text, self.lines = lang, content, content.splitlines()
-        self.code = re.compile(_SILENT[lang], re.S).sub(lambda m: re.sub(r"[^\n]", " ", m[0]), content)
+        self.code = blanked(content, lang)
         self.breaks = [m.start() for m in re.finditer("\n", content)]
         self.closes, open_ = {}, []
         for m in re.finditer(r"[{}]", self.code):
@@ -424,7 +419,7 @@ def lexical_file(workspace: str, path: str, content: str, lang: str) -> _Out:
         if kind in ("function", "method"):
             holders.append((m.end(), end, made))
     _imports(out, src, kindred, lang, workspace, path)
-    _called(out, src.code, holders, heads)
+    _called(out, without_type_arguments(src.code), holders, heads)
     return out
 
 
