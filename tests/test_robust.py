@@ -90,3 +90,16 @@ def test_changed_files_are_indexed_again(spark):
     new, links = indexing.reindex(nodes, edges, tree("def second():\n    third()\n\ndef third():\n    pass\n"), 8)
     assert {(r["label"], r["community"]) for r in new.collect()} == {("first", 3), ("second", 3), ("third", 3)}
     assert {(r["source"].split(":")[2], r["target"].split(":")[2]) for r in links.collect()} == {("first", "second"), ("second", "third")}
+
+
+def test_one_bad_text_spoils_no_other(spark):
+    """A batch that fails is embedded text by text; only the bad one, and one of the wrong length, get zeros."""
+
+    def run(texts):
+        if "bad" in texts:
+            raise ValueError(texts)
+        return [[1.0] if t == "short" else [float(len(t)), 1.0] for t in texts]
+
+    df = spark.createDataFrame([("aa",), ("bad",), ("bbb",), ("short",), (None,)], "text string").coalesce(1)
+    got = {r["text"]: r["embedding"] for r in vectors.embed(df, dim=2, embedder=run).collect()}
+    assert got == {"aa": [2.0, 1.0], "bad": [0.0, 0.0], "bbb": [3.0, 1.0], "short": [0.0, 0.0], None: [0.0, 1.0]}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import logging
 import math
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ from pyspark.sql.window import Window
 
 from weftline.session import materialize
 
+logger = logging.getLogger(__name__)
+
 #: Texts that an embedder gets at once.
 BATCH = 32
 #: Queries that are broadcast at once.
@@ -122,17 +125,27 @@ def embed(df: DataFrame, text: str = "text", out: str = "embedding", dim: int =
     """``df`` with vectors from ``embedder`` (texts to vectors, BATCH at a time); zero vectors where it fails."""
     run = embedder or (lambda texts: [hashing_embedding(t, dim) for t in texts])
 
+    def one(text: str) -> list[float]:
+        try:
+            return run([text])[0]
+        except Exception:  # a text that can't be embedded keeps its place with a zero vector
+            return [0.0] * dim
+
+    def some(part: list[str]) -> list[list[float]]:
+        try:
+            found = run(part)
+            if len(found) == len(part):
+                return found
+        except Exception:  # the others of a batch are embedded one by one
+            logger.warning("a batch of %d texts can't be embedded; trying them one by one", len(part))
+        return [one(t) for t in part]
+
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             got = []
             for at in range(0, len(batch), BATCH):
-                part = [t or "" for t in batch.iloc[at : at + BATCH]]
-                try:
-                    found = run(part)
-                except Exception:  # a text that can't be embedded keeps its place with a zero vector
-                    found = [[0.0] * dim] * len(part)
-                got += [v if len(v) == dim else [0.0] * dim for v in found]
+                got += [v if len(v) == dim else [0.0] * dim for v in some([t or "" for t in batch.iloc[at : at + BATCH]])]
             yield pd.Series(got)
 
     return df.withColumn(out, vectors(F.col(text)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import coloured_lpa, condense, graph, rag, store, vectors
 from weftline.plans.registry import query
-from weftline.plans.views import GRAPH_SQL, part_symbols, table, trade_adjacency, trade_edges, trade_nodes, trade_symbols
+from weftline.plans.views import GRAPH_SQL, part_symbols, table, trade_adjacency, trade_edges, trade_nodes, trade_symbols, vector_cells
 
 _G = "with recursive " + GRAPH_SQL
 
@@ -215,6 +215,13 @@ def vector_topk(spark, d):
     return vectors.top_k(e, e.where("vec_id = 0").select("embedding").first()[0], 10, key="vec_id").withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"select e.vec_id, round({_COS}, 6) as similarity from embeddings e, (select embedding from embeddings where vec_id = 0) q order by {_COS} desc, vec_id limit 10")
+def vector_cells_topk(spark, d):
+    """The same from cells: the nearest, and those that may hold something nearer."""
+    query = table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+    return vector_cells(spark, d).exact(query, 10).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(f"select e.vec_id, round({_COS}, 6) as similarity from embeddings e, (select embedding from embeddings where vec_id = 1) q where e.label = 3 order by {_COS} desc, vec_id limit 15")
 def vector_topk_filtered(spark, d):
     e = table(spark, d, "embeddings")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from weftline.indexes.adjacency import Adjacency
+from weftline.indexes.cells import CellIndex
 from weftline.indexes.search import SearchIndex
 from weftline.indexes.symbols import SymbolIndex
 from weftline.operators.store import write_partitions
@@ -107,6 +108,12 @@ def part_symbols(spark: SparkSession, sf_dir: str) -> SymbolIndex:
     return SymbolIndex(spark, path)
 
 
+def vector_cells(spark: SparkSession, sf_dir: str) -> CellIndex:
+    """The embeddings by cell."""
+    path, _ = kept(spark, sf_dir, "vector_cells", lambda p: CellIndex(spark, p, "vec_id").build(table(spark, sf_dir, "embeddings")) and None)
+    return CellIndex(spark, path, "vec_id")
+
+
 def step_search(spark: SparkSession, sf_dir: str) -> SearchIndex:
     """The conversations' steps, searchable."""
     path, _ = kept(spark, sf_dir, "step_search", lambda p: SearchIndex(spark, p).append(steps(spark, sf_dir)) and None)
