@@ -253,12 +253,44 @@ def test_audit_asks_until_it_sees_links(spark):
     x[2999] = x[2998]
     nodes = spark.createDataFrame([(i, 1, 64, v.tobytes()) for i, v in enumerate(x)], "node long, copies long, dim int, vec binary")
     counted = lambda rows: spark.createDataFrame(rows, "node long, links long")
-    assert op6_nndescent.audit(nodes, counted([])) == 0.0
-    assert op6_nndescent.audit(nodes, counted([(2998, 1), (2999, 1)])) == 1.0
+    ids = nodes.select(F.col("node").alias("vec_id"), "node")
+    assert op6_nndescent.audit(nodes, counted([]), ids) == 0.0
+    assert op6_nndescent.audit(nodes, counted([(2998, 1), (2999, 1)]), ids) == 1.0
+
+
+def test_audit_asks_the_ids_that_twenty_divides(spark, monkeypatch):
+    """All of them, in blocks, where there are more vectors than are asked whole; the others decide nothing."""
+    monkeypatch.setattr(op6_nndescent, "ASKED", 10)
+    monkeypatch.setattr(op6_nndescent, "SCAN", 3)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 32))
+    x[1::2] = x[::2] + rng.standard_normal((200, 32)) * 0.01
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    nodes = spark.createDataFrame([(i, 1, 32, v.tobytes()) for i, v in enumerate(x)], "node long, copies long, dim int, vec binary")
+    ids = nodes.select(F.col("node").alias("vec_id"), "node")
+    known = lambda some: spark.createDataFrame([(i, 1) for i in some], "node long, links long")
+    assert op6_nndescent.audit(nodes, known(range(0, 400, 20)), ids) == 1.0
+    assert op6_nndescent.audit(nodes, known(range(0, 400, 40)), ids) == 0.5
+    assert op6_nndescent.audit(nodes, known(i for i in range(400) if i % 20), ids) == 0.0
 
 
 def test_low_recall_is_not_accepted(spark, monkeypatch):
-    monkeypatch.setattr(op6_nndescent, "audit", lambda nodes, counted: 0.5)
-    df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(4)], "vec_id long, embedding array<double>")
-    with pytest.raises(RuntimeError, match="recall"):
-        op6_nndescent.dedup_vectors(df)
+    """Then all vectors are compared with all, in blocks: chains, dense groups, copies, other lengths, vectors without a direction."""
+    monkeypatch.setattr(op6_nndescent, "audit", lambda nodes, counted, ids: 0.5)
+    monkeypatch.setattr(op6_nndescent, "FORESTS", 0)
+    monkeypatch.setattr(op6_nndescent, "SCAN", 20)
+    monkeypatch.setattr(op6_nndescent, "SLICE", 7)
+    rng = np.random.default_rng(8)
+    chain = [[float(np.cos(i * 0.4)), float(np.sin(i * 0.4)), 0.0] for i in range(7)]
+    dense = [(np.array([0, 0, 1.0]) + rng.standard_normal(3) * 0.05).tolist() for _ in range(30)]
+    rows = [(i, v) for i, v in enumerate(chain + dense + rng.standard_normal((60, 3)).tolist() + dense[:5] + [[1.0, 2.0], [2.0, 4.1], [0.0, 0.0, 0.0], None])]
+    got = {r["vec_id"]: tuple(r) for r in op6_nndescent.dedup_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()}
+    good = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v is not None and any(v)}
+    near = {i: [j for j, w in good.items() if j != i and len(w) == len(v) and v @ w >= 0.9] for i, v in good.items()}
+    least = {i: i for i, _ in rows}
+    while True:
+        after = {i: min([least[i], *(least[j] for j in near.get(i, []))]) for i in least}
+        if after == least:
+            break
+        least = after
+    assert got == {i: (i, len(near.get(i, [])), least[i], least[i] == i) for i, _ in rows}

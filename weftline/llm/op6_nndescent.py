@@ -10,13 +10,15 @@ are none, and are compared with the whole of their component, in cells of bounde
 size that return counts and no pairs; so are all nodes of components that fit one
 cell.  Between other nodes the links of their lists count.  Trees grow with their
 depth, so that a pair at the threshold shares a leaf as likely at any size.  The
-recall of the counted links is audited on a query set that grows with the input,
-against all rows; the descent goes on with more trees where it is too low, and fails
-where it stays so.
+recall of the counted links is audited on the vectors whose id 20 divides, against all
+rows, in blocks; the descent goes on with more trees where it is too low, and where it
+stays so, all vectors are compared with all in such blocks, which give counts and the
+links that hold components together.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from pyspark.sql.window import Window
 from weftline.llm.graph import components
 from weftline.session import drop_scratch, materialize, shuffle_width
 
+logger = logging.getLogger(__name__)
+
 THRESHOLD = 0.9
 #: Neighbours of a list, trees of a forest at least, vectors of a leaf, rounds of descent at most.
 NEIGHBOURS, TREES, LEAF, ROUNDS = 10, 8, 128, 3
@@ -37,10 +41,10 @@ STILL = 0.02
 HOT_LEAF, CELL_NUMBERS, CELL = 1024, 1 << 20, 512
 #: Blocks over which a component is dealt, as far as they hold so many vectors and less than a cell's most.
 BLOCKS, FEW = 8, 128
-#: The audit: vectors asked at first, recall wanted, further forests at most.
-AUDIT, RECALL, FORESTS = 512, 0.95, 3
-#: The audit ends with so many vectors that have links, or a share of all vectors (of at least so many) asked; vectors a scan at most, and compared at once.
-LINKED, SHARE, ASKED, SCAN, SLICE = 256, 1 / 20, 4096, 4096, 256
+#: The audit: recall wanted, further forests at most; all vectors are asked where there are so many or fewer.
+RECALL, FORESTS, ASKED = 0.95, 3, 4096
+#: Vectors of a block, but for chance, and of those compared at once.
+SCAN, SLICE = 4096, 256
 
 _SLACK = 1e-3  # single precision proposes, double precision decides
 
@@ -323,43 +327,96 @@ def _asked(batches: Iterator[pa.RecordBatch], queries) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([pa.array(names[some][has]), pa.array(links[has], pa.int64())], ["query", "links"])
 
 
-def audit(nodes: DataFrame, counted: DataFrame) -> float:
+def _blocks(asked: DataFrame):
+    """The vectors to ask (node, dim, vec) in blocks of about SCAN, one after the other on the driver: (rows, broadcast)."""
+    spark = asked.sparkSession
+    blocks = max(1, round(asked.count() / SCAN))
+    drawn = F.pmod(F.xxhash64(F.lit("block"), "node"), F.lit(blocks))
+    for block in range(blocks):
+        rows = asked.filter(drawn == block).collect()
+        if rows:
+            names, dims = (np.array([r[c] for r in rows], np.int64) for c in ("node", "dim"))
+            sent = spark.sparkContext.broadcast((names, dims, [bytes(r["vec"]) for r in rows]))
+            yield rows, sent
+            sent.unpersist()
+
+
+def audit(nodes: DataFrame, counted: DataFrame, ids: DataFrame) -> float:
     """The share of the links of a query set, found by comparing it with all rows, that are in ``counted`` (node, links).
 
     What is counted has been compared, so it is never more than there is.  The set is
-    drawn by hashes and grows until LINKED of its vectors have links or SHARE of all
-    are asked.  Of the shares over links and over vectors with links the smaller
+    the nodes of ``ids`` (vec_id, node) whose vec_id 20 divides, or all where there are
+    ASKED or fewer.  Of the shares over links and over vectors with links the smaller
     counts; 1 where none has a link.
     """
-    spark = nodes.sparkSession
-    total = nodes.count()
     of = counted.select(F.col("node").alias("_o"), F.col("links").alias("known"))
-    placed = nodes.join(of, F.col("node") == F.col("_o"), "left").select("node", "dim", "vec", "copies", F.coalesce("known", F.lit(0)).alias("known"))
-    buckets = max(1, round(total / AUDIT))
-    last = min(buckets, int(np.ceil(max(ASKED, SHARE * total) / AUDIT)))
-    drawn = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(buckets))
-    at, width, seen, links, met, shares = 0, 1, 0, 0, 0, 0.0
-    while at < last and seen < LINKED:
-        picked = placed.filter((drawn >= at) & (drawn < min(at + width, last))).collect()  # SCAN vectors, but for chance
-        names, dims = (np.array([r[c] for r in picked], np.int64) for c in ("node", "dim"))
-        known = {r["node"]: r["known"] for r in picked}
-        sent = spark.sparkContext.broadcast((names, dims, [bytes(r["vec"]) for r in picked]))
+    placed = nodes.join(of, F.col("node") == F.col("_o"), "left").select("node", "dim", "vec", F.coalesce("known", F.lit(0)).alias("known"))
+    if nodes.count() > ASKED:
+        placed = placed.join(ids.filter("vec_id % 20 = 0").select(F.col("node").alias("_q")).distinct(), F.col("node") == F.col("_q"), "left_semi")
+    placed = materialize(placed, "asked")
+    seen, links, met, shares = 0, 0, 0, 0.0
+    for rows, sent in _blocks(placed):
+        known = {r["node"]: r["known"] for r in rows}
         found = nodes.select("node", "dim", "vec", "copies").mapInArrow(lambda b, sent=sent: _asked(b, sent), "query long, links long").groupBy("query").agg(F.sum("links").alias("links"))
         for r in found.collect():  # a row a vector asked at most
             seen, links, met, shares = seen + 1, links + r["links"], met + known[r["query"]], shares + known[r["query"]] / r["links"]
-        sent.unpersist()
-        at, width = at + width, min(2 * width, max(1, SCAN // AUDIT))
+    drop_scratch(placed)
     return min(met / links, shares / seen) if seen else 1.0
 
 
+def _held_together(batches: Iterator[pa.RecordBatch], queries) -> Iterator[pa.RecordBatch]:
+    """(a, b, links): the links that a block's vectors have in these rows, as counts (a = b), and enough of them to connect what they connect."""
+    names, dims, raw = queries.value
+    kinds = ["a", "b", "links"]
+    for batch in batches:
+        node, dim, vec, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_numpy()
+        for d in np.unique(dim):
+            own, mine = np.flatnonzero(dim == d), np.flatnonzero(dims == d)
+            if not len(mine):
+                continue
+            x = np.frombuffer(b"".join(vec[i] for i in own), np.float64).reshape(len(own), -1)
+            q = np.frombuffer(b"".join(raw[i] for i in mine), np.float64).reshape(len(mine), -1)
+            for at in range(0, len(mine), SLICE):
+                some = names[mine[at : at + SLICE]]
+                met = (x @ q[at : at + SLICE].T >= THRESHOLD) & (node[own][:, None] != some)
+                links, has = copies[own] @ met, met.any(0)
+                left = np.full(len(own), len(some))
+                label = np.where(has, np.arange(len(some)), len(some))
+                while True:  # the least query that each is connected with in here
+                    left = np.where(met, label[None], len(some)).min(1)
+                    least = np.minimum(label, np.where(met, left[:, None], len(some)).min(0))
+                    if (least == label).all():
+                        break
+                    label = least
+                linked = met.any(1)
+                a = np.concatenate([some[has], some[has], node[own][linked]])
+                b = np.concatenate([some[has], some[label[has]], some[left[linked]]])
+                n = np.concatenate([links[has], np.zeros(len(a) - has.sum(), np.int64)])
+                keep = (a != b) | (n > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(n[keep], pa.int64())], kinds)
+
+
+def every_link(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, links), (node, component)) by comparing all vectors with all, block by block; no pair leaves a task but those that connect."""
+    parts = []
+    for _, sent in _blocks(nodes.select("node", "dim", "vec")):
+        found = nodes.select("node", "dim", "vec", "copies").mapInArrow(lambda b, sent=sent: _held_together(b, sent), "a long, b long, links long")
+        parts.append(materialize(found.groupBy("a", "b").agg(F.sum("links").alias("links")), "blocks"))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    counted = rows.filter("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    return counted, components(rows.filter("a <> b").select("a", "b"))
+
+
 def dedup_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding).
 
     A vector that is null, zero, or holds a null or a number that isn't finite links
     with nothing; so do vectors of unequal length.  Equal vectors are linked.  Rows
     that share a vec_id are vectors each; a null vec_id names a component only if it
-    has no other.  An empty table gives no rows.  Other columns are not read.  Raises
-    where the audited recall stays below RECALL after the last forest.
+    has no other.  An empty table gives no rows.  Other columns are not read.  Where the
+    audited recall stays below RECALL after the last forest the result is ``every_link``'s.
     """
     read = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_read, _NODES)
     held = materialize(read, "vectors")
@@ -379,11 +436,13 @@ def dedup_vectors(vectors: DataFrame) -> DataFrame:
         pairs, full = materialize(_links(lists, nodes), "links"), materialize(_saturated(lists), "saturated")
         labels = _outward(components(pairs), full, single, nodes, forest)
         links = materialize(_enlarge(labels, nodes, full, pairs), "counted")
-        recall = audit(nodes, links)
+        recall = audit(nodes, links, held)
+        logger.info("recall of links %.4f after forest %d", recall, forest)
         if recall >= RECALL:
             break
     else:
-        raise RuntimeError(f"recall of links {recall:.3f} after {1 + FORESTS} forests of {many} trees, {RECALL} wanted")
+        logger.warning("recall of links %.3f after %d forests of %d trees: comparing all vectors", recall, 1 + FORESTS, many)
+        links, labels = every_link(nodes)
     named = held.select("vec_id", F.col("node").alias("_n"))
     info = nodes.select("node", "copies").join(links.withColumnRenamed("node", "_l"), F.col("node") == F.col("_l"), "left").join(labels.select(F.col("node").alias("_b"), "component"), F.col("node") == F.col("_b"), "left")
     info = info.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
