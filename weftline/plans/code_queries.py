@@ -85,12 +85,12 @@ def typescript_edges(spark, d):
     return _edges(parsing.parse(_written(spark, d, "ts", _SCRIPT)))
 
 
-@query("""with f as (select p_partkey as k, case p_size % 3 when 0 then 'def' when 1 then 'Run' else 'run' end as child from part)
-select k, child, case when child = 'run' then 'CONTAINS' else 'DECLARES' end as edge_type from f where child <> 'def'""")
+@query("""with f as (select p_partkey as k, case p_size % 3 when 0 then 'walk' when 1 then 'Run' else 'run' end as child from part)
+select k, child, case when child = 'run' then 'CONTAINS' else 'DECLARES' end as edge_type from f""")
 def nested_edge_names(spark, d):
     """A member whose parent's id ends with its own name is contained, any other declared: an impl block's id ends with its type."""
-    name = F.when(F.col("p_size") % 3 == 1, "Run").when(F.col("p_size") % 3 == 2, "run")
-    part = table(spark, d, "part").where("p_size % 3 <> 0")
+    name = F.when(F.col("p_size") % 3 == 1, "Run").when(F.col("p_size") % 3 == 2, "run").otherwise("walk")
+    part = table(spark, d, "part")
     content = F.concat(F.lit("impl run {\n    fn "), name, F.lit("(&self) {}\n}\n"))
     f = part.select(F.lit("ws").alias("workspace"), F.concat(F.col("p_partkey").cast("string"), F.lit(".rs")).alias("file_path"), content.alias("content"))
     edges = parsing.parse(f)[1].where("edge_type in ('CONTAINS', 'DECLARES')")
