@@ -111,7 +111,14 @@ def with_slots(df: DataFrame, group: str, order: list[str]) -> DataFrame:
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", tree: Node | None = None) -> None:
-    """The table laid out as region/rack/shard folders; large shards stay split over files."""
+    """The table laid out as region/rack/shard folders; large shards stay split over files.
+
+    A null key is a key as any other; rows of one key, repeated ones too, share a folder.
+    An empty table gives no folder.  Columns named as the levels are an error, as their
+    folders' names would replace them.
+    """
+    if clash := {"region", "rack", "shard"} & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} have the names of folders")
     assign(df, key, tree).write.partitionBy("region", "rack", "shard").parquet(path)
 
 
