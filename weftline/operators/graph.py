@@ -111,16 +111,18 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, cap: int
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, cap: int | None = None) -> DataFrame:
     """(id, depth): every node within ``hops`` edges of a seed, with its least depth.
 
-    Only the nodes found last are joined with the edges; each step is written.  With
-    ``cap`` the first by (depth, id) stay.
+    Only the nodes found last are joined with the edges; each step is written, and dropped
+    behind the last.  With ``cap`` the first by (depth, id) stay.
     """
-    seen = materialize(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "hops")
-    front = seen
+    fronts = [materialize(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "hops")]
     for depth in range(1, hops + 1):
-        near = neighbours(edges, front.select("id")).join(seen.select("id"), "id", "left_anti")
-        front = materialize(near.withColumn("depth", F.lit(depth)), "front")
-        seen = seen.unionByName(front)
-    return seen if cap is None else seen.orderBy("depth", "id").limit(cap)
+        seen = reduce(DataFrame.unionByName, fronts)
+        near = neighbours(edges, fronts[-1].select("id")).join(seen.select("id"), "id", "left_anti")
+        fronts.append(materialize(near.withColumn("depth", F.lit(depth)), "front"))
+    out = materialize(reduce(DataFrame.unionByName, fronts), "hops")
+    for front in fronts:
+        drop_scratch(front)
+    return out if cap is None else out.orderBy("depth", "id").limit(cap)
 
 
 def symbol_subgraph(nodes: DataFrame, edges: DataFrame, symbol: str, workspace: str | None = None, cap: int = 60) -> tuple[DataFrame, DataFrame]:
