@@ -5,7 +5,7 @@ import os
 import pytest
 
 from pyspark.sql import functions as F
-from weftline.operators import vectors
+from weftline.operators import listings, vectors
 from weftline.plans import catalog, graph_queries
 
 SF = "/root/testdata/sf0.1"
@@ -78,3 +78,12 @@ def test_small_inputs_are_dealt_over_all_cores(spark, monkeypatch):
     assert session.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(session, "SMALL", 1)
     assert session.spread(df) is df
+
+
+def test_markdown_of_a_large_community_is_one_row(spark):
+    """Whatever its length: the query's SQL has one row a community."""
+    n = F.col("id").cast("string")
+    nodes = spark.range(2500).select(n.alias("id"), F.lit(7).alias("community"), F.concat(F.lit("l"), F.lpad(n, 5, "0")).alias("label"), F.lit("k").alias("kind"), F.lit("f").alias("file_path"))
+    (row,) = listings.community_markdown(nodes, part=None).collect()
+    assert row["part"] == 0 and row["markdown"] == "# Galaxy 7\n\n2500 symbols\n\n" + "\n".join(f"- l{i:05} (k) f" for i in range(2500))
+    assert [r["part"] for r in listings.community_markdown(nodes).orderBy("part").collect()] == [0, 1, 2]

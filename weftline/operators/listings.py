@@ -11,6 +11,8 @@ from weftline.operators import graph, telemetry
 
 #: Lines that may be read at once of code and of documents, and the seconds for which a graph lookup counts as recent.
 CODE_LINES, DOC_LINES, RECENT_S = 150, 450, 7200
+#: Lines of a community's text that are joined at once.
+BLOCK = 1000
 
 
 def _has(c: Column, q: str) -> Column:
@@ -128,16 +130,22 @@ def cluster(nodes: DataFrame, edges: DataFrame, min_size: int = 1) -> tuple[Data
     return fresh, topology(fresh, edges)[0].where(F.col("node_count") >= min_size)
 
 
-def community_markdown(nodes: DataFrame, part: int = 1000) -> DataFrame:
-    """(community, part, markdown): a title, the count, and a line for each symbol in the order of labels, ``part`` lines a row."""
+def community_markdown(nodes: DataFrame, part: int | None = 1000) -> DataFrame:
+    """(community, part, markdown): a title, the count, and a line for each symbol in the order of labels, ``part`` lines a row.
+
+    With None a community is one row, part 0, put together from blocks of BLOCK lines.
+    """
     own = nodes.where(F.col("community").isNotNull())
     place = F.row_number().over(Window.partitionBy("community").orderBy("label", "id")) - 1
     text = F.concat(F.lit("- "), F.col("label"), F.lit(" ("), F.col("kind"), F.lit(") "), F.col("file_path"))
-    lines = own.select("community", "id", "label", place.alias("r"), text.alias("l")).withColumn("part", F.floor(F.col("r") / part))
-    parts = lines.groupBy("community", "part").agg(F.sort_array(F.collect_list(F.struct("r", "l"))).alias("ls"))
+    lines = own.select("community", "id", "label", place.alias("r"), text.alias("l")).withColumn("part", F.floor(F.col("r") / (part or BLOCK)))
+    joined = lambda rows: F.array_join(F.transform(F.sort_array(F.collect_list(rows)), lambda x: x["l"]), "\n").alias("l")
+    parts = lines.groupBy("community", "part").agg(joined(F.struct("r", "l")))
+    if part is None:
+        parts = parts.groupBy("community").agg(joined(F.struct("part", "l"))).withColumn("part", F.lit(0).cast("long"))
     sizes = own.groupBy("community").agg(F.count("*").alias("n"))
     head = F.concat(F.lit("# Galaxy "), F.col("community").cast("string"), F.lit("\n\n"), F.col("n").cast("string"), F.lit(" symbols\n\n"))
-    return parts.join(sizes, "community").select("community", "part", F.concat(head, F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("markdown"))
+    return parts.join(sizes, "community").select("community", "part", F.concat(head, "l").alias("markdown"))
 
 
 def report(df: DataFrame, samples: str = "samples", n: int = 4) -> DataFrame:
