@@ -4,6 +4,7 @@ import os
 import random
 import time
 import uuid
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,6 +197,43 @@ def test_the_state_of_a_stream_is_the_watch(spark, tmp_path):
     assert sorted(got, key=key) == sorted(want, key=key) and {w[2] for w in want} == {"flush", "recluster"}
 
 
+def test_a_trigger_stores_its_changes_once():
+    """However many rows it has: a path is read and written once."""
+    ops = []
+
+    class State:
+        def __init__(self):
+            self.held = {}
+
+        def __getattr__(self, name):
+            ops.append(name)
+            return {"exists": lambda: bool(self.held), "get": lambda: self.held[0], "update": lambda v: self.held.update({0: v}), "iterator": lambda: iter([((k,), v) for k, v in self.held.items()]), "updateValue": lambda k, v: self.held.update({k[0]: v}), "removeKey": lambda k: self.held.pop(k[0])}[name]
+
+    times, pending = State(), State()
+    handle = SimpleNamespace(getValueState=lambda *a: times, getMapState=lambda *a: pending, listTimers=lambda: iter([]), registerTimer=ops.append, deleteTimer=ops.append)
+    clock = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0)
+    p = timers.WatchProcessor(True, True, timers.Limits())
+    p.init(handle)
+    script = [(i * 7, "abc"[i % 3], "modify", None) for i in range(5000)]
+    got = []
+    for part in (script[:3001], script[3001:]):
+        got += p.handleInputRows(("w",), iter([("w", i, a, b, c, o) for i, (a, b, c, o) in reversed(list(enumerate(part)))]), clock)
+    got += p._rows(("w",), p._watch().advance(60_000))
+    assert [(round(r["at"].timestamp() * 1000), r["action"], r["file_path"], r["kind"], r["old_path"], r["changes"]) for r in got] == run_watch(script, 60_000)
+    assert len(ops) < 30
+
+
+def test_more_events_are_more_files(spark, monkeypatch):
+    """A trigger's events of a workspace are sorted in one task, so it gets no more of them than a number; the result stays."""
+    from weftline.plans import streaming_queries as q
+
+    want = sorted(map(str, q.watch_timeline(spark, SF).collect()))
+    monkeypatch.setattr(q, "PART_ROWS", 100)
+    path = q._in_parts(spark, SF)
+    assert spark.read.parquet(path).groupBy(F.col("_metadata.file_path")).count().count() > 8
+    assert sorted(map(str, q.watch_timeline(spark, SF).collect())) == want
+
+
 def test_a_graph_follows_its_tree(spark, tmp_path):
     """Files that change, come, go and move while the stream runs; the tables are then as if indexed from the present tree."""
     root = f"{tmp_path}/tree"

@@ -18,6 +18,7 @@ from collections.abc import Iterator, MutableMapping
 from contextlib import contextmanager
 from dataclasses import astuple, dataclass
 from datetime import UTC, datetime
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -123,36 +124,6 @@ class Watch:
             t.changes = 0
 
 
-class _Pending(MutableMapping):
-    """Map state as a mapping."""
-
-    def __init__(self, state):
-        self.state = state
-
-    def __getitem__(self, path: str) -> tuple[str, str | None]:
-        if not self.state.containsKey((path,)):
-            raise KeyError(path)
-        return tuple(self.state.getValue((path,)))
-
-    def __setitem__(self, path: str, value: tuple[str, str | None]) -> None:
-        self.state.updateValue((path,), value)
-
-    def __delitem__(self, path: str) -> None:
-        self.state.removeKey((path,))
-
-    def __iter__(self) -> Iterator[str]:
-        return (key[0] for key in self.state.keys())
-
-    def __len__(self) -> int:
-        return sum(1 for _ in self)
-
-    def items(self):
-        return [(key[0], tuple(value)) for key, value in self.state.iterator()]
-
-    def clear(self) -> None:
-        self.state.clear()
-
-
 class WatchProcessor(StatefulProcessor):
     """``Watch`` with its state in the store; ``event_time``: the clock is the rows' ``ts`` and the watermark, else the machine's."""
 
@@ -166,7 +137,9 @@ class WatchProcessor(StatefulProcessor):
 
     def _watch(self) -> Watch:
         times = Times(*self.held.get()) if self.held.exists() else None
-        return Watch(_Pending(self.pending), times, self.every_sweep, self.limits)
+        pending = {key[0]: tuple(value) for key, value in self.pending.iterator()}
+        self.stored = dict(pending)
+        return Watch(pending, times, self.every_sweep, self.limits)
 
     def _rows(self, key: tuple, actions: Iterator[tuple]) -> Iterator[Row]:
         for at, action, path, kind, old, changes in actions:
@@ -174,18 +147,27 @@ class WatchProcessor(StatefulProcessor):
 
     def _keep(self, watch: Watch) -> None:
         self.held.update(astuple(watch.times))
+        for path in self.stored.keys() - watch.pending.keys():
+            self.pending.removeKey((path,))
+        for path, value in watch.pending.items():
+            if self.stored.get(path) != value:
+                self.pending.updateValue((path,), value)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(watch.due())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         watch, now = self._watch(), timerValues.getCurrentProcessingTimeInMs()
-        for row in sorted(rows, key=lambda r: (r["ms"], r["seq"])):  # of one trigger
-            at = row["ms"] if self.event_time else now
-            if row["path"] is None:
+        # of one trigger; plain tuples with shared strings, as there may be very many
+        known: dict = {}
+        found = [(ms, seq, known.setdefault(path, path), known.setdefault(what, what), known.setdefault(old, old)) for _, seq, ms, path, what, old, *_ in rows]
+        found.sort(key=itemgetter(0, 1))
+        for ms, _, path, what, old in found:
+            at = ms if self.event_time else now
+            if path is None:
                 yield from self._rows(key, watch.advance(max(at, watch.times.now)))
             else:
-                yield from self._rows(key, watch.change(at, row["path"], row["what"], row["old_path"]))
+                yield from self._rows(key, watch.change(at, path, what, old))
         self._keep(watch)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
