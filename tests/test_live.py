@@ -267,3 +267,15 @@ def test_a_graph_follows_its_tree(spark, tmp_path):
 @pytest.mark.parametrize("name", ["live_transcripts"])
 def test_live_query_has_sql(name):
     assert name in catalog.oracle_sql()
+
+
+def test_many_small_files_are_few_tasks(tmp_path):
+    """A task reads many small files; a large one is still read by several."""
+    for i in range(1200):
+        put(f"{tmp_path}/{i % 7}/{i}.jsonl", f"a{i}\nb\n")
+    put(f"{tmp_path}/big.jsonl", "0123456789\n" * 500)
+    reader = live.TailReader({"path": str(tmp_path), "split": "2000"})
+    shares = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(shares) < 20 and max(sum(p[3] - p[2] for p in s.pieces) for s in shares) <= 2000
+    rows = [(os.path.relpath(f, tmp_path), a, v) for s in shares for b in reader.read(s) for f, a, v in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+    assert sorted(rows) == standing(str(tmp_path)) and len(rows) == 2900

@@ -16,14 +16,15 @@ that an offset alone tells growth from replacement, after a restart too.
                      time and beginning appears was renamed.
 
 Options: ``path``, any folder that pyarrow's file systems open on driver and executors
-alike; ``suffix``; ``split``, bytes of a task's share of a file; ``workspace`` for events.
+alike; ``suffix``; ``split``, bytes of a task's share; ``workspace`` for events.
 """
 
 from __future__ import annotations
 
 import time
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -34,8 +35,10 @@ from pyspark.sql.types import StructType
 
 #: Bytes at a file's beginning, and before the place up to which it was read, that tell whether it is still the same.
 PROBE = 4096
-#: Bytes of a file that one task reads; rows of events in a task.
-SPLIT, EVENTS = 64 << 20, 10_000
+#: Bytes that one task reads, of one file or of several; files and rows of events in a task.
+SPLIT, FILES, EVENTS = 64 << 20, 500, 10_000
+#: Files that the driver looks into at once.
+PROBES = 16
 
 LINES = "file string, at long, value string, event string"
 EVENT = "workspace string, seq long, ts timestamp, kind string, path string, new_path string"
@@ -70,6 +73,14 @@ def _last_break(fs: pafs.FileSystem, file: str, size: int) -> int:
     return 0
 
 
+def _each(look: Callable, names: list) -> list:
+    """``look`` of every name, several at once: most of the time goes into waiting for files."""
+    if len(names) < 2:
+        return [look(n) for n in names]
+    with ThreadPoolExecutor(PROBES) as pool:
+        return list(pool.map(look, names))
+
+
 class _Folder:
     """The files of a folder as offsets; one poll after the other."""
 
@@ -87,15 +98,28 @@ class _Folder:
         fs, files = self.files()
         for name in self.known.keys() - files.keys():
             del self.known[name]
-        for name, info in files.items():
-            stamp = (info.size, info.mtime_ns)
-            if name in self.known and self.known[name][0] == stamp:
-                continue
+        stamps = {name: (info.size, info.mtime_ns) for name, info in files.items()}
+        news = [name for name, stamp in stamps.items() if name not in self.known or self.known[name][0] != stamp]
+
+        def look(name: str) -> list | None:
+            size, mtime = stamps[name]
             try:
-                end = info.size if whole else _last_break(fs, name, info.size)
-                self.known[name] = stamp, [end, info.size, info.mtime_ns, _crc(fs, name, 0, min(end, PROBE)), 0 if whole else _crc(fs, name, max(0, end - PROBE), end)]
+                if size > PROBE or whole:
+                    end = size if whole else _last_break(fs, name, size)
+                    return [end, size, mtime, _crc(fs, name, 0, min(end, PROBE)), 0 if whole else _crc(fs, name, max(0, end - PROBE), end)]
+                with fs.open_input_file(name) as f:  # once for a small file
+                    data = f.read_at(size, 0)
+                end = data.rfind(b"\n") + 1
+                crc = zlib.crc32(data[:end])
+                return [end, size, mtime, crc, crc]
             except FileNotFoundError:  # gone since it was listed
+                return None
+
+        for name, entry in zip(news, _each(look, news), strict=True):
+            if entry is None:
                 self.known.pop(name, None)
+            else:
+                self.known[name] = stamps[name], entry
         return {name: entry for name, (_, entry) in sorted(self.known.items())}
 
 
@@ -106,10 +130,10 @@ def continues(fs: pafs.FileSystem, file: str, before: list, now: list) -> bool:
 
 
 class _Share(InputPartition):
-    """Bytes of a file that a task reads, or rows that are at hand."""
+    """What a task reads: pieces of files (file, first, start, stop, end), or rows that are at hand."""
 
-    def __init__(self, file: str = "", start: int = 0, stop: int = 0, end: int = 0, rows: list[tuple] | None = None):
-        self.file, self.start, self.stop, self.end, self.rows, self.first = file, start, stop, end, rows, start
+    def __init__(self, pieces: list[tuple[str, int, int, int, int]] | None = None, rows: list[tuple] | None = None):
+        self.pieces, self.rows = pieces or [], rows
 
 
 class TailReader(DataSourceStreamReader):
@@ -128,27 +152,35 @@ class TailReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         fs, _ = opened(self.folder.path)
-        before, now, told, out = start["files"], end["files"], [], []
-        told += [(file, None, None, "gone") for file in before if file not in now]
+        before, now = start["files"], end["files"]
+        told = [(file, None, None, "gone") for file in before if file not in now]
+
+        def same(file: str) -> bool | None:
+            try:
+                return continues(fs, file, before[file], now[file])
+            except FileNotFoundError:
+                return None
+
+        old = [file for file in now if file in before and now[file] != before[file]]
+        kept = dict(zip(old, _each(same, old), strict=True))
+        shares, room, files = [], 0, 0
         for file, entry in now.items():
-            at = 0
-            if file in before and entry != before[file]:
-                try:
-                    same = continues(fs, file, before[file], entry)
-                except FileNotFoundError:
-                    continue
-                at = before[file][0] if same else 0
-                if not same:
-                    told.append((file, None, None, "reset"))
-            elif file in before:
+            if file in before and kept.get(file) is None:  # as it was, or gone since
                 continue
-            for begin in range(at, entry[0], self.split):
-                share = _Share(file, begin, min(entry[0], begin + self.split), entry[0])
-                share.first = at
-                out.append(share)
+            at = before[file][0] if kept.get(file) else 0
+            if kept.get(file) is False:
+                told.append((file, None, None, "reset"))
+            while at < entry[0]:
+                if room <= 0 or files >= FILES:
+                    shares.append(_Share())
+                    room, files = self.split, 0
+                stop = min(entry[0], at + room)
+                shares[-1].pieces.append((file, before[file][0] if kept.get(file) else 0, at, stop, entry[0]))
+                room, files, at = room - (stop - at), files + 1, stop
         if self.heartbeat and end["beat"] > start["beat"]:
             told.append((None, end["beat"] * self.heartbeat, None, "beat"))
-        return [_Share(rows=told), *out] if told or not out else out
+        events = [_Share(rows=told[i : i + EVENTS]) for i in range(0, len(told), EVENTS)]
+        return [*events, *shares] or [_Share(rows=[])]
 
     def read(self, partition: _Share) -> Iterator[pa.RecordBatch]:
         if partition.rows is not None:
@@ -156,38 +188,50 @@ class TailReader(DataSourceStreamReader):
                 yield _lines(*map(list, zip(*partition.rows, strict=True)))
             return
         fs, _ = opened(self.folder.path)
-        with fs.open_input_file(partition.file) as f:
-            at, held, pos = partition.start, b"", partition.start
-            if partition.start > partition.first:  # a line that began before is the former share's
-                pos = at = partition.start - 1
-            skip = at < partition.start
-            while pos < partition.end:
-                part = f.read_at(min(1 << 20, partition.end - pos), pos)
-                if not part:
-                    break  # cut since; the next poll sees it
-                pos += len(part)
-                held += part
-                stop = held.rfind(b"\n") + 1
-                places, values = [], []
-                for line in held[:stop].split(b"\n")[:-1]:
-                    if skip:
-                        skip = False
-                    elif at >= partition.stop:
-                        break
-                    elif line:
-                        places.append(at)
-                        values.append(line.decode("utf-8", "replace"))
-                    at += len(line) + 1
-                held = held[stop:]
-                if places:
-                    yield _lines([partition.file] * len(places), places, values, ["line"] * len(places))
-                if at >= partition.stop and not skip:
-                    break
+        names, places, values, held = [], [], [], 0
+        for piece in partition.pieces:
+            for at, line in _piece(fs, *piece):
+                names.append(piece[0])
+                places.append(at)
+                values.append(line.decode("utf-8", "replace"))
+                held += len(line)
+                if held >= 1 << 20 or len(names) >= EVENTS:
+                    yield _lines(names, places, values, ["line"] * len(names))
+                    names, places, values, held = [], [], [], 0
+        if names:
+            yield _lines(names, places, values, ["line"] * len(names))
 
     def commit(self, end: dict) -> None:
         pass
 
 
+def _piece(fs: pafs.FileSystem, file: str, first: int, start: int, stop: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(place, line) of the lines that begin within [start, stop); the file is read from ``first`` to ``end`` by all its pieces."""
+    with fs.open_input_file(file) as f:
+        at, held, pos = start, b"", start
+        if start > first:  # a line that began before is the former piece's
+            pos = at = start - 1
+        skip = at < start
+        while pos < end:
+            part = f.read_at(min(1 << 20, end - pos), pos)
+            if not part:
+                break  # cut since; the next poll sees it
+            pos += len(part)
+            held += part
+            whole = held.rfind(b"\n") + 1
+            for line in held[:whole].split(b"\n")[:-1]:
+                if skip:
+                    skip = False
+                elif at >= stop:
+                    break
+                elif line:
+                    yield at, line
+                at += len(line) + 1
+            held = held[whole:]
+            if at >= stop and not skip:
+                break
+
+
 def _lines(file: list, at: list, value: list, event: list) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((file, at, value, event), kinds, strict=True)], ["file", "at", "value", "event"])
