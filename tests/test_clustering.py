@@ -100,3 +100,14 @@ def test_empty_graphs(spark):
     one = spark.createDataFrame([("a", "w", None), ("b", "w", 3)], nodes.schema)
     got = {r["id"]: r["community"] for r in coloured_lpa.communities(one, edges, seeded=True).collect()}
     assert got["b"] == 3 and got["a"] not in (None, 3)
+
+
+def test_packed_neighbourhoods_name_every_link_once(spark, monkeypatch):
+    """Parallel edges count, loops and unknown ends don't; a hub's neighbours are divided over rows."""
+    monkeypatch.setattr(graph, "PACK", 2)
+    ids = spark.range(20).select(F.col("id").cast("string").alias("id"), F.col("id").cast("int").alias("n"))
+    ends = [("0", str(i)) for i in range(1, 20)] + [("0", "1"), ("2", "2"), ("3", "gone")]
+    packed = graph._packed(ids, spark.createDataFrame([(*e, "CALLS") for e in ends], "source string, target string, type string"))
+    rows = packed.collect()
+    assert max(len(r["near"]) for r in rows) <= 5 and sum(r["nbr"] == 0 for r in rows) == 5
+    assert sorted((r["nbr"], x["n"], x["w"]) for r in rows for x in r["near"]) == sorted((a, b, 2.0) for s, t in ends[:20] for a, b in ((int(s), int(t)), (int(t), int(s))))

@@ -20,6 +20,8 @@ logger = logging.getLogger(__name__)
 
 #: Nodes from which on a clustering that has nearly come to rest goes on with its active nodes alone.
 FRONTIER = 1 << 20
+#: Nodes whose votes one row of the packed neighbourhoods holds at most, as a power of two.
+PACK = 16
 #: Nodes of a neighbourhood that is shown.
 HOOD = 40
 #: Weights of edge types for clustering; any other type weighs 1.
@@ -270,29 +272,51 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 15, seed
     buckets = max(16, shuffle_width(nodes.sparkSession))
     ids = nodes.select("id").distinct()
     own = ids.join(seeds.select("id", F.col("community").cast("long").alias("label")), "id", "left") if seeds is not None else ids.withColumn("label", F.lit(None).cast("long"))
-    labels = materialize(own.select("id", F.coalesce("label", F.abs(F.xxhash64("id")) + F.lit(1 << 32)).alias("label")), "labels")
-    both = adjacency(edges, buckets)
+    begun = own.select("id", F.coalesce("label", F.abs(F.xxhash64("id")) + F.lit(1 << 32)).alias("label"))
     if changed is not None and seeds is not None:
         active = changed.select("id").unionByName(own.where("label is null").select("id")).distinct()
-        return compact(_frontier(labels, both, materialize(active, "active"), 0, 4 * rounds, buckets))
+        return compact(_frontier(materialize(begun, "labels"), adjacency(edges, buckets), materialize(active, "active"), 0, 4 * rounds, buckets))
+    labels = materialize(numbered(begun, "id", "n").select(F.col("n").cast("int").alias("n"), "id", "label"), "labels")
+    packed = _packed(labels.select("id", "n"), edges)
     total, wanting = labels.count(), 0
     for turn in range(4 * rounds):
-        votes = both.join(labels.select(F.col("id").alias("nbr"), "label"), "nbr").groupBy("id", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("id").agg(F.max(F.struct("w", "label")).alias("m")).select("id", F.col("m.label").alias("wish"))
+        # labels are many, so no join sends them through the driver; votes go to their node's partition once
+        votes = packed.join(labels.select(F.col("n").alias("nbr"), "label").hint("merge"), "nbr").select("label", F.inline("near")).repartition(buckets, "n")
+        best = votes.groupBy("n", "label").agg(F.sum("w").alias("w")).groupBy("n").agg(F.max(F.struct("w", "label")).alias("m")).select("n", F.col("m.label").alias("wish"))
         wants = F.coalesce("wish", "label") != F.col("label")
-        moved = labels.join(best, "id", "left").select("id", F.when(wants & _turn(turn), F.col("wish")).otherwise(F.col("label")).alias("label"), wants.alias("wants"), (wants & _turn(turn)).alias("moved"))
+        moved = labels.join(best.hint("merge"), "n", "left").select("n", "id", F.when(wants & _turn(turn), F.col("wish")).otherwise(F.col("label")).alias("label"), wants.alias("wants"), (wants & _turn(turn)).alias("moved"))
         moved = materialize(moved, "labels")
         wanting = moved.where("wants").count()
         drop_scratch(labels)
-        labels = moved.select("id", "label")
+        labels = moved.select("n", "id", "label")
         if not wanting:
-            return compact(labels)
-        if total >= FRONTIER and wanting * 8 < total:
+            drop_scratch(packed)
+            return compact(labels.select("id", "label"))
+        if total >= FRONTIER and wanting * 8 < total and _reach(packed, moved) * 8 < total:
+            drop_scratch(packed)
+            both = adjacency(edges, buckets)
             near = _within(both, moved.where("moved").select("id"), buckets).select(F.col("nbr").alias("id"))
             active = near.unionByName(moved.where("wants and not moved").select("id")).distinct()
-            return compact(_frontier(labels, both, materialize(active, "active"), turn + 1, 4 * rounds, buckets))
+            return compact(_frontier(labels.select("id", "label"), both, materialize(active, "active"), turn + 1, 4 * rounds, buckets))
+    drop_scratch(packed)
     logger.warning("label propagation ended after %d rounds, %d nodes want to move", 4 * rounds, wanting)
-    return compact(labels)
+    return compact(labels.select("id", "label"))
+
+
+def _packed(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(nbr, near): for every node number those that it votes for, (n, w), parallel edges apart; a row has 2 ** PACK numbers at most to name."""
+    end = lambda side: ids.select(F.col("id").alias(side), F.col("n").alias(f"_{side}")).hint("merge")
+    w = edge_weight(F.col("type")).cast("float").alias("w")
+    known = edges.where("source != target").select("source", "target", w).join(end("source"), "source").join(end("target"), "target")
+    both = known.select(F.explode(F.array(F.struct(F.col("_target").alias("nbr"), F.col("_source").alias("n"), "w"), F.struct(F.col("_source").alias("nbr"), F.col("_target").alias("n"), "w"))).alias("x")).select("x.*")
+    rows = both.groupBy("nbr", F.shiftright("n", PACK).alias("_part")).agg(F.collect_list(F.struct("n", "w")).alias("near"))
+    return materialize(rows.select("nbr", "near"), "packed")
+
+
+def _reach(packed: DataFrame, moved: DataFrame) -> int:
+    """Nodes next to those that moved, some counted more than once."""
+    who = moved.where("moved").select(F.col("n").alias("nbr"))
+    return packed.select("nbr", F.size("near").alias("d")).join(who, "nbr", "left_semi").agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
 
 
 def _turn(turn: int) -> Column:
