@@ -2,7 +2,7 @@
 
 The line-based kinds (chunks, links, YAML, JSON, shell, SQL, TOML) are column
 expressions.  Markdown and programming languages keep a state from line to line
-or need a syntax tree; they run in ``mapInPandas`` over whole files, one file at a
+or need a syntax tree; they run in ``mapInArrow`` over whole files, one file at a
 time, and feed the same tables.
 """
 
@@ -13,7 +13,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +31,8 @@ LANGUAGES = {
 TEXT_LIMIT, FIELD_LIMIT = 1000, 300
 CHUNK, MAX_CHUNKS = 40, 25
 SHELL_LINES, SQL_LINES, TOML_LINES = 25, 30, 20
+# Sizes of work: files that a task takes from a batch at once, and rows that it gives at once.
+FILES, ROWS = 200, 2000
 # Words in backticks that are no references.
 STOP_WORDS = {
     "true", "false", "null", "none", "None", "self", "this", "str", "int", "bool", "def", "class", "fn", "let",
@@ -487,17 +489,36 @@ _CODE = ("markdown", "python", "rust", "go", "javascript", "typescript")
 def _code_rows(files: DataFrame) -> DataFrame:
     """Nodes and edges of files with a state, in one pass: ``n`` or ``e`` is filled."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = {"string": pa.string(), "int": pa.int32()}
+    fields = lambda ddl: [pa.field(n, types[t]) for n, t in map(str.split, ddl.split(", "))]
+    node, edge = fields(PARSED_NODES), fields(EXTRACTED_EDGES)
+
+    def structs(rows: list[tuple | None], own: list[pa.Field]) -> pa.StructArray:
+        """The rows column by column; None is null."""
+        filled = [r if r is not None else (None,) * len(own) for r in rows]
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*filled, strict=True), own, strict=True)]
+        return pa.StructArray.from_arrays(columns, fields=own, mask=pa.array([r is None for r in rows]))
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        ws, paths, nodes, edges = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array(paths, pa.string()), structs(nodes, node), structs(edges, edge)], ["workspace", "file_path", "n", "e"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for batch in batches:
-            rows = []
-            for ws, path, content, lang in batch.itertuples(index=False):
-                out = parse_code(ws, path, content or "", lang)
-                rows += [(ws, path, dict(zip(_NODE_COLUMNS, x, strict=True)), None) for x in out.nodes]
-                rows += [(ws, path, None, dict(zip(_EDGE_COLUMNS, x, strict=True))) for x in out.edges]
-            yield pd.DataFrame(rows, columns=["workspace", "file_path", "n", "e"])
+            for at in range(0, batch.num_rows, FILES):  # a few files at a time are Python's objects
+                for ws, path, content, lang in zip(*(c.to_pylist() for c in batch.slice(at, FILES).columns), strict=True):
+                    out = parse_code(ws, path, content or "", lang)
+                    rows += [(ws, path, x, None) for x in out.nodes]
+                    rows += [(ws, path, None, x) for x in out.edges]
+                    if len(rows) >= ROWS:
+                        yield packed(rows)
+                        rows = []
+        if rows:
+            yield packed(rows)
 
     pairs = lambda ddl: ",".join(":".join(f.split()) for f in ddl.split(", "))
-    return files.select("workspace", "file_path", "content", "_lang").mapInPandas(run, f"workspace string, file_path string, n struct<{pairs(PARSED_NODES)}>, e struct<{pairs(EXTRACTED_EDGES)}>")
+    return files.select("workspace", "file_path", "content", "_lang").mapInArrow(run, f"workspace string, file_path string, n struct<{pairs(PARSED_NODES)}>, e struct<{pairs(EXTRACTED_EDGES)}>")
 
 
 def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
