@@ -301,3 +301,16 @@ def test_sequences_of_repeated_ids(spark, odd, odd_rows):
             ids = ids[end:]
     assert packed == Counter(map(tuple, short)) and all(0 not in t[:-1] for t in packed)
     assert op4_packing.sequences(odd.limit(0), BYTE).count() == 0
+
+
+def test_a_small_store_is_few_files_at_any_width(spark, odd):
+    """Files of blocks are as many as the data asks, however many partitions a shuffle has."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    try:
+        store = op3_store.write_store(odd, scratch_path(spark, "store"), WORD)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    store.check_manifests()
+    blocks = spark.read.parquet(f"{store.path}/blocks").inputFiles()
+    assert 2 <= len(blocks) <= 2 * spark.sparkContext.defaultParallelism

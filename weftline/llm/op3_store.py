@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.llm.memory import tidy
 from weftline.llm.tokens import encoder, in_slices
 from weftline.session import scratch_path, shuffle_width, spread
 
@@ -280,7 +281,7 @@ class Store:
     def check_manifests(self) -> None:
         """Raise where the recipes as read don't give the roots and counts made while they were encoded and written."""
         rows = self.index().select("part", "ord", "local_start", "n_tokens", "chunks", "root", "n_docs")
-        ordered = rows.repartition(shuffle_width(self.spark), "part").sortWithinPartitions("part", F.col("ord").asc_nulls_last())
+        ordered = rows.repartition("part").sortWithinPartitions("part", F.col("ord").asc_nulls_last())
         wrong = [r["part"] for r in ordered.mapInArrow(_compare, "part int").limit(10).collect()]
         if wrong:
             raise ValueError(f"{self.path}: recipes and manifests differ in parts {wrong}")
@@ -345,13 +346,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, spaced: bool = True,
     columns are not read.  An empty table gives an empty store.
     """
     spark = docs.sparkSession
-    width = shuffle_width(spark)
-    blocks = spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(lambda b: _encode(b, tokenizer, spaced, end_id, ordinary), _BLOCKS)
+    blocks = spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(tidy(lambda b: _encode(b, tokenizer, spaced, end_id, ordinary)), _BLOCKS)
     nth = F.row_number().over(Window.partitionBy("key").orderBy("kind"))  # a chunk's rows are one a task, but for SENT
-    blocks.repartition(width, "key").withColumn("_n", nth).filter("_n = 1").drop("_n").write.partitionBy("kind").option("compression", "none").parquet(f"{path}/blocks")
+    # the width is left to adaptive execution: files are as many as the data asks, not two for each partition of a shuffle
+    blocks.repartition("key").withColumn("_n", nth).filter("_n = 1").drop("_n").write.partitionBy("kind").option("compression", "none").parquet(f"{path}/blocks")
     encoded = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").filter("kind = 'recipe'")
     order = ["doc_id", "n_tokens", "chunks", "key"]
-    ranged = encoded.select("doc_id", "n_tokens", F.col("body").alias("chunks"), "root", "key").repartitionByRange(width, *order).sortWithinPartitions(*order)
+    ranged = encoded.select("doc_id", "n_tokens", F.col("body").alias("chunks"), "root", "key").repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
     ranged.mapInArrow(_number, _RECIPES).write.parquet(f"{path}/recipes")
     return Store(spark, path)
 
