@@ -103,3 +103,27 @@ def test_one_bad_text_spoils_no_other(spark):
     df = spark.createDataFrame([("aa",), ("bad",), ("bbb",), ("short",), (None,)], "text string").coalesce(1)
     got = {r["text"]: r["embedding"] for r in vectors.embed(df, dim=2, embedder=run).collect()}
     assert got == {"aa": [2.0, 1.0], "bad": [0.0, 0.0], "bbb": [3.0, 1.0], "short": [0.0, 0.0], None: [0.0, 1.0]}
+
+
+def test_neighbours_are_compared_in_bounded_blocks(spark, monkeypatch):
+    """No product of queries and vectors is larger than ROWS by ROWS; equal ones of several blocks are told apart by their ids."""
+    import numpy as np
+
+    class Seen(np.ndarray):
+        def __matmul__(self, other):
+            assert self.shape[0] <= 8 and other.shape[1] <= 8, "a block is too large"
+            return np.asarray(self) @ np.asarray(other)
+
+    monkeypatch.setattr(vectors, "ROWS", 8)
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)] + [(60, [0.0, 0.0, 0.0]), (61, [float("nan"), 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(2)
+    held, sent = vectors.np.linalg.norm, []
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: sent.append(v) or type("B", (), {"value": (v[0], v[1].view(Seen), v[2])})())
+    frames = []
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, run, schema: frames.append(list(run(iter([self.toPandas()])))) or spark.createDataFrame([r for f in frames[-1] for r in f.itertuples(index=False)], schema))
+    got = {(r["query"], r["rank"]): (r["neighbour"], r["similarity"]) for r in vectors.batch_knn(df, df.where("id % 2 = 0"), 5).collect()}
+    unit = lambda v: np.array(v) / held(v)
+    for q in range(0, 60, 2):
+        want = sorted((-round(float(unit(rows[q][1]) @ unit(rows[n][1])), 9), n) for n in range(60) if n != q)[:5]
+        assert [(-round(got[q, i + 1][1], 9), got[q, i + 1][0]) for i in range(5)] == want
+    assert len(got) == 150

@@ -22,6 +22,8 @@ logger = logging.getLogger(__name__)
 BATCH = 32
 #: Queries that are broadcast at once.
 MAX_QUERIES = 10_000
+#: Vectors, and queries, that a task compares at once.
+ROWS = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,7 +60,7 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", c
     """(query, neighbour, similarity): the k nearest other rows of every query row.
 
     The queries are a stated set, checked to be small, and are broadcast as one
-    matrix; each task keeps k a query before anything is shuffled.  Queries without a
+    matrix; each task compares ROWS of either at a time and keeps k a query before anything is shuffled.  Queries without a
     whole vector have no neighbours, nor are rows without one any.
     """
     whole = lambda v: v is not None and len(v) > 0 and all(x is not None for x in v)
@@ -79,19 +81,21 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", c
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, unit, real = sent.value
+        asked, held = pd.Series(names).to_numpy(), {}
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch[column].to_numpy()).astype(np.float64)
-            size = np.linalg.norm(x, axis=1)
-            sims = unit @ (x / np.where(size == 0, 1, size)[:, None]).T
-            ids = batch[key].to_numpy()
-            out = []
-            for q, name in enumerate(names):
-                ok = np.flatnonzero((ids != name) & (size > 0)) if real[q] else np.zeros(0, int)
-                best = ok[np.lexsort((ids[ok], -sims[q, ok]))[:k]]
-                out.append(pd.DataFrame({"query": name, "neighbour": ids[best], "similarity": sims[q, best]}))
-            yield pd.concat(out)
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                ids, x = part[key].to_numpy(), np.stack(part[column].to_numpy()).astype(np.float64)
+                size = np.linalg.norm(x, axis=1)
+                x /= np.where(size == 0, 1, size)[:, None]
+                for q in range(0, len(names), ROWS):
+                    sims = unit[q : q + ROWS] @ x.T
+                    sims[~real[q : q + ROWS]] = -np.inf
+                    sims[:, ~(size > 0)] = -np.inf
+                    sims[np.isnan(sims) | (asked[q : q + ROWS, None] == ids)] = -np.inf
+                    held[q] = _nearest(sims, ids, k, held.get(q))
+        for q, (row, near, sims) in held.items():
+            yield pd.DataFrame({"query": asked[q : q + ROWS][row], "neighbour": near, "similarity": sims})
 
     kind = vectors.schema[key].dataType.simpleString()
     # a row without a vector, of another length, or with a null in it is no neighbour
@@ -101,6 +105,22 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", c
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _nearest(sims: np.ndarray, ids: np.ndarray, k: int, held: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, similarity): the k largest of each row and of those held, the smaller id of equal ones; minus infinity is none."""
+    if sims.shape[1] > k:  # all that are no smaller than a row's k-th, so that equal ones are told apart by their ids
+        least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+        row, col = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
+    else:
+        row, col = np.nonzero(sims > -np.inf)
+    near, found = ids[col], sims[row, col]
+    if held is not None:
+        row, near, found = (np.concatenate(pair) for pair in zip(held, (row, near, found), strict=True))
+    order = np.lexsort((near, -found, row))
+    row, near, found = row[order], near[order], found[order]
+    top = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[top], near[top], found[top]
+
+
 def block_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", column: str = "embedding") -> DataFrame:
     """batch_knn of any number of queries, in blocks dealt by hash, half of MAX_QUERIES each on average."""
     blocks = max(1, math.ceil(queries.count() / max(1, MAX_QUERIES // 2)))
