@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline import session
 from weftline.operators import rollups, sessions, store
 from weftline.operators.buckets import BucketTable, GraphTables
 from weftline.operators.substrings import holding
@@ -128,3 +129,15 @@ def test_many_known_projects(spark):
     steps = spark.createDataFrame(rows, "session_id string, step_index int, type string, source string, content string, tool_calls array<struct<name:string,args:string>>")
     got = sessions.project_scores(steps, known)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairwise_scores(steps, known).collect())) and got.count() > 20
+
+
+def test_buckets_of_many_rows_are_dealt(spark, tmp_path, monkeypatch):
+    """All rows of one key are written by several tasks, at first and again; an upsert finds them all."""
+    monkeypatch.setattr(session, "DEALT", 20)
+    rows = spark.range(300).select(F.lit("one").alias("k"), F.col("id").alias("n"), F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    kept = BucketTable(spark, str(tmp_path / "t"), ("k",), 4).create(rows)
+    sizes = lambda: [r["count"] for r in kept.read().groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes()) == 300 and max(sizes()) <= 100
+    kept.rewrite(kept.touched(rows.select("k")), lambda old: old.where("n > 9"))
+    assert sum(sizes()) == 290 and max(sizes()) <= 100
+    assert sorted(r["n"] for r in kept.read().collect()) == list(range(10, 300))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from weftline.operators import store
-from weftline.session import drop_scratch, materialize
+from weftline.session import dealt, drop_scratch, materialize
 
 
 class BucketTable:
@@ -38,7 +38,7 @@ class BucketTable:
         return F.pmod(F.xxhash64(*(columns or self.key)), F.lit(self.buckets)).cast("int")
 
     def create(self, rows: DataFrame) -> BucketTable:
-        rows.withColumn("bucket", self.bucket()).repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(self.path)
+        dealt(rows.withColumn("bucket", self.bucket()), self.buckets).write.mode("overwrite").partitionBy("bucket").parquet(self.path)
         self._schema = rows.schema
         return self
 
@@ -59,7 +59,7 @@ class BucketTable:
         filled = {r[0] for r in new.select("bucket").distinct().collect()}
         if strange := filled - set(touched):
             raise ValueError(f"rows of the buckets {sorted(strange)} in a change of {touched}")
-        new.repartition(len(touched), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        dealt(new, len(touched)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for bucket in set(touched) - filled:  # an empty bucket is none
             place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={bucket}")

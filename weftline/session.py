@@ -14,6 +14,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DatetimeType, NumericType, StringType
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock, _writing, _scopes = threading.Lock(), {}, threading.local()
@@ -140,5 +142,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < SMALL * cores else df
 
 
+#: Rows that a task writes of one bucket, about.
+DEALT = 1 << 19
+
+
+def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` with their column ``bucket``, dealt by it; where buckets hold many rows, each goes to several tasks.
+
+    So a task's rows don't grow with the table, nor with the rows of one key.
+    """
+    held = rows.groupBy("bucket").count().agg(F.max("count"), F.sum("count")).first()
+    parts, tasks = -(-(held[0] or 1) // DEALT), -(-(held[1] or 1) // DEALT)
+    if parts == 1:
+        return rows.repartition(buckets, "bucket")
+    plain = [f.name for f in rows.schema if isinstance(f.dataType, (StringType, NumericType, DatetimeType))]
+    return rows.repartition(buckets + tasks, "bucket", F.pmod(F.xxhash64(F.lit(parts), *plain), F.lit(parts)))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
