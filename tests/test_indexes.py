@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from scans import final_plan, scanned
 
+from weftline import session
 from weftline.indexes.adjacency import Adjacency
 from weftline.indexes.grams import query_grams
 from weftline.indexes.search import SearchIndex
@@ -108,3 +109,14 @@ def test_hops_shuffle_no_edge(spark, tmp_path, links):
     assert len(got) >= 40 and files == 1 and rows < links.count()
     plan = final_plan(index.touching(seeds, "into"))
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, plan
+
+
+def test_a_hub_is_dealt_over_several_files(spark, tmp_path, links, monkeypatch):
+    """Rows that a task writes follow neither the table nor a node's edges; hops are the same."""
+    monkeypatch.setattr(session, "DEALT", 20)
+    index = Adjacency(spark, str(tmp_path / "a"), 2).build(links)
+    for side in ("out", "into"):
+        sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/a/{side}").groupBy(F.input_file_name()).count().collect()]
+        assert sum(sizes) == links.count() and max(sizes) <= 80, sizes
+    df = spark.createDataFrame([("n0",)], "id string")
+    assert sorted(index.neighbours(df).collect()) == sorted(graph.neighbours(links, df).collect())

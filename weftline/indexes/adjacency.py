@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import bucket_of
-from weftline.session import drop_scratch, materialize
+from weftline.session import dealt, drop_scratch, materialize
 
 #: Nodes of a frontier that is broadcast.
 FRONTIER = 100_000
@@ -27,8 +27,8 @@ class Adjacency:
     def build(self, edges: DataFrame) -> Adjacency:
         """Write all edges (source, target, ...)."""
         for side, end in (("out", "source"), ("into", "target")):
-            rows = edges.withColumn("bucket", bucket_of(end, self.buckets)).repartition(self.buckets, "bucket").sortWithinPartitions(end)
-            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{side}")
+            rows = dealt(edges.withColumn("bucket", bucket_of(end, self.buckets)), self.buckets)
+            rows.sortWithinPartitions("bucket", end).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{side}")
         return self
 
     def touching(self, seeds: DataFrame, side: str) -> DataFrame:
