@@ -87,3 +87,18 @@ def test_markdown_of_a_large_community_is_one_row(spark):
     (row,) = listings.community_markdown(nodes, part=None).collect()
     assert row["part"] == 0 and row["markdown"] == "# Galaxy 7\n\n2500 symbols\n\n" + "\n".join(f"- l{i:05} (k) f" for i in range(2500))
     assert [r["part"] for r in listings.community_markdown(nodes).orderBy("part").collect()] == [0, 1, 2]
+
+
+def test_pushed_rows_stay_in_their_tasks(spark, monkeypatch):
+    """No row of the stream comes to the driver; the counts are those of the table."""
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    want = sorted(map(tuple, events.groupBy(F.col("user_id").cast("string")).count().collect()))
+
+    def refused(*_, **__):
+        raise AssertionError("rows came to the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(events), "toLocalIterator", refused)
+        m.setattr(type(events), "collect", refused)
+        got = run(spark, "pushed_events")
+    assert sorted(map(tuple, got.collect())) == want

@@ -113,16 +113,15 @@ def append_calls(spark, d):
 
 @query("select user_id::varchar as workspace, count(*) as n from events group by 1")
 def pushed_events(spark, d):
-    """A stream of events handed to a sink some rows at a time, which counts them by workspace."""
-    seen: dict[str, int] = {}
+    """A stream of events handed to a sink some rows at a time, which counts them by workspace, in the tasks that hold them."""
 
     def sink(rows):
-        for r in rows:
-            seen[r["workspace"]] = seen.get(r["workspace"], 0) + 1
+        return rows.groupby("workspace", dropna=False).size().reset_index(name="n")
 
+    path = scratch_path(spark, "receipts")
     source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
-    sync.push(source.select(_str("user_id").alias("workspace")), sink, scratch_path(spark, "push"), trigger={"availableNow": True}).awaitTermination()
-    return spark.createDataFrame(sorted(seen.items()), "workspace string, n long")
+    sync.push_from_tasks(source.select(_str("user_id").alias("workspace")), sink, "workspace string, n long", path, scratch_path(spark, "push"), trigger={"availableNow": True}).awaitTermination()
+    return spark.read.schema("workspace string, n long").parquet(path).groupBy("workspace").agg(F.sum("n").alias("n"))
 
 
 @query("""with k as (select c_nationkey as community, c_name, row_number() over (partition by c_nationkey order by c_name) as r from customer)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -89,6 +90,23 @@ def push(deltas: DataFrame, sink: Callable[[list], None], checkpoint: str, most:
     return start_sync(deltas, send, checkpoint, trigger)
 
 
+def push_from_tasks(deltas: DataFrame, sink: Callable[[pd.DataFrame], pd.DataFrame], receipts: str, path: str, checkpoint: str, most: int = 1024, trigger: dict | None = None) -> StreamingQuery:
+    """``push`` to a sink that each task calls itself, so no row passes the driver; what it gives back (of the schema ``receipts``) is kept below ``path``.
+
+    A batch that runs again hands over its rows again, and its receipts replace those of before.
+    """
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for at in range(0, len(rows), most):
+                yield sink(rows.iloc[at : at + most])
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.mapInPandas(send, receipts).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return start_sync(deltas, keep, checkpoint, trigger)
+
+
 def progress(jobs: DataFrame) -> DataFrame:
     """The last phase of every ingestion job (job, phase, done, total, at), newest start first."""
     order = Window.partitionBy("job").orderBy(F.desc("at"))
