@@ -11,6 +11,7 @@ from weftline import session
 from weftline.operators import rollups, sessions, store
 from weftline.operators.buckets import BucketTable, GraphTables
 from weftline.operators.substrings import holding
+from weftline.plans import catalog
 
 
 def times(path):
@@ -131,6 +132,14 @@ def test_many_known_projects(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairwise_scores(steps, known).collect())) and got.count() > 20
 
 
+def test_steps_are_read_by_all_cores(spark, monkeypatch):
+    """Steps made by a join of small tables are one task's rows; prompts and paths are dealt before costly work, and written once."""
+    made, own = [], sessions.materialize
+    monkeypatch.setattr(sessions, "materialize", lambda df, tag: made.append((tag, own(df, tag))) or made[-1][1])
+    catalog.queries()["project_scores"](spark, "/root/testdata/sf0.1")
+    assert {tag: len(df.inputFiles()) for tag, df in made} == dict.fromkeys(("prompts", "paths"), spark.sparkContext.defaultParallelism)
+
+
 def test_buckets_of_many_rows_are_dealt(spark, tmp_path, monkeypatch):
     """All rows of one key are written by several tasks, at first and again; an upsert finds them all."""
     monkeypatch.setattr(session, "DEALT", 20)

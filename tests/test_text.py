@@ -31,6 +31,18 @@ def test_workspace(spark):
     assert one(spark, T.normalize_workspace(F.lit(" /a/b// "))) == "b"
 
 
+def test_a_project_is_made_once(spark):
+    """However often its path is named, and however many parts it has."""
+    paths = [None, "", "/", "/Untitled-1/x", "'/a/b.c/'", "/a/src/b.c", "/x/knowledge/src/Repo", "/x/Interviews/R2//", "~/q/.git/config", "//", "a.b/", "/x/knowledge/src/a.b"]
+    want = ["Default", "Default", "Default", "Default", "Default", "Default", "Repo", "R2", "Default", "Default", "Default", "Default"]
+    assert [one(spark, T.project_name(F.lit(p))) for p in paths] == want
+    df = spark.range(1).select(T.project_name(T.workspace_of(F.concat(F.lit("Active Workspaces:\n- /home/P"), F.col("id").cast("string")))).alias("x"))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("(?<=.)/+$") == 1 and plan.count("Command Working Directory") <= 2
+
+
 def test_names(spark):
     assert one(spark, T.clean_record_id(F.lit("node:⟨ws:f:1⟩"))) == "ws:f:1"
     assert one(spark, T.callee_name(F.lit("std::fs::read"))) == "read"

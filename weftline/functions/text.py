@@ -5,7 +5,7 @@ Lengths count characters, not bytes; only budgets count bytes (``octet_length``)
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -133,15 +133,28 @@ def valid_workspace(name: Column, also_blocked: Sequence[str] = ()) -> Column:
     return F.coalesce(shaped & ~F.lower(bare).isin(*BLOCKED_WORKSPACES, *also_blocked), F.lit(False))
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def project_name(path: Column, parents: Sequence[str] = PROJECT_PARENTS) -> Column:
     """The repository that a path lies in: behind a known parent, else the last valid folder, else ``Default``."""
-    clean = F.regexp_replace(F.regexp_replace(path, "^[\"']+|[\"']+$", ""), r"(?<=.)/+$", "")
-    behind = [F.nullif(F.regexp_extract(clean, f"/{p}/([^/]+)", 1), F.lit("")) for p in parents]
-    parts = F.split(clean, "/")
-    folders = F.filter(parts, lambda x, i: ~((i == F.size(parts) - 1) & F.contains(x, F.lit("."))))
-    last = F.try_element_at(F.filter(folders, lambda x: valid_workspace(x)), F.lit(-1))
-    known = F.coalesce(*[F.when(valid_workspace(b), b) for b in behind], last, F.lit("Default"))
-    return F.when(path.isNull() | (path == "") | F.startswith(path, F.lit("/Untitled")), F.lit("Default")).otherwise(known)
+
+    def last(parts: Column, n: Column) -> Column:
+        folders = F.filter(parts, lambda x, i: ~((i == n - 1) & F.contains(x, F.lit("."))))
+        return F.try_element_at(F.filter(folders, lambda x: valid_workspace(x)), F.lit(-1))
+
+    def named(clean: Column) -> Column:
+        behind = [_bound(F.nullif(F.regexp_extract(clean, f"/{p}/([^/]+)", 1), F.lit("")), lambda b: F.when(valid_workspace(b), b)) for p in parents]
+        folder = _bound(F.split(clean, "/"), lambda parts: _bound(F.size(parts), lambda n: last(parts, n)))
+        return F.coalesce(*behind, folder, F.lit("Default"))
+
+    def whole(path: Column) -> Column:
+        clean = F.regexp_replace(F.regexp_replace(path, "^[\"']+|[\"']+$", ""), r"(?<=.)/+$", "")
+        return F.when(path.isNull() | (path == "") | F.startswith(path, F.lit("/Untitled")), F.lit("Default")).otherwise(_bound(clean, named))
+
+    return _bound(path, whole)
 
 
 def search_preview(content: Column, query: str, width: int = 200) -> Column:

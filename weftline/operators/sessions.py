@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from weftline.functions import text as T
 from weftline.operators.substrings import holding
+from weftline.session import materialize, spread
 
 WRITE_TOOLS = ("write_to_file", "replace_file_content", "multi_replace_file_content")
 COMMAND_TOOL = "run_command"
@@ -46,18 +47,22 @@ def project_scores(steps: DataFrame, known: DataFrame) -> DataFrame:
     """(session_id, project, score) from prompt mentions (10), metadata workspaces (15), known paths (20), parent folders (25) and derived names (15).
 
     ``known`` (name, path) may have any number of rows: what holds which name or path is
-    found by keys.
+    found by keys.  Prompts and paths are taken out of the steps once, by all cores; a
+    project made from a path is a generated column, as filters on it would make it again.
     """
     known = known.select("name", "path").withColumn("_row", F.monotonically_increasing_id())
     named = known.select("name", F.lower("name").alias("_name"), F.concat(F.lit("/"), "name", F.lit("/")).alias("_folder"), "path", "_row")
     prompts = steps.where((F.col("type") == "USER_INPUT") & (F.col("source") == "USER_EXPLICIT"))
-    lower = prompts.select("session_id", F.lower("content").alias("text"))
+    made = lambda path: F.explode(F.array(T.project_name(path)))
+    prompts = materialize(spread(prompts.select("session_id", "content")).select("session_id", F.lower("content").alias("text"), made(T.workspace_of(F.col("content"))).alias("project")), "prompts")
+    lower = prompts.select("session_id", "text")
     told = holding(lower, named.select(F.col("_name").alias("needle")))
     mention = lower.join(told, "text").join(named, F.col("needle") == F.col("_name")).select("session_id", F.col("name").alias("project"), F.lit(10).alias("score"))
-    stated = prompts.select("session_id", T.project_name(T.workspace_of(F.col("content"))).alias("project"), F.lit(15).alias("score")).where("project != 'Default'")
+    stated = prompts.where("project != 'Default'").select("session_id", "project", F.lit(15).alias("score"))
     args = ("Cwd", "DirectoryPath", "SearchPath", "TargetFile", "AbsolutePath", "TargetDirectory")
-    calls = steps.where("type = 'PLANNER_RESPONSE'").select("session_id", F.explode("tool_calls").alias("c"))
+    calls = spread(steps.where("type = 'PLANNER_RESPONSE'").select("session_id", "tool_calls")).select("session_id", F.explode("tool_calls").alias("c"))
     paths = calls.select("session_id", F.explode(F.array(*[F.regexp_replace(F.get_json_object("c.args", f"$.{a}"), "^[\"']+|[\"']+$", "") for a in args])).alias("p")).where("p rlike '^[/~]'")
+    paths = materialize(paths, "paths")
     # a folder's name is in a path, or at its end, where the path with a slash behind it holds the name between slashes
     closed = holding(paths.select(F.concat("p", F.lit("/")).alias("text")), named.select(F.col("_folder").alias("needle")))
     by_name = closed.join(named, F.col("needle") == F.col("_folder")).select(F.expr("left(text, length(text) - 1)").alias("_p"), "_row", "name")
@@ -65,7 +70,7 @@ def project_scores(steps: DataFrame, known: DataFrame) -> DataFrame:
     inside = by_name.unionByName(by_path).distinct()
     hit = paths.join(inside, F.col("p") == F.col("_p")).select("session_id", F.col("name").alias("project"), F.lit(20).alias("score"))
     none = paths.join(inside.select("_p"), F.col("p") == F.col("_p"), "left_anti")
-    other = none.select("session_id", T.project_name(F.col("p")).alias("project"), F.when(F.col("p").rlike("/(" + "|".join(T.PROJECT_PARENTS) + ")/"), 25).otherwise(15).alias("score")).where("project != 'Default'")
+    other = none.select("session_id", made(F.col("p")).alias("project"), F.when(F.col("p").rlike("/(" + "|".join(T.PROJECT_PARENTS) + ")/"), 25).otherwise(15).alias("score")).where("project != 'Default'")
     votes = mention.unionByName(stated).unionByName(hit).unionByName(other)
     return votes.where(T.valid_workspace(F.col("project"))).groupBy("session_id", "project").agg(F.sum("score").alias("score"))
 

@@ -135,10 +135,14 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores where it is small by the planner's estimate, else as it is.
 
     A small table is often one file of one row group, which one task reads, however
-    many cores there are; a large one has tasks enough and isn't moved.
+    many cores there are; a large one has tasks enough and isn't moved.  The estimate
+    of a join is the product of its sides, so what it reads is asked too.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    bytes_of = lambda p: int(str(p.stats().sizeInBytes()))
+    size = min(bytes_of(plan), sum(bytes_of(leaves.apply(i)) for i in range(leaves.size())))
     return df.repartition(cores) if size < SMALL * cores else df
 
 
