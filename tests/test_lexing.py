@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+from scans import scanned
 
 from weftline.operators import parsing
 from weftline.operators.lexing import blanked, without_type_arguments
@@ -103,3 +105,14 @@ def test_generated_files(lang):
         ids = {n[0]: n[2] for n in out.nodes}
         got = [(ids[e[1]], e[2]) for e in out.edges if e[4] == "CALLS"]
         assert sorted(set(got)) == sorted(set(calls)), text
+
+
+def test_each_kind_reads_its_own_files(spark, tmp_path):
+    """Where all files are Go, those who look for YAML, JSON, shell, SQL, TOML or unknown files read none; a table of one file is parsed by all cores."""
+    n = F.col("id").cast("string")
+    spark.range(400).coalesce(1).select(F.lit("w").alias("workspace"), F.concat(n, F.lit(".go")).alias("file_path"), F.concat(F.lit("package p\n\nfunc f"), n, F.lit("() { g() }\n")).alias("content")).write.parquet(str(tmp_path / "f"))
+    nodes, edges = parsing.parse(spark.read.parquet(str(tmp_path / "f")))
+    assert len({p for p in edges.inputFiles() if "/code-" in p}) == spark.sparkContext.defaultParallelism
+    _, rows, found = scanned(edges)
+    assert sorted(r["target_label"] for r in found) == ["g"] * 400
+    assert rows <= 400 + 3 * 800  # the paths, and three readings of 400 nodes and 400 edges

@@ -523,9 +523,10 @@ def _code_rows(files: DataFrame) -> DataFrame:
 
 def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and unresolved edges of all files; those that give nothing are chunked."""
-    known = files.withColumn("_lang", language(F.col("file_path")))
+    # written by language, so that each kind reads its own files alone, and those of no kind here none
+    known = materialize(spread(files).withColumn("_lang", language(F.col("file_path"))), "files", ("_lang",))
     # written, as nodes, edges and the files without any come from it
-    code = materialize(_code_rows(spread(known.where(F.col("_lang").isin(*_CODE)))), "code")
+    code = materialize(_code_rows(known.where(F.col("_lang").isin(*_CODE))), "code")
     nodes, edges = [code.where("n is not null").select("n.*")], [code.where("e is not null").select("e.*")]
     for name, run in (("yaml", yaml), ("json", json), ("shell", shell), ("sql", sql), ("toml", toml)):
         n, e = run(known.where(F.col("_lang") == name))
