@@ -111,3 +111,22 @@ def test_packed_neighbourhoods_name_every_link_once(spark, monkeypatch):
     rows = packed.collect()
     assert max(len(r["near"]) for r in rows) <= 5 and sum(r["nbr"] == 0 for r in rows) == 5
     assert sorted((r["nbr"], x["n"], x["w"]) for r in rows for x in r["near"]) == sorted((a, b, 2.0) for s, t in ends[:20] for a, b in ((int(s), int(t)), (int(t), int(s))))
+
+
+def test_colours_vote_by_number_and_only_when_due(spark, monkeypatch):
+    """Pairs of linked nodes: the first colour moves once, then nobody is next to a node that moved; votes name numbers, not ids."""
+    made, rows, own = [], {}, coloured_lpa.materialize
+
+    def written(df, tag, *by):
+        made.append(tag)
+        out = own(df, tag, *by)
+        rows[tag] = out.collect()
+        return out
+
+    monkeypatch.setattr(coloured_lpa, "materialize", written)
+    nodes = spark.createDataFrame([(f"n{i}", "w", None) for i in range(8)], "id string, workspace string, community int")
+    edges = spark.createDataFrame([(f"n{i + back}", f"n{i + 1 - back}", "CALLS") for i in range(0, 8, 2) for back in (0, 1)], "source string, target string, type string")
+    found = {r["id"]: r["community"] for r in coloured_lpa.communities(nodes, edges).collect()}
+    assert classes(found) == [[f"n{i}", f"n{i + 1}"] for i in range(0, 8, 2)]
+    assert made.count("labels") == 4
+    assert sorted((r["nbr"], x["n"], x["w"]) for r in rows["packed"] for x in r["near"]) == [(n, n ^ 1, 4.0) for n in range(8)]
