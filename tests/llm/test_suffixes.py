@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftline.llm import op12_suffixes as sa
@@ -116,3 +117,27 @@ def test_odd_rows(spark, odd, empty, odd_rows):
     assert sa.suffix_documents(empty).count() == 0
     short = spark.createDataFrame([(1, "short"), (2, None)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in sa.suffix_documents(short).collect()) == [(1, 5, 0), (2, 0, 0)]
+
+
+def test_only_segments_with_a_common_anchor_are_sorted(monkeypatch):
+    """A text of which there are copies alone is its own class; the others are sorted, with one result."""
+    r = random.Random(5)
+    base, lone = bytes(r.choices(b"abcd", k=70)), bytes(r.choices(b"abcd", k=64))
+    texts, least = [base, lone, b"x" + base[:60], base[8:66]], np.array([7, 5, 3, 9])
+    want = [x.tolist() for x in sa.equal_windows(texts, least)]
+    sorted_, own = [], sa.equal_windows
+    monkeypatch.setattr(sa, "equal_windows", lambda t, k: sorted_.append(t) or own(t, k))
+    got = sa.windows_by_kin(texts, least, np.array([4, 2, 4, 4], np.uint32))
+    assert [x.tolist() for x in got] == want and sorted_ == [[texts[0], texts[2], texts[3]]]
+    assert [x.tolist() for x in sa.windows_by_kin([lone], np.array([5]), np.array([2], np.uint32))] == [[0], [0], [14], [5]] and len(sorted_) == 1
+
+
+def test_an_anchor_is_taken_apart_by_its_segments():
+    """Not by its packs, which grow with the table: 40 packs of one segment stay whole, two of 30 don't."""
+    rows = [(i, [1]) for i in range(40)] + [(40, [2, 3]), (41, [2, 3])]
+    count = {1: 1, 2: 30, 3: 1}
+    seen = [np.array([count[h] << 1 for h in hashes], np.uint16).tobytes() for _, hashes in rows]
+    asked = pa.table({"pack": [p for p, _ in rows], "hashes": [np.array(h, np.uint64).tobytes() for _, h in rows], "seen": seen})
+    got = {x["pack"]: (np.frombuffer(x["plain"], np.uint64).tolist(), np.frombuffer(x["hot"], np.uint64).tolist()) for x in sa._shared(50)(asked).to_pylist()}
+    assert [p for p, x in got.items() if x == ([1], [])] == list(range(40)) and got[40] == got[41] == ([3], [2])
+    assert not sa._shared(50)(pa.table({"pack": [1], "hashes": [np.array([9], np.uint64).tobytes()], "seen": [np.array([99 << 1], np.uint16).tobytes()]})).num_rows

@@ -10,12 +10,15 @@ of a smaller doc_id.  Equal strings have to meet in one task, so:
   those that stand in several packs or documents.  Most text goes no further.
 * Packs send the segments of the anchors that are left, each distinct one once with the
   smallest and largest doc_id that has it, to the anchor's bucket.  An anchor of more
-  than HOT packs, a frequent phrase in many contexts, is taken apart: its windows are
-  segments of their own and dealt by their own hashes.
-* A bucket sorts the suffixes of its distinct segments in two stages: suffixes smaller
-  than their successors are sorted directly, the others are induced by scanning the
-  buckets of first bytes.  Neighbours with SPAN common bytes are equal windows, and the
-  smallest doc_id of each such class goes back to the packs that asked.
+  than HOT segments, a frequent phrase in many contexts, is taken apart: its windows are
+  segments of their own and dealt by their own hashes.  That is some fourteen times the
+  rows, so it is kept for what a bucket could not hold: HOT segments are some 5 MB.
+* A bucket sorts the suffixes of the distinct segments that have an anchor in common, in
+  two stages: suffixes smaller than their successors are sorted directly, the others are
+  induced by scanning the buckets of first bytes.  Neighbours with SPAN common bytes are
+  equal windows, and the smallest doc_id of each such class goes back to the packs that
+  asked.  Where all segments of an anchor are one text, as in copies, its windows are
+  those of no other text, and nothing is left to sort.
 
 A hash only brings candidates together; equality is decided on bytes.  What meets in a
 bucket is a row a pack at most for each distinct segment, however many documents or
@@ -41,8 +44,8 @@ from weftline.session import drop_scratch, materialize, shuffle_width, spread
 
 #: Bytes of a match; bytes of an anchor, 8 or more.
 SPAN, ANCHOR = 50, 24
-#: Bytes of text in a pack, unless one document has more; packs above which an anchor is taken apart.
-PACK, HOT = 4 << 20, 1024
+#: Bytes of text in a pack, unless one document has more; segments above which an anchor is taken apart, a pack counting 32,767 at most.
+PACK, HOT = 4 << 20, 1 << 16
 #: Buckets for each shuffle partition.
 BUCKETS = 8
 #: Bytes hashed at once, so that the arrays stay in cache; fits into the low bits that hold a place.
@@ -254,7 +257,8 @@ def _table(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
 
 # ---- anchors that stand in several documents
 
-_SIGNED = "bucket long, pack long, hashes binary, several binary"
+#: ``seen``: twice the segments of an anchor in the pack, and one if they are in several documents.
+_SIGNED = "bucket long, pack long, hashes binary, seen binary"
 
 
 def _sign(buckets: int) -> Callable:
@@ -268,10 +272,11 @@ def _sign(buckets: int) -> Callable:
                 heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
                 if not len(heads):
                     continue
-                several = np.minimum.reduceat(of, heads) != np.maximum.reduceat(of, heads)
+                count = np.diff(np.concatenate([heads, [len(hashes)]]))
+                seen = (np.minimum(count, 0x7FFF) << 1 | (np.minimum.reduceat(of, heads) != np.maximum.reduceat(of, heads))).astype(np.uint16)
                 hashes = hashes[heads]
-                parts = [(b, hashes[rows].tobytes(), several[rows].tobytes()) for b, rows in _by_bucket(_bucket(hashes, buckets))]
-                yield _table({"bucket": ([p[0] for p in parts], pa.int64()), "pack": ([pack["pack"]] * len(parts), pa.int64()), "hashes": ([p[1] for p in parts], pa.binary()), "several": ([p[2] for p in parts], pa.binary())})
+                parts = [(b, hashes[rows].tobytes(), seen[rows].tobytes()) for b, rows in _by_bucket(_bucket(hashes, buckets))]
+                yield _table({"bucket": ([p[0] for p in parts], pa.int64()), "pack": ([pack["pack"]] * len(parts), pa.int64()), "hashes": ([p[1] for p in parts], pa.binary()), "seen": ([p[2] for p in parts], pa.binary())})
 
     return run
 
@@ -284,12 +289,13 @@ def _shared(hot: int) -> Callable:
 
     def run(rows: pa.Table) -> pa.Table:
         packs, found = rows["pack"].to_pylist(), [np.frombuffer(x, np.uint64) for x in rows["hashes"].to_pylist()]
-        several = np.concatenate([np.frombuffer(x, bool) for x in rows["several"].to_pylist()])
+        seen = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["seen"].to_pylist()])
         hashes, of = np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
         order = np.argsort(hashes)
         heads = np.flatnonzero(np.concatenate([[True], hashes[order[1:]] != hashes[order[:-1]]]))
         count = np.diff(np.concatenate([heads, [len(order)]]))
-        level = np.where(count > hot, 2, ((count > 1) | np.logical_or.reduceat(several[order], heads)).astype(np.int64))
+        shared = (count > 1) | (np.bitwise_or.reduceat(seen[order], heads) & 1).astype(bool)
+        level = np.where(shared & (np.add.reduceat((seen[order] >> 1).astype(np.int64), heads) > hot), 2, shared.astype(np.int64))
         levels = np.empty(len(order), np.int64)
         levels[order] = np.repeat(level, count)
         out = [(packs[i], hashes[(of == i) & (levels == 1)].tobytes(), hashes[(of == i) & (levels == 2)].tobytes()) for i in np.unique(of[levels > 0]).tolist()] if len(found) < 64 else _dealt(packs, hashes, of, levels)
@@ -312,13 +318,14 @@ def _dealt(packs: list[int], hashes: np.ndarray, of: np.ndarray, levels: np.ndar
 
 
 class _Cut(NamedTuple):
-    """Segments to compare: the window they begin with, their document, the number of their text and where it goes."""
+    """Segments to compare: the window they begin with, their document, the number of their text, where it goes and with which others it may share windows."""
 
     first: np.ndarray
     doc: np.ndarray
     text: np.ndarray
     texts: list[bytes]
     bucket: np.ndarray
+    kin: np.ndarray
 
 
 def _among(values: np.ndarray, parts: list[bytes] | None) -> np.ndarray:
@@ -340,17 +347,18 @@ def _cut(pack: dict, data: bytes, sizes: np.ndarray, buckets: int) -> _Cut:
     number: dict[bytes, int] = {}
     text = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(first.tolist(), end.tolist(), strict=True)), np.int64, len(first))
     texts = list(number)
-    place = np.zeros(len(texts), np.int64)
-    place[text] = _bucket(anchor, buckets)
+    place, kin = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint32)
+    place[text], kin[text] = _bucket(anchor, buckets), anchor & np.uint64(0xFFFFFFFF)
     fresh = np.zeros(len(texts), bool)
     fresh[text[each]] = True
-    for i in np.flatnonzero(fresh).tolist():
-        place[i] = xxhash.xxh3_64_intdigest(texts[i]) % buckets
-    return _Cut(first, doc, text, texts, place)
+    rows = np.flatnonzero(fresh)
+    digests = np.fromiter((xxhash.xxh3_64_intdigest(texts[i]) for i in rows.tolist()), np.uint64, len(rows))
+    place[rows], kin[rows] = _bucket(digests, buckets), digests & np.uint64(0xFFFFFFFF)
+    return _Cut(first, doc, text, texts, place, kin)
 
 
 #: Rows of a bucket ask for its texts; a row without one keeps, for a pack, where its segments are.
-_ASKED = "bucket long, pack long, number binary, least binary, most binary, sizes binary, texts binary, place binary, doc binary, text binary"
+_ASKED = "bucket long, pack long, number binary, least binary, most binary, sizes binary, kin binary, texts binary, place binary, doc binary, text binary"
 
 
 def _ask(buckets: int) -> Callable:
@@ -366,9 +374,9 @@ def _ask(buckets: int) -> Callable:
                 for bucket, rows in _by_bucket(cut.bucket):
                     own = [cut.texts[i] for i in rows.tolist()]
                     lengths = np.fromiter(map(len, own), np.int32, len(own))
-                    asked.append((bucket, pack["pack"], rows.astype(np.int32).tobytes(), least[rows].tobytes(), most[rows].tobytes(), lengths.tobytes(), _squeezed(b"".join(own)), None, None, None))
+                    asked.append((bucket, pack["pack"], rows.astype(np.int32).tobytes(), least[rows].tobytes(), most[rows].tobytes(), lengths.tobytes(), cut.kin[rows].tobytes(), _squeezed(b"".join(own)), None, None, None))
                 where = [_squeezed(x.astype(np.int32).tobytes()) for x in (cut.first, cut.doc, cut.text)]
-                asked.append((None, pack["pack"], *[None] * 5, *where))
+                asked.append((None, pack["pack"], *[None] * 6, *where))
                 names = [x.split()[0] for x in _ASKED.split(", ")]
                 yield _table({name: (list(column), pa.binary() if i > 1 else pa.int64()) for i, (name, column) in enumerate(zip(names, zip(*asked, strict=True), strict=True))})
 
@@ -401,6 +409,21 @@ def equal_windows(texts: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np
     return of[new], places[new] - start, places[tail] - start, smallest[new]
 
 
+def windows_by_kin(texts: list[bytes], least: np.ndarray, kin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``equal_windows`` of distinct texts of which only those of equal ``kin`` can share windows: one alone is not sorted."""
+    _, group, count = np.unique(kin, return_inverse=True, return_counts=True)
+    alone = count[group] == 1
+    one, several = np.flatnonzero(alone), np.flatnonzero(~alone)
+    last = np.fromiter((len(texts[i]) - SPAN for i in one.tolist()), np.int64, len(one))
+    found = [(one, np.zeros(len(one), np.int64), last, least[one])]
+    if len(several):
+        of, *rest = equal_windows([texts[i] for i in several.tolist()], least[several])
+        found.append((several[of], *rest))
+    text, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(text, kind="stable")
+    return text[order], *(x[order] for x in rest)
+
+
 _ANSWERED = "pack long, number binary, first binary, last binary, least binary"
 
 
@@ -412,10 +435,11 @@ def _answer(rows: pa.Table) -> pa.Table:
         ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
         of.append(np.fromiter((number.setdefault(texts[a:b], len(number)) for a, b in zip([0, *ends], ends, strict=False)), np.int64, len(ends)))
     asked = {c: [np.frombuffer(x, t) for x in rows[c].to_pylist()] for c, t in (("number", np.int32), ("least", np.int64), ("most", np.int64))}
-    least = np.full(len(number), LAST)
-    for own, keys in zip(of, asked["least"], strict=True):
+    least, kin = np.full(len(number), LAST), np.zeros(len(number), np.uint32)
+    for own, keys, group in zip(of, asked["least"], rows["kin"].to_pylist(), strict=True):
         np.minimum.at(least, own, keys)
-    text, first, last, smallest = equal_windows(list(number), least)
+        kin[own] = np.frombuffer(group, np.uint32)
+    text, first, last, smallest = windows_by_kin(list(number), least, kin)
     begin = np.searchsorted(text, np.arange(len(number) + 1))
     out = []
     for pack, own, numbers, most in zip(packs, of, asked["number"], asked["most"], strict=True):
@@ -484,9 +508,9 @@ def deduplicate(docs: DataFrame, pack: int = PACK, hot: int = HOT) -> DataFrame:
     asked = materialize(packs.join(anchors, "pack").mapInArrow(_ask(buckets), _ASKED), "segments")
     drop_scratch(shared)
     columns = [c.split()[0] for c in _ASKED.split(", ")]
-    answered = materialize(asked.filter("bucket is not null").select(*columns[:7]).groupBy("bucket").applyInArrow(_answer, _ANSWERED), "windows")
+    answered = materialize(asked.filter("bucket is not null").select(*columns[:8]).groupBy("bucket").applyInArrow(_answer, _ANSWERED), "windows")
     answers = answered.groupBy("pack").agg(*[F.collect_list(c).alias(c) for c in ("number", "first", "last", "least")])
-    places = asked.filter("bucket is null").select("pack", *columns[7:])
+    places = asked.filter("bucket is null").select("pack", *columns[8:])
     return packs.join(answers.join(places, "pack"), "pack", "left").mapInArrow(_finish, _LEFT)
 
 
