@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from scans import scanned
 
-from weftline.operators import coloured_lpa, graph
+from weftline.operators import block_lpa, coloured_lpa, graph
 from weftline.operators.graph import EDGE_WEIGHTS
 
 
@@ -130,3 +130,38 @@ def test_colours_vote_by_number_and_only_when_due(spark, monkeypatch):
     assert classes(found) == [[f"n{i}", f"n{i + 1}"] for i in range(0, 8, 2)]
     assert made.count("labels") == 4
     assert sorted((r["nbr"], x["n"], x["w"]) for r in rows["packed"] for x in r["near"]) == [(n, n ^ 1, 4.0) for n in range(8)]
+
+
+def test_blocks_move_as_rows_do(spark, monkeypatch):
+    """Over several blocks, with parallel edges, loops and unknown ends; by rows go nodes too large for a block and ids of one hash."""
+    nodes, edges, names, links = random_graph(spark, 5)
+    edges = edges.unionByName(spark.createDataFrame([("n1", "gone", "CALLS"), ("lost", "gone", None), (None, "n2", "CALLS"), ("n3", "n3", "CALLS")], edges.schema))
+    turns = nodes.select(F.xxhash64("id").alias("k"), *[graph._turn(t).alias(str(t)) for t in (0, 1, 59)]).toPandas()
+    assert all((block_lpa.may_move(turns["k"].to_numpy(), t) == turns[str(t)]).all() for t in (0, 1, 59))
+    begun = spark.createDataFrame(nodes.select("id", (F.abs(F.xxhash64("id")) + F.lit(1 << 32)).alias("label")).collect())
+    weighed = edges.select("source", "target", graph.edge_weight(F.col("type")).alias("w"))
+    monkeypatch.setattr(block_lpa, "FEWEST", 100)
+    by_blocks = lambda df: block_lpa.propagate(df, weighed, [1.0, *EDGE_WEIGHTS.values()], 3, 4)
+    assert block_lpa._blocks(weighed.select(F.xxhash64("source").alias("a"), F.xxhash64("target").alias("b")), 4) == 4
+    assert sorted(map(tuple, by_blocks(begun).collect())) == sorted(map(tuple, graph._by_rows(begun, edges, 3, 4).collect()))
+    assert by_blocks(begun.unionByName(begun.limit(1))) is None
+    monkeypatch.setattr(block_lpa, "VOTES", 2)
+    monkeypatch.setattr(block_lpa, "CLASSES", 16)
+    assert by_blocks(begun) is None
+
+
+def test_rounds_send_no_votes(spark, monkeypatch):
+    """A block asks for a neighbour's label once, however many of its nodes vote on it; no vote is a row of a round."""
+    rows, own = {}, block_lpa.materialize
+
+    def written(df, tag, *by):
+        out = own(df, tag, *by)
+        rows.setdefault(tag, out.collect())
+        return out
+
+    monkeypatch.setattr(block_lpa, "materialize", written)
+    nodes = spark.createDataFrame([(f"n{i}", "w", None) for i in range(31)], "id string, workspace string, community int")
+    edges = spark.createDataFrame([("n0", f"n{i}", "CALLS") for i in range(1, 31)], "source string, target string, type string")
+    found = graph.label_propagation(nodes, edges).collect()
+    assert len(found) == 31 and len({r["community"] for r in found}) == 1
+    assert len(rows["sent"]) == 2 and len(block_lpa._array(rows["held"][0]["route"], np.int32)) == 31

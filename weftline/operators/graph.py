@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions import text as T
+from weftline.operators import block_lpa
 from weftline.session import drop_scratch, materialize, shuffle_width
 
 logger = logging.getLogger(__name__)
@@ -266,8 +267,10 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 15, seed
     none wants to move, or after 4 * ``rounds`` with a warning.  Communities get compact
     numbers, seeds keep theirs.
 
+    Rounds go over blocks of nodes; where one node has too many neighbours for a block
+    (``block_lpa``), by rows, and when few of many nodes are left, by an active set.
     ``changed`` (id) names the nodes whose neighbourhood is not that of the seeds'
-    clustering: then, and when few of many nodes are left, only an active set votes.
+    clustering: then, too, only an active set votes.
     """
     buckets = max(16, shuffle_width(nodes.sparkSession))
     ids = nodes.select("id").distinct()
@@ -276,10 +279,18 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 15, seed
     if changed is not None and seeds is not None:
         active = changed.select("id").unionByName(own.where("label is null").select("id")).distinct()
         return compact(_frontier(materialize(begun, "labels"), adjacency(edges, buckets), materialize(active, "active"), 0, 4 * rounds, buckets))
+    begun = materialize(begun, "begun")
+    weighed = edges.select("source", "target", edge_weight(F.col("type")).alias("w"))
+    found = block_lpa.propagate(begun, weighed, [1.0, *EDGE_WEIGHTS.values()], 4 * rounds, buckets)
+    return compact(_by_rows(begun, edges, 4 * rounds, buckets) if found is None else found)
+
+
+def _by_rows(begun: DataFrame, edges: DataFrame, last: int, buckets: int) -> DataFrame:
+    """(id, label) after the rounds, in which every vote is a row."""
     labels = materialize(numbered(begun, "id", "n").select(F.col("n").cast("int").alias("n"), "id", "label"), "labels")
     packed = _packed(labels.select("id", "n"), edges)
     total, wanting = labels.count(), 0
-    for turn in range(4 * rounds):
+    for turn in range(last):
         # labels are many, so no join sends them through the driver; votes go to their node's partition once
         votes = packed.join(labels.select(F.col("n").alias("nbr"), "label").hint("merge"), "nbr").select("label", F.inline("near")).repartition(buckets, "n")
         best = votes.groupBy("n", "label").agg(F.sum("w").alias("w")).groupBy("n").agg(F.max(F.struct("w", "label")).alias("m")).select("n", F.col("m.label").alias("wish"))
@@ -291,16 +302,16 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 15, seed
         labels = moved.select("n", "id", "label")
         if not wanting:
             drop_scratch(packed)
-            return compact(labels.select("id", "label"))
+            return labels.select("id", "label")
         if total >= FRONTIER and wanting * 8 < total and _reach(packed, moved) * 8 < total:
             drop_scratch(packed)
             both = adjacency(edges, buckets)
             near = _within(both, moved.where("moved").select("id"), buckets).select(F.col("nbr").alias("id"))
             active = near.unionByName(moved.where("wants and not moved").select("id")).distinct()
-            return compact(_frontier(labels.select("id", "label"), both, materialize(active, "active"), turn + 1, 4 * rounds, buckets))
+            return _frontier(labels.select("id", "label"), both, materialize(active, "active"), turn + 1, last, buckets)
     drop_scratch(packed)
-    logger.warning("label propagation ended after %d rounds, %d nodes want to move", 4 * rounds, wanting)
-    return compact(labels.select("id", "label"))
+    logger.warning("label propagation ended after %d rounds, %d nodes want to move", last, wanting)
+    return labels.select("id", "label")
 
 
 def _packed(ids: DataFrame, edges: DataFrame) -> DataFrame:
